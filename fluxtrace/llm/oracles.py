@@ -28,4 +28,45 @@ SELECT d.doc_id, cast(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM doc d LEFT JOIN word USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op10_benchmark_decontamination": OP10}
+OP6 = f"""
+WITH t AS (SELECT doc_id, source, coalesce(text, '') AS x, {_PLAIN} AS w FROM documents),
+     l AS (SELECT *, list_filter(string_split(x, chr(10)), lambda y: regexp_matches(y, '[^\x20\x09-\x0D]')) AS ls FROM t),
+     r AS (SELECT row_number() OVER () AS k, * FROM l),
+     g AS (SELECT k, i, w[i : i + 7] AS g FROM (SELECT k, w, unnest(generate_series(1, len(w) - 7)) AS i FROM r WHERE len(w) >= 8)),
+     twice AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS n FROM g) WHERE n > 1),
+     rep AS (SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest(generate_series(i, i + 7)) AS p FROM twice) GROUP BY k),
+     c AS (SELECT r.k, doc_id, source, cast(len(w) AS BIGINT) AS n_words, cast(len(array_to_string(w, '')) AS BIGINT) AS word_chars,
+                  cast(len(x) - len(regexp_replace(x, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                  cast(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+           FROM r LEFT JOIN rep ON r.k = rep.k),
+     f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+                  10 * n_symbols > word_chars OR 10 * n_dup_lines > n_words OR word_chars < 2 * n_words OR word_chars > 14 * n_words AS soft_failed FROM c),
+     h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed OR soft_failed) AS b FROM f GROUP BY source),
+     m AS (SELECT sum(b) / sum(n) AS mean, sum(n) AS total FROM h),
+     v AS (SELECT any_value(mean) AS mean, sum(n * (b / n - mean) * (b / n - mean)) / any_value(total) AS spread FROM h, m),
+     p AS (SELECT mean, CASE WHEN spread > 0 THEN least(greatest(mean * (1 - mean) / spread - 1, 1.0), 1e6) ELSE 1e6 END AS weight FROM v),
+     s AS (SELECT source, round((b + mean * weight) / (n + weight), 6) AS host_rate FROM h, p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT (host_rate > 0.5 AND soft_failed) AS kept, host_rate
+FROM f JOIN s ON f.source IS NOT DISTINCT FROM s.source
+"""
+
+OP8 = f"""
+WITH d AS (SELECT doc_id, source, cast(len({_PLAIN}) AS BIGINT) AS size,
+                  cast('0x' || substr(md5('17|' || coalesce(cast(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 15) AS BIGINT) AS u FROM documents),
+     s AS (SELECT source, cast(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
+     c AS (SELECT *, [3, 1, 2][(k - 1) % 3 + 1] AS w, 2 * source_size AS cap FROM s),
+     o AS (SELECT *, row_number() OVER (ORDER BY cap / w, source NULLS LAST) AS o, cast(sum(source_size) OVER () AS DOUBLE) * 1.5 AS budget FROM c),
+     l AS (SELECT *, (budget - coalesce(cast(sum(cap) OVER (ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS DOUBLE), 0))
+                     / cast(sum(w) OVER (ORDER BY o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level FROM o),
+     t AS (SELECT source, source_size, least(cast(cap AS DOUBLE), w * max(level) OVER ()) AS target FROM l),
+     g AS (SELECT *, CASE WHEN source_size > 0 THEN least(cast(floor(target / source_size) AS BIGINT), 2) ELSE 0 END AS whole FROM t),
+     q AS (SELECT source, u, sum(size) AS size FROM d GROUP BY ALL),
+     a AS (SELECT source, u, size, sum(size) OVER (PARTITION BY source ORDER BY u) AS upto FROM q),
+     y AS (SELECT g.source, max(u) AS last FROM a JOIN g ON a.source IS NOT DISTINCT FROM g.source
+           WHERE upto - size / 2 <= target - whole * source_size GROUP BY g.source)
+SELECT doc_id, size, source_size, target, cast(size * least(whole + CASE WHEN u <= last THEN 1 ELSE 0 END, 2) AS BIGINT) AS taken
+FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN y ON d.source IS NOT DISTINCT FROM y.source
+"""
+
+ORACLES: dict[str, str] = {"op6_host_quality_rules": OP6, "op8_water_filling_mix": OP8, "op10_benchmark_decontamination": OP10}
