@@ -28,6 +28,18 @@ SELECT d.doc_id, cast(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM doc d LEFT JOIN word USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
+OP3 = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+     t AS (SELECT *, CASE role WHEN 'user' THEN 16 WHEN 'assistant' THEN 12 WHEN 'system' THEN 18 ELSE 17 + len(url_encode(role)) END
+                     + len(regexp_replace(text, '(\\*)(\[INST\]|\[/INST\]|\[ANS\]|<s>|</s>|<<SYS>>|<</SYS>>|\[TURN |\[/TURN\])', '\1\1\\\2', 'g')) AS size FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       cast(coalesce(sum(len(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       cast(sum(size) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
 OP6 = f"""
 WITH t AS (SELECT doc_id, source, coalesce(text, '') AS x, {_PLAIN} AS w FROM documents),
      l AS (SELECT *, list_filter(string_split(x, chr(10)), lambda y: regexp_matches(y, '[^\x20\x09-\x0D]')) AS ls FROM t),
@@ -69,4 +81,4 @@ SELECT doc_id, size, source_size, target, cast(size * least(whole + CASE WHEN u
 FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN y ON d.source IS NOT DISTINCT FROM y.source
 """
 
-ORACLES: dict[str, str] = {"op6_host_quality_rules": OP6, "op8_water_filling_mix": OP8, "op10_benchmark_decontamination": OP10}
+ORACLES: dict[str, str] = {"op3_chat_round_trip": OP3, "op6_host_quality_rules": OP6, "op8_water_filling_mix": OP8, "op10_benchmark_decontamination": OP10}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, mixing, quality, token_counts
+from . import chat, decontaminate, licenses, mixing, pii, quality, token_counts
 from .common import read
 
 
@@ -20,11 +20,20 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.format_turns(chat.with_hostile(read(spark, sf_dir, "conversations")))
+    return chat.read_back(turns)
+
+
 def op6_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judged(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate")
 
 
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_pii(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -35,4 +44,4 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return out.drop("text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op6_host_quality_rules, op8_water_filling_mix, op10_benchmark_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_chat_round_trip, op6_host_quality_rules, op7_pii_surrogates, op8_water_filling_mix, op10_benchmark_decontamination)}
