@@ -58,7 +58,7 @@ def settle(df: DataFrame, name: str, *, partition_by: list[str] | None = None, *
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.options(**{"compression": "zstd", **options})
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -11,6 +11,17 @@ def _words(column: str) -> str:
     return _FOLDED.format(_LOWER.format(f"coalesce({column}, '')"))
 
 
+OP9 = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_PLAIN} AS w FROM documents),
+     g AS (SELECT k, doc_id, i, w[i : i + 12] AS g FROM (SELECT k, doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM d WHERE len(w) >= 13 AND doc_id IS NOT NULL)),
+     m AS (SELECT k, i FROM (SELECT k, doc_id, i, min(doc_id) OVER (PARTITION BY g) AS first FROM g) WHERE first < doc_id),
+     gone AS (SELECT DISTINCT k, p FROM (SELECT k, unnest(generate_series(i, i + 12)) AS p FROM m)),
+     lost AS (SELECT k, list(p) AS ps FROM gone GROUP BY k)
+SELECT doc_id, cast(len(w) AS BIGINT) AS n_words, cast(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(array_to_string(CASE WHEN ps IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(ps, i)) END, ' '), '')) AS kept_sha256
+FROM d LEFT JOIN lost USING (k)
+"""
+
 OP10 = f"""
 WITH item AS (SELECT item_id, {_words("text")} AS w FROM benchmark),
      win AS (SELECT DISTINCT item_id, w[i : i + least(13, len(w)) - 1] AS g, least(13, len(w)) AS size
@@ -81,4 +92,4 @@ SELECT doc_id, size, source_size, target, cast(size * least(whole + CASE WHEN u
 FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN y ON d.source IS NOT DISTINCT FROM y.source
 """
 
-ORACLES: dict[str, str] = {"op3_chat_round_trip": OP3, "op6_host_quality_rules": OP6, "op8_water_filling_mix": OP8, "op10_benchmark_decontamination": OP10}
+ORACLES: dict[str, str] = {"op3_chat_round_trip": OP3, "op6_host_quality_rules": OP6, "op8_water_filling_mix": OP8, "op9_substring_dedup": OP9, "op10_benchmark_decontamination": OP10}

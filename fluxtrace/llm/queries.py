@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, licenses, mixing, pii, quality, token_counts
+from . import chat, decontaminate, licenses, mixing, pii, quality, substring_dedup, token_counts
 from .common import read
 
 
@@ -38,10 +38,14 @@ def op8_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(read(spark, sf_dir, "documents"), texts=False)
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
     out = decontaminate.contamination(docs.select("doc_id", "text"), benchmark)
     return out.drop("text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_chat_round_trip, op6_host_quality_rules, op7_pii_surrogates, op8_water_filling_mix, op10_benchmark_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_chat_round_trip, op6_host_quality_rules, op7_pii_surrogates, op8_water_filling_mix, op9_substring_dedup, op10_benchmark_decontamination)}
