@@ -51,6 +51,20 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM t GROUP BY conv_id
 """
 
+OP5 = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id, {_words("text")} AS w FROM documents),
+     g AS (SELECT DISTINCT k, w[i : i + least(5, len(w)) - 1] AS g
+           FROM (SELECT k, w, unnest(generate_series(1, len(w) - least(5, len(w)) + 1)) AS i FROM d WHERE len(w) > 0)),
+     n AS (SELECT k, count(*) AS n FROM g GROUP BY k),
+     c AS (SELECT x.k AS a, y.k AS b, count(*) AS c FROM g x JOIN g y ON x.g = y.g AND x.k <> y.k GROUP BY ALL),
+     l AS MATERIALIZED (SELECT a, b FROM c JOIN n x ON a = x.k JOIN n y ON b = y.k WHERE 5 * c >= 4 * (x.n + y.n - c)),
+     r AS (SELECT k, k AS at FROM d UNION SELECT r.k, l.b FROM r JOIN l ON r.at = l.a),
+     m AS (SELECT r.k, min(doc_id) AS class_id FROM r JOIN d ON r.at = d.k GROUP BY r.k),
+     t AS (SELECT a AS k, count(*) AS n_links FROM l GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, class_id, coalesce(n_links, 0) AS n_links
+FROM d JOIN m USING (k) LEFT JOIN n USING (k) LEFT JOIN t USING (k)
+"""
+
 OP6 = f"""
 WITH t AS (SELECT doc_id, source, coalesce(text, '') AS x, {_PLAIN} AS w FROM documents),
      l AS (SELECT *, list_filter(string_split(x, chr(10)), lambda y: regexp_matches(y, '[^\x20\x09-\x0D]')) AS ls FROM t),
@@ -92,4 +106,4 @@ SELECT doc_id, size, source_size, target, cast(size * least(whole + CASE WHEN u
 FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN y ON d.source IS NOT DISTINCT FROM y.source
 """
 
-ORACLES: dict[str, str] = {"op3_chat_round_trip": OP3, "op6_host_quality_rules": OP6, "op8_water_filling_mix": OP8, "op9_substring_dedup": OP9, "op10_benchmark_decontamination": OP10}
+ORACLES: dict[str, str] = {"op3_chat_round_trip": OP3, "op5_ngram_jaccard_join": OP5, "op6_host_quality_rules": OP6, "op8_water_filling_mix": OP8, "op9_substring_dedup": OP9, "op10_benchmark_decontamination": OP10}
