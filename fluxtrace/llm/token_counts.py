@@ -20,6 +20,7 @@ from collections import Counter
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import as_bytes, batches, bounded_batches, plain, plain_words, settle
@@ -89,14 +90,21 @@ def piece_counts(vocabulary: DataFrame, tokenizer_file: str) -> DataFrame:
     return vocabulary.select("pretoken", "times").mapInArrow(encode, "pretoken binary, times long, pieces long")
 
 
+def frequent(vocabulary: DataFrame, head: int) -> DataFrame:
+    """The short pre-tokens above the lowest frequency that at most `head` of them reach: no more rows ever leave the executors."""
+    short = vocabulary.where(F.length("pretoken") <= HEAD_BYTES)
+    upto = F.sum("count").over(W.orderBy(F.desc("times")))
+    least = short.groupBy("times").count().withColumn("upto", upto).where(F.col("upto") <= head).agg(F.min("times").alias("times")).first()["times"]
+    return short.where(F.col("times") >= least) if least is not None else short.limit(0)
+
+
 def token_counts(docs: DataFrame, tokenizer_file: str, *, over: int = OVER, head: int = HEAD) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every row of docs."""
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = plain(docs, "doc_id", "text")
     vocabulary = settle(piece_counts(frequencies(docs), tokenizer_file), "pretokens")
-    top = vocabulary.where(F.length("pretoken") <= HEAD_BYTES).orderBy(F.desc("times"), "pretoken").limit(head)
-    known = spark.sparkContext.broadcast({bytes(r["pretoken"]): r["pieces"] for r in top.collect()})
+    known = spark.sparkContext.broadcast({bytes(r["pretoken"]): r["pieces"] for r in frequent(vocabulary, head).collect()})
 
     def split(parts):
         get = known.value.get
