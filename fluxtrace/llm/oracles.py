@@ -51,6 +51,21 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM t GROUP BY conv_id
 """
 
+_RECORD = """'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || cast(page_id AS VARCHAR) || '>'
+ || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+ || 'Content-Length: ' || cast(strlen(coalesce(html, '')) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10)"""
+
+OP4 = f"""
+WITH p AS (SELECT *, page_id // 16 AS leaf, cast('0x' || substr(md5(cast(page_id AS VARCHAR)), 1, 2) AS INTEGER) AS fate FROM pages),
+     a AS (SELECT page_id, leaf, fate, strlen({_RECORD}) AS size, sha256({_RECORD}) AS digest FROM p),
+     b AS (SELECT page_id, sha256({_RECORD}) AS found FROM (SELECT page_id, url, '~' || coalesce(html, '') AS html FROM p WHERE fate < 4)),
+     n AS (SELECT leaf, sum(size) AS size FROM a GROUP BY leaf),
+     o AS (SELECT leaf, cast(sum(size) OVER (ORDER BY leaf) - size AS BIGINT) AS range_start, cast(sum(size) OVER (ORDER BY leaf) AS BIGINT) AS range_end FROM n)
+SELECT page_id, CASE WHEN fate < 4 THEN 'changed' WHEN fate < 6 THEN 'lost' ELSE 'added' END AS kind, leaf, range_start, range_end,
+       CASE WHEN fate < 6 THEN digest END AS digest, CASE WHEN fate < 4 THEN found WHEN fate = 6 THEN digest END AS found_digest
+FROM a JOIN o USING (leaf) LEFT JOIN b USING (page_id) WHERE fate <= 6
+"""
+
 OP5 = f"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id, {_words("text")} AS w FROM documents),
      g AS (SELECT DISTINCT k, w[i : i + least(5, len(w)) - 1] AS g
@@ -106,4 +121,4 @@ SELECT doc_id, size, source_size, target, cast(size * least(whole + CASE WHEN u
 FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN y ON d.source IS NOT DISTINCT FROM y.source
 """
 
-ORACLES: dict[str, str] = {"op3_chat_round_trip": OP3, "op5_ngram_jaccard_join": OP5, "op6_host_quality_rules": OP6, "op8_water_filling_mix": OP8, "op9_substring_dedup": OP9, "op10_benchmark_decontamination": OP10}
+ORACLES: dict[str, str] = {"op3_chat_round_trip": OP3, "op4_warc_merkle_audit": OP4, "op5_ngram_jaccard_join": OP5, "op6_host_quality_rules": OP6, "op8_water_filling_mix": OP8, "op9_substring_dedup": OP9, "op10_benchmark_decontamination": OP10}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, licenses, mixing, ngram_join, pii, quality, substring_dedup, token_counts
+from . import chat, decontaminate, licenses, mixing, ngram_join, pii, quality, substring_dedup, token_counts, warc
 from .common import read
 
 
@@ -25,6 +25,11 @@ def op3_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(turns)
 
 
+def op4_warc_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return warc.audit(pages, warc.decayed(pages))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(read(spark, sf_dir, "documents")).drop("key")
 
@@ -52,4 +57,4 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return out.drop("text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_chat_round_trip, op5_ngram_jaccard_join, op6_host_quality_rules, op7_pii_surrogates, op8_water_filling_mix, op9_substring_dedup, op10_benchmark_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_chat_round_trip, op4_warc_merkle_audit, op5_ngram_jaccard_join, op6_host_quality_rules, op7_pii_surrogates, op8_water_filling_mix, op9_substring_dedup, op10_benchmark_decontamination)}
