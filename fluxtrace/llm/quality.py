@@ -27,7 +27,7 @@ BROADCAST_HOSTS = 100_000
 PRIOR_LOW, PRIOR_HIGH = 1.0, 1e6
 
 COUNTERS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "soft_failed")
-_OWN = (*COUNTERS, "host_rate", "kept")
+_OWN = (*COUNTERS, "host_rate", "kept", "_at")
 
 
 def _without(text: Column, characters: str) -> Column:
@@ -71,7 +71,8 @@ def counters(docs: DataFrame) -> DataFrame:
         (10 * F.col("n_symbols") > F.col("word_chars")) | (10 * F.col("n_dup_lines") > F.col("n_words"))
         | (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 14 * F.col("n_words"))
     )
-    return out.select(*ordinary, "n_repeat_words", base.alias("base_failed"), soft.alias("soft_failed"))
+    # A filter on these columns must not be moved below, where each use would repeat the work: the partition's number stops that.
+    return out.select(*ordinary, "n_repeat_words", base.alias("base_failed"), soft.alias("soft_failed"), F.spark_partition_id().alias("_at"))
 
 
 def host_rates(counted: DataFrame) -> DataFrame:
@@ -93,7 +94,8 @@ def judged(docs: DataFrame, *, host_limit: float = HOST_LIMIT) -> DataFrame:
     rates = rates.select(F.col("source").alias("_host"), "host_rate")
     counted = counters(docs)
     joined = counted.join(F.broadcast(rates) if few else rates, counted["source"].eqNullSafe(rates["_host"]), "left").drop("_host")
-    return joined.withColumn("kept", ~F.col("base_failed") & ~((F.col("host_rate") > host_limit) & F.col("soft_failed")))
+    kept = ~F.col("base_failed") & ~((F.col("host_rate") > host_limit) & F.col("soft_failed")) & (F.col("_at") >= 0)
+    return joined.withColumn("kept", kept).drop("_at")
 
 
 def keep_good(docs: DataFrame, *, host_limit: float = HOST_LIMIT) -> DataFrame:
