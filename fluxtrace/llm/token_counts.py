@@ -15,6 +15,7 @@ columns other than doc_id and text do not matter.
 
 from __future__ import annotations
 
+import os
 from collections import Counter
 
 import pyarrow as pa
@@ -29,7 +30,7 @@ OVER = 2048
 #: Broadcast pre-tokens, at most so many and each at most so many bytes: a few MB whatever the input.
 HEAD, HEAD_BYTES = 200_000, 48
 #: A task writes its frequencies out when it holds so many distinct pre-tokens.
-FLUSH = 150_000
+FLUSH = 40_000
 
 _vocabulary = batches({"pretoken": pa.binary(), "times": pa.int64()})
 _pieces = batches({"pretoken": pa.binary(), "times": pa.int64(), "pieces": pa.int64()})
@@ -75,6 +76,7 @@ def piece_counts(vocabulary: DataFrame, tokenizer_file: str) -> DataFrame:
     """The number of tokens of each pre-token, from the library."""
 
     def encode(parts):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_file)
@@ -101,7 +103,7 @@ def frequent(vocabulary: DataFrame, head: int) -> DataFrame:
 def token_counts(docs: DataFrame, tokenizer_file: str, *, over: int = OVER, head: int = HEAD) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every row of docs."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, 400)
     docs = plain(docs, "doc_id", "text")
     vocabulary = settle(piece_counts(frequencies(docs), tokenizer_file), "pretokens")
     known = spark.sparkContext.broadcast({bytes(r["pretoken"]): r["pieces"] for r in frequent(vocabulary, head).collect()})
