@@ -42,7 +42,7 @@ def peak_table(cells: DataFrame, lists: list[str], *, keep: list[str]) -> DataFr
 def grouped(df: DataFrame, key: str, *, sums=(), means=(), firsts=(), joined=(), order: str) -> DataFrame:
     """One row for each known key: sums (0 if all NULL), means, first known values, and strings put together in order."""
     aggs = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums] + [F.avg(c).alias(c) for c in means] + [first_known(c, order).alias(c) for c in firsts]
-    aggs += [F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct(order, c))), lambda x, c=c: x[c])).alias(c) for c in joined]
+    aggs += [F.concat_ws("", F.array_sort(F.collect_list(F.struct(order, c)))[c]).alias(c) for c in joined]
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(*aggs)
 
 
