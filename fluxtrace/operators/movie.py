@@ -265,9 +265,9 @@ def otsu_threshold(pixels: DataFrame, bins: int = 256) -> DataFrame:
     h = out.withColumn("_b", F.coalesce(b, F.lit(0))).groupBy(REC, "frame", "_b").agg(F.count("*").alias("_n"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"))
     h = h.withColumn("_mid", F.col("_lo") + (F.col("_b") + 0.5) * (F.col("_hi") - F.col("_lo")) / bins)
     upto = w.orderBy("_b").rowsBetween(W.unboundedPreceding, 0)
-    h = h.withColumns({"_w": F.sum("_n").over(upto), "_s": F.sum(F.col("_n") * F.col("_mid")).over(upto), "_W": F.sum("_n").over(w), "_S": F.sum(F.col("_n") * F.col("_mid")).over(w)})
-    rest = F.nullif(F.col("_W") - F.col("_w"), F.lit(0))
-    between = F.col("_w") * rest * (F.col("_s") / F.col("_w") - (F.col("_S") - F.col("_s")) / rest) ** 2
+    h = h.withColumns({"_w": F.sum("_n").over(upto), "_s": F.sum(F.col("_n") * F.col("_mid")).over(upto), "_all": F.sum("_n").over(w), "_sum": F.sum(F.col("_n") * F.col("_mid")).over(w)})
+    rest = F.nullif(F.col("_all") - F.col("_w"), F.lit(0))
+    between = F.col("_w") * rest * (F.col("_s") / F.col("_w") - (F.col("_sum") - F.col("_s")) / rest) ** 2
     best = F.max_by("_mid", F.struct(F.coalesce(between, F.lit(-1.0)), -F.col("_b")))
     return h.groupBy(REC, "frame").agg(best.alias("threshold"))
 

@@ -112,7 +112,7 @@ def master_peak_explode(spark, d):
 
 
 _CELLS = """c AS (SELECT o_orderkey AS ord, CASE WHEN o_custkey % 50 <> 0 THEN o_custkey END AS unique_cell, o_totalprice AS duration_s, cast(o_orderkey % 7 AS BIGINT) AS n_events, cast(o_orderkey % 5 AS BIGINT) AS kept, cast(o_orderkey % 3 AS BIGINT) AS single,
- cast(o_orderkey % 2 AS BIGINT) AS multiple, cast(0 AS BIGINT) AS orphan, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice / 1000 END AS percent_active, n_nationkey AS age,
+ cast(o_orderkey % 2 AS BIGINT) AS multiple, cast(0 AS BIGINT) AS orphan, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS percent_active, n_nationkey AS age,
  CASE WHEN n_nationkey >= 12 THEN 'Posthearing' WHEN n_nationkey >= 7 THEN 'Second week' ELSE 'First week' END AS age_group, n_name AS mouse, r_name AS strain, o_orderpriority[1] AS folder
  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 
@@ -123,7 +123,7 @@ def order_cells(spark, d):
     key = F.col("o_orderkey")
     return df.select(
         key.alias("ord"), F.when(F.col("o_custkey") % 50 != 0, F.col("o_custkey")).alias("unique_cell"), F.col("o_totalprice").alias("duration_s"), (key % 7).alias("n_events"), (key % 5).alias("kept"),
-        (key % 3).alias("single"), (key % 2).alias("multiple"), F.lit(0).cast("long").alias("orphan"), F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice") / 1000).alias("percent_active"),
+        (key % 3).alias("single"), (key % 2).alias("multiple"), F.lit(0).cast("long").alias("orphan"), F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("percent_active"),
         F.col("n_nationkey").alias("age"), sc.age_group("n_nationkey").alias("age_group"), F.col("n_name").alias("mouse"), F.col("r_name").alias("strain"), F.substring("o_orderpriority", 1, 1).alias("folder"),
     )
 
