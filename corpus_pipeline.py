@@ -7,7 +7,6 @@ All but the last return the columns of `documents`; the last adds size, source_s
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from fluxtrace.llm import decontaminate, mixing, ngram_join, pii, quality
 from fluxtrace.llm.common import read, settle
@@ -30,9 +29,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with surrogates for personal data; n_chars follows the text."""
-    out = pii.replace_pii(docs)
-    chars = F.when(F.col("n_entities") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", chars).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return pii.replaced_documents(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

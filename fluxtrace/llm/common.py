@@ -72,6 +72,17 @@ def plain(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{have[c]}`").alias(c) if c in have else F.lit(None).cast("string").alias(c) for c in columns])
 
 
+def wrapped(docs: DataFrame, *columns: str) -> DataFrame:
+    """The rows of docs as one struct `_row`, beside the columns an operator reads: names it uses itself then clash with none."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[F.col(f"`{c}`") for c in columns])
+
+
+def unwrapped(df: DataFrame, docs: DataFrame, *added: str) -> DataFrame:
+    """The columns of docs and those added; an added one replaces one of the same name."""
+    own = {a.lower() for a in added}
+    return df.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns if c.lower() not in own], *[F.col(a) for a in added])
+
+
 class WordHashes(dict):
     """64-bit hash of each word, kept for the words seen most recently."""
 

@@ -4,8 +4,8 @@ Words are runs of letters, digits and non-ASCII characters with A-Z lower-cased.
 item; an item with fewer words, but not none, is one window. A hit is confirmed word by word, so hashes never decide.
 
 Edge cases: a null or wordless text has no words and is not contaminated; an empty benchmark hits nothing; repeated
-items and rows count as they stand (items by distinct id, a null id as an empty string); extra columns are kept by
-`decontaminate` and do not matter to `contamination`.
+items and rows count as they stand (items by distinct id, a null id as an empty string); extra columns stay, except that
+`contamination` replaces those with the names it adds.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import WordHashes, as_bytes, batches, bounded_batches, folded_words, plain, rolling, settle
+from .common import WordHashes, as_bytes, batches, bounded_batches, folded_words, plain, rolling, settle, unwrapped, wrapped
 
 WINDOW = 13
 #: A broadcast slice of the benchmark holds at most about so many bytes of text; a larger benchmark takes several slices.
@@ -82,18 +83,11 @@ def _slices(benchmark: DataFrame, limit: int) -> list[DataFrame]:
     return [items if n == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k) for k in range(n)]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, share: int = 20, slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """docs with n_words, n_hit (words inside windows), n_items, items_sha256 and contaminated (share * n_hit >= n_words).
-
-    One slice of the benchmark is broadcast at a time: with one slice that is one scan of the texts; with more, each scan
-    hands the places and items found so far to the next in a settled table.
-    """
+def _judged(docs: DataFrame, benchmark: DataFrame, window: int, share: int, slice_bytes: int) -> DataFrame:
+    """_row and the report of each row of docs."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    names = {x.split()[0] for x in REPORT.split(", ")}
-    kept = [f for f in docs.schema.fields if f.name.lower() not in names]
-    out = docs.select(*[F.col(f"`{f.name}`") for f in kept])
-    own, at = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), out.columns.index("text")
+    out = wrapped(docs, "text")
     slices = _slices(benchmark, slice_bytes)
     for k, part in enumerate(slices):
         index = spark.sparkContext.broadcast(Index([(r["item_id"], r["text"].encode()) for r in part.collect()], window))
@@ -101,12 +95,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
 
         def scan(parts, index=index, first=first, last=last):
             for batch in parts:
-                words, begins = _flat(batch.column(at))
+                words, begins = _flat(batch.column(1))
                 starts, ends = np.array(begins[:-1], np.int64), np.array(begins[1:], np.int64) - 1
                 covered = np.zeros(len(words), np.uint8)
                 ids: dict[int, set] = defaultdict(set)
                 if not first:
-                    for i, (cover, found) in enumerate(zip(batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1).to_pylist(), strict=True)):
+                    for i, (cover, found) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                         n = ends[i] - starts[i]
                         covered[starts[i] : ends[i]] = np.unpackbits(np.frombuffer(cover, np.uint8), count=n) if n else 0
                         ids[i] |= set(found)
@@ -121,14 +115,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
                     more = _report({"n_words": n, "n_hit": hit, "n_items": [len(x) for x in rows], "items_sha256": digests, "contaminated": (hit > 0) & (share * hit >= n)})
                 else:
                     more = _found({"_cover": [np.packbits(covered[a:b]).tobytes() for a, b in zip(starts, ends, strict=True)], "_ids": rows})
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *more.columns], names=[*batch.schema.names[: len(kept)], *more.schema.names])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *more.columns], names=["_row", "text", *more.schema.names])
 
-        out = out.mapInArrow(scan, f"{own}, {REPORT if last else FOUND}")
+        added = StructType.fromDDL(REPORT if last else FOUND)
+        out = out.mapInArrow(scan, StructType([*out.schema.fields[:2], *added.fields]))
         out = out if last else settle(out, "benchmark-hits")
     return out
 
 
+def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, share: int = 20, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """docs with n_words, n_hit (words inside windows), n_items, items_sha256 and contaminated (share * n_hit >= n_words).
+
+    One slice of the benchmark is broadcast at a time: with one slice that is one scan of the texts; with more, each scan
+    hands the places and items found so far to the next in a settled table.
+    """
+    return unwrapped(_judged(docs, benchmark, window, share, slice_bytes), docs, *[x.split()[0] for x in REPORT.split(", ")])
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, share: int = 20) -> DataFrame:
     """The documents that are not contaminated, with the columns they came with."""
-    columns = docs.columns
-    return contamination(docs, benchmark, window=window, share=share).where(~F.col("contaminated")).select(*[F.col(f"`{c}`") for c in columns])
+    return unwrapped(_judged(docs, benchmark, window, share, SLICE_BYTES).where(~F.col("contaminated")), docs)

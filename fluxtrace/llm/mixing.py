@@ -10,7 +10,8 @@ with the smallest seeded hashes, up to the target. The place where that ends is
 whole source: sizes by range of hashes (4096 ranges a source), then only the documents of the range that crosses.
 
 Edge cases: a null text has size 0; a null source sorts last and is a source; equal rows have equal hashes and are taken
-alike; sources without words have target 0; an empty table gives an empty result; extra columns stay.
+alike; sources without words have target 0; an empty table gives an empty result; extra columns stay, except
+those with the names that are added.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import PLAIN_WORD, settle
+from .common import PLAIN_WORD, settle, unwrapped, wrapped
 
 WEIGHTS = (3, 1, 2)
 SHARE, EPOCHS = 1.5, 2
@@ -86,11 +87,10 @@ def shares(docs: DataFrame, *, seed: int, weights: tuple[int, ...] = WEIGHTS, sh
 
 def mix(docs: DataFrame, *, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
     """docs with size, source_size, target (both of the source) and taken (words the mix takes, repeats counted)."""
-    keep = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in _OWN]
     plan = settle(shares(docs, seed=seed, weights=weights, share=share, epochs=epochs), "shares")
     few = plan.count() <= BROADCAST_SOURCES
     plan = plan.withColumnRenamed("source", "_source")
-    sized = docs.select(*keep, words().alias("size"), hashed(seed).alias("_u"))
+    sized = wrapped(docs, "doc_id", "source", "text").withColumns({"size": words(), "_u": hashed(seed)})
     joined = sized.join(F.broadcast(plan) if few else plan, sized["source"].eqNullSafe(plan["_source"]))
     times = F.col("whole") + F.coalesce((F.col("_u") <= F.col("last")).cast("long"), F.lit(0))
-    return joined.select(*keep, "size", "source_size", "target", (F.col("size") * F.least(times, F.lit(epochs))).alias("taken"))
+    return unwrapped(joined.withColumn("taken", F.col("size") * F.least(times, F.lit(epochs))), docs, *_OWN)

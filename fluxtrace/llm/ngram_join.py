@@ -31,9 +31,10 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WordHashes, as_bytes, batches, bounded_batches, folded_words, mixed, plain, rolling, settle
+from .common import WordHashes, as_bytes, batches, bounded_batches, folded_words, mixed, plain, rolling, settle, unwrapped, wrapped
 
 GRAM, NUMERATOR, DENOMINATOR = 5, 4, 5  # similarity of at least 4/5
 VALUES, BANDS, STEP = 128, 32, 16
@@ -344,9 +345,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     lost = found.where("n_links > 0").join(shared, (F.coalesce("doc_id", F.lit((1 << 63) - 1)) == F.col("_id")) & (F.col("key") == F.col("_key")), "left_anti")
     lost = lost.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
     repeated = found.where("n_links > 0").groupBy("doc_id", "key").count().where("count > 1")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.withColumn("_hash", F.xxhash64("text"))
+    keyed = wrapped(docs, "doc_id", "text").select("_row", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_hash"))
     kept = keyed.join(lost, keyed["doc_id"].eqNullSafe(lost["_id"]) & (keyed["_hash"] == lost["_key"]), "left_anti")
     if not repeated.isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "_hash"])
-    return kept.select(*columns)
+        # Rows with one id and one text: the first stays, by a window that sees only rows of kept ids.
+        kept = kept.withColumn("_k", F.row_number().over(W.partitionBy("doc_id", "_hash").orderBy("_hash"))).where("_k = 1")
+    return unwrapped(kept, docs)

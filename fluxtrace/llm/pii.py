@@ -24,8 +24,9 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import batches, bounded_batches, settle
+from .common import batches, bounded_batches, settle, wrapped
 
 KEY = b"fluxtrace surrogate key 1"
 #: Exceptions are broadcast up to this number.
@@ -241,24 +242,41 @@ def exceptions(found: DataFrame, key: bytes = KEY) -> DataFrame:
     raise RuntimeError(f"surrogates still clash after {ATTEMPTS} attempts")
 
 
-def replace_pii(docs: DataFrame, *, key: bytes = KEY, broadcast_exceptions: int = BROADCAST_EXCEPTIONS) -> DataFrame:
-    """docs with surrogates in `text`, and n_entities, the number of mentions replaced."""
+def _surrogated(docs: DataFrame, key: bytes, broadcast_exceptions: int) -> DataFrame:
+    """_row, the text with surrogates and n_entities of each row of docs."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    kept = [f for f in docs.schema.fields if f.name.lower() != "n_entities"]
-    docs = docs.select(*[F.col(f"`{f.name}`") for f in kept])
     again = exceptions(settle(distinct_entities(docs), "entities"), key)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", n_entities long"
+    rows = wrapped(docs, "text")
     if again.count() <= broadcast_exceptions:
         table = spark.sparkContext.broadcast({(r["kind"], r["entity"]): r["attempt"] for r in again.collect()})
-        return _replace(docs, schema, lambda batch: [table.value] * batch.num_rows, key)
-    own = _with_own_exceptions(docs, again)
-    last = len(kept)
-    return _replace(own, schema, lambda batch: [{(x["kind"], x["entity"]): x["attempt"] for x in xs or ()} for xs in batch.column(last).to_pylist()], key)
+        return _replace(rows, lambda batch: [table.value] * batch.num_rows, key)
+    own = _with_own_exceptions(rows, again)
+    return _replace(own, lambda batch: [{(x["kind"], x["entity"]): x["attempt"] for x in xs or ()} for xs in batch.column(2).to_pylist()], key)
+
+
+def replace_pii(docs: DataFrame, *, key: bytes = KEY, broadcast_exceptions: int = BROADCAST_EXCEPTIONS) -> DataFrame:
+    """docs with surrogates in `text`, and n_entities, the number of mentions replaced."""
+    out = _surrogated(docs, key, broadcast_exceptions)
+    columns = [F.col("text") if c.lower() == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns if c.lower() != "n_entities"]
+    return out.select(*columns, "n_entities")
 
 
-def _with_own_exceptions(docs: DataFrame, again: DataFrame) -> DataFrame:
-    """docs with the exceptions that the text mentions, by a join on (kind, entity) and then on the text's digest."""
+def replaced_documents(docs: DataFrame, *, key: bytes = KEY) -> DataFrame:
+    """docs with surrogates in `text` and n_chars brought up to date, and no other column changed or added."""
+    out = _surrogated(docs, key, BROADCAST_EXCEPTIONS)
+
+    def column(c: str):
+        old = F.col("_row").getField(c)
+        if c.lower() == "text":
+            return F.col("text").alias(c)
+        return F.when(F.col("n_entities") > 0, F.length("text").cast(docs.schema[c].dataType)).otherwise(old).alias(c) if c.lower() == "n_chars" else old.alias(c)
+
+    return out.select(*[column(c) for c in docs.columns])
+
+
+def _with_own_exceptions(rows: DataFrame, again: DataFrame) -> DataFrame:
+    """rows (_row, text) with the exceptions that the text mentions, by a join on (kind, entity) and then on the text's digest."""
     digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
 
     def find(parts):
@@ -266,23 +284,20 @@ def _with_own_exceptions(docs: DataFrame, again: DataFrame) -> DataFrame:
             found = [(d, kind, entity) for d, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for kind, entity in {x[2:] for x in entities(text)}]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in range(3)], names=["digest", "kind", "entity"])
 
-    mentions = docs.select(digest.alias("digest"), "text").mapInArrow(find, "digest string, kind string, entity string").distinct()
+    mentions = rows.select(digest.alias("digest"), "text").mapInArrow(find, "digest string, kind string, entity string").distinct()
     table = mentions.join(again, ["kind", "entity"]).groupBy("digest").agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias("_again"))
-    return docs.withColumn("_digest", digest).join(table.withColumnRenamed("digest", "_digest"), "_digest", "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_again")
-
+    return rows.withColumn("digest", digest).join(table, "digest", "left").select("_row", "text", "_again")
 
-def _replace(docs: DataFrame, schema: str, attempts, key: bytes) -> DataFrame:
-    at = docs.columns.index("text")
-    n = schema.count("`") // 2
 
+def _replace(rows: DataFrame, attempts, key: bytes) -> DataFrame:
     def work(parts):
         for batch in parts:
-            seen: dict | None = {}
+            seen: dict = {}
             done = []
             own = attempts(batch)
-            for text, table in zip(batch.column(at).to_pylist(), own, strict=True):
+            for text, table in zip(batch.column(1).to_pylist(), own, strict=True):
                 done.append(replaced(text, table, key, seen if table is own[0] else {}))
-            columns = [*batch.columns[:at], pa.array([t for t, _ in done], pa.string()), *batch.columns[at + 1 : n], pa.array([k for _, k in done], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:n], "n_entities"])
+            columns = [batch.column(0), pa.array([t for t, _ in done], pa.string()), pa.array([k for _, k in done], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["_row", "text", "n_entities"])
 
-    return docs.mapInArrow(work, schema)
+    return rows.mapInArrow(work, StructType([*rows.schema.fields[:2], StructField("n_entities", LongType())]))

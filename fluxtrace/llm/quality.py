@@ -6,8 +6,8 @@ documents. A document goes if it fails a base rule, or if its host's shrunk rate
 itself fails a soft rule: sound documents of a bad host stay.
 
 Edge cases: a null or blank text has no words (it fails the base rules); a null host is a host of its own; repeated rows
-count and return as often as they occur; an empty table gives an empty result; extra columns are kept by `judged`, which
-replaces columns named as those it adds.
+count and return as often as they occur; an empty table gives an empty result; extra columns stay, except that `judged`
+replaces those with the names it adds.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import PLAIN_WORD, SPACE_RUN, settle
+from .common import PLAIN_WORD, SPACE_RUN, settle, unwrapped, wrapped
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\f\r"
@@ -27,7 +27,6 @@ BROADCAST_HOSTS = 100_000
 PRIOR_LOW, PRIOR_HIGH = 1.0, 1e6
 
 COUNTERS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "soft_failed")
-_OWN = (*COUNTERS, "host_rate", "kept", "_at")
 
 
 def _without(text: Column, characters: str) -> Column:
@@ -35,12 +34,12 @@ def _without(text: Column, characters: str) -> Column:
 
 
 def counters(docs: DataFrame) -> DataFrame:
-    """docs with the counters and rules of each text.
+    """docs (`source`, `text` and perhaps `_row`) with the counters and rules of each text.
 
     n_repeat_words: windows of eight words are hashed; hashes that occur twice are found by sorting; the words of their
     places are counted once each. Only texts with a repeated window take the second half of that.
     """
-    keep = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in _OWN]
+    keep = [F.col(c) for c in docs.columns]
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.select(
         *keep,
@@ -87,17 +86,21 @@ def host_rates(counted: DataFrame) -> DataFrame:
     return hosts.select("source", "n_docs", F.round((F.col("n_failed") + mean * weight) / (F.col("n_docs") + weight), 6).alias("host_rate"))
 
 
-def judged(docs: DataFrame, *, host_limit: float = HOST_LIMIT) -> DataFrame:
-    """docs with counters, rules, the shrunk rate of the host and `kept`. The texts are read twice and never shuffled for few hosts."""
+def _judged(docs: DataFrame, host_limit: float) -> DataFrame:
     rates = host_rates(counters(docs.select("source", "text")))
     few = rates.count() <= BROADCAST_HOSTS
     rates = rates.select(F.col("source").alias("_host"), "host_rate")
-    counted = counters(docs)
-    joined = counted.join(F.broadcast(rates) if few else rates, counted["source"].eqNullSafe(rates["_host"]), "left").drop("_host")
+    counted = counters(wrapped(docs, "source", "text"))
+    joined = counted.join(F.broadcast(rates) if few else rates, counted["source"].eqNullSafe(rates["_host"]), "left")
     kept = ~F.col("base_failed") & ~((F.col("host_rate") > host_limit) & F.col("soft_failed")) & (F.col("_at") >= 0)
-    return joined.withColumn("kept", kept).drop("_at")
+    return joined.withColumn("kept", kept)
+
+
+def judged(docs: DataFrame, *, host_limit: float = HOST_LIMIT) -> DataFrame:
+    """docs with counters, rules, the shrunk rate of the host and `kept`. The texts are read twice and never shuffled for few hosts."""
+    return unwrapped(_judged(docs, host_limit), docs, *COUNTERS, "host_rate", "kept")
 
 
 def keep_good(docs: DataFrame, *, host_limit: float = HOST_LIMIT) -> DataFrame:
     """The documents that the rules keep, with the columns they came with."""
-    return judged(docs, host_limit=host_limit).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unwrapped(_judged(docs, host_limit).where("kept"), docs)
