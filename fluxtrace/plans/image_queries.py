@@ -8,6 +8,7 @@ from ..operators import correlation as co
 from ..operators import labels as lb
 from ..operators import movie as mv
 from .registry import MOVIE, REGIONS, WAVES, movie, q6, query, r6, regions, table, traces, waves
+from .storage import settle
 
 KEYS = ["recording", "frame", "y", "x"]
 
@@ -307,13 +308,7 @@ def warped_frames(spark, d):
  SELECT cast(i // 1000 AS INTEGER) AS y, cast(i % 1000 AS INTEGER) AS x, cast(dense_rank() OVER (ORDER BY root) AS INTEGER) AS label FROM m2""")
 def connected_components(spark, d):
     r = regions(spark, d).where("label % 3 > 0")
-    return lb.merged_touching(r, settle=_settle).select("y", "x", "label")
-
-
-def _settle(df):
-    from .storage import settle
-
-    return settle(df)
+    return lb.merged_touching(r, settle=settle).select("y", "x", "label")
 
 
 @query()

@@ -5,16 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Writes df in spark.checkpoint.dir (a folder of our own where that is unset) and reads it again."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or a folder of our own where that is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
         where = tempfile.mkdtemp(prefix="fluxtrace-")
         spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where}/settled-{uuid.uuid4().hex}"
+    return where
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Writes df in the shared folder and reads it again."""
+    path = f"{folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
