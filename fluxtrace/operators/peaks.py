@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from .traces import KEY, ORDER, VALUE, by
+from .traces import KEY, ORDER, VALUE, by, with_double
 
 _PEAK = "peak int, prominence double, left double, right double"
 
@@ -146,7 +146,7 @@ def highpass(df: DataFrame, *, fps=20.0, cutoff_hz=1 / 60, degree=3, key=KEY, or
         pdf = pdf.sort_values(order)
         return pdf.assign(filtered=kernels.highpass(pdf[value].to_numpy(float), fps, cutoff_hz, degree))
 
-    out = df.groupBy(key).applyInPandas(run, df.withColumn("filtered", F.lit(0.0)).schema)
+    out = df.groupBy(key).applyInPandas(run, with_double(df, "filtered"))
     return out.withColumn("filtered", F.when(~F.isnan("filtered"), F.col("filtered")))
 
 

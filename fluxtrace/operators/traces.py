@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 KEY, ORDER, VALUE = "cell", "frame", "f"
 
@@ -20,6 +21,11 @@ def by(key: str | list[str] = KEY, order: str | None = ORDER):
     return w.orderBy(order) if order else w
 
 
+def with_double(df: DataFrame, name: str) -> StructType:
+    """The schema of df and one more column of doubles; any may be NULL."""
+    return StructType([StructField(f.name, f.dataType) for f in df.schema.fields] + [StructField(name, DoubleType())])
+
+
 def frames(df: DataFrame, key: str, *order: str, name: str = ORDER) -> DataFrame:
     """Adds the position of each row in its key, from 0."""
     return df.withColumn(name, F.row_number().over(W.partitionBy(key).orderBy(*order)) - 1)
@@ -50,7 +56,7 @@ def _rolling_arrow(df: DataFrame, window: int, quantile: float, center: bool, le
         pdf["baseline"] = x.rolling(window, center=center, min_periods=max(1, least)).quantile(quantile)
         return pdf
 
-    return df.groupBy(key).applyInPandas(roll, df.withColumn("baseline", F.lit(0.0)).schema)
+    return df.groupBy(key).applyInPandas(roll, with_double(df, "baseline"))
 
 
 def rolling_quantile(df: DataFrame, window: int, *, quantile=0.5, center=False, min_periods=0, engine="sql", key=KEY, order=ORDER, value=VALUE) -> DataFrame:
