@@ -155,6 +155,17 @@ def model_for_rate(fps: Column | str, models: dict[float, str], tolerance: float
     return out
 
 
+def with_interval(intervals: Column | str, start: Column | int, end: Column | int) -> Column:
+    """A list of intervals with one more."""
+    one = F.struct(*[(x if isinstance(x, Column) else F.lit(x)).alias(n) for x, n in ((start, "start"), (end, "end"))])
+    return F.array_append(F.coalesce(col(intervals), F.array().cast("array<struct<start:int,end:int>>")), one)
+
+
+def without_last(intervals: Column | str) -> Column:
+    """A list of intervals without the one added last; an empty list stays empty."""
+    return F.slice(col(intervals), F.lit(1), F.greatest(F.size(col(intervals)) - 1, F.lit(0)))
+
+
 def fill_metadata(recordings: DataFrame, found: DataFrame, key: str = "folder") -> DataFrame:
     """Fills what a recording sheet lacks (height, width, um_width, um_per_pixel, fps, frames, seconds) from file metadata."""
     names = ("height", "width", "um_width", "um_per_pixel", "fps", "frames", "seconds")

@@ -225,3 +225,15 @@ def polygon_pairs(shapes: DataFrame, *, recording=REC) -> DataFrame:
     b = b.select(recording, "event", *[F.col(c).alias(f"_{c}") for c in ("index", "kind", "y0", "y1", "x0", "x1")])
     meet = (F.col("y0") <= F.col("_y1")) & (F.col("_y0") <= F.col("y1")) & (F.col("x0") <= F.col("_x1")) & (F.col("_x0") <= F.col("x1"))
     return a.join(b, [recording, "event"]).where(meet & (F.col("kind") != F.col("_kind"))).select(recording, "event", F.col("index").alias("first"), F.col("_index").alias("second"))
+
+
+def cells_to_match(labels: DataFrame, matching: DataFrame, annotations: DataFrame, *, only_type: int | None = 1, recording=REC, settle=None) -> DataFrame:
+    """The label image to match recordings by: the stored matching mask where a recording has one, else its labels of one type,
+    as connected regions numbered from left to right."""
+    stored = matching.select(recording).distinct()
+    rest = labels.join(stored, recording, "left_anti")
+    if only_type is not None:
+        typed = annotation_median(rest, annotations, recording=recording).where(F.col("kind") == only_type).select(recording, "label")
+        rest = rest.join(typed, [recording, "label"], "left_semi")
+    regions = components(rest, recording=recording, settle=settle).select(recording, "y", "x", F.col("component").alias("label"))
+    return matching.select(recording, "y", "x", "label").unionByName(left_to_right(regions, recording=recording).select(recording, "y", "x", "label"))

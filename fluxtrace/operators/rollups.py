@@ -133,3 +133,9 @@ def navigation(cells: DataFrame, first: str, second: str) -> DataFrame:
     """The levels of a group, the levels of a second group inside each, and a colour index of each."""
     levels = cells.select(first, second).distinct()
     return levels.withColumn("colour", F.dense_rank().over(W.partitionBy(first).orderBy(second)) - 1)
+
+
+def described(df: DataFrame, group: str, value: str) -> DataFrame:
+    """Count, mean, deviation, extremes and quartiles of a value in each group."""
+    quartiles = [F.percentile(value, q).alias(n) for q, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))]
+    return df.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("low"), *quartiles, F.max(value).alias("high"))

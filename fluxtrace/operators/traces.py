@@ -280,3 +280,23 @@ def best_reference(df: DataFrame, *, recording: str, roi: str, order=ORDER, valu
     scores = out.groupBy(recording, roi).agg(F.sqrt(F.sum(F.col("_w") * (F.col(value) - F.col("_m")) ** 2) / F.sum("_w")).alias("score"))
     best = F.max_by(F.struct(roi, "score"), F.struct(F.round("score", 9), -F.col(roi)))
     return scores.groupBy(recording).agg(best.alias("_b")).select(recording, f"_b.{roi}", "_b.score")
+
+
+def mean_reference(df: DataFrame, *, recording: str, smooth: int | None = 11, channels: int = 1, first: int = 0, last: int | None = None, key=KEY, order=ORDER, value=VALUE) -> DataFrame:
+    """recording, frame, mean over traces of frames [first, last) of each channel; smoothed before the first channel of
+    interleaved ones is taken, as the acquisition writes them."""
+    span = df.where((F.col(order) >= first * channels) & (F.lit(True) if last is None else F.col(order) < last * channels))
+    span = savgol1(span, smooth, key=[recording, key], order=order, value=value, name="_v") if smooth else span.withColumn("_v", F.col(value))
+    mean = span.groupBy(recording, order).agg(F.avg("_v").alias("mean"))
+    return mean.where((F.col(order) - first * channels) % channels == 0).withColumn(order, F.floor(F.col(order) / channels).cast("int"))
+
+
+def nearest_trace(df: DataFrame, x: float, y: float, *, key=KEY, order=ORDER, value=VALUE) -> DataFrame:
+    """key, distance: traces by the distance of a point (frame, value) to their line, nearest first."""
+    w = by(key, order)
+    seg = df.select(key, F.col(order).cast("double").alias("_x0"), F.col(value).alias("_y0"), F.lead(F.col(order).cast("double")).over(w).alias("_x1"), F.lead(value).over(w).alias("_y1"))
+    seg = seg.withColumns({"_x1": F.coalesce("_x1", "_x0"), "_y1": F.coalesce("_y1", "_y0")}).withColumns({"_dx": F.col("_x1") - F.col("_x0"), "_dy": F.col("_y1") - F.col("_y0")})
+    t = F.coalesce(F.try_divide((x - F.col("_x0")) * F.col("_dx") + (y - F.col("_y0")) * F.col("_dy"), F.col("_dx") ** 2 + F.col("_dy") ** 2), F.lit(0.0))
+    t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
+    near = F.hypot(F.col("_x0") + t * F.col("_dx") - x, F.col("_y0") + t * F.col("_dy") - y)
+    return seg.groupBy(key).agg(F.min(near).alias("distance")).orderBy("distance", key)

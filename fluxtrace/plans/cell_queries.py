@@ -159,6 +159,12 @@ def group_mean_sd(spark, d):
     return ro.mean_sd(df, "group", "value").select("group", "n", r6("mean").alias("mean"), r6("sd").alias("sd"))
 
 
+@query(f"SELECT event_type AS \"group\", count(*) AS n, {q6('avg(value)')} AS mean, {q6('stddev_samp(value)')} AS sd, min(value) AS low, {q6('quantile_cont(value, 0.25)')} AS q25, {q6('median(value)')} AS q50, {q6('quantile_cont(value, 0.75)')} AS q75, max(value) AS high FROM events GROUP BY 1")
+def group_describe(spark, d):
+    out = ro.described(table(spark, d, "events").withColumnRenamed("event_type", "group"), "group", "value")
+    return out.select("group", "n", "low", "high", *[r6(c).alias(c) for c in ("mean", "sd", "q25", "q50", "q75")])
+
+
 @query(f"""WITH b AS (SELECT event_type AS "group", CASE WHEN value < 0 THEN 0 WHEN value >= 300 THEN 13 ELSE cast(floor(value / 25) AS BIGINT) + 1 END AS bin FROM events),
  n AS (SELECT "group", bin, count(*) AS n FROM b GROUP BY ALL) SELECT *, {q6('n / sum(n) OVER (PARTITION BY "group")')} AS share FROM n""")
 def amplitude_histogram(spark, d):

@@ -315,3 +315,10 @@ def connected_components(spark, d):
 def pixel_rolling_corr(spark, d):
     m = traces(spark, d).select((F.col("cell") % 10).alias("roi"), F.col("cell").alias("pixel"), "frame", F.col("f").alias("v")).where("frame < 40")
     return co.pixel_rolling(m, 6).select("roi", "frame", r6("r").alias("r"))
+
+
+@query()
+def reference_plan(spark, d):
+    from .reference import reference_traces
+
+    return reference_traces(movie(spark, d), 50, 40, size=20, smooth=3)["trace"].select("recording", "slice", "frame", r6("mean").alias("mean"), r6("sd").alias("sd"))

@@ -259,6 +259,19 @@ def best_reference_roi(spark, d):
     return out.select("recording", "roi", r6("score").alias("score"))
 
 
+@query(f"""WITH {VECTORS}, {_SAVGOL.format(src='v', v='f', w=5, h=2)} SELECT recording, cast(sm.frame // 2 AS INTEGER) AS frame, {q6('avg(y)')} AS mean
+ FROM sm JOIN (SELECT DISTINCT recording, cell FROM v) USING (cell) WHERE sm.frame % 2 = 0 GROUP BY ALL""")
+def mean_reference(spark, d):
+    return tr.mean_reference(vectors(spark, d), recording="recording", smooth=5, channels=2).select("recording", "frame", r6("mean").alias("mean"))
+
+
+@query(f"""WITH {TRACES}, s AS (SELECT cell, frame AS x0, f AS y0, coalesce(lead(frame) OVER w, frame) - frame AS dx, coalesce(lead(f) OVER w, f) - f AS dy FROM t WINDOW w AS (PARTITION BY cell ORDER BY frame)),
+ p AS (SELECT *, least(greatest(coalesce(((20.0 - x0) * dx + (75.0 - y0) * dy) / nullif(dx * dx + dy * dy, 0), 0), 0), 1) AS t FROM s)
+ SELECT cell, {q6('min(sqrt(pow(x0 + t * dx - 20.0, 2) + pow(y0 + t * dy - 75.0, 2)))')} AS distance FROM p GROUP BY cell""")
+def nearest_trace(spark, d):
+    return tr.nearest_trace(traces(spark, d), 20.0, 75.0).select("cell", r6("distance").alias("distance"))
+
+
 # Greedy or numerical: no SQL. Tests compare them with brute force.
 
 

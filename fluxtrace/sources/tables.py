@@ -36,6 +36,28 @@ def csv(spark: SparkSession, path: str | list[str], table: str) -> DataFrame:
     return df.select(*[nan_to_null(c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def excel(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """A recording sheet from a workbook, where pandas has an engine for it; sheets are small and read by the driver."""
+    import pandas as pd
+
+    frame = pd.read_excel(path)
+    return spark.createDataFrame(frame.astype(object).where(frame.notna(), None).values.tolist(), SCHEMAS[table])
+
+
+def local_root(folders: DataFrame, candidates: list[str], column: str = "folder", checks: int = 3, seed: int = 0) -> str | None:
+    """The first candidate root under which a few seeded folders all exist."""
+    from ..functions.scalars import local_path
+    from ..operators.rollups import sampled
+
+    some = sampled(folders.select(column).distinct(), column, checks, seed)
+    jvm, conf = folders.sparkSession._jvm, folders.sparkSession._jsc.hadoopConfiguration()
+    for root in candidates:
+        paths = [jvm.org.apache.hadoop.fs.Path(r[0]) for r in some.select(local_path(root, column)).collect()]
+        if paths and all(p.getFileSystem(conf).exists(p) for p in paths):
+            return root
+    return None
+
+
 def load(spark: SparkSession, path: str, table: str | None = None) -> DataFrame:
     """By the name's ending; without a known one Parquet is tried before CSV, and the last error is raised."""
     readers = {"parquet": spark.read.parquet, "csv": lambda p: csv(spark, p, table) if table else spark.read.option("header", True).csv(p), "orc": spark.read.orc, "json": spark.read.json}
