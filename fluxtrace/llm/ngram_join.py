@@ -212,17 +212,20 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     until nothing changes, each settled in the shared folder."""
 
     def star(rows: DataFrame) -> DataFrame:
-        low = rows.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("_u"), F.least("low", "u").alias("low"))
-        return rows.join(low, F.col("u") == F.col("_u"))
+        # The minima are settled first, so both sides of the join are shuffled for it alone and Spark can split a hot node.
+        low = settle(rows.groupBy("u").agg(F.min("v").alias("low")), "stars")
+        return rows.join(low.select(F.col("u").alias("_u"), F.least("low", "u").alias("low")), F.col("u") == F.col("_u"))
 
-    now = settle(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    def ordered(rows: DataFrame) -> DataFrame:
+        return rows.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+    now = settle(ordered(edges), "edges")
     state = None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = star(both).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        large = large.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        small = star(large).select(F.explode(F.array(F.struct("v", "low"), F.struct(F.col("u").alias("v"), "low"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.low").alias("v"))
-        now = settle(small.where("u <> v").distinct(), "edges")
+        large = settle(ordered(star(both).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))), "edges")
+        small = star(large).select(F.explode(F.array(F.struct("v", "low"), F.struct(F.col("u").alias("v"), "low"))).alias("e"))
+        now = settle(ordered(small.select(F.col("e.v").alias("u"), F.col("e.low").alias("v"))), "edges")
         was, state = state, now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if was == state:
             break
