@@ -73,14 +73,16 @@ def plain(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def wrapped(docs: DataFrame, *columns: str) -> DataFrame:
-    """The rows of docs as one struct `_row`, beside the columns an operator reads: names it uses itself then clash with none."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[F.col(f"`{c}`") for c in columns])
+    """The columns an operator reads, after one struct `_row` of all others: names it uses itself then clash with none."""
+    own = {c.lower() for c in columns}
+    rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in own]
+    return docs.select(F.struct(*(rest or [F.lit(0).alias("_none")])).alias("_row"), *[F.col(f"`{c}`") for c in columns])
 
 
 def unwrapped(df: DataFrame, docs: DataFrame, *added: str) -> DataFrame:
     """The columns of docs and those added; an added one replaces one of the same name."""
-    own = {a.lower() for a in added}
-    return df.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns if c.lower() not in own], *[F.col(a) for a in added])
+    own, packed = {a.lower() for a in added}, set(df.schema["_row"].dataType.names)
+    return df.select(*[F.col("_row").getField(c).alias(c) if c in packed else F.col(c) for c in docs.columns if c.lower() not in own], *[F.col(a) for a in added])
 
 
 class WordHashes(dict):

@@ -31,7 +31,6 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import WordHashes, as_bytes, batches, bounded_batches, folded_words, mixed, plain, rolling, settle, unwrapped, wrapped
@@ -157,11 +156,15 @@ def _to_block_pairs(rows: DataFrame, member: str, blocks: str) -> DataFrame:
 
 
 def _groups(parts, keys: int):
-    """The rows of each group, from batches sorted by their first `keys` columns."""
+    """The rows of each group, from batches sorted by their first `keys` columns and the next, the member: each once."""
 
     def rows():
+        last = None
         for batch in parts:
-            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if r[: keys + 1] != last:
+                    last = r[: keys + 1]
+                    yield r
 
     for _, group in groupby(rows(), lambda r: r[:keys]):
         yield list(group)
@@ -174,15 +177,15 @@ def bucket_edges(reps: DataFrame) -> DataFrame:
     buckets = buckets.where("size > 1").groupBy("size", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", _blocks(F.col("size"), BUCKET_BLOCK).alias("blocks"))
     members = settle(band.join(buckets, "bucket").select("bucket", "blocks", "a"), "buckets")
     members = members.join(reps.select("a", "bytes"), "a")
-    members = _to_block_pairs(members, "a", "blocks").select("bucket", "i", "j", "own", "a", "bytes")
-    members = members.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    members = _to_block_pairs(members, "a", "blocks").select("bucket", "i", "j", "a", "own", "bytes")
+    members = members.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "a")
 
     def connect(parts):
         us, vs = [], []
         for group in _groups(parts, 3):
-            ids = np.array([r[4] for r in group], np.int64)
+            ids = np.array([r[3] for r in group], np.int64)
             sig = np.frombuffer(b"".join(r[5] for r in group), np.uint8).reshape(len(ids), VALUES)
-            own = np.array([r[3] for r in group])
+            own = np.array([r[4] for r in group])
             forest = Forest(len(ids))
             across = group[0][1] != group[0][2]
             label = np.arange(len(ids))
@@ -289,7 +292,6 @@ def cluster_links(docs: DataFrame, reps: DataFrame, clusters: DataFrame) -> Data
         unpack = zstandard.ZstdDecompressor().decompress
         out: list[list] = [[], [], []]
         for group in _groups(parts, 3):
-            group = [r for k, r in enumerate(group) if not k or r[3] != group[k - 1][3]]  # repeated rows of a representative
             ids = np.array([r[3] for r in group], np.int64)
             copies = np.array([r[5] for r in group], np.int64)
             sig = np.frombuffer(b"".join(r[6] for r in group), np.uint8).reshape(len(ids), VALUES)
@@ -348,9 +350,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     lost = found.where("n_links > 0").join(shared, (F.coalesce("doc_id", F.lit((1 << 63) - 1)) == F.col("_id")) & (F.col("key") == F.col("_key")), "left_anti")
     lost = lost.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
     repeated = found.where("n_links > 0").groupBy("doc_id", "key").count().where("count > 1")
-    keyed = wrapped(docs, "doc_id", "text").select("_row", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_hash"))
+    keyed = wrapped(docs, "doc_id", "text").withColumn("_hash", F.xxhash64("text"))
     kept = keyed.join(lost, keyed["doc_id"].eqNullSafe(lost["_id"]) & (keyed["_hash"] == lost["_key"]), "left_anti")
     if not repeated.isEmpty():
-        # Rows with one id and one text: the first stays, by a window that sees only rows of kept ids.
-        kept = kept.withColumn("_k", F.row_number().over(W.partitionBy("doc_id", "_hash").orderBy("_hash"))).where("_k = 1")
+        # Rows with one id and one text: one stays. Tasks reduce their own before the shuffle, so many make no large group.
+        kept = kept.groupBy("doc_id", "_hash").agg(F.first("_row").alias("_row"), F.first("text").alias("text"))
     return unwrapped(kept, docs)

@@ -1,7 +1,8 @@
 """Personal data replaced by surrogates: keyed, of the same type and format, distinct for distinct entities, the same everywhere.
 
-Kinds: email, phone, ip, account (13 to 19 digits; Luhn-valid stays Luhn-valid), secret (long hex or mixed strings after
-a key-like word, and known key prefixes), name (capitalised words after a form of address; gender and script are kept).
+Kinds: email, phone, ip (both versions), mac, ssn, iban, account (13 to 19 digits; Luhn-valid stays Luhn-valid), secret
+(long hexadecimal strings, quoted values and known key prefixes), name (capitalised words after a form of address; gender
+and script are kept).
 
 A surrogate is a keyed permutation of the strings of the same shape: a Feistel network over the positions that may vary
 (letters, digits, hexadecimal digits or octets), so distinct entities of one shape get distinct surrogates without a
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import batches, bounded_batches, settle, wrapped
+from .common import batches, bounded_batches, settle, unwrapped, wrapped
 
 KEY = b"fluxtrace surrogate key 1"
 #: Exceptions are broadcast up to this number.
@@ -62,6 +63,10 @@ _TITLE = "|".join(re.escape(t) for ts in TITLES.values() for t in sorted(ts, key
 PATTERN = re.compile(
     r"(?P<email>[A-Za-z0-9](?:[A-Za-z0-9._%+\-]{0,62}[A-Za-z0-9])?@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,18})"
     r"|(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d))"
+    r"|(?P<mac>(?<![\w:])[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}(?![\w:]))"
+    r"|(?P<ipv6>(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:]))"
+    r"|(?P<ssn>(?<![\w\-.])\d{3}-\d{2}-\d{4}(?![\w\-]))"
+    r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
     r"|(?P<phone>(?<!\w)\+\d{1,3}[ .\-]?\(?\d{2,4}\)?(?:[ .\-]?\d{2,5}){1,4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\w)|(?<![\w.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w\-]))"
     r"|(?P<account>(?<![\w.+\-])\d(?:[ \-]?\d){12,18}(?![\w\-]))"
     r"|(?P<secret>(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|(?=[a-f]*\d)[0-9a-f]{32,128}|(?=[A-F]*\d)[0-9A-F]{32,128})(?![A-Za-z0-9])"
@@ -70,13 +75,14 @@ PATTERN = re.compile(
 )
 # What every text with an entity holds: quick tests that most texts fail.
 _DIGIT = re.compile(r"[0-9][0-9a-fA-F.()\- ]{5}")
+_COLONS = re.compile(r"(?:[0-9a-fA-F]{1,4}:){5}")
 _ADDRESSED = re.compile(rf"(?:{_TITLE})\.? ")
 _QUOTES = ('= "', '="', ': "', ':"')
 _PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-")
 
 
 def suspicious(text: str) -> bool:
-    return "@" in text or any(x in text for x in _QUOTES) or bool(_DIGIT.search(text)) or any(x in text for x in _PREFIXES) or bool(_ADDRESSED.search(text))
+    return "@" in text or any(x in text for x in _QUOTES) or bool(_DIGIT.search(text)) or (text.count(":") > 4 and bool(_COLONS.search(text))) or any(x in text for x in _PREFIXES) or bool(_ADDRESSED.search(text))
 
 
 def gender(title: str) -> str:
@@ -105,6 +111,10 @@ def entities(text: str):
             yield *m.span(), kind, found.lower()
         elif kind in ("phone", "account"):
             yield *m.span(), kind, re.sub(r"\D", "", found)
+        elif kind == "iban":
+            yield *m.span(), kind, found.replace(" ", "")
+        elif kind in ("mac", "ipv6"):
+            yield *m.span(), kind, found.lower()
         elif kind == "name":
             yield *m.span("name"), f"name-{gender(m['title'])}", found
         else:
@@ -154,6 +164,10 @@ def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY) -> str
             body = _shaped(entity[:-1], tweak)
             return body + str(luhn(body))
         return _shaped(entity, tweak)
+    if kind in ("ssn", "iban"):
+        return _shaped(entity, tweak, fixed=2 if kind == "iban" else 0)  # an account stays in its country
+    if kind in ("mac", "ipv6"):
+        return _shaped(entity, tweak, ("0123456789abcdef",))
     if kind == "secret":
         hexadecimal = ("0123456789abcdef",) if re.fullmatch("[0-9a-f]+", entity) else ("0123456789ABCDEF",) if re.fullmatch("[0-9A-F]+", entity) else _CLASSES
         prefix = re.match("AKIA|ASIA|gh[pousr]_|sk-", entity)
@@ -173,7 +187,10 @@ def written(found: str, kind: str, replacement: str) -> str:
     if kind in ("phone", "account"):
         digits = iter(replacement)
         return "".join(next(digits) if c.isdigit() else c for c in found)
-    if kind == "email":
+    if kind == "iban":
+        signs = iter(replacement)
+        return "".join(" " if c == " " else next(signs) for c in found)
+    if kind in ("email", "mac", "ipv6"):
         return "".join(r.upper() if f.isupper() else r for f, r in zip(found, replacement, strict=True))
     return replacement
 
@@ -257,22 +274,16 @@ def _surrogated(docs: DataFrame, key: bytes, broadcast_exceptions: int) -> DataF
 
 def replace_pii(docs: DataFrame, *, key: bytes = KEY, broadcast_exceptions: int = BROADCAST_EXCEPTIONS) -> DataFrame:
     """docs with surrogates in `text`, and n_entities, the number of mentions replaced."""
-    out = _surrogated(docs, key, broadcast_exceptions)
-    columns = [F.col("text") if c.lower() == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns if c.lower() != "n_entities"]
-    return out.select(*columns, "n_entities")
+    return unwrapped(_surrogated(docs, key, broadcast_exceptions), docs, "n_entities")
 
 
 def replaced_documents(docs: DataFrame, *, key: bytes = KEY) -> DataFrame:
     """docs with surrogates in `text` and n_chars brought up to date, and no other column changed or added."""
     out = _surrogated(docs, key, BROADCAST_EXCEPTIONS)
-
-    def column(c: str):
-        old = F.col("_row").getField(c)
-        if c.lower() == "text":
-            return F.col("text").alias(c)
-        return F.when(F.col("n_entities") > 0, F.length("text").cast(docs.schema[c].dataType)).otherwise(old).alias(c) if c.lower() == "n_chars" else old.alias(c)
-
-    return out.select(*[column(c) for c in docs.columns])
+    if "n_chars" not in docs.columns:
+        return unwrapped(out, docs)
+    chars = F.when(F.col("n_entities") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
+    return unwrapped(out.withColumn("n_chars", chars), docs, "n_chars").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _with_own_exceptions(rows: DataFrame, again: DataFrame) -> DataFrame:

@@ -221,6 +221,10 @@ def test_surrogates():
     assert all(pii.script(a[3]) == pii.script(b[3]) for a, b in zip(found, drawn, strict=True) if a[2].startswith("name"))
     assert re.sub(r"\d", "0", re.search(r"\+1 \(.*?\) \S+", new)[0]) == "+0 (000) 000-0000"
     assert pii.luhn("7992739871") == 3
+    text = "ids 078-05-1120, DE89 3704 0044 0532 0130 00, 00:1B:44:11:3A:B7 and 2001:db8:0:0:8:800:200c:417a"
+    assert [x[2] for x in pii.entities(text)] == ["ssn", "iban", "mac", "ipv6"]
+    assert [x[2] for x in pii.entities(pii.replaced(text, {})[0])] == ["ssn", "iban", "mac", "ipv6"]
+    assert pii.replaced(text, {})[0][17:19] == "DE"
     assert pii.replaced("In 2024 version 2.0 of 3.5 cost 12,000 and 1999-2001.", {})[1] == 0
 
 
