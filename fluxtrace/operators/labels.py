@@ -205,9 +205,9 @@ def matched_numbers(typed: DataFrame, labels: DataFrame, matching: DataFrame, *,
 
 def shifted_numbers(labels: DataFrame, shift: int, *, recording=REC) -> DataFrame:
     """Labels moved cyclically by `shift`: what falls below 1 comes back at the top."""
-    top = F.max("label").over(W.partitionBy(recording))
+    top = labels.groupBy(recording).agg(F.max("label").alias("_top"))
     moved = F.col("label") + shift
-    return labels.withColumn("_top", top).withColumn("label", F.when(moved > 0, moved).otherwise(F.col("_top") + moved - 1)).drop("_top")
+    return labels.join(top, recording).withColumn("label", F.when(moved > 0, moved).otherwise(F.col("_top") + moved - 1)).drop("_top")
 
 
 def stacked_images(labels: DataFrame, sizes: DataFrame, *, group: str, sequence: str) -> DataFrame:

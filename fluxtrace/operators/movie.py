@@ -15,11 +15,17 @@ REC = "recording"
 PLACE = ["y", "x"]
 
 
+def with_extents(pixels: DataFrame) -> DataFrame:
+    """Adds `_n`, `_h` and `_w`: frames, height and width of the recording. A sum over tasks and a join with a row for each
+    recording, not a window over all its pixels."""
+    size = pixels.groupBy(REC).agg((F.max("frame") + 1).alias("_n"), (F.max("y") + 1).alias("_h"), (F.max("x") + 1).alias("_w"))
+    return pixels.join(size, REC)
+
+
 def channels(pixels: DataFrame, n: int = 2) -> DataFrame:
     """Interleaved frames as `channel` (from 0) and the channel's own frame; an incomplete last group goes."""
-    top = F.max("frame").over(W.partitionBy(REC))
-    out = pixels.withColumn("_n", (F.floor((top + 1) / n) * n).cast("long"))
-    return out.where(F.col("frame") < F.col("_n")).withColumn("channel", F.col("frame") % n).withColumn("frame", F.floor(F.col("frame") / n).cast("int")).drop("_n")
+    out = with_extents(pixels).where(F.col("frame") < F.floor(F.col("_n") / n) * n)
+    return out.withColumn("channel", F.col("frame") % n).withColumn("frame", F.floor(F.col("frame") / n).cast("int")).drop("_n", "_h", "_w")
 
 
 def mean_image(pixels: DataFrame, first: int = 0, last: int | None = None) -> DataFrame:
@@ -65,16 +71,14 @@ def box_traces(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
 
 def temporal_bin(pixels: DataFrame, k: int) -> DataFrame:
     """Means of k frames, rounded down; frames that don't fill a bin go, unless there are fewer than k in all."""
-    n = F.max("frame").over(W.partitionBy(REC)) + 1
-    out = pixels.withColumn("_n", n).withColumn("_b", F.floor(F.col("frame") / k).cast("int"))
+    out = with_extents(pixels).withColumn("_b", F.floor(F.col("frame") / k).cast("int"))
     out = out.where((F.col("_b") < F.floor(F.col("_n") / k)) | (F.col("_n") < k))
     return out.groupBy(REC, F.col("_b").alias("frame"), *PLACE).agg(F.floor(F.avg("v")).cast("int").alias("v"))
 
 
 def spatial_bin(pixels: DataFrame, k: int = 2) -> DataFrame:
     """Means of k x k blocks; what does not fill a block at the edge goes."""
-    w = W.partitionBy(REC)
-    out = pixels.withColumns({"_h": F.max("y").over(w) + 1, "_w": F.max("x").over(w) + 1})
+    out = with_extents(pixels)
     by, bx = F.floor(F.col("y") / k).cast("int"), F.floor(F.col("x") / k).cast("int")
     out = out.where((by < F.floor(F.col("_h") / k)) & (bx < F.floor(F.col("_w") / k)))
     return out.groupBy(REC, "frame", by.alias("y"), bx.alias("x")).agg(F.avg("v").alias("v"))
@@ -173,10 +177,9 @@ def shifts(pixels: DataFrame, reference: DataFrame) -> DataFrame:
 
 def moved_back(pixels: DataFrame, motion: DataFrame) -> DataFrame:
     """Frames with their shifts undone; what falls outside goes, what was outside has no rows."""
-    w = W.partitionBy(REC)
-    out = pixels.withColumns({"_h": F.max("y").over(w), "_w": F.max("x").over(w)}).join(motion, [REC, "frame"])
+    out = with_extents(pixels).join(motion, [REC, "frame"])
     out = out.withColumn("y", F.col("y") - F.col("dy")).withColumn("x", F.col("x") - F.col("dx"))
-    return out.where((F.col("y") >= 0) & (F.col("x") >= 0) & (F.col("y") <= F.col("_h")) & (F.col("x") <= F.col("_w"))).select(*pixels.columns)
+    return out.where((F.col("y") >= 0) & (F.col("x") >= 0) & (F.col("y") < F.col("_h")) & (F.col("x") < F.col("_w"))).select(*pixels.columns)
 
 
 def warped(pixels: DataFrame, transforms: DataFrame) -> DataFrame:
@@ -209,8 +212,7 @@ def interpolated_transforms(transforms: DataFrame, target: Column | int, *, m="m
 
 def intensity_offset(original: DataFrame, corrected: DataFrame, *, frames: int = 100, margin: float = 0.2, least: float = 1.0) -> DataFrame:
     """recording, offset: mean difference in the central part of the first frames; 0 if it is below `least`."""
-    w = W.partitionBy(REC)
-    c = corrected.where(F.col("frame") < frames).withColumns({"_h": F.max("y").over(w) + 1, "_w": F.max("x").over(w) + 1})
+    c = with_extents(corrected.where(F.col("frame") < frames))
     inside = [(F.col(a) >= F.floor(F.col(s) * margin)) & (F.col(a) < F.col(s) - F.floor(F.col(s) * margin)) for a, s in (("y", "_h"), ("x", "_w"))]
     c = c.where(inside[0] & inside[1]).select(REC, "frame", *PLACE, F.col("v").alias("_c"))
     d = original.join(c, [REC, "frame", *PLACE]).groupBy(REC).agg((F.avg("v") - F.avg("_c")).alias("_d"))
