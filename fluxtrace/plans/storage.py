@@ -8,12 +8,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: dict[str, str] = {}
+
+
 def folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or a folder of our own where that is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
-        where = tempfile.mkdtemp(prefix="fluxtrace-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        where = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="fluxtrace-")
+        _own[spark.sparkContext.applicationId] = where
     return where
 
 
