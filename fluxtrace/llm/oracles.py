@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+from . import licenses
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _FOLDED = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _PLAIN = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -39,6 +43,36 @@ SELECT d.doc_id, cast(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM doc d LEFT JOIN word USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
+def _template(text: str) -> str:
+    """A template as a regular expression over words with one space before the first and after each."""
+    out = " "
+    for mark, low, high, word in re.findall(r"<<(/?opt|var (\d+)-(\d+))>>|([^\s<]+)", text):
+        out += {"opt": "(?:", "/opt": ")?"}.get(mark, f"(?:[^ ]+ ){{{low},{high}}}" if mark else "".join(f"{w} " for w in word.replace(".", " ").split()))
+    return out
+
+
+def _license_sql() -> str:
+    half = licenses.HALF_WORDS
+    base = list(licenses.BASE.items())
+    places = ", ".join(f"list_filter(generate_series(1, len(w)), lambda i: w[i : i + {len(p.split()) - 1}] = [{', '.join(repr(x) for x in p.split())}]) AS b{k}" for k, (p, _) in enumerate(base))
+    marks = ", ".join(f"regexp_matches(s, '{_template(t)}') AS t{k}" for k, t in enumerate(licenses.TEMPLATES.values()))
+    own = ", ".join(f"CASE WHEN len(b{k}) > 0 THEN '{label}' END" for k, (_, label) in enumerate(base))
+    more = ", ".join(f"CASE WHEN t{k} THEN '{label}' END" for k, label in enumerate(licenses.TEMPLATES))
+    parts = [(f"len(b{k}) > 0", licenses.Automaton(p, p).mandatory) for k, (p, _) in enumerate(base)]
+    parts += [(f"t{k}", licenses.Automaton(label, t).mandatory) for k, (label, t) in enumerate(licenses.TEMPLATES.items())]
+    rest = " * ".join(f"CASE WHEN {c} THEN {half}::DOUBLE / {half + n}::DOUBLE ELSE 1::DOUBLE END" for c, n in parts)
+    joined = "array_to_string(list_sort(list_distinct(list_filter([{}], lambda x: x IS NOT NULL))), ',')"
+    return f"""
+WITH d AS (SELECT doc_id, {_words("text")} AS w FROM documents), j AS (SELECT *, ' ' || array_to_string(w, ' ') || ' ' AS s FROM d),
+     m AS (SELECT *, {places}, {marks} FROM j), a AS (SELECT *, list_concat({', '.join(f'b{k}' for k in range(len(base)))}) AS b FROM m)
+SELECT doc_id, cast(len(w) AS BIGINT) AS n_words, cast(len(b) AS BIGINT) AS n_base, list_min(b) - 1 AS first_word, list_max(b) - 1 AS last_word,
+       {joined.format(own)} AS base_labels, {joined.format(f"{own}, {more}")} AS labels, 1 - {rest} AS score
+FROM a
+"""
+
+
+OP1 = _license_sql()
+
 OP3 = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
@@ -121,4 +155,4 @@ SELECT doc_id, size, source_size, target, cast(size * least(whole + CASE WHEN u
 FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN y ON d.source IS NOT DISTINCT FROM y.source
 """
 
-ORACLES: dict[str, str] = {"op3_chat_round_trip": OP3, "op4_warc_merkle_audit": OP4, "op5_ngram_jaccard_join": OP5, "op6_host_quality_rules": OP6, "op8_water_filling_mix": OP8, "op9_substring_dedup": OP9, "op10_benchmark_decontamination": OP10}
+ORACLES: dict[str, str] = {"op1_license_scan": OP1, "op3_chat_round_trip": OP3, "op4_warc_merkle_audit": OP4, "op5_ngram_jaccard_join": OP5, "op6_host_quality_rules": OP6, "op8_water_filling_mix": OP8, "op9_substring_dedup": OP9, "op10_benchmark_decontamination": OP10}
