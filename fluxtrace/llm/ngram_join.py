@@ -313,8 +313,9 @@ def cluster_links(docs: DataFrame, reps: DataFrame, clusters: DataFrame) -> Data
     return rows.mapInArrow(verify, "u long, v long, links long")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, key (hash of the text), n_shingles, class_id and n_links of every row of docs."""
+def _rooted(docs: DataFrame) -> DataFrame:
+    """doc_id, key (hash of the text), n_shingles, root (what identifies a class; null without words), class_id and n_links of
+    every row of docs."""
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = plain(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -329,30 +330,42 @@ def classes(docs: DataFrame) -> DataFrame:
     about = reps.select("a", "b", "copies", "doc_id").join(links, F.col("a") == F.col("u"), "left").join(roots, F.col("a") == F.col("node"), "left")
     about = about.select("a", "b", "doc_id", F.coalesce("root", "a").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     ids = about.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    about = about.join(ids, "root").select(F.col("a").alias("_a"), F.col("b").alias("_b"), "class_id", "n_links")
+    about = about.join(ids, "root").select(F.col("a").alias("_a"), F.col("b").alias("_b"), "root", "class_id", "n_links")
     rows = signed.select("doc_id", "key", "a", "b", "n")
     joined = rows.join(about, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")) & (F.col("n") > 0), "left")
     return joined.select(
-        "doc_id", "key", F.col("n").alias("n_shingles"),
+        "doc_id", "key", F.col("n").alias("n_shingles"), "root",
         F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
 
 
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, key (hash of the text), n_shingles, class_id and n_links of every row of docs."""
+    return _rooted(docs).drop("root")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each class, the one with the smallest id (then text hash), with the columns it came with.
 
-    What goes is a list of (doc_id, text hash), so repeated rows of a kept document are left once: the kept row's other
-    copies have its id and hash, and only one of them is taken.
+    A class is told by its root: class_id is null for many, and two may have one. What goes is a list of (doc_id, text
+    hash), which is in one class only, so repeated rows of a kept document are left once: the kept row's other copies have
+    its id and hash, and only one of them is taken. Rows without words have no copies and all stay.
     """
-    found = settle(classes(docs), "classes")
-    order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "key")
-    shared = found.where("n_links > 0").groupBy("class_id").agg(F.min(order).alias("first")).select("first.*").toDF("_id", "_key")
-    lost = found.where("n_links > 0").join(shared, (F.coalesce("doc_id", F.lit((1 << 63) - 1)) == F.col("_id")) & (F.col("key") == F.col("_key")), "left_anti")
-    lost = lost.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    repeated = found.where("n_links > 0").groupBy("doc_id", "key").count().where("count > 1")
+    found = settle(_rooted(docs).where("n_links > 0").select("doc_id", "key", "root"), "classes")
+    # Null ids come last, apart from every real one.
+    found = found.groupBy("root", F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "key").agg(F.count("*").alias("n"))
+    found = settle(found, "copies")
+    order = F.struct("none", "id", "key")
+    first = found.groupBy("root").agg(F.min(order).alias("first")).select("first.*").toDF("_none", "_id", "_key")
+    mine = (F.col("none") == F.col("_none")) & (F.col("id") == F.col("_id")) & (F.col("key") == F.col("_key"))
+    doc = F.when(~F.col("none"), F.col("id")).alias("_id")
+    again = settle(found.where("n > 1").join(first, mine, "left_semi").select(doc, F.col("key").alias("_key")), "repeated")
+    lost = found.join(first, mine, "left_anti").select(doc, F.col("key").alias("_key"))
     keyed = wrapped(docs, "doc_id", "text").withColumn("_hash", F.xxhash64("text"))
-    kept = keyed.join(lost, keyed["doc_id"].eqNullSafe(lost["_id"]) & (keyed["_hash"] == lost["_key"]), "left_anti")
-    if not repeated.isEmpty():
-        # Rows with one id and one text: one stays. Tasks reduce their own before the shuffle, so many make no large group.
-        kept = kept.groupBy("doc_id", "_hash").agg(F.first("_row").alias("_row"), F.first("text").alias("text"))
-    return unwrapped(kept, docs)
+    same = keyed["doc_id"].eqNullSafe(F.col("_id")) & (keyed["_hash"] == F.col("_key"))
+    if again.isEmpty():
+        return unwrapped(keyed.join(lost, same, "left_anti"), docs)
+    # Rows with one id and one text: one stays. Tasks reduce their own before the shuffle, so many make no large group.
+    kept = keyed.join(lost.unionByName(again), same, "left_anti").select("_row", "doc_id", "text")
+    once = keyed.join(again, same, "left_semi").groupBy("doc_id", "_hash").agg(F.first("_row").alias("_row"), F.first("text").alias("text"))
+    return unwrapped(kept.unionByName(once.select("_row", "doc_id", "text")), docs)

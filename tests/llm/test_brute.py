@@ -148,6 +148,23 @@ def test_links_and_classes(spark, monkeypatch, blocks):
     assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == {k: (root(k), degree[k]) for k in parent}
 
 
+def test_one_is_kept_of_each_class_whatever_its_ids(spark):
+    def text(k, end=""):
+        return " ".join(f"{k}w{i}" for i in range(60)) + end
+
+    rows = [(None, text("a")), (None, text("a", " more")), (None, text("b")), (None, text("b", " more"))]  # two classes without an id
+    rows += [(7, text("c")), (8, text("c")), (7, text("d")), (9, text("d"))]  # two whose smallest id is 7
+    rows += [(2**63 - 1, text("e")), (None, text("e")), (3, text("f")), (3, text("f")), (4, text("f", " more"))]
+    wordless = [(5, None), (5, None), (6, ""), (6, ""), (None, "?!"), (None, "?!")]
+    for extra in ([], [(3, text("g"))] * 2):  # wordless rows stay, with or without repeated rows elsewhere
+        out = ngram_join.keep_one(spark.createDataFrame(rows + wordless + extra, "doc_id long, text string")).collect()
+        got = [tuple(r) for r in out]
+        assert Counter(x for x in got if x in wordless) == Counter(wordless)
+        kept = [x for x in got if x not in wordless]
+        assert sorted(t[0] for _, t in kept) == list("abcdef") + ["g"] * bool(extra)
+        assert {t[0]: i for i, t in kept} == {"a": None, "b": None, "c": 7, "d": 7, "e": 2**63 - 1, "f": 3} | ({"g": 3} if extra else {})
+
+
 def test_pruning_keeps_what_reaches_the_threshold():
     rng = np.random.default_rng(1)
     lost = 0
