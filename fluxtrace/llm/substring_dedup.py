@@ -15,7 +15,10 @@ merge-joined, on the minimiser, with the sorted immutable runs of all batches be
   fingerprints each, which is the verification;
 * all others stay.
 
-Each batch leaves a new sorted run of what it first saw; small runs are compacted into one.
+Each batch leaves a new sorted run of what it first saw; small runs are compacted into one. An index that the caller
+passes also keeps the compressed texts of every batch, which is less than their windows' fingerprints: undecided stretches
+of earlier calls are compared window by window from them. The last batch of a call with an index of its own, which no
+batch follows, leaves no run.
 
 Edge cases: null texts have no words; texts of fewer than 13 words have no window; rows with one id are one document's
 (they don't remove each other's words) and each gives a row; rows with a null id keep all words and remove none; an empty
@@ -116,15 +119,17 @@ def stretch_rows(docs: DataFrame) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (m, s, doc); doc is the smallest document with that stretch."""
+    """Sorted immutable runs of (m, s, doc), doc the smallest document with that stretch, and the compressed texts behind them."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.runs: list[DataFrame] = []
+        self.texts: list[DataFrame] = []
 
-    def add(self, docs: DataFrame, *, keep_run: bool = True) -> DataFrame:
+    def add(self, docs: DataFrame, *, keep_run: bool = True, keep_texts: bool = True) -> DataFrame:
         """Merges a batch whose ids are all larger than those before. Returns (doc, s, whole): stretches that go as a
-        whole, and undecided ones with those to compare them with. keep_run: whether the batch becomes a run."""
+        whole, and undecided ones with those to compare them with. keep_run: whether the batch becomes a run;
+        keep_texts: whether its texts are kept for later calls."""
         new = stretch_rows(docs).withColumn("new", F.lit(True))
         rows = reduce(DataFrame.unionByName, [r.withColumn("new", F.lit(False)) for r in self.runs], new)
         same, group = W.partitionBy("m", "s"), W.partitionBy("m")
@@ -139,12 +144,18 @@ class FingerprintIndex:
         rows = rows.select("m", "s", "doc", whole.alias("whole"), open_.alias("open"), (F.col("new") & (F.col("first") == F.col("doc"))).cast("int").alias("run"))
         wanted = F.col("whole") | F.col("open") | (F.col("run") == 1 if keep_run else F.lit(False))
         kept = settle(rows.where(wanted), "stretches", partition_by=["run"])
+        if keep_texts:
+            self.keep(_pack(docs))
         if keep_run:
             self.runs.append(kept.where("run = 1").select("m", "s", "doc"))
             if len(self.runs) >= FAN_IN:
                 self.compact()
         return kept.where("whole or open").select("doc", "s", "whole")
 
+    def keep(self, packed: DataFrame) -> None:
+        """Keeps compressed texts, so that the windows of their stretches can be made again."""
+        self.texts.append(settle(packed.where("doc_id is not null"), "texts"))
+
     def compact(self) -> None:
         """Merges all runs into one sorted run. Batches only add what no run holds under a smaller id, so nothing else changes."""
         merged = reduce(DataFrame.unionByName, self.runs).groupBy("m", "s").agg(F.min("doc").alias("doc"))
@@ -234,19 +245,26 @@ def _rewrite(packed: DataFrame, whole: DataFrame, single: DataFrame, texts: bool
 
 
 def remove_repeats(docs: DataFrame, *, index: FingerprintIndex | None = None, batch_shares: tuple[float, ...] = BATCHES, texts: bool = True) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and, with texts, kept (the words that stay, joined by spaces) of every row."""
+    """doc_id, n_words, n_removed, kept_sha256 and, with texts, kept (the words that stay, joined by spaces) of every row.
+
+    index: what earlier calls saw, with smaller ids; these documents are added to it whole.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = plain(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    index = index or FingerprintIndex(spark)
+    passed = index is not None
+    index = index if passed else FingerprintIndex(spark)
+    history = list(index.texts)
     cuts = np.cumsum(batch_shares)[:-1].tolist()
     bounds = sorted(set(map(int, docs.where("doc_id is not null").approxQuantile("doc_id", cuts, 0.01)))) if cuts else []
     found = []
     for low, high in zip([None, *bounds], [*bounds, None], strict=True):
         part = docs.where(F.lit(True) if low is None else F.col("doc_id") > low).where(F.lit(True) if high is None else F.col("doc_id") <= high)
-        found.append(index.add(part, keep_run=high is not None))
+        found.append(index.add(part, keep_run=passed or high is not None, keep_texts=False))
     marks = reduce(DataFrame.unionByName, found)
     packed = _pack(docs)
-    single = _judge_windows(packed, marks.where("not whole"))
+    if passed:
+        index.keep(packed)
+    single = _judge_windows(reduce(DataFrame.unionByName, history, packed), marks.where("not whole"))
     out = _rewrite(packed, marks.where("whole"), single, texts)
     return out if texts else out.drop("kept")

@@ -214,6 +214,34 @@ def test_index_is_incremental(spark):
     assert late == 3
 
 
+@pytest.mark.parametrize("shares", [(1.0,), (0.1, 0.1, 0.8)])
+def test_calls_with_one_index_see_all_before(spark, shares):
+    rng = random.Random(8)
+    passages = [[f"p{k}x{i}" for i in range(rng.randrange(13, 21))] for k in range(14)]
+
+    def fresh():
+        return [f"u{rng.randrange(10**9)}" for _ in range(rng.randrange(8, 16))]
+
+    rows = [(k, " ".join(fresh() + rng.choice(passages) + fresh() + rng.choice(passages) + fresh())) for k in range(48)]
+    first = {}
+    for k, t in rows:
+        w = t.split()
+        for i in range(len(w) - 12):
+            first.setdefault(tuple(w[i : i + 13]), k)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    index = substring_dedup.FingerprintIndex(spark)
+    index.add(df.where("doc_id < 12"))
+    got = {}
+    for low in (12, 24, 36):
+        out = substring_dedup.remove_repeats(df.where(f"doc_id >= {low} and doc_id < {low + 12}"), index=index, batch_shares=shares)
+        got |= {r["doc_id"]: r for r in out.collect()}
+    assert set(got) == set(range(12, 48))
+    for k, t in rows[12:]:
+        w = t.split()
+        gone = {j for i in range(len(w) - 12) if first[tuple(w[i : i + 13])] < k for j in range(i, i + 13)}
+        assert got[k]["kept"] == " ".join(x for j, x in enumerate(w) if j not in gone) and got[k]["n_removed"] == len(gone)
+
+
 # Decontamination
 
 
