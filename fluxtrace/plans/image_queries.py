@@ -313,7 +313,7 @@ def connected_components(spark, d):
 
 @query()
 def pixel_rolling_corr(spark, d):
-    m = traces(spark, d).select((F.col("cell") % 10).alias("roi"), F.col("cell").alias("pixel"), "frame", F.col("f").alias("v")).where("frame < 40")
+    m = traces(spark, d).select((F.col("cell") % 10).alias("roi"), F.col("cell").alias("pixel"), "frame", F.col("f").alias("v"))
     return co.pixel_rolling(m, 6).select("roi", "frame", r6("r").alias("r"))
 
 

@@ -1,5 +1,6 @@
 """Further small inputs: edits, paths, shapes, matching, metadata."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +90,22 @@ def test_constant_frames_keep_one_region(spark):
     df = spark.createDataFrame([(1, 0, y, x, 200 if (y - 5) ** 2 + (x - 5) ** 2 <= 4 else 10) for y in range(12) for x in range(12)], "recording int, frame int, y int, x int, v int")
     out = mv.seeded_regions(df, sigma=1.0).collect()
     assert {r["label"] for r in out} == {1} and (5, 5) in {(r["y"], r["x"]) for r in out}
+
+
+def test_pixel_rolling_corr_reads_whole_traces(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(cell * 1000 + t, cell, float(v)) for cell in (1, 2, 11, 12, 21, 22, 31) for t, v in enumerate(rng.normal(size=50 if cell == 31 else 70).round(3))]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, value double")
+    events.selectExpr("event_id", "user_id", "value", "'view' AS event_type", "timestamp_seconds(event_id) AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    from fluxtrace.plans import QUERIES
+
+    got = {(r["roi"], r["frame"]): r["r"] for r in QUERIES["pixel_rolling_corr"](spark, str(tmp_path)).collect()}
+    x = {c: np.array([v for _, cell, v in rows if cell == c]) for c in (1, 2, 11, 12, 21, 22, 31)}
+    want = {}
+    for roi in (1, 2):
+        for j in range(6, 64):
+            parts = [v[j - 6 : j + 6] for c, v in x.items() if c % 10 == roi]
+            want[roi, j] = np.corrcoef(parts).mean() if all(len(p) == 12 for p in parts) else None
+    assert set(got) == set(want) and any(j > 40 and r is not None for (_, j), r in got.items())
+    for k, r in want.items():
+        assert got[k] is None if r is None else abs(got[k] - r) < 2e-6
