@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,9 @@ FOLDED_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PLAIN_WORD = r"[^\x20\x09-\x0D]+"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
+#: A task works on so many rows and bytes of text at a time.
+ROWS, BYTES = 1000, 8 << 20
+
 #: Odd multiplier of the rolling word hashes.
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -43,16 +48,20 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist() if len(column) else []
 
 
-_own: dict[str, str] = {}
-
-
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets one of its
+    own; on a cluster that is an error, for executors would write what nobody reads."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="fluxtrace-")
-        _own[spark.sparkContext.applicationId] = where
-    return where
+    if where:
+        return where
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return _local(spark.sparkContext.applicationId)
+
+
+@lru_cache(maxsize=None)
+def _local(application: str) -> str:
+    return tempfile.mkdtemp(prefix="fluxtrace-")
 
 
 def settle(df: DataFrame, name: str, *, partition_by: list[str] | None = None, **options) -> DataFrame:
@@ -64,9 +73,24 @@ def settle(df: DataFrame, name: str, *, partition_by: list[str] | None = None, *
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most so many rows: a batch of long texts then stays within a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def pieces(parts, rows: int = ROWS, limit: int = BYTES):
+    """Record batches in slices of at most so many rows and bytes of text (a longer text is a slice of its own): what a
+    task holds follows neither the size of Arrow batches nor the lengths of the texts around the longest one."""
+    for batch in parts:
+        if not batch.num_rows:
+            yield batch
+            continue
+        upto = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                upto += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        upto = np.cumsum(upto)
+        at = 0
+        while at < batch.num_rows:
+            end = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + limit, "right"))
+            end = min(max(end, at + 1), at + rows)
+            yield batch.slice(at, end - at)
+            at = end
 
 
 def plain(df: DataFrame, *columns: str) -> DataFrame:

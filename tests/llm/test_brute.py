@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fluxtrace.llm import chat, decontaminate, licenses, ngram_join, pii, quality, substring_dedup, token_counts
@@ -203,43 +204,71 @@ def test_repeats(spark, shares):
         assert got[k]["kept"] == " ".join(x for j, x in enumerate(w) if j not in gone) and got[k]["n_removed"] == len(gone)
 
 
-def test_index_is_incremental(spark):
-    rows = [(k, " ".join(f"x{(i * (k // 3 + 1)) % 50}" for i in range(60))) for k in range(9)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    index = substring_dedup.FingerprintIndex(spark)
-    index.add(df.where("doc_id < 3"))
-    index.add(df.where("doc_id between 3 and 5"))
-    assert len(index.runs) == 1  # compacted
-    late = substring_dedup.remove_repeats(df.where("doc_id >= 6"), index=index, batch_shares=(1.0,)).count()
-    assert late == 3
+def firsts(rows):
+    first = {}
+    for k, t in rows:
+        w = t.split()
+        for i in range(len(w) - 12):
+            first.setdefault(tuple(w[i : i + 13]), k)
+    return first
 
 
-@pytest.mark.parametrize("shares", [(1.0,), (0.1, 0.1, 0.8)])
-def test_calls_with_one_index_see_all_before(spark, shares):
-    rng = random.Random(8)
-    passages = [[f"p{k}x{i}" for i in range(rng.randrange(13, 21))] for k in range(14)]
+def check_repeats(rows, got):
+    first = firsts(rows)
+    for k, t in rows:
+        if k in got:
+            w = t.split()
+            gone = {j for i in range(len(w) - 12) if first[tuple(w[i : i + 13])] < k for j in range(i, i + 13)}
+            assert got[k]["kept"] == " ".join(x for j, x in enumerate(w) if j not in gone) and got[k]["n_removed"] == len(gone)
+
+
+def mosaic(n, seed, low=13, high=21):
+    """Texts of passages that begin and end inside one another, between words of their own."""
+    rng = random.Random(seed)
+    passages = [[f"p{k}x{i}" for i in range(rng.randrange(low, high))] for k in range(14)]
 
     def fresh():
         return [f"u{rng.randrange(10**9)}" for _ in range(rng.randrange(8, 16))]
 
-    rows = [(k, " ".join(fresh() + rng.choice(passages) + fresh() + rng.choice(passages) + fresh())) for k in range(48)]
-    first = {}
-    for k, t in rows:
-        w = t.split()
-        for i in range(len(w) - 12):
-            first.setdefault(tuple(w[i : i + 13]), k)
+    return [(k, " ".join(fresh() + rng.choice(passages) + fresh() + rng.choice(passages)[rng.randrange(3) :] + fresh())) for k in range(n)]
+
+
+@pytest.mark.parametrize("one_in", [10**9, 1])
+@pytest.mark.parametrize("shares", [(1.0,), (0.1, 0.1, 0.8)])
+def test_calls_with_one_index_see_all_before(spark, shares, one_in):
+    rows = mosaic(48, 8)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     index = substring_dedup.FingerprintIndex(spark)
-    index.add(df.where("doc_id < 12"))
+    index.add(df.where("doc_id < 6"))
+    index.add(df.where("doc_id >= 6 and doc_id < 12"))
+    assert len(index.runs) == 1  # compacted
     got = {}
     for low in (12, 24, 36):
-        out = substring_dedup.remove_repeats(df.where(f"doc_id >= {low} and doc_id < {low + 12}"), index=index, batch_shares=shares)
+        out = substring_dedup.remove_repeats(df.where(f"doc_id >= {low} and doc_id < {low + 12}"), index=index, batch_shares=shares, one_in=one_in)
         got |= {r["doc_id"]: r for r in out.collect()}
+        index = substring_dedup.FingerprintIndex(spark, index.folder)  # opened again
     assert set(got) == set(range(12, 48))
-    for k, t in rows[12:]:
-        w = t.split()
-        gone = {j for i in range(len(w) - 12) if first[tuple(w[i : i + 13])] < k for j in range(i, i + 13)}
-        assert got[k]["kept"] == " ".join(x for j, x in enumerate(w) if j not in gone) and got[k]["n_removed"] == len(gone)
+    check_repeats(rows, got)
+
+
+def test_hot_text(spark):
+    common = " ".join(f"c{i}" for i in range(40))
+    rows = [(k, f"{t} {common} {'x ' * (k % 5)}{common if k % 7 == 0 else ''}") for k, t in mosaic(90, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    hot = substring_dedup.frequent(df, one_in=1, share=1 / 4, most=1000)
+    assert len(hot.minimisers) and len(hot.stretches)
+    for most in (1000, 3):
+        check_repeats(rows, {r["doc_id"]: r for r in substring_dedup.remove_repeats(df, one_in=1, share=1 / 4, most=most).collect()})
+
+
+def test_history_is_not_shuffled(spark):
+    df = spark.createDataFrame(mosaic(30, 2), "doc_id long, text string")
+    index = substring_dedup.FingerprintIndex(spark)
+    index.add(df.where("doc_id < 20"))
+    index.add(df.where("doc_id >= 20"))
+    new = substring_dedup.stretch_rows(df).repartition(index.buckets, "k")
+    merged = new.unionByName(index.runs[0]).groupBy("k", "s").agg(F.min("doc"))
+    assert merged._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
 
 
 # Decontamination
