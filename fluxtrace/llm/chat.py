@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, bounded_batches, plain
+from .common import batches, pieces, plain
 
 # The control strings of the template.
 MARKS = {"user": ("[INST]", "[/INST]"), "assistant": ("[ANS]", "</s>"), "system": ("<<SYS>>", "<</SYS>>")}
@@ -89,10 +89,9 @@ _rendered = batches({"conv_id": pa.int64(), "turn": pa.int64(), "role": pa.strin
 
 def format_turns(conversations: DataFrame) -> DataFrame:
     """conv_id, turn, role, formatted, and the span of the loss mask in it (null if the turn is not the assistant's)."""
-    bounded_batches(conversations.sparkSession, 2000)
 
     def render(parts):
-        for batch in parts:
+        for batch in pieces(parts):
             conv, turn, roles, texts = (c.to_pylist() for c in batch.columns)
             roles = [r or "" for r in roles]
             done = [render_turn(r, t or "") for r, t in zip(roles, texts, strict=True)]
@@ -118,7 +117,7 @@ def read_back(turns: DataFrame) -> DataFrame:
         def row():
             return [now[0], state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]]
 
-        for batch in parts:
+        for batch in pieces(parts):
             rows = []
             conv, _, _, formatted, starts, ends = (c.to_pylist() for c in batch.columns)
             for c, f, s, e in zip(conv, formatted, starts, ends, strict=True):

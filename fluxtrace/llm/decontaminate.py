@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import WordHashes, as_bytes, batches, bounded_batches, folded_words, plain, rolling, settle, unwrapped, wrapped
+from .common import WordHashes, as_bytes, batches, folded_words, pieces, plain, rolling, settle, unwrapped, wrapped
 
 WINDOW = 13
 #: A broadcast slice of the benchmark holds at most about so many bytes of text; a larger benchmark takes several slices.
@@ -86,7 +86,6 @@ def _slices(benchmark: DataFrame, limit: int) -> list[DataFrame]:
 def _judged(docs: DataFrame, benchmark: DataFrame, window: int, share: int, slice_bytes: int) -> DataFrame:
     """_row and the report of each row of docs."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     out = wrapped(docs, "text")
     slices = _slices(benchmark, slice_bytes)
     for k, part in enumerate(slices):
@@ -94,7 +93,7 @@ def _judged(docs: DataFrame, benchmark: DataFrame, window: int, share: int, slic
         first, last = k == 0, k == len(slices) - 1
 
         def scan(parts, index=index, first=first, last=last):
-            for batch in parts:
+            for batch in pieces(parts):
                 words, begins = _flat(batch.column(1))
                 starts, ends = np.array(begins[:-1], np.int64), np.array(begins[1:], np.int64) - 1
                 covered = np.zeros(len(words), np.uint8)

@@ -16,7 +16,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import as_bytes, batches, bounded_batches, folded_words, plain
+from .common import as_bytes, batches, folded_words, pieces, plain
 
 # Phrases whose places are counted, and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -145,12 +145,11 @@ def scan_text(text: bytes | None, base: list[tuple[Automaton, str]], others: lis
 
 def license_scan(docs: DataFrame, *, base: dict[str, str] = BASE, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """One row per document: places and labels of the base phrases, all labels, and a score from 0 to 1 that grows with the mandatory words matched."""
-    bounded_batches(docs.sparkSession)
 
     def scan(parts):
         phrases = [(Automaton(phrase, phrase), label) for phrase, label in base.items()]
         others = compiled(templates)
-        for batch in parts:
+        for batch in pieces(parts):
             rows = [scan_text(text, phrases, others) for text in as_bytes(batch.column(1))]
             columns = list(zip(*rows, strict=True)) or [[]] * 7
             yield _out(dict(zip(_out_names, [batch.column(0), *map(list, columns)], strict=True)))

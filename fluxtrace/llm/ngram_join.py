@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, as_bytes, batches, bounded_batches, folded_words, mixed, plain, rolling, settle, unwrapped, wrapped
+from .common import WordHashes, as_bytes, batches, folded_words, mixed, pieces, plain, rolling, settle, unwrapped, wrapped
 
 GRAM, NUMERATOR, DENOMINATOR = 5, 4, 5  # similarity of at least 4/5
 VALUES, BANDS, STEP = 128, 32, 16
@@ -123,7 +123,7 @@ def signatures(docs: DataFrame) -> DataFrame:
         hashes = WordHashes(3)
         band = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25)
         odd = np.uint64(0x9E3779B97F4A7C15)
-        for batch in parts:
+        for batch in pieces(parts):
             out: list[list] = [[], [], [], [], []]
             for text in as_bytes(batch.column(2)):
                 x = shingles(folded_words(text), hashes)
@@ -160,7 +160,7 @@ def _groups(parts, keys: int):
 
     def rows():
         last = None
-        for batch in parts:
+        for batch in pieces(parts):
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if r[: keys + 1] != last:
                     last = r[: keys + 1]
@@ -279,7 +279,7 @@ def cluster_links(docs: DataFrame, reps: DataFrame, clusters: DataFrame) -> Data
 
     def pack(parts):
         compress = zstandard.ZstdCompressor(level=3).compress
-        for batch in parts:
+        for batch in pieces(parts):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([compress(t or b"") for t in as_bytes(batch.column(2))], pa.binary())], names=["_doc", "_key", "packed"])
 
     packed = docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(pack, "_doc long, _key long, packed binary")
@@ -317,7 +317,6 @@ def _rooted(docs: DataFrame) -> DataFrame:
     """doc_id, key (hash of the text), n_shingles, root (what identifies a class; null without words), class_id and n_links of
     every row of docs."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     docs = plain(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     signed = settle(signatures(docs), "signatures")
     first = signed.where("n > 0").groupBy("a", "b").agg(

@@ -1,15 +1,25 @@
 """Personal data replaced by surrogates: keyed, of the same type and format, distinct for distinct entities, the same everywhere.
 
-Kinds: email, phone, ip (both versions), mac, ssn, iban, account (13 to 19 digits; Luhn-valid stays Luhn-valid), secret
-(long hexadecimal strings, quoted values and known key prefixes), name (capitalised words after a form of address; gender
-and script are kept).
-
-A surrogate is a keyed permutation of the strings of the same shape: a Feistel network over the positions that may vary
-(letters, digits, hexadecimal digits or octets), so distinct entities of one shape get distinct surrogates without a
-table and every mention of an entity gets the same one in every document and run. What a permutation cannot rule out is
-checked: the distinct entities of the whole corpus are gathered, those whose surrogate is itself a real entity or equals
-another's are drawn again with the next attempt, until none is left, and only they go into the table of exceptions. That
-table is broadcast up to a stated size; beyond it the documents that mention an exception meet theirs in a join.
+Kinds: email, phone, ip (both versions), mac, ssn, iban, account (13 to 19 digits), secret (long hexadecimal strings,
+quoted values with letters and digits, web tokens and known key prefixes), given and family names (capitalised words after
+forms of address, and every later or earlier mention of them in the same text).
+
+A surrogate is a keyed permutation of the strings of the same shape: a Feistel network over the positions that may vary,
+so distinct entities of one shape get distinct surrogates without a table and every mention of an entity gets the same one
+in every document and run. Types are kept: private addresses stay in their network and public ones public, an IPv6 address
+and a MAC keep their scope, Luhn and mod-97 check digits that were valid are valid again, phone numbers keep the country
+code (with and without it they are one number). Names of an alphabet are made of its syllables, with endings by gender;
+names of other scripts get letters of their own script. A given name has one stem whatever the gender of its title; within a
+text a title of known gender decides.
+
+What a permutation cannot rule out is checked: the distinct entities of the whole corpus are gathered, those whose
+surrogate is itself a real entity or another's are drawn again, and only they go into the table of exceptions. From the
+third draw on surrogates are longer than what they stand for, so full shapes, or entities without a character that may
+vary, are served too and the drawing ends. The table is broadcast up to a stated size; beyond it the documents that mention
+an exception meet theirs in a join.
+
+Limits: names are found only in texts that mention them after a form of address (or "my name is"); initials and the
+addresses 0.0.0.0, 127.0.0.1 and 255.255.255.255 stay.
 
 Edge cases: null texts stay null; texts without entities come back unchanged; repeated rows are treated alike; an empty
 table gives an empty result; the other columns are kept (`n_entities` is replaced if it is there).
@@ -19,79 +29,75 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 import unicodedata
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import batches, bounded_batches, settle, unwrapped, wrapped
+from .common import batches, pieces, settle, unwrapped, wrapped
 
 KEY = b"fluxtrace surrogate key 1"
 #: Exceptions are broadcast up to this number.
 BROADCAST_EXCEPTIONS = 50_000
-#: An entity is drawn again at most so many times; then the run stops with an error, not with a clash.
-ATTEMPTS = 40
+#: Surrogates of this attempt and later ones are longer than what they stand for.
+LONGER = 3
 ROUNDS = 8
 
-# Forms of address by gender, and given and family names by script and gender.
+# Forms of address by gender.
 TITLES = {
-    "f": ("Mrs", "Ms", "Miss", "Madam", "Frau", "Mme", "Madame", "Mlle", "Sra", "Señora", "Г-жа", "Κυρία"),
-    "m": ("Mr", "Sir", "Herr", "M", "Monsieur", "Sr", "Señor", "Г-н", "Κύριος"),
-    "n": ("Dr", "Prof", "Mx"),
-}
-GIVEN = {
-    ("latin", "f"): ("Anna", "Clara", "Elena", "Greta", "Irene", "Julia", "Laura", "Maria", "Nora", "Paula", "Rosa", "Sofia"),
-    ("latin", "m"): ("Adam", "Bruno", "Daniel", "Erik", "Felix", "Hugo", "Jonas", "Leon", "Martin", "Oscar", "Pablo", "Victor"),
-    ("latin", "n"): ("Alex", "Andrea", "Charlie", "Dana", "Jamie", "Kim", "Lee", "Morgan", "Robin", "Sam", "Sascha", "Toni"),
-    ("cyrillic", "f"): ("Анна", "Вера", "Елена", "Ирина", "Мария", "Ольга"),
-    ("cyrillic", "m"): ("Антон", "Борис", "Иван", "Максим", "Олег", "Павел"),
-    ("cyrillic", "n"): ("Саша", "Женя", "Валя", "Шура"),
-    ("greek", "f"): ("Άννα", "Ελένη", "Ιωάννα", "Μαρία", "Σοφία"),
-    ("greek", "m"): ("Αλέξης", "Γιώργος", "Νίκος", "Πέτρος", "Σπύρος"),
-    ("greek", "n"): ("Άγγελος", "Χάρις", "Φάνης"),
+    "f": ("Mrs", "Ms", "Miss", "Madam", "Frau", "Mme", "Madame", "Mlle", "Sra", "Señora", "Signora", "Г-жа", "Κυρία", "MRS", "MS"),
+    "m": ("Mr", "Mister", "Sir", "Herr", "Monsieur", "Sr", "Señor", "Signor", "Г-н", "Κύριος", "MR"),
+    "n": ("Dr", "Prof", "Mx", "DR", "PROF", "my name is", "My name is", "ich heiße", "Ich heiße", "me llamo", "Me llamo", "je m'appelle", "Je m'appelle"),
 }
-SYLLABLES = {
-    "latin": ("ba", "den", "fer", "gal", "hol", "kan", "lor", "mar", "nel", "pol", "ran", "sel", "tor", "van", "wil", "zan"),
-    "cyrillic": ("ба", "вер", "гор", "дан", "зор", "кан", "лев", "мар", "нов", "пол", "ром", "сел", "тар", "фед", "хор", "чер"),
-    "greek": ("βα", "γορ", "δαν", "ζερ", "θαν", "καλ", "λαρ", "μαν", "νικ", "παλ", "ρον", "σταν", "τρι", "φαν", "χαρ", "ψαλ"),
+# First letters, vowels and last letters of the syllables of names, and the endings of given names by gender.
+LETTERS = {
+    "latin": ("bdfghklmnprstvwz", "aeiou", "lnrs", {"f": "a", "m": "o", "n": "e"}),
+    "cyrillic": ("бвгдзклмнпрстфхч", "аеиоу", "лнрс", {"f": "а", "m": "ий", "n": "и"}),
+    "greek": ("βγδζθκλμνπρστφχψ", "αεηιο", "λνρσ", {"f": "α", "m": "ος", "n": "ι"}),
 }
-
-_TITLE = "|".join(re.escape(t) for ts in TITLES.values() for t in sorted(ts, key=len, reverse=True))
+# Networks that are not public, by first address and prefix length.
+NETWORKS = [(int(ipaddress.ip_address(a)), n) for a, n in (("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.168.0.0", 16), ("224.0.0.0", 4), ("240.0.0.0", 4))]
+NOBODY = ("0.0.0.0", "127.0.0.1", "255.255.255.255")
+
+_TITLE = "|".join(re.escape(t) for t in sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
+_GENDER = {t: g for g, ts in TITLES.items() for t in ts}
+_OCTET = r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
+_NAME = r"[^\W\d_]\w*(?:['’]\w{2,})?(?:-[^\W\d_]\w*)*"
 PATTERN = re.compile(
-    r"(?P<email>[A-Za-z0-9](?:[A-Za-z0-9._%+\-]{0,62}[A-Za-z0-9])?@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,18})"
-    r"|(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d))"
-    r"|(?P<mac>(?<![\w:])[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}(?![\w:]))"
-    r"|(?P<ipv6>(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:]))"
-    r"|(?P<ssn>(?<![\w\-.])\d{3}-\d{2}-\d{4}(?![\w\-]))"
-    r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
-    r"|(?P<phone>(?<!\w)\+\d{1,3}[ .\-]?\(?\d{2,4}\)?(?:[ .\-]?\d{2,5}){1,4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\w)|(?<![\w.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w\-]))"
-    r"|(?P<account>(?<![\w.+\-])\d(?:[ \-]?\d){12,18}(?![\w\-]))"
-    r"|(?P<secret>(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|(?=[a-f]*\d)[0-9a-f]{32,128}|(?=[A-F]*\d)[0-9A-F]{32,128})(?![A-Za-z0-9])"
-    r"|(?<=[=:] \")[A-Za-z0-9+/_\-]{16,200}(?=\")|(?<=[=:]\")[A-Za-z0-9+/_\-]{16,200}(?=\"))"
-    rf"|(?<!\w)(?P<title>{_TITLE})\.? (?P<name>[^\W\d_a-zа-яα-ω][\w'’\-]+(?: [^\W\d_a-zа-яα-ω][\w'’\-]+)?)"
+    r"(?P<email>(?<![\w.%+\-])[\w.%+\-]+@(?:[^\W_](?:[\w\-]{0,61}[^\W_])?\.)+[^\W\d_]{2,18})"
+    rf"|(?P<ip>(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.[0-9]))"
+    r"|(?P<mac>(?<![\w:\-])[0-9A-Fa-f]{2}(?P<m>[:\-])[0-9A-Fa-f]{2}(?:(?P=m)[0-9A-Fa-f]{2}){4}(?![\w:]))"
+    r"|(?P<ipv6>(?<![\w:])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]))"
+    r"|(?P<ssn>(?<![\w\-.])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w\-]))"
+    r"|(?P<iban>(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
+    r"|(?P<phone>(?<!\w)\+[0-9]{1,3}[ .\-]?\(?[0-9]{2,4}\)?(?:[ .\-]?[0-9]{2,5}){1,4}(?!\w)|(?<![\w(])(?:1[ .\-])?\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}(?!\w)"
+    r"|(?<![\w.\-])(?:1(?P<p>[ .\-]))?[0-9]{3}(?P<q>[ .\-])[0-9]{3}(?P=q)[0-9]{4}(?![\w\-]))"
+    r"|(?P<account>(?<![\w.+\-])[0-9](?:[ \-]?[0-9]){12,18}(?![\w\-]))"
+    r"|(?P<secret>(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|eyJ[A-Za-z0-9_\-]{8,2000}\.[A-Za-z0-9_\-]{8,8000}\.[A-Za-z0-9_\-]{8,2000}"
+    r"|(?=[a-f]*[0-9])[0-9a-f]{32,128}|(?=[A-F]*[0-9])[0-9A-F]{32,128})(?![A-Za-z0-9])"
+    r"|(?:(?<=[=:] \")|(?<=[=:]\"))(?=[A-Za-z+/_\-]*[0-9])(?=[0-9+/_\-]*[A-Za-z])[A-Za-z0-9+/_\-]{16,200}(?=\"))"
+    rf"|(?P<titles>(?<!\w)(?:(?:{_TITLE})\.? |M\. )+)(?:[^\W\d_]\.? ){{0,3}}(?P<name>{_NAME}(?: {_NAME}){{0,2}})"
 )
 # What every text with an entity holds: quick tests that most texts fail.
-_DIGIT = re.compile(r"[0-9][0-9a-fA-F.()\- ]{5}")
-_COLONS = re.compile(r"(?:[0-9a-fA-F]{1,4}:){5}")
-_ADDRESSED = re.compile(rf"(?:{_TITLE})\.? ")
+_DIGIT = re.compile(r"[0-9][0-9a-fA-F.()\- ]{5}|[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}")
+_COLONS = re.compile(r"(?:[0-9a-fA-F]{0,4}:){2}|(?:[0-9a-fA-F]{2}-){5}")
+_ADDRESSED = re.compile(rf"(?:{_TITLE})\.? |M\. ")
 _QUOTES = ('= "', '="', ': "', ':"')
-_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-")
+_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "eyJ")
 
 
 def suspicious(text: str) -> bool:
-    return "@" in text or any(x in text for x in _QUOTES) or bool(_DIGIT.search(text)) or (text.count(":") > 4 and bool(_COLONS.search(text))) or any(x in text for x in _PREFIXES) or bool(_ADDRESSED.search(text))
-
-
-def gender(title: str) -> str:
-    return next(g for g, titles in TITLES.items() if title in titles)
+    return "@" in text or any(x in text for x in _QUOTES) or bool(_DIGIT.search(text)) or bool(_COLONS.search(text)) or any(x in text for x in _PREFIXES) or bool(_ADDRESSED.search(text))
 
 
 def script(name: str) -> str:
-    said = unicodedata.name(name[0], "")
-    return "cyrillic" if said.startswith("CYRILLIC") else "greek" if said.startswith("GREEK") else "latin"
+    """The script of the first letter."""
+    return next((unicodedata.name(c, "none").split(" ")[0].lower() for c in name if c.isalpha()), "none")
 
 
 def luhn(digits: str) -> int:
@@ -100,25 +106,82 @@ def luhn(digits: str) -> int:
     return -total % 10
 
 
+def mod97(country: str, account: str) -> str:
+    """The two check digits of an IBAN."""
+    number = int("".join(str(int(c, 36)) for c in account + country + "00"))
+    return f"{98 - number % 97:02d}"
+
+
+def _names(m: re.Match):
+    """(begin, stop, part, name) of the given and family names after a form of address: the last word is the family's."""
+    words = list(re.finditer(r"[^ ]+", m["name"]))
+    sound = [w[0][0].isupper() or unicodedata.category(w[0][0]) == "Lo" for w in words]
+    words = words[: sound.index(False)] if False in sound else words
+    base = m.start("name")
+    for w in words:
+        yield base + w.start(), base + w.end(), "family" if w is words[-1] else "given", w[0].lower()
+
+
+def _entity(kind: str, found: str) -> str | None:
+    """What mentions of the same thing have in common; None where the pattern was too wide."""
+    if kind == "email":
+        return found.lower()
+    if kind == "ip":
+        plain = ".".join(str(int(x)) for x in found.split("."))
+        return None if plain in NOBODY else plain
+    if kind == "mac":
+        return re.sub("[:-]", "", found.lower())
+    if kind == "ipv6":
+        try:
+            return str(ipaddress.IPv6Address(found)) if len(found) > 6 else None
+        except ValueError:
+            return None
+    if kind == "phone":
+        digits = re.sub(r"[^0-9]", "", found)
+        return None if len(digits) < 7 else f"+{digits}" if found[0] == "+" and len(digits) <= 10 else digits[-10:]
+    if kind == "account":
+        return re.sub(r"[^0-9]", "", found)
+    return found.replace(" ", "") if kind == "iban" else found
+
+
 def entities(text: str):
-    """(begin, end, kind, entity) of every mention; the entity is what mentions of the same thing have in common."""
+    """(begin, end, kind, entity) of every mention, in order. Kinds of given names end in the gender: f, m or n."""
     if not text or not suspicious(text):
         return
+    out, names = [], {}
     for m in PATTERN.finditer(text):
-        kind = m.lastgroup if m.lastgroup != "title" else "name"
-        found = m[kind]
+        kind = m.lastgroup
+        if kind == "name":
+            said = {_GENDER.get(t, "m") for t in re.findall(rf"{_TITLE}|M", m["titles"])}
+            gender = "f" if "f" in said else "m" if "m" in said else "n"
+            for begin, stop, part, entity in _names(m):
+                was, sex = names.get(entity, (part, "n"))
+                names[entity] = (was, gender if sex == "n" else sex)
+                out.append((begin, stop, "name", entity))
+            continue
+        begin, stop = m.span()
         if kind == "email":
-            yield *m.span(), kind, found.lower()
-        elif kind in ("phone", "account"):
-            yield *m.span(), kind, re.sub(r"\D", "", found)
-        elif kind == "iban":
-            yield *m.span(), kind, found.replace(" ", "")
-        elif kind in ("mac", "ipv6"):
-            yield *m.span(), kind, found.lower()
-        elif kind == "name":
-            yield *m.span("name"), f"name-{gender(m['title'])}", found
-        else:
-            yield *m.span(), kind, found
+            begin += len(m[0]) - len(m[0].lstrip("._%+-"))
+        entity = _entity(kind, text[begin:stop])
+        if entity is not None and not (kind == "email" and entity.startswith("@")):
+            out.append((begin, stop, kind, entity))
+    if names:
+        spelled = {x for n in names for x in (n.title(), n[0].upper() + n[1:], n.upper())} | {text[b:e] for b, e, kind, _ in out if kind == "name"}
+        known = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(spelled, key=len, reverse=True)))})(?!\w)")
+        at = 0
+        for begin, stop, *_ in [*out, (len(text), len(text))]:
+            out += [(*m.span(), "name", m[0].lower()) for m in known.finditer(text, at, begin) if m[0].lower() in names and not (text[m.end() : m.end() + 1] == "@" or text[m.start() - 1 : m.start()] == "@")]
+            at = stop
+        out.sort()
+    for begin, stop, kind, entity in out:
+        if kind == "name":
+            part, sex = names[entity]
+            kind = part if part == "family" else f"given-{sex}"
+        yield begin, stop, kind, entity
+
+
+def _stream(tweak: bytes, text: str, n: int) -> bytes:
+    return hashlib.shake_256(tweak + text.encode()).digest(n)
 
 
 def _permuted(values: list[int], radices: list[int], tweak: bytes) -> list[int]:
@@ -127,143 +190,268 @@ def _permuted(values: list[int], radices: list[int], tweak: bytes) -> list[int]:
     parts, sizes = [values[:half], values[half:]], [radices[:half], radices[half:]]
     for i in range(ROUNDS):
         a, b = i % 2, 1 - i % 2
-        n = len(parts[a])
-        stream = b""
-        while len(stream) < 4 * n:
-            stream += hmac.new(tweak, b"%d|%d|" % (i, len(stream)) + repr(parts[b]).encode(), hashlib.sha256).digest()
+        stream = _stream(tweak, f"{i}|{parts[b]!r}", 4 * len(parts[a]))
         parts[a] = [(v + int.from_bytes(stream[4 * j : 4 * j + 4], "big")) % r for j, (v, r) in enumerate(zip(parts[a], sizes[a], strict=True))]
     return parts[0] + parts[1]
 
 
-_CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_CLASSES = (_DIGITS, _LOWER, _UPPER)
+_HEX = "0123456789abcdef"
 
 
-def _shaped(text: str, tweak: bytes, classes: tuple[str, ...] = _CLASSES, fixed: int = 0) -> str:
-    """A string of the same shape: each character of a class becomes one of the class; others, and the first `fixed`, stay."""
-    at = [(i, c, c.index(x)) for i, x in enumerate(text) for c in classes if x in c and i >= fixed]
+def _shaped(text: str, tweak: bytes, classes: tuple[str, ...] = _CLASSES, fixed: tuple[int, ...] | range = ()) -> str:
+    """A string of the same shape: each character of a class becomes one of the class; others, and those at fixed places, stay."""
+    at = [(i, c, c.index(x)) for i, x in enumerate(text) for c in classes if x in c and i not in fixed]
     out = list(text)
     for (i, c, _), v in zip(at, _permuted([v for *_, v in at], [len(c) for _, c, _ in at], tweak), strict=True):
         out[i] = c[v]
     return "".join(out)
 
 
+def _longer(attempt: int, tweak: bytes, entity: str, letters: str) -> str:
+    """What later attempts add, so that no shape is ever too full."""
+    return "".join(letters[b % len(letters)] for b in _stream(tweak, f"longer|{entity}", max(0, attempt - LONGER + 1)))
+
+
+def _address(entity: str, attempt: int, tweak: bytes) -> str:
+    number = int(ipaddress.IPv4Address(entity))
+    inside = lambda x: next(((a, n) for a, n in NETWORKS if x >> (32 - n) == a >> (32 - n)), None)
+    if attempt >= 2 * LONGER:  # no address of this version is left
+        return str(ipaddress.IPv6Address((0x20010DB8 << 96) | int.from_bytes(_stream(tweak, entity, 12), "big")))
+    net = inside(number)
+    if net and attempt >= LONGER and ipaddress.IPv4Address(entity).is_private:
+        net = (10 << 24, 8)
+        number = net[0] | number & 0xFFFFFF
+    base, bits = (net[0], 32 - net[1]) if net else (0, 32)
+    radices = [1 << (bits % 8)] * (bits % 8 > 0) + [256] * (bits // 8)
+    while True:  # walks on until the address is public again
+        low, values = number - base, []
+        for r in reversed(radices):
+            low, v = divmod(low, r)
+            values.insert(0, v)
+        number = 0
+        for v, r in zip(_permuted(values, radices, tweak), radices, strict=True):
+            number = number * r + v
+        number += base
+        if net or inside(number) is None:
+            return str(ipaddress.IPv4Address(number))
+
+
+def _ipv6(entity: str, attempt: int, tweak: bytes) -> str:
+    fixed = 2 if entity[0] == "f" else 1
+    if attempt >= LONGER:
+        digits = entity.replace(":", "")[:fixed] + _stream(tweak, entity, 16).hex()[fixed:]
+        return str(ipaddress.IPv6Address(":".join(digits[i : i + 4] for i in range(0, 32, 4))))
+    first = {i for i, c in enumerate(entity) if c != ":" and (i == 0 or entity[i - 1] == ":")}
+    lead = "".join("x" if i in first and c != "0" else c for i, c in enumerate(entity))
+    rest = _shaped(lead, tweak, (_HEX,), range(fixed))
+    heads = _shaped("".join(c for i, c in enumerate(entity) if lead[i] == "x"), tweak + rest.encode(), (_HEX[1:],), (0,) if 0 in first else ())
+    heads = iter(heads)
+    # A group that is 0 stays 0, so that the written form keeps its length.
+    return "".join(next(heads) if lead[i] == "x" else c if i in first else rest[i] for i, c in enumerate(entity))
+
+
+@lru_cache(maxsize=256)
+def _block(c: str) -> str:
+    """Letters of the same script and category around c."""
+    at = ord(c)
+    low, high = (0x4E00, 0xA000) if 0x4E00 <= at < 0xA000 else (0xAC00, 0xD7A4) if 0xAC00 <= at < 0xD7A4 else (at & ~0xFF, (at & ~0xFF) + 0x100)
+    said = unicodedata.name(c, "none").split(" ")[0]
+    return "".join(x for x in map(chr, range(low, high)) if unicodedata.category(x) == unicodedata.category(c) and unicodedata.name(x, "").split(" ")[0] == said)
+
+
+def _syllables(number: int, n: int, letters: tuple) -> str:
+    """n syllables, told by the number; the last one ends in a consonant, so that they can be told apart."""
+    first, vowels, last, _ = letters
+    out = ""
+    for i in range(n):
+        number, a = divmod(number, len(first))
+        number, b = divmod(number, len(vowels))
+        number, c = divmod(number, len(last) + (i < n - 1))
+        out += first[a] + vowels[b] + last[c : c + 1]
+    return out
+
+
+def _name(kind: str, entity: str, attempt: int, tweak: bytes) -> str:
+    wanted = script(entity)
+    if wanted not in LETTERS:
+        classes = tuple(dict.fromkeys(_block(c) for c in entity if c.isalpha()))
+        extra = next((c for c in classes if c), _LOWER)
+        return _shaped(entity, tweak, classes) + _longer(attempt, tweak, entity, extra)
+    out = []
+    for i, part in enumerate(entity.split("-")):
+        size = attempt + (2 if kind.startswith("given") else 3)
+        made = _syllables(int.from_bytes(_stream(tweak, f"{i}|{entity}", 2 * size + 8), "big"), size, LETTERS[wanted])
+        if kind.startswith("given"):
+            made += LETTERS[wanted][3][kind[-1]]
+        elif wanted == "cyrillic":
+            made += "ова" if part[-1:] in ("а", "я") else "ов"
+        elif wanted == "greek":
+            made += "ου" if part[-1:] in ("υ", "α", "η", "ά", "ή", "ύ") else "ης"
+        out.append(made)
+    return "-".join(out)
+
+
 def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY) -> str:
-    """The surrogate of an entity: for phone and account its digits, for the others as it is written."""
-    tweak = hmac.new(key, f"{kind}|{attempt}".encode(), hashlib.sha256).digest()
+    """The surrogate of an entity, in the entity's own form (see `_entity`)."""
+    tweak = hmac.new(key, f"{kind.split('-')[0]}|{attempt}".encode(), hashlib.sha256).digest()
+    more = lambda letters: _longer(attempt, tweak, entity, letters)
     if kind == "email":
         local, domain = entity.rsplit("@", 1)
         labels = domain.split(".")
         # The provider's name varies with the local part, the last label stays.
-        return _shaped(f"{local}@{'.'.join(labels[:-1])}", tweak) + "." + labels[-1]
+        local, rest = _shaped(f"{local}@{'.'.join(labels[:-1])}", tweak).split("@")
+        return f"{local}{more(_LOWER)}@{rest}.{labels[-1]}"
     if kind == "ip":
-        return ".".join(map(str, _permuted([int(x) for x in entity.split(".")], [256] * 4, tweak)))
+        return _address(entity, attempt, tweak)
+    if kind == "ipv6":
+        return _ipv6(entity, attempt, tweak)
     if kind == "phone":
-        return _shaped(entity, tweak, fixed=max(0, len(entity) - 10))
+        if entity[0] == "+":  # a country code of unknown length
+            return _shaped(entity, tweak, fixed=range(3)) + more(_DIGITS)
+        rest = _shaped(entity[1:], tweak)
+        return _shaped(entity[0], tweak + rest.encode(), (_DIGITS[1:],)) + rest + more(_DIGITS)
     if kind == "account":
         if luhn(entity[:-1]) == int(entity[-1]):
-            body = _shaped(entity[:-1], tweak)
+            body = _shaped(entity[:-1], tweak) + more(_DIGITS)
             return body + str(luhn(body))
-        return _shaped(entity, tweak)
-    if kind in ("ssn", "iban"):
-        return _shaped(entity, tweak, fixed=2 if kind == "iban" else 0)  # an account stays in its country
-    if kind in ("mac", "ipv6"):
-        return _shaped(entity, tweak, ("0123456789abcdef",))
+        return _shaped(entity, tweak) + more(_DIGITS)
+    if kind == "ssn":
+        valid = lambda s: s[:3] not in ("000", "666") and s[0] != "9" and s[4:6] != "00" and s[7:11] != "0000"
+        now = _shaped(entity, tweak)
+        while valid(now) != valid(entity):
+            now = _shaped(now, tweak)
+        return now + more(_DIGITS)
+    if kind == "iban":  # an account stays in its country
+        country, check, account = entity[:2], entity[2:4], entity[4:]
+        if mod97(country, account) == check:
+            account = _shaped(account, tweak) + more(_DIGITS)
+            return country + mod97(country, account) + account
+        return _shaped(entity, tweak, fixed=range(2)) + more(_DIGITS)
+    if kind == "mac":
+        return _shaped(entity, tweak, (_HEX,), (1,)) + "".join(f"{ord(c):02x}" for c in more(_LOWER))
     if kind == "secret":
-        hexadecimal = ("0123456789abcdef",) if re.fullmatch("[0-9a-f]+", entity) else ("0123456789ABCDEF",) if re.fullmatch("[0-9A-F]+", entity) else _CLASSES
-        prefix = re.match("AKIA|ASIA|gh[pousr]_|sk-", entity)
-        return _shaped(entity, tweak, hexadecimal, fixed=prefix.end() if prefix else 0)
-    wanted, words = script(entity), entity.split(" ")
-    number = int.from_bytes(hmac.new(tweak, entity.encode(), hashlib.sha256).digest()[:16], "big")
-    number, k = divmod(number, len(given := GIVEN[wanted, kind[-1]]))
-    family = ""
-    for _ in range(3 + attempt // 2):  # a longer name where many are taken
-        number, i = divmod(number, len(SYLLABLES[wanted]))
-        family += SYLLABLES[wanted][i]
-    return f"{given[k]} {family.capitalize()}" if len(words) > 1 else family.capitalize()
+        classes = (_HEX,) if re.fullmatch("[0-9a-f]+", entity) else (_HEX.upper(),) if re.fullmatch("[0-9A-F]+", entity) else _CLASSES
+        prefix = re.match("AKIA|ASIA|gh[pousr]_|sk-|eyJ", entity)
+        return _shaped(entity, tweak, classes, range(prefix.end() if prefix else 0)) + more(classes[0] if len(classes) == 1 else _UPPER)
+    return _name(kind, entity, attempt, tweak)
 
 
 def written(found: str, kind: str, replacement: str) -> str:
-    """The surrogate in the format of the mention: its separators, or its letters' case."""
+    """The surrogate in the format of the mention: its separators, and its letters' case."""
     if kind in ("phone", "account"):
-        digits = iter(replacement)
-        return "".join(next(digits) if c.isdigit() else c for c in found)
+        keep = sum(c in _DIGITS for c in found) - 10 if kind == "phone" else 0
+        out, left = [], list(replacement.lstrip("+"))
+        for c in found:
+            if c in _DIGITS and keep > 0:
+                keep -= 1
+            elif c in _DIGITS:
+                c = left.pop(0)
+            out.append(c)
+        return "".join(out + left)
     if kind == "iban":
-        signs = iter(replacement)
-        return "".join(" " if c == " " else next(signs) for c in found)
-    if kind in ("email", "mac", "ipv6"):
-        return "".join(r.upper() if f.isupper() else r for f, r in zip(found, replacement, strict=True))
+        signs = list(replacement)
+        return "".join([" " if c == " " else signs.pop(0) for c in found] + signs)
+    if kind == "email":
+        local, at = replacement.rsplit("@", 1)[0], found.rfind("@")
+        cased = "".join(r.upper() if f.isupper() else r for f, r in zip(found[:at], local, strict=False)) + local[at:]
+        rest = replacement[len(local) :]
+        return cased + ("".join(r.upper() if f.isupper() else r for f, r in zip(found[at:], rest, strict=True)) if len(rest) == len(found) - at else rest)
+    if kind == "mac":
+        pairs = found[2].join(replacement[i : i + 2] for i in range(0, len(replacement), 2))
+        return pairs.upper() if found.upper() == found else pairs
+    if kind == "ipv6":
+        return replacement.upper() if found.upper() == found else replacement
+    if kind == "family" or kind.startswith("given"):
+        if len(found) > 1 and found.isupper():
+            return replacement.upper()
+        ends = re.sub("σ$|σ(?=-)", "ς", replacement)
+        return "-".join(x[:1].upper() + x[1:] for x in ends.split("-"))
     return replacement
 
 
 def replaced(text: str | None, attempts: dict[tuple[str, str], int], key: bytes = KEY, seen: dict | None = None) -> tuple[str | None, int]:
-    """The text with surrogates, and the number of mentions."""
+    """The text with surrogates, and the number of mentions (a given and a family name are one each)."""
     out, end, n = [], 0, 0
     seen = {} if seen is None else seen
     for begin, stop, kind, entity in entities(text or ""):
         new = seen.get((kind, entity))
         if new is None:
-            new = seen[kind, entity] = surrogate(kind, entity, attempts.get((kind, entity), 0), key)
+            new = seen[kind, entity] = surrogate(kind, entity, attempts.get((kind.split("-")[0], entity), 0), key)
         out += [text[end:begin], written(text[begin:stop], kind, new)]
         end, n = stop, n + 1
     return ("".join(out) + text[end:], n) if n else (text, 0)
 
 
 _found = batches({"kind": pa.string(), "entity": pa.string()})
-_drawn = batches({"kind": pa.string(), "entity": pa.string(), "attempt": pa.int64(), "new": pa.string()})
+_drawn = batches({"kind": pa.string(), "entity": pa.string(), "attempt": pa.int64(), "space": pa.string(), "new": pa.string()})
+#: Kinds that must not meet each other's surrogates share a space.
+SPACES = {"given": "name", "family": "name", "ipv6": "ip"}
 
 
 def distinct_entities(docs: DataFrame) -> DataFrame:
     """kind and entity, each once: tasks hand on what is distinct in a batch."""
 
     def find(parts):
-        for batch in parts:
-            found = {(kind, entity) for text in batch.column(0).to_pylist() for *_, kind, entity in entities(text)}
+        for batch in pieces(parts):
+            found = {(kind.split("-")[0], entity) for text in batch.column(0).to_pylist() for *_, kind, entity in entities(text)}
             yield _found({"kind": [k for k, _ in found], "entity": [e for _, e in found]})
 
     return docs.select("text").mapInArrow(find, "kind string, entity string").distinct()
 
 
 def draw(entities_: DataFrame, key: bytes = KEY) -> DataFrame:
-    """Adds the surrogate of the row's attempt."""
+    """kind, entity, attempt, space and new: the surrogate of the row's attempt, of given names one for each gender."""
 
     def make(parts):
-        for batch in parts:
-            kinds, names, attempts = (c.to_pylist() for c in batch.columns)
-            yield _drawn({"kind": kinds, "entity": names, "attempt": attempts, "new": [surrogate(*x, key) for x in zip(kinds, names, attempts, strict=True)]})
+        for batch in pieces(parts):
+            rows = []
+            for kind, entity, attempt in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for form in ("given-f", "given-m", "given-n") if kind == "given" else (kind,):
+                    rows.append((kind, entity, attempt, SPACES.get(kind, kind), surrogate(form, entity, attempt, key)))
+            yield _drawn(dict(zip(("kind", "entity", "attempt", "space", "new"), map(list, zip(*rows, strict=True)), strict=True)) if rows else dict.fromkeys(("kind", "entity", "attempt", "space", "new"), []))
+
+    rows = entities_.select("kind", "entity", "attempt")
+    rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, "entity")
+    return rows.mapInArrow(make, "kind string, entity string, attempt long, space string, new string")
+
 
-    return entities_.select("kind", "entity", "attempt").mapInArrow(make, "kind string, entity string, attempt long, new string")
+def _clashing(drawn: DataFrame, taken: DataFrame) -> DataFrame:
+    """kind, entity and attempt of what was drawn and is taken, or drawn for several (all but the first of them)."""
+    taken = taken.select(F.col("space").alias("_space"), F.col("new").alias("_new"))
+    hit = drawn.join(taken, (F.col("space") == F.col("_space")) & (F.col("new") == F.col("_new"))).select("kind", "entity", "attempt")
+    first = drawn.groupBy("space", "new").agg(F.min(F.struct("entity", "kind")).alias("holder"), F.max(F.struct("entity", "kind")).alias("other")).where("holder <> other")
+    first = first.select(F.col("space").alias("_space"), F.col("new").alias("_new"), "holder")
+    lost = drawn.join(first, (F.col("space") == F.col("_space")) & (F.col("new") == F.col("_new"))).where(F.struct("entity", "kind") != F.col("holder"))
+    return hit.unionByName(lost.select("kind", "entity", "attempt")).distinct()
 
 
 def exceptions(found: DataFrame, key: bytes = KEY) -> DataFrame:
     """kind, entity and attempt of the entities that the first draw does not serve.
 
-    A surrogate is taken by the holder with the smallest (attempt, entity); names are compared without gender, and with
-    their kind for all else. Those that lose, or hit a real entity, draw again.
+    Only what clashes is drawn again, and held against the real entities and all that was drawn before. From the third
+    attempt on each one makes surrogates longer, so every entity is served in the end.
     """
-    family = F.substring_index("kind", "-", 1)
-    real = found.select(family.alias("family"), F.col("entity").alias("real")).distinct()
+    space = F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in SPACES.items()], F.col("kind"))
+    real = found.select(space.alias("space"), F.col("entity").alias("new"))
     drawn = settle(draw(found.withColumn("attempt", F.lit(0).cast("long")), key), "surrogates")
-    for _ in range(ATTEMPTS):
-        ranked = drawn.withColumn("family", family)
-        first = ranked.groupBy("family", "new").agg(F.min(F.struct("attempt", "entity", "kind")).alias("holder"), F.count("*").alias("n"))
-        shared = first.where("n > 1").select(F.col("family").alias("_family"), F.col("new").alias("_new"), "holder")
-        lost = ranked.join(shared, (F.col("family") == F.col("_family")) & (F.col("new") == F.col("_new")))
-        lost = lost.where((F.col("holder.entity") != F.col("entity")) | (F.col("holder.kind") != F.col("kind"))).select("kind", "entity")
-        hit = ranked.join(real.select(F.col("family").alias("_family"), "real"), (F.col("family") == F.col("_family")) & (F.col("new") == F.col("real"))).select("kind", "entity")
-        again = settle(lost.unionByName(hit).distinct(), "drawn-again")
-        if again.isEmpty():
-            return drawn.where("attempt > 0").select("kind", "entity", "attempt")
-        kept = drawn.join(again, ["kind", "entity"], "left_anti")
-        next_ = draw(drawn.join(again, ["kind", "entity"], "left_semi").withColumn("attempt", F.col("attempt") + 1), key)
-        drawn = settle(kept.unionByName(next_), "surrogates")
-    raise RuntimeError(f"surrogates still clash after {ATTEMPTS} attempts")
+    taken, again = [real, drawn.select("space", "new")], []
+    lost = settle(_clashing(drawn, real), "clashes")
+    while not lost.isEmpty():
+        drawn = settle(draw(lost.withColumn("attempt", F.col("attempt") + 1), key), "surrogates")
+        lost = settle(_clashing(drawn, reduce(DataFrame.unionByName, taken)), "clashes")
+        taken.append(drawn.select("space", "new"))
+        again.append(drawn.select("kind", "entity", "attempt"))
+    if not again:
+        return found.select("kind", "entity", F.lit(0).cast("long").alias("attempt")).limit(0)
+    return reduce(DataFrame.unionByName, again).groupBy("kind", "entity").agg(F.max("attempt").alias("attempt"))
 
 
 def _surrogated(docs: DataFrame, key: bytes, broadcast_exceptions: int) -> DataFrame:
     """_row, the text with surrogates and n_entities of each row of docs."""
     spark = docs.sparkSession
-    bounded_batches(spark)
-    again = exceptions(settle(distinct_entities(docs), "entities"), key)
+    again = settle(exceptions(settle(distinct_entities(docs), "entities"), key), "exceptions")
     rows = wrapped(docs, "text")
     if again.count() <= broadcast_exceptions:
         table = spark.sparkContext.broadcast({(r["kind"], r["entity"]): r["attempt"] for r in again.collect()})
@@ -291,8 +479,8 @@ def _with_own_exceptions(rows: DataFrame, again: DataFrame) -> DataFrame:
     digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
 
     def find(parts):
-        for batch in parts:
-            found = [(d, kind, entity) for d, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for kind, entity in {x[2:] for x in entities(text)}]
+        for batch in pieces(parts):
+            found = [(d, kind, entity) for d, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for kind, entity in {(k.split("-")[0], e) for *_, k, e in entities(text)}]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in range(3)], names=["digest", "kind", "entity"])
 
     mentions = rows.select(digest.alias("digest"), "text").mapInArrow(find, "digest string, kind string, entity string").distinct()
@@ -302,7 +490,7 @@ def _with_own_exceptions(rows: DataFrame, again: DataFrame) -> DataFrame:
 
 def _replace(rows: DataFrame, attempts, key: bytes) -> DataFrame:
     def work(parts):
-        for batch in parts:
+        for batch in pieces(parts):
             seen: dict = {}
             done = []
             own = attempts(batch)

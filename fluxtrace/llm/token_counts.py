@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batches, bounded_batches, plain, plain_words, settle
+from .common import as_bytes, batches, pieces, plain, plain_words, settle
 
 OVER = 2048
 #: Broadcast pre-tokens, at most so many and each at most so many bytes: a few MB whatever the input.
@@ -59,7 +59,7 @@ def frequencies(docs: DataFrame) -> DataFrame:
 
     def count(parts):
         total: Counter = Counter()
-        for batch in parts:
+        for batch in pieces(parts):
             for text in as_bytes(batch.column(0)):
                 total.update(plain_words(text))
                 if len(total) > FLUSH:
@@ -82,7 +82,7 @@ def piece_counts(vocabulary: DataFrame, tokenizer_file: str) -> DataFrame:
         tokenizer = Tokenizer.from_file(tokenizer_file)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        for batch in parts:
+        for batch in pieces(parts):
             words = batch.column(0).to_pylist()
             sizes: list[int] = []
             for i in range(0, len(words), 500):
@@ -103,14 +103,13 @@ def frequent(vocabulary: DataFrame, head: int) -> DataFrame:
 def token_counts(docs: DataFrame, tokenizer_file: str, *, over: int = OVER, head: int = HEAD) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every row of docs."""
     spark = docs.sparkSession
-    bounded_batches(spark, 400)
     docs = plain(docs, "doc_id", "text")
     vocabulary = settle(piece_counts(frequencies(docs), tokenizer_file), "pretokens")
     known = spark.sparkContext.broadcast({bytes(r["pretoken"]): r["pieces"] for r in frequent(vocabulary, head).collect()})
 
     def split(parts):
         get = known.value.get
-        for batch in parts:
+        for batch in pieces(parts):
             docs_, keys, sizes, sums, words, counts = [], [], [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
                 key = xxhash.xxh3_64_intdigest(text or b"") - (1 << 63)
