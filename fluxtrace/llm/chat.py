@@ -9,8 +9,10 @@ A turn is rendered between control strings, a role at a time:
 
 Each rendered turn is parsed again by a deterministic parser. If the turn that comes back differs from the source, the
 conflicting content is escaped (a backslash before a control string, backslashes before one doubled) and the turn is
-parsed again, until both are identical. Turns end at their closing control string, so a conversation is the turns in
-order, and a conversation of any length is formatted and read back as a stream.
+parsed again, until both are identical. Turns end at their closing control string, so a conversation is the text of its
+turns in order; that text is parsed whole, without knowledge of where turns begin, and all turns are compared with the
+source. A conversation is one text; a very long one comes in parts that end where a turn does, so it is formatted and read
+back as a stream. Parsing takes linear time whatever the text holds.
 
 Edge cases: null text and null role are empty; turns are ordered by turn (nulls first), then role and text, so ties have
 one order; repeated rows are repeated turns; a null conv_id is a conversation of its own; an empty table gives an empty
@@ -33,8 +35,7 @@ from .common import batches, pieces, plain
 MARKS = {"user": ("[INST]", "[/INST]"), "assistant": ("[ANS]", "</s>"), "system": ("<<SYS>>", "<</SYS>>")}
 CONTROLS = ("[INST]", "[/INST]", "[ANS]", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "[TURN ", "[/TURN]")
 
-_CONTROL = "|".join(re.escape(c) for c in CONTROLS)
-_ESCAPE = re.compile(rf"(\\*)({_CONTROL})")
+_CONTROL = re.compile("|".join(re.escape(c) for c in CONTROLS))
 _OPEN = re.compile(r"\[INST\] |\[ANS\] |<<SYS>> |\[TURN ([^\] ]*)\] ")
 _CLOSES = {"[INST] ": "[/INST]", "[ANS] ": "</s>", "<<SYS>> ": "<</SYS>>"}
 _ROLES = {"[INST] ": "user", "[ANS] ": "assistant", "<<SYS>> ": "system"}
@@ -44,12 +45,30 @@ class Malformed(ValueError):
     """Text that the grammar does not derive."""
 
 
+def _controls(text: str, at: int = 0):
+    """Control strings from `at` on: where the backslashes before each begin, and where it begins and ends itself."""
+    for m in _CONTROL.finditer(text, at):
+        begin = m.start()
+        while begin > at and text[begin - 1] == "\\":
+            begin -= 1
+        yield begin, *m.span()
+        at = m.end()
+
+
+def _rewritten(text: str, backslashes) -> str:
+    out, end = [], 0
+    for begin, at, stop in _controls(text):
+        out += [text[end:begin], "\\" * backslashes(at - begin), text[at:stop]]
+        end = stop
+    return "".join(out) + text[end:] if out else text
+
+
 def escape(text: str) -> str:
-    return _ESCAPE.sub(lambda m: m[1] * 2 + "\\" + m[2], text)
+    return _rewritten(text, lambda n: 2 * n + 1)
 
 
 def unescape(text: str) -> str:
-    return _ESCAPE.sub(lambda m: "\\" * (len(m[1]) // 2) + m[2], text)
+    return _rewritten(text, lambda n: n // 2)
 
 
 def parse_turn(formatted: str, at: int = 0) -> tuple[str, str, int, int, int]:
@@ -58,15 +77,24 @@ def parse_turn(formatted: str, at: int = 0) -> tuple[str, str, int, int, int]:
         raise Malformed(f"no turn at {at}")
     role = unquote(m[1]) if m[1] is not None else _ROLES[m[0]]
     close = _CLOSES.get(m[0], "[/TURN]")
-    for c in _ESCAPE.finditer(formatted, m.end()):
-        if len(c[1]) % 2 == 0:
-            if c[2] != close or c[1] or formatted[c.start() - 1] != " " or c.start() <= m.end():
-                raise Malformed(f"control string at {c.start()}")
-            body = formatted[m.end() : c.start() - 1]
-            return role, unescape(body), m.end(), c.start() - 1, c.end() + 1
+    for begin, c, stop in _controls(formatted, m.end()):
+        if (c - begin) % 2 == 0:
+            if formatted[c:stop] != close or begin < c or formatted[c - 1] != " " or c <= m.end():
+                raise Malformed(f"control string at {c}")
+            return role, unescape(formatted[m.end() : c - 1]), m.end(), c - 1, stop + 1
     raise Malformed(f"turn at {at} does not end")
 
 
+def parse_conversation(formatted: str):
+    """(role, text, begin, end) of each turn of a text, begin and end of the turn's escaped text in it."""
+    at = 0
+    while at < len(formatted):
+        if at and formatted[at - 1] != "\n":
+            raise Malformed(f"no end of line before {at}")
+        role, text, begin, end, at = parse_turn(formatted, at)
+        yield role, text, begin, end
+
+
 def render_turn(role: str, text: str) -> str:
     """The rendered turn; it parses back to the same role and text."""
     before, after = MARKS.get(role) or (f"[TURN {quote(role, safe='')}]", "[/TURN]")
@@ -84,32 +112,65 @@ def render_turn(role: str, text: str) -> str:
         body = escape(text)
 
 
-_rendered = batches({"conv_id": pa.int64(), "turn": pa.int64(), "role": pa.string(), "formatted": pa.string(), "loss_start": pa.int64(), "loss_end": pa.int64()})
+#: A part of a conversation ends with the turn that reaches so many characters.
+PART = 1 << 20
 
+FORMATTED = "conv_id long, part long, text string, loss array<struct<start:long,end:long>>"
+_span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+_formatted = batches({"conv_id": pa.int64(), "part": pa.int64(), "text": pa.string(), "loss": pa.list_(_span)})
 
-def format_turns(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, role, formatted, and the span of the loss mask in it (null if the turn is not the assistant's)."""
+
+def _checked(turns: list[tuple[str, str]]) -> tuple[str, list[dict]]:
+    """The text of turns, parsed again and compared with them, and the spans of the assistant's escaped texts in it."""
+    text = "".join(render_turn(*t) for t in turns)
+    back = list(parse_conversation(text))
+    if [t[:2] for t in back] != turns:
+        raise Malformed("a conversation does not come back")
+    return text, [{"start": begin, "end": end} for role, _, begin, end in back if role == "assistant"]
+
+
+def format_conversations(conversations: DataFrame, *, part: int = PART) -> DataFrame:
+    """conv_id, part, text and the loss mask (spans of the assistant's texts in it, escaped as they stand there).
+
+    Turns are sorted within their conversation and read as a stream. The parts of a conversation stay in order in one partition.
+    """
+    text = F.coalesce("text", F.lit("")).alias("text")
+    columns = plain(conversations, "conv_id", "turn", "role", "text").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), text)
+    ordered = columns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def render(parts):
+        now, number, size, turns = None, 0, 0, []
         for batch in pieces(parts):
-            conv, turn, roles, texts = (c.to_pylist() for c in batch.columns)
-            roles = [r or "" for r in roles]
-            done = [render_turn(r, t or "") for r, t in zip(roles, texts, strict=True)]
-            spans = [parse_turn(f)[2:4] if r == "assistant" else (None, None) for r, f in zip(roles, done, strict=True)]
-            yield _rendered({"conv_id": conv, "turn": turn, "role": roles, "formatted": done, "loss_start": [s for s, _ in spans], "loss_end": [e for _, e in spans]})
+            rows: list[list] = [[], [], [], []]
+
+            def flush(rows=rows):
+                for column, x in zip(rows, (now[0], number, *_checked(turns)), strict=True):
+                    column.append(x)
+
+            conv, _, roles, texts = (c.to_pylist() for c in batch.columns)
+            for c, r, t in zip(conv, roles, texts, strict=True):
+                if now != (c,) or size >= part:
+                    if turns:
+                        flush()
+                    now, number, size, turns = (c,), number + 1 if now == (c,) else 0, 0, []
+                turns.append((r, t))
+                size += len(t)
+            if rows[0]:
+                yield _formatted(dict(zip(("conv_id", "part", "text", "loss"), rows, strict=True)))
+        if turns:
+            text, loss = _checked(turns)
+            yield _formatted({"conv_id": [now[0]], "part": [number], "text": [text], "loss": [loss]})
 
-    columns = plain(conversations, "conv_id", "turn", "role", "text").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-    return columns.mapInArrow(render, "conv_id long, turn long, role string, formatted string, loss_start long, loss_end long")
+    return ordered.mapInArrow(render, FORMATTED)
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 _digest = batches({"conv_id": pa.int64(), "n_turns": pa.int64(), "turns_sha256": pa.string(), "loss_chars": pa.int64(), "loss_sha256": pa.string(), "formatted_chars": pa.int64()})
 
 
-def read_back(turns: DataFrame) -> DataFrame:
-    """A row for each conversation, from the formatted turns alone: they are sorted and read as a stream, one turn in memory at a time."""
-    ordered = turns.select("conv_id", "turn", "role", "formatted", "loss_start", "loss_end").repartition("conv_id")
-    ordered = ordered.sortWithinPartitions("conv_id", "turn", "role", "formatted")
+def read_back(formatted: DataFrame) -> DataFrame:
+    """A row for each conversation, from the formatted texts and their loss masks alone, which must come as `format_conversations`
+    leaves them: the parts of a conversation in order, in one partition."""
 
     def digest(parts):
         now, state = None, None
@@ -119,26 +180,26 @@ def read_back(turns: DataFrame) -> DataFrame:
 
         for batch in pieces(parts):
             rows = []
-            conv, _, _, formatted, starts, ends = (c.to_pylist() for c in batch.columns)
-            for c, f, s, e in zip(conv, formatted, starts, ends, strict=True):
+            conv, _, texts, losses = (c.to_pylist() for c in batch.columns)
+            for c, formatted, loss in zip(conv, texts, losses, strict=True):
                 if now != (c,):
                     if now is not None:
                         rows.append(row())
                     now, state = (c,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, text, *_ = parse_turn(f)
-                state[0] += 1
-                state[1].update(f"{role}\n{text}\n".encode())
-                if s is not None:
-                    masked = unescape(f[s:e])
+                for role, text, *_ in parse_conversation(formatted):
+                    state[0] += 1
+                    state[1].update(f"{role}\n{text}\n".encode())
+                for span in loss:
+                    masked = unescape(formatted[span["start"] : span["end"]])
                     state[2] += len(masked)
                     state[3].update(masked.encode())
-                state[4] += len(f)
+                state[4] += len(formatted)
             if rows:
                 yield _digest(dict(zip(_names, map(list, zip(*rows, strict=True)), strict=True)))
         if now is not None:
             yield _digest(dict(zip(_names, [[x] for x in row()], strict=True)))
 
-    return ordered.mapInArrow(digest, DIGEST)
+    return formatted.select("conv_id", "part", "text", "loss").mapInArrow(digest, DIGEST)
 
 
 _names = [x.split()[0] for x in DIGEST.split(", ")]

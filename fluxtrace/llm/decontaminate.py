@@ -36,8 +36,11 @@ class Index:
     """The windows of some items by length and hash."""
 
     def __init__(self, items: list[tuple[int | None, bytes]], window: int = WINDOW):
-        self.ids = ["" if item is None else str(item) for item, _ in items]
-        self.words = [folded_words(text) for _, text in items]
+        by_text: dict[bytes, set[str]] = defaultdict(set)
+        for item, text in items:
+            by_text[text].add("" if item is None else str(item))
+        self.ids = list(by_text.values())
+        self.words = [folded_words(text) for text in by_text]
         hashes = WordHashes(seed=7, most=1 << 62)
         self.vocabulary = {w: hashes[w] for words in self.words for w in words}
         by_length: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
@@ -58,7 +61,7 @@ class Index:
         for size, seen, at in self.windows:
             r = rolling(h, size)
             for p in np.flatnonzero(seen[(r >> np.uint64(44)).astype(np.int64)]).tolist() if len(r) else ():
-                ids = {self.ids[k] for k, i in at.get(int(r[p]), ()) if self.words[k][i : i + size] == words[p : p + size]}
+                ids = set().union(*(self.ids[k] for k, i in at.get(int(r[p]), ()) if self.words[k][i : i + size] == words[p : p + size]))
                 if ids:
                     found.append((p, size, ids))
         return found
@@ -76,11 +79,12 @@ def _flat(column) -> tuple[list[bytes], list[int]]:
 
 
 def _slices(benchmark: DataFrame, limit: int) -> list[DataFrame]:
-    """The items in slices of bounded size, by hash of the text: one slice for all but very large benchmarks."""
-    items = plain(benchmark, "item_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    """The distinct items in slices of bounded size, by hash of id and text, so that neither repeated items nor a text with
+    many ids make a large one: one slice for all but very large benchmarks."""
+    items = plain(benchmark, "item_id", "text").withColumn("text", F.coalesce("text", F.lit(""))).distinct()
+    size = items.agg(F.sum(F.octet_length("text") + 16).alias("n")).first()["n"] or 0
     n = -(-2 * size // limit) if size > limit else 1
-    return [items if n == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k) for k in range(n)]
+    return [items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
 
 
 def _judged(docs: DataFrame, benchmark: DataFrame, window: int, share: int, slice_bytes: int) -> DataFrame:

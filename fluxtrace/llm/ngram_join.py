@@ -39,7 +39,7 @@ GRAM, NUMERATOR, DENOMINATOR = 5, 4, 5  # similarity of at least 4/5
 VALUES, BANDS, STEP = 128, 32, 16
 TOLERANCE = 1e-6
 #: Most representatives of a bucket, and of a cluster, in one block.
-BUCKET_BLOCK, CLUSTER_BLOCK = 2048, 512
+BUCKET_BLOCK, CLUSTER_BLOCK = 512, 512
 #: Columns of a tile of the shingle incidence matrix.
 TILE = 4096
 

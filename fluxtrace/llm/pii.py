@@ -83,16 +83,18 @@ PATTERN = re.compile(
     r"|(?:(?<=[=:] \")|(?<=[=:]\"))(?=[A-Za-z+/_\-]*[0-9])(?=[0-9+/_\-]*[A-Za-z])[A-Za-z0-9+/_\-]{16,200}(?=\"))"
     rf"|(?P<titles>(?<!\w)(?:(?:{_TITLE})\.? |M\. )+)(?:[^\W\d_]\.? ){{0,3}}(?P<name>{_NAME}(?: {_NAME}){{0,2}})"
 )
-# What every text with an entity holds: quick tests that most texts fail.
-_DIGIT = re.compile(r"[0-9][0-9a-fA-F.()\- ]{5}|[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}")
-_COLONS = re.compile(r"(?:[0-9a-fA-F]{0,4}:){2}|(?:[0-9a-fA-F]{2}-){5}")
-_ADDRESSED = re.compile(rf"(?:{_TITLE})\.? |M\. ")
+# What every text with an entity holds: quick tests that most texts fail, each on a rare first character.
+_DIGIT = re.compile(r"[0-9][0-9a-fA-F.()\- ]{5}")
+_COLONS, _DASHES = re.compile(r":[0-9a-fA-F]{0,4}:"), re.compile(r"-[0-9a-fA-F]{2}-[0-9a-fA-F]{2}-")
+_CAPITAL = sorted((t for t in _GENDER if t[0].isupper() and " " not in t), key=len, reverse=True)
+_ADDRESSED = re.compile(rf"(?:{'|'.join(map(re.escape, _CAPITAL))}|M\.)\.? ")
 _QUOTES = ('= "', '="', ': "', ':"')
-_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "eyJ")
+_MARKS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "eyJ", " name is ", "ch heiße ", "e llamo ", "e m'appelle ")
 
 
 def suspicious(text: str) -> bool:
-    return "@" in text or any(x in text for x in _QUOTES) or bool(_DIGIT.search(text)) or bool(_COLONS.search(text)) or any(x in text for x in _PREFIXES) or bool(_ADDRESSED.search(text))
+    tests = (_DIGIT, _ADDRESSED, _COLONS, _DASHES)
+    return "@" in text or any(x in text for x in _QUOTES) or any(x in text for x in _MARKS) or any(t.search(text) for t in tests)
 
 
 def script(name: str) -> str:
@@ -113,9 +115,10 @@ def mod97(country: str, account: str) -> str:
 
 
 def _names(m: re.Match):
-    """(begin, stop, part, name) of the given and family names after a form of address: the last word is the family's."""
+    """(begin, stop, part, name) of the given and family names after a form of address: the last word is the family's. Words in
+    small letters and further forms of address end a name."""
     words = list(re.finditer(r"[^ ]+", m["name"]))
-    sound = [w[0][0].isupper() or unicodedata.category(w[0][0]) == "Lo" for w in words]
+    sound = [(w[0][0].isupper() or unicodedata.category(w[0][0]) == "Lo") and w[0] not in _GENDER for w in words]
     words = words[: sound.index(False)] if False in sound else words
     base = m.start("name")
     for w in words:
@@ -148,16 +151,18 @@ def entities(text: str):
     """(begin, end, kind, entity) of every mention, in order. Kinds of given names end in the gender: f, m or n."""
     if not text or not suspicious(text):
         return
-    out, names = [], {}
-    for m in PATTERN.finditer(text):
-        kind = m.lastgroup
+    out, names, at = [], {}, 0
+    while m := PATTERN.search(text, at):
+        kind, at = m.lastgroup, m.end()
         if kind == "name":
             said = {_GENDER.get(t, "m") for t in re.findall(rf"{_TITLE}|M", m["titles"])}
             gender = "f" if "f" in said else "m" if "m" in said else "n"
+            at = m.start("name")  # what follows the name may be another form of address
             for begin, stop, part, entity in _names(m):
                 was, sex = names.get(entity, (part, "n"))
                 names[entity] = (was, gender if sex == "n" else sex)
                 out.append((begin, stop, "name", entity))
+                at = stop
             continue
         begin, stop = m.span()
         if kind == "email":

@@ -37,7 +37,8 @@ def counters(docs: DataFrame) -> DataFrame:
     """docs (`source`, `text` and perhaps `_row`) with the counters and rules of each text.
 
     n_repeat_words: windows of eight words are hashed; hashes that occur twice are found by sorting; the words of their
-    places are counted once each. Only texts with a repeated window take the second half of that.
+    places are counted once each. A hash has 64 bits and meets only those of its own text, so texts of a million words
+    have two unequal windows of one hash with a probability of 3e-8. Only texts with a repeated window take the second half of that.
     """
     keep = [F.col(c) for c in docs.columns]
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -70,8 +71,7 @@ def counters(docs: DataFrame) -> DataFrame:
         (10 * F.col("n_symbols") > F.col("word_chars")) | (10 * F.col("n_dup_lines") > F.col("n_words"))
         | (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 14 * F.col("n_words"))
     )
-    # A filter on these columns must not be moved below, where each use would repeat the work: the partition's number stops that.
-    return out.select(*ordinary, "n_repeat_words", base.alias("base_failed"), soft.alias("soft_failed"), F.spark_partition_id().alias("_at"))
+    return out.select(*ordinary, "n_repeat_words", base.alias("base_failed"), soft.alias("soft_failed"))
 
 
 def host_rates(counted: DataFrame) -> DataFrame:
@@ -86,21 +86,22 @@ def host_rates(counted: DataFrame) -> DataFrame:
     return hosts.select("source", "n_docs", F.round((F.col("n_failed") + mean * weight) / (F.col("n_docs") + weight), 6).alias("host_rate"))
 
 
-def _judged(docs: DataFrame, host_limit: float) -> DataFrame:
-    rates = host_rates(counters(docs.select("source", "text")))
+def _judged(docs: DataFrame, host_limit: float, texts: bool) -> DataFrame:
+    counted = counters(wrapped(docs, "source", "text"))
+    counted = settle(counted if texts else counted.drop("text"), "counted")
+    rates = host_rates(counted)
     few = rates.count() <= BROADCAST_HOSTS
     rates = rates.select(F.col("source").alias("_host"), "host_rate")
-    counted = counters(wrapped(docs, "source", "text"))
     joined = counted.join(F.broadcast(rates) if few else rates, counted["source"].eqNullSafe(rates["_host"]), "left")
-    kept = ~F.col("base_failed") & ~((F.col("host_rate") > host_limit) & F.col("soft_failed")) & (F.col("_at") >= 0)
-    return joined.withColumn("kept", kept)
+    return joined.withColumn("kept", ~F.col("base_failed") & ~((F.col("host_rate") > host_limit) & F.col("soft_failed")))
 
 
-def judged(docs: DataFrame, *, host_limit: float = HOST_LIMIT) -> DataFrame:
-    """docs with counters, rules, the shrunk rate of the host and `kept`. The texts are read twice and never shuffled for few hosts."""
-    return unwrapped(_judged(docs, host_limit), docs, *COUNTERS, "host_rate", "kept")
+def judged(docs: DataFrame, *, host_limit: float = HOST_LIMIT, texts: bool = True) -> DataFrame:
+    """docs with counters, rules, the shrunk rate of the host and `kept`, without `text` if texts is false. Each text is counted
+    once; the counters are settled and read again for the hosts' rates and for the verdicts."""
+    return unwrapped(_judged(docs, host_limit, texts), docs if texts else docs.drop("text"), *COUNTERS, "host_rate", "kept")
 
 
 def keep_good(docs: DataFrame, *, host_limit: float = HOST_LIMIT) -> DataFrame:
     """The documents that the rules keep, with the columns they came with."""
-    return unwrapped(_judged(docs, host_limit).where("kept"), docs)
+    return unwrapped(_judged(docs, host_limit, True).where("kept"), docs)

@@ -21,8 +21,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = chat.format_turns(chat.with_hostile(read(spark, sf_dir, "conversations")))
-    return chat.read_back(turns)
+    return chat.read_back(chat.format_conversations(chat.with_hostile(read(spark, sf_dir, "conversations"))))
 
 
 def op4_warc_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +34,7 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality.judged(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    out = quality.judged(read(spark, sf_dir, "documents").select("doc_id", "source", "text"), texts=False)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate")
 
 

@@ -23,8 +23,8 @@ also keeps the compressed texts of every batch, which is less than their windows
 earlier calls are compared window by window from them. It lives in a folder and can be opened again. The last batch of a
 call with an index of its own, which no batch follows, leaves no run.
 
-Text that a large share of all documents hold would gather in one task. Minimisers and stretches that are frequent in a
-sample of the documents (lists of bounded length, which change the plan only) are hot: hot stretches are reduced to their
+Text that a large share of all documents hold would gather in one task. Minimisers and stretches that would fill a
+good part of a bucket, by a sample of the documents (lists of bounded length, which change the plan only), are hot: hot stretches are reduced to their
 smallest document in each scan task and judged from a broadcast list in the end, all others of a hot minimiser are dealt by
 fingerprint and count as undecided. Windows are judged by an aggregate and a join, which Spark can split.
 
@@ -156,11 +156,11 @@ def stretch_rows(docs: DataFrame, hot: Hot = Hot()) -> DataFrame:
     return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(find, "k long, s long, doc long")
 
 
-def frequent(docs: DataFrame, *, one_in: int, share: float, most: int) -> Hot:
-    """Minimisers and stretches in more than a share of the documents, told from a sample of them (by hash of the id)."""
+def frequent(docs: DataFrame, *, one_in: int, rows_share: float, most: int) -> Hot:
+    """Minimisers and stretches with more than a share of all rows, told from a sample of the documents (by hash of the id)."""
     some = docs.where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(one_in)) == 0))
     rows = settle(stretch_rows(some), "sample")
-    least = max(LEAST_HOT, int(share * rows.agg(F.count_distinct("doc")).first()[0]))
+    least = max(LEAST_HOT, int(rows_share * rows.count()))
     often = lambda c: rows.groupBy(*c).agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), *c).limit(most).collect()
     k = np.array([r["k"] for r in often(["k"])], np.int64).view(np.uint64)
     # Hot stretches all have a hot minimiser, so that the row of their smallest document is among the undecided.
@@ -389,17 +389,18 @@ def _rewrite(packed: DataFrame, whole: DataFrame, single: DataFrame, hot: tuple[
 
 def remove_repeats(
     docs: DataFrame, *, index: FingerprintIndex | None = None, batch_shares: tuple[float, ...] = BATCHES, texts: bool = True,
-    one_in: int = 64, share: float = 1 / 128, most: int = 50_000,
+    one_in: int = 64, part: float = 0.25, most: int = 50_000,
 ) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, with texts, kept (the words that stay, joined by spaces) of every row.
 
-    index: what earlier calls saw, with smaller ids; these documents are added to it whole. one_in, share, most: the sample
-    that tells hot text, the share of its documents that make text hot, and the length of the lists; results don't depend on them.
+    index: what earlier calls saw, with smaller ids; these documents are added to it whole. one_in, part, most: the sample
+    that tells hot text, the part of a bucket that one minimiser fills if it is hot, and the length of the lists; results don't
+    depend on them.
     """
     docs = plain(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     passed = index is not None
     index = index if passed else FingerprintIndex(docs.sparkSession)
-    index.heat(docs, one_in=one_in, share=share, most=most)
+    index.heat(docs, one_in=one_in, rows_share=part / index.buckets, most=most)
     history, earlier = list(index.texts), [r.select("s", "doc") for r in index.runs]
     cuts = np.cumsum(batch_shares)[:-1].tolist()
     bounds = sorted(set(map(int, docs.where("doc_id is not null").approxQuantile("doc_id", cuts, 0.01)))) if cuts else []

@@ -1,9 +1,9 @@
 """Token counts without token ids: pieces once per distinct pre-token, joined to per-document pre-token frequencies.
 
-A pre-token is a run of characters other than ASCII white space, A-Z lower-cased (unless it may hold a special string),
-with trailing punctuation after an ASCII letter or digit split off. The tokenizer lower-cases, drops white space and
-parts letters from punctuation, so a text has as many tokens as its pre-tokens have together. The library itself counts
-the pieces of each distinct pre-token, special strings included.
+A pre-token is a run of characters other than ASCII white space, with trailing punctuation after an ASCII letter or digit
+split off; A-Z are lower-cased where all of it is ASCII and no special string can be in it. The tokenizer composes
+characters, lower-cases, drops white space and parts letters from punctuation, so a text has as many tokens as its
+pre-tokens have together. The library itself counts the pieces of each distinct pre-token, special strings included.
 
 The most frequent short pre-tokens, a fixed number of them, are broadcast with their counts and summed where the
 texts are read. All others meet their counts in a shuffled join: (row, pre-token, frequency) on one side, the distinct
@@ -44,8 +44,8 @@ def pretokens(words: Counter) -> Counter:
     """Frequencies of pre-tokens from those of words between white space."""
     total: Counter = Counter()
     for word, times in words.items():
-        if b"<|" not in word:
-            word = word.lower()
+        if b"<|" not in word and word.isascii():
+            word = word.lower()  # elsewhere a capital may first be composed with what follows it
         base = word.rstrip(TRAILING)
         if len(base) < len(word) and base[-1:].isalnum():
             total[word[len(base) :]] += times
@@ -93,7 +93,10 @@ def piece_counts(vocabulary: DataFrame, tokenizer_file: str) -> DataFrame:
 
 
 def frequent(vocabulary: DataFrame, head: int) -> DataFrame:
-    """The short pre-tokens above the lowest frequency that at most `head` of them reach: no more rows ever leave the executors."""
+    """The short pre-tokens above the lowest frequency that at most `head` of them reach: no more rows ever leave the executors.
+
+    The window is over distinct frequencies, with one row for each; there are about twice the square root of all words of them at most.
+    """
     short = vocabulary.where(F.length("pretoken") <= HEAD_BYTES)
     upto = F.sum("count").over(W.orderBy(F.desc("times")))
     least = short.groupBy("times").count().withColumn("upto", upto).where(F.col("upto") <= head).agg(F.min("times").alias("times")).first()["times"]
@@ -109,14 +112,14 @@ def token_counts(docs: DataFrame, tokenizer_file: str, *, over: int = OVER, head
 
     def split(parts):
         get = known.value.get
-        for batch in pieces(parts):
+        for batch in pieces(parts, 400):
             docs_, keys, sizes, sums, words, counts = [], [], [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
                 key = xxhash.xxh3_64_intdigest(text or b"") - (1 << 63)
                 total, rest = 0, Counter()
                 for word, times in Counter(plain_words(text)).items():
-                    if (pieces := get(word)) is not None:
-                        total += pieces * times
+                    if (size := get(word)) is not None:
+                        total += size * times
                     else:
                         rest[word] = times
                 rest = pretokens(rest)

@@ -1,13 +1,14 @@
 """Merkle fixity audit of WARC records.
 
-Every record is rendered as WARC and hashed (SHA-256). Records are laid out in the order of their ids; a leaf is a range of
-ids, a node is up to 16 ranges in order, and its hash covers its children's hashes and byte lengths, so each node stands
-for an ordered range of offsets. An audit compares the roots of two replicas, goes down only into nodes that differ, and
-compares record by record only in the leaves that differ: it reports which records were changed, lost or added.
+Every record is rendered as WARC and hashed (SHA-256). Records are laid out in the order of their ids, then digests. A leaf
+is a range of 16 ids, and its hash covers the ids, sizes and digests of its records in that order; a node is up to 16 ranges
+in order, and its hash covers its children's hashes and byte lengths, so each node stands for an ordered range of offsets.
+An audit compares the roots of two replicas, goes down only into nodes that differ, and compares record by record only in
+the leaves that differ: it reports which records were changed, lost or added. Offsets are handed down from the roots along
+the same paths.
 
-A leaf's hash does not need its records together: it is built from sums of the 32-bit parts of their digests (a multiset
-hash), which Spark adds up before any shuffle, so an id that a third of all records share is no group of its own.
-Offsets come from the tree as well: a node's first byte is its parent's plus the lengths of the siblings before it.
+An id may have any number of records, a third of all perhaps. Those with more than 16 get a tree of their own over ranges of
+digests, a digit of the digest a level, and enter their leaf as one hash; ranks within an id are made from counts by range.
 
 Edge cases: a null url or html is empty; a null id has a leaf of its own before all others; repeated records count as
 often as they occur, in order of digest; an empty replica has no root, and then all records of the other are lost or
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import settle
 
 LEAF_IDS, FAN_OUT = 16, 16
-#: The leaf of records without id.
-NO_ID = -(1 << 62)
+#: An id with more records has a tree of its own, over ranges of digests told by so many digits and fewer.
+FEW, DIGITS = 16, 5
 
 
 def rendered(page_id: str = "page_id", url: str = "url", html: str = "html") -> Column:
@@ -40,16 +41,44 @@ def rendered(page_id: str = "page_id", url: str = "url", html: str = "html") ->
 
 
 def manifest(pages: DataFrame) -> DataFrame:
-    """leaf, id, size in bytes and digest of each record, and which of equal ids it is."""
+    """leaf (null without id), id, size in bytes and digest of each record."""
     text = pages.select(F.col("page_id").alias("id"), rendered().alias("r"))
-    return text.select(F.coalesce(F.expr(f"id div {LEAF_IDS} - CASE WHEN id % {LEAF_IDS} < 0 THEN 1 ELSE 0 END"), F.lit(NO_ID)).alias("leaf"), "id", F.octet_length("r").cast("long").alias("size"), F.sha2("r", 256).alias("digest"))
+    return text.select(F.expr(f"id div {LEAF_IDS} - CASE WHEN id % {LEAF_IDS} < 0 THEN 1 ELSE 0 END").alias("leaf"), "id", F.octet_length("r").cast("long").alias("size"), F.sha2("r", 256).alias("digest"))
+
+
+def _ordered(column: str) -> Column:
+    """The hash of a collected list of structs in order."""
+    return F.sha2(F.array_join(F.transform(F.array_sort(column), lambda c: F.concat_ws(":", c["at"], c["size"].cast("string"), c["n"].cast("string"), c["hash"])), "|"), 256)
+
+
+def _hashed(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, size and hash: one row for each group of rows (at, size, n, hash), hashed in the order of `at`."""
+    return rows.groupBy(*keys).agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.collect_list(F.struct("at", "size", "n", "hash")).alias("_rows")).select(*keys, "size", _ordered("_rows").alias("hash"))
+
+
+def _of_many(records: DataFrame) -> DataFrame:
+    """leaf, id, size and hash of ids with many records: a tree over ranges of digests, in order."""
+    prefix = F.substring("at", 1, DIGITS)
+    rows = _hashed(records.withColumn("_up", prefix), "leaf", "id", "_up")
+    for digits in range(DIGITS - 1, -1, -1):
+        rows = rows.select("leaf", "id", F.col("_up").alias("at"), "size", F.lit(1).alias("n"), "hash").withColumn("_up", F.substring("at", 1, digits))
+        rows = _hashed(rows, "leaf", "id", "_up")
+    return rows.select("leaf", "id", "size", "hash")
 
 
 def leaves(records: DataFrame) -> DataFrame:
-    """node, size and hash of each leaf: the hash of its sums."""
-    parts = [F.sum(F.conv(F.substring("digest", 8 * i + 1, 8), 16, 10).cast("long")).alias(f"p{i}") for i in range(8)]
-    sums = records.groupBy("leaf").agg(F.count("*").alias("n"), F.sum("size").alias("size"), *parts)
-    return sums.select(F.col("leaf").alias("node"), "size", F.sha2(F.concat_ws(":", "n", "size", *[f"p{i}" for i in range(8)]), 256).alias("hash"))
+    """node, size and hash of each leaf: of its records in order of id and digest, equal ones counted."""
+    each = records.groupBy("leaf", "id", "digest").agg(F.first("size").alias("size"), F.count("*").alias("n"))
+    each = settle(each.select("leaf", "id", F.col("digest").alias("at"), "size", "n", F.col("digest").alias("hash")), "records")
+    many = settle(each.groupBy("leaf", "id").count().where(F.col("count") > FEW).select(F.col("leaf").alias("_leaf"), F.col("id").alias("_id")), "many")
+    # Sixteen hex digits that sort as the ids do.
+    place = F.lpad(F.hex(F.coalesce("id", F.lit(0)).bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    entry = lambda rows: rows.withColumn("at", F.concat_ws(":", place, "at"))
+    if many.isEmpty():
+        return _hashed(entry(each), "leaf").withColumnRenamed("leaf", "node")
+    on = F.col("leaf").eqNullSafe(F.col("_leaf")) & F.col("id").eqNullSafe(F.col("_id"))
+    own = _of_many(each.join(many, on, "left_semi")).select("leaf", "id", F.lit("").alias("at"), "size", F.lit(1).cast("long").alias("n"), "hash")
+    return _hashed(entry(each.join(many, on, "left_anti").unionByName(own)), "leaf").withColumnRenamed("leaf", "node")
 
 
 def parents(nodes: DataFrame) -> DataFrame:
@@ -91,22 +120,46 @@ def mismatches(one: list[DataFrame], other: list[DataFrame]) -> DataFrame:
     return bad
 
 
-def offsets(levels: list[DataFrame]) -> DataFrame:
-    """node and first byte of each leaf, handed down from the roots: no sort of all leaves."""
-    top = levels[-1]
-    start = top.select("node", (F.coalesce(F.sum("size").over(W.orderBy("node").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).alias("start"))
-    for level in reversed(levels[:-1]):
-        up = F.expr(f"node div {FAN_OUT} - CASE WHEN node % {FAN_OUT} < 0 THEN 1 ELSE 0 END")
+def offsets(levels: list[DataFrame], leaves_: DataFrame) -> DataFrame:
+    """node and first byte of these leaves, handed down from the roots: of each level only nodes with a parent above one of
+    the leaves are read."""
+    up = F.expr(f"node div {FAN_OUT} - CASE WHEN node % {FAN_OUT} < 0 THEN 1 ELSE 0 END")
+    paths = [leaves_.select("node")]
+    for _ in levels[1:]:
+        paths.append(settle(paths[-1].select(up.alias("node")).distinct(), "paths"))
+    start = levels[-1].select("node", (F.coalesce(F.sum("size").over(W.orderBy("node").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).alias("start"))  # two roots at most
+    for level, path in zip(reversed(levels[:-1]), reversed(paths[1:]), strict=True):
+        own = level.withColumn("_up", up).join(path.withColumnRenamed("node", "_path"), F.col("_up") == F.col("_path"), "left_semi")
         before = F.coalesce(F.sum("size").over(W.partitionBy("_up").orderBy("node").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
         start = start.select(F.col("node").alias("_parent"), F.col("start").alias("_start"))
-        start = level.withColumn("_up", up).withColumn("_before", before).join(start, F.col("_up") == F.col("_parent")).select("node", (F.col("_start") + F.col("_before")).alias("start"))
-    return start
+        start = own.withColumn("_before", before).join(start, F.col("_up") == F.col("_parent")).select("node", (F.col("_start") + F.col("_before")).alias("start"))
+    return start.join(leaves_.select(F.col("node").alias("_leaf")), F.col("node") == F.col("_leaf"), "left_semi")
+
+
+def ranked(left: DataFrame) -> DataFrame:
+    """A row for each record of (leaf, id, digest, n, mine) with its rank k in its id and side, by digest. Ranks are made from the
+    counts of 4096 ranges of digests, so no task sorts the records of an id."""
+    rows = left.withColumn("_range", F.substring("digest", 1, 3))
+    keys = ["leaf", "id", "mine", "_range"]
+    earlier = lambda *by: W.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(W.unboundedPreceding, -1)
+    counts = rows.groupBy(*keys).agg(F.sum("n").alias("_n"))
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier(*keys)), F.lit(0))).select(*[F.col(k).alias(f"{k}_") for k in keys], "_before")
+    rows = rows.withColumn("_within", F.coalesce(F.sum("n").over(earlier(*keys, "digest")), F.lit(0)))
+    on = (F.col("leaf") == F.col("leaf_")) & F.col("id").eqNullSafe(F.col("id_")) & (F.col("mine") == F.col("mine_")) & (F.col("_range") == F.col("_range_"))
+    # Copies of one record are counted out in steps, so that no row holds a long list.
+    step = 10_000
+    rows = rows.join(counts, on).withColumn("_step", F.explode(F.expr(f"sequence(0, (n - 1) div {step})")))
+    rows = rows.withColumn("_copy", F.explode(F.expr(f"sequence(_step * {step} + 1, least(n, (_step + 1) * {step}))")))
+    return rows.select("leaf", "id", "digest", "mine", (F.col("_before") + F.col("_within") + F.col("_copy")).alias("k"))
 
 
 def audit(archive: DataFrame, replica: DataFrame) -> DataFrame:
     """page_id, kind (changed, lost or added), leaf, range_start and range_end (bytes of the archive's leaf; null if it has none),
     and the two digests, of each record that differs. Records of one id are matched in order of digest, after equal ones."""
     mine, its = (settle(manifest(x), "manifest") for x in (archive, replica))
+    # Records without id have the leaf before all others of both replicas.
+    low = min(0, *(x.agg(F.min("leaf")).first()[0] or 0 for x in (mine, its))) - 1
+    mine, its = (x.withColumn("leaf", F.coalesce("leaf", F.lit(low).cast("long"))) for x in (mine, its))
     levels = tree(mine)
     bad = mismatches(levels, tree(its))
     rows = []
@@ -114,15 +167,15 @@ def audit(archive: DataFrame, replica: DataFrame) -> DataFrame:
         rows.append(records.join(bad, F.col("leaf") == F.col("node"), "left_semi").select("leaf", "id", "digest", F.lit(side).alias("side")))
     # What both hold is struck out by counting, so only real differences are put in order.
     left = reduce(DataFrame.unionByName, rows).groupBy("leaf", "id", "digest").agg(F.sum("side").alias("more")).where("more <> 0")
-    left = left.withColumn("copy", F.explode(F.expr("sequence(1, abs(more))"))).withColumn("mine", F.col("more") > 0)
-    left = left.withColumn("k", F.row_number().over(W.partitionBy("leaf", "id", "mine").orderBy("digest", "copy")))
+    left = settle(left.select("leaf", "id", "digest", F.abs("more").alias("n"), (F.col("more") > 0).alias("mine")), "differences")
+    left = ranked(left)
     a = left.where("mine").select("leaf", "id", "k", F.col("digest").alias("digest"))
     b = left.where("not mine").select(F.col("leaf").alias("_leaf"), F.col("id").alias("_id"), F.col("k").alias("_k"), F.col("digest").alias("found_digest"))
     both = a.join(b, (F.col("leaf") == F.col("_leaf")) & F.col("id").eqNullSafe(F.col("_id")) & (F.col("k") == F.col("_k")), "full")
     kind = F.when(F.col("found_digest").isNull(), "lost").when(F.col("digest").isNull(), "added").otherwise("changed")
     both = both.select(F.coalesce("id", "_id").alias("page_id"), kind.alias("kind"), F.coalesce("leaf", "_leaf").alias("leaf"), "digest", "found_digest")
     sizes = levels[0].select(F.col("node").alias("_n"), F.col("size").alias("_size"))
-    where = offsets(levels).join(sizes, F.col("node") == F.col("_n")).select(F.col("node").alias("_node"), F.col("start").alias("range_start"), (F.col("start") + F.col("_size")).alias("range_end"))
+    where = offsets(levels, bad).join(sizes, F.col("node") == F.col("_n")).select(F.col("node").alias("_node"), F.col("start").alias("range_start"), (F.col("start") + F.col("_size")).alias("range_end"))
     return both.join(where, F.col("leaf") == F.col("_node"), "left").select("page_id", "kind", "leaf", "range_start", "range_end", "digest", "found_digest")
 
 

@@ -1,8 +1,12 @@
 """Operators against brute force on small tables: what SQL cannot express, and paths that small tables don't reach by themselves."""
 
 import hashlib
+import ipaddress
+import itertools
 import random
 import re
+import time
+import unicodedata
 from collections import Counter, defaultdict
 
 import duckdb
@@ -13,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fluxtrace.llm import chat, decontaminate, licenses, ngram_join, pii, quality, substring_dedup, token_counts
+from fluxtrace.llm import chat, decontaminate, licenses, ngram_join, oracles, pii, quality, substring_dedup, token_counts
 from fluxtrace.llm.common import WordHashes, folded_words, plain_words
 from fluxtrace.llm.queries import QUERIES
 from tests.llm.test_edges import SCHEMA, benchmark, documents, tokenizer
@@ -50,33 +54,69 @@ def test_license_places(spark, data):
         assert 0 <= r["score"] <= 1
 
 
-def expansions(template):
-    """All texts of a template, variable words as `any`."""
-    out = [""]
-    for mark, low, high, word in re.findall(r"<<(/?opt|var (\d+)-(\d+))>>|([^\s<]+)", template):
-        if mark == "opt":
-            saved = list(out)
-        elif mark == "/opt":
-            out = out + saved
-        elif mark:
-            out = [o + " any" * k for o in out for k in range(int(low), int(high) + 1)]
-        else:
-            out = [f"{o} {word}" for o in out]
-    return out
-
-
-@pytest.mark.parametrize("label", sorted(licenses.TEMPLATES))
-def test_templates_accept_their_texts_and_no_others(label):
-    automaton = licenses.Automaton(label, licenses.TEMPLATES[label])
-    for text in expansions(licenses.TEMPLATES[label])[:60]:
-        words = folded_words(f"before {text} after".encode())
-        joined = b" " + b" ".join(words) + b" "
-        assert automaton.places(joined, words) == [1]
-        anchor = len(automaton.anchor.split())
-        if len(words) > anchor + 3 and b"any" not in words:
-            broken = words[:-2] + [b"else"] + words[-1:]
-            if automaton.last not in automaton.closed[0]:
-                assert not automaton.accepts(broken[: len(words) - 1], 1) or len(expansions(licenses.TEMPLATES[label])) > 1
+def expanded(template, rng):
+    """A random text of a template."""
+
+    def region(at, take):
+        out = []
+        while at < len(parts) and parts[at] != "<</opt>>":
+            part = parts[at]
+            if part == "<<opt>>":
+                inner, at = region(at + 1, rng.random() < 0.5)
+                out += inner
+            elif part.startswith("<<"):
+                low, high = map(int, re.findall(r"\d+", part))
+                out += rng.choices(["any", "x", "the", "license"], k=rng.randint(low, high))
+            else:
+                out.append(part)
+            at += 1
+        return out if take else [], at
+
+    parts = re.findall(r"<<[^>]*>>|[^\s<]+", template)
+    return region(0, True)[0]
+
+
+OWN_TEMPLATES = {
+    "nested": "alpha <<opt>>beta <<opt>>gamma<</opt>> delta <<opt>>eps <<var 1-2>><</opt>><</opt>> omega",
+    "leading": "<<var 0-3>> alpha beta <<opt>>gamma<</opt>> omega",
+    "leading-opt": "<<opt>>by <<opt>>the<</opt>><</opt>> alpha beta <<var 2-3>> omega",
+    "trailing": "alpha beta <<opt>>gamma<</opt>>",
+}
+
+
+@pytest.mark.parametrize("label", sorted(licenses.TEMPLATES | OWN_TEMPLATES))
+def test_automata_are_regular_expressions(label):
+    template = (licenses.TEMPLATES | OWN_TEMPLATES)[label]
+    automaton, pattern, rng = licenses.Automaton(label, template), re.compile(oracles._template(template)), random.Random(label)
+    accepted = 0
+    for k in range(120):
+        words = " ".join(expanded(template, rng)).replace(".", " ").split()
+        for _ in range(k % 3):  # most of these have other wording than the template
+            i = rng.randrange(len(words))
+            words[i : i + 1] = rng.choice([[], ["else"], [words[i], words[i]], [words[i], "any"]])
+        text = ["before"] * rng.randrange(3) + words + ["after"] * rng.randrange(2)
+        joined = f" {' '.join(text)} "
+        got = automaton.places(joined.encode(), [w.encode() for w in text])
+        assert bool(got) == bool(pattern.search(joined)), text
+        assert all(pattern.match(" " + " ".join(text[i:]) + " ") for i in got)
+        accepted += bool(got)
+    assert 40 <= accepted < 120
+
+
+def test_bad_templates():
+    for template in ("<<opt>>a", "a <</opt>>", "<<opt>>a<</opt>>", "<<var 0-2>>", ""):
+        with pytest.raises(ValueError):
+            licenses.Automaton("bad", template)
+
+
+def test_long_texts_take_linear_time():
+    base, others = [(licenses.Automaton(p, p), label) for p, label in licenses.BASE.items()], licenses.compiled()
+    began = time.perf_counter()
+    assert licenses.scan_text(b"cc by nc " * 400_000, base, others)[1] == 400_000
+    assert chat.parse_turn(chat.render_turn("user", "\\" * 1_000_000))[1] == "\\" * 1_000_000
+    hostile = "\\\\[/INST]" * 200_000
+    assert chat.parse_turn(chat.render_turn("user", hostile))[1] == hostile
+    assert time.perf_counter() - began < 40
 
 
 # Tokens
@@ -88,6 +128,7 @@ def test_tokens_are_the_librarys(spark, data):
     t = Tokenizer.from_file(tokenizer())
     odd = ["it's IT'S 'sword rock'n'roll. wait... x.,! 3.14, a1b2?", "<|endoftext|>. <|ENDOFTEXT|> a<|startoftext|>b", "é. ́x .̸ KÅ   　 \x1c ß İ ΑΣ", "漢字仮名 交じり。 ไทย", "\U0001f600!!\U0001f600", "don't. DON'T, we'll've"]
     rows = [*texts(data), *((10_000 + i, o) for i, o in enumerate(odd))]
+    rows += [(20_000 + i, f"J\u030c j\u030c {c}\u0301{d}. {c}{d}\u0327, {c.upper()}\u0308{d.upper()} \u212b{c}") for i, (c, d) in enumerate(itertools.product("aejnsIK", "cgoZ"))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for head in (50, 200_000):
         got = {r["doc_id"]: r for r in token_counts.token_counts(df, tokenizer(), head=head).collect()}
@@ -96,6 +137,17 @@ def test_tokens_are_the_librarys(spark, data):
             assert (got[doc]["n_tokens"], got[doc]["n_bytes"], got[doc]["over_limit"]) == (n, len((text or "").encode()), n > 2048), text
 
 
+@given(st.lists(st.text(alphabet=st.sampled_from("aJeOsI.,!<|>'-1\u030c\u0301\u0308\u0327\u212b\u0130\u1e9b\u0323\u1100\u1161\u11a8 \t\x1c\u3000")), max_size=6))
+@settings(max_examples=300, deadline=None)
+def test_pretokens_add_up(parts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer())
+    text = " ".join(parts)
+    found = token_counts.pretokens(Counter(plain_words(text.encode())))
+    assert sum(n * len(t.encode(w.decode(), add_special_tokens=False)) for w, n in found.items()) == len(t.encode(text, add_special_tokens=False))
+
+
 # Chat
 
 
@@ -108,6 +160,20 @@ def test_turns_come_back(text, role):
     assert chat.unescape(formatted[back[2] : back[3]]) == text
 
 
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "tool", "a]b%", ""]), st.text(alphabet=st.sampled_from("\\ []/INSTANS<>s|TURN% \n]x"), max_size=30)), max_size=6))
+@settings(max_examples=300, deadline=None)
+def test_conversations_come_back(turns):
+    text, loss = chat._checked(turns)
+    assert [x[:2] for x in chat.parse_conversation(text)] == turns
+    assert [chat.unescape(text[x["start"] : x["end"]]) for x in loss] == [t for r, t in turns if r == "assistant"]
+
+
+def test_other_text_is_malformed():
+    for text in ("x", "[INST] a", "[INST] a [/INST]\n[", "[INST] [INST] [/INST]\n", "[INST] a </s>\n", "[INST] a [/INST][ANS] b </s>\n"):
+        with pytest.raises(chat.Malformed):
+            list(chat.parse_conversation(text))
+
+
 # Near duplicates
 
 
@@ -244,7 +310,7 @@ def test_calls_with_one_index_see_all_before(spark, shares, one_in):
     assert len(index.runs) == 1  # compacted
     got = {}
     for low in (12, 24, 36):
-        out = substring_dedup.remove_repeats(df.where(f"doc_id >= {low} and doc_id < {low + 12}"), index=index, batch_shares=shares, one_in=one_in)
+        out = substring_dedup.remove_repeats(df.where(f"doc_id >= {low} and doc_id < {low + 12}"), index=index, batch_shares=shares, one_in=one_in, part=1 / 40)
         got |= {r["doc_id"]: r for r in out.collect()}
         index = substring_dedup.FingerprintIndex(spark, index.folder)  # opened again
     assert set(got) == set(range(12, 48))
@@ -255,10 +321,10 @@ def test_hot_text(spark):
     common = " ".join(f"c{i}" for i in range(40))
     rows = [(k, f"{t} {common} {'x ' * (k % 5)}{common if k % 7 == 0 else ''}") for k, t in mosaic(90, 4)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
-    hot = substring_dedup.frequent(df, one_in=1, share=1 / 4, most=1000)
+    hot = substring_dedup.frequent(df, one_in=1, rows_share=1 / 300, most=1000)
     assert len(hot.minimisers) and len(hot.stretches)
     for most in (1000, 3):
-        check_repeats(rows, {r["doc_id"]: r for r in substring_dedup.remove_repeats(df, one_in=1, share=1 / 4, most=most).collect()})
+        check_repeats(rows, {r["doc_id"]: r for r in substring_dedup.remove_repeats(df, one_in=1, part=1 / 40, most=most).collect()})
 
 
 def test_history_is_not_shuffled(spark):
@@ -283,29 +349,143 @@ def test_slices_of_a_large_benchmark(spark, data):
 
 # Personal data
 
-PRIVATE = "Mail Anna.Lee7@Mail4.example.com or anna.lee7@mail4.example.com, call +1 (017) 555-7713 or +1 017 555 7713, from 97.51.17.173, card 4929348385146306, token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\", Frau Schmidt and Mr. John Smith, Г-н Иванов."
+def luhn_valid(digits):
+    total = 0
+    for i, d in enumerate(map(int, reversed(digits))):
+        d = d * 2 if i % 2 else d
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def iban_valid(iban):
+    moved = iban[4:] + iban[:4]
+    return int("".join(c if c.isdigit() else str(ord(c) - 55) for c in moved)) % 97 == 1
 
 
-def test_surrogates():
-    new, n = pii.replaced(PRIVATE, {})
-    assert n == 10 and pii.replaced(PRIVATE, {}) == (new, n)
-    found, drawn = list(pii.entities(PRIVATE)), list(pii.entities(new))
-    assert [x[2] for x in found] == [x[2] for x in drawn] and not {x[3] for x in found} & {x[3] for x in drawn}
-    assert drawn[0][3] == drawn[1][3] and drawn[2][3] == drawn[3][3]  # coreference
-    assert all(pii.script(a[3]) == pii.script(b[3]) for a, b in zip(found, drawn, strict=True) if a[2].startswith("name"))
-    assert re.sub(r"\d", "0", re.search(r"\+1 \(.*?\) \S+", new)[0]) == "+0 (000) 000-0000"
-    assert pii.luhn("7992739871") == 3
-    text = "ids 078-05-1120, DE89 3704 0044 0532 0130 00, 00:1B:44:11:3A:B7 and 2001:db8:0:0:8:800:200c:417a"
-    assert [x[2] for x in pii.entities(text)] == ["ssn", "iban", "mac", "ipv6"]
-    assert [x[2] for x in pii.entities(pii.replaced(text, {})[0])] == ["ssn", "iban", "mac", "ipv6"]
-    assert pii.replaced(text, {})[0][17:19] == "DE"
-    assert pii.replaced("In 2024 version 2.0 of 3.5 cost 12,000 and 1999-2001.", {})[1] == 0
+def with_luhn(body):
+    return next(body + str(d) for d in range(10) if luhn_valid(body + str(d)))
 
 
-@given(st.lists(st.text(alphabet="0123456789", min_size=7, max_size=7), min_size=2, max_size=60, unique=True))
+def with_mod97(country, account):
+    return next(x for x in (f"{country}{k:02d}{account}" for k in range(2, 99)) if iban_valid(x))
+
+
+def writing(name):
+    """The scripts of a name's letters."""
+    return {unicodedata.name(c).split()[0] for c in name if c.isalpha()}
+
+
+def shape(text):
+    return re.sub("[^\\W\\d_]", "x", re.sub("[0-9]", "0", text))
+
+
+def private_texts(seed=3):
+    """(doc, pieces): plain strings, and (kind, who, written) for each mention of someone's data."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("bdgklmnoprstu") for _ in range(rng.randrange(3, 8)))
+    people = []
+    for k in range(40):
+        digits = "".join(rng.choice("0123456789") for _ in range(40))
+        family = f"{word()}{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}".capitalize()
+        people.append({
+            "email": [f"{word()}.{k}@mail{k % 7}.example.com"], "card": [with_luhn(f"4{digits[:14]}")], "number": [f"9{digits[14:28]}"],
+            "phone": [f"+1 (2{digits[1:3]}) 555-{digits[4:8]}", f"2{digits[1:3]}-555-{digits[4:8]}", f"1-2{digits[1:3]}-555-{digits[4:8]}", f"2{digits[1:3]} 555 {digits[4:8]}"],
+            "private": [f"192.168.{k}.{int(digits[:2])}"], "public": [f"8.{k}.{int(digits[2:4])}.{int(digits[4:6])}"], "ipv6": [f"2a00:1450::1{digits[:2]}:{k + 1:x}"],
+            "iban": [x := with_mod97("DE", digits[:18]), " ".join(x[i : i + 4] for i in range(0, len(x), 4))], "mac": [f"00:1b:44:{k:02x}:3a:b7", f"00-1B-44-{k:02X}-3A-B7"],
+            "family": [family, family.upper()], "greek": ["Παπα" + "αβγδεζηθικλμνξοπρστυ"[k % 20] + "νικα"[k % 4]], "han": ["王李張劉陳"[k % 5] + "小大中文安明國英"[k // 5] + "明"],
+            "given": [["John", "Jack", "Paul", "Sven"][k % 4]], "token": [hashlib.sha1(digits.encode()).hexdigest()],
+        })
+    out = []
+    for doc in range(150):
+        pieces = [f"{doc} {word()} "]
+        for _ in range(rng.randrange(0, 4)):
+            k = rng.randrange(len(people))
+            kind = rng.choice([x for x in people[0] if x not in ("given", "family")] + ["person"] * 3)
+            if kind == "person":
+                who = people[k]
+                pieces += ["Mr ", ("given", who["given"][0], who["given"][0]), " ", ("family", who["family"][0], who["family"][0]), f" {word()} {word()} "]
+                pieces += [rng.choice(["Dr. ", "with ", "Mr. "]), ("family", who["family"][0], rng.choice(who["family"])), f" {word()} ", ("given", who["given"][0], who["given"][0]), " ", ("family", who["family"][0], who["family"][0]), f" {word()} "]
+            else:
+                before = {"greek": "Κύριος ", "han": "Ms ", "token": 'token = "'}.get(kind, f"{word()} ")
+                after = {"token": '" '}.get(kind, f" {word()} ")
+                pieces += [before, (kind, people[k][kind][0], rng.choice(people[k][kind])), after]
+        out.append((doc, pieces))
+    return out
+
+
+def test_private_data_by_brute_force(spark):
+    rows = private_texts()
+    text = lambda pieces: "".join(x if isinstance(x, str) else x[2] for x in pieces)
+    df = spark.createDataFrame([(doc, text(pieces)) for doc, pieces in rows], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r for r in pii.replace_pii(df).collect()}
+    served: dict = {}
+    for doc, pieces in rows:
+        mentions = [x for x in pieces if not isinstance(x, str)]
+        found = re.fullmatch("".join(re.escape(x) if isinstance(x, str) else "(.+?)" for x in pieces), got[doc]["text"])
+        assert found and got[doc]["n_entities"] == len(mentions), (text(pieces), got[doc]["text"])  # nothing else has changed
+        for (kind, who, old), new in zip(mentions, found.groups(), strict=True):
+            plain = {"phone": lambda x: re.sub("[^0-9]", "", x)[-10:], "iban": lambda x: x.replace(" ", ""), "mac": lambda x: re.sub("[:-]", "", x).lower(), "family": str.lower}.get(kind, lambda x: x)(new)
+            assert served.setdefault((kind, who), plain) == plain, (kind, who)  # coreference
+            form = (lambda x: re.sub("[0-9a-fA-F]", "h", x)) if kind in ("token", "mac") else shape
+            assert old != new and (form(old) == form(new) or kind in ("given", "family", "greek", "public", "private", "ipv6")), (old, new)
+            if kind == "card":
+                assert luhn_valid(new)
+            if kind == "iban":
+                assert iban_valid(plain) and new[:2] == "DE"
+            if kind in ("private", "public", "ipv6"):
+                assert ipaddress.ip_address(new).is_private == ipaddress.ip_address(old).is_private and (kind != "private" or new.startswith("192.168."))
+            if kind in ("given", "family", "greek", "han"):
+                assert writing(new) == writing(old) and new.isupper() == old.isupper()
+            if kind == "given":
+                assert new.endswith("o")  # all were called Mr
+            if kind == "phone":
+                assert new.startswith(old[: old.find("2")])  # the country code stays
+    assert len({(k, v) for (k, _), v in served.items()}) == len(served)  # distinct
+    real = {who for _, who in served}
+    assert not any(v in real for v in served.values())
+
+
+ODD = [
+    'sep = "--------------------"', 'x = "____________________"', "٠١٢٣٤٥٦٧٨٩٠١٢٣٤ +١٢٣ ٤٥٦٧ ٨٩٠", "ö.ö@é.de", "a@b@c.de @x.de x@ .@.de", "Mr", "Mr Mr Mr Mr", "Mr. J. Smith's and Smith’s", "Prof. Dr. Anna-Maria O'Brien, O'Brien",
+    "::1 :: 1:2:3:4:5:6:7:8 a::b std::vector 12:30:45", "0.0.0.0 127.0.0.1 255.255.255.255 256.1.1.1 1.2.3.4.5", "AB12 CDEF GHIJ KLMN", "\x00\x00@\x00.de", "Frau Ǆemal Ǆ", "M. Dupont m. dupont M Dupont", "Ms ßberg Ms İnan İNAN", "Mr 王 王王",
+]
+
+
+def test_odd_texts_do_not_stop_the_run(spark):
+    rows = [(i, t) for i, t in enumerate(ODD)] + [(100 + i, f"to {x}@y.com") for i, x in enumerate("abcdefghijklmnopqrstuvwxyz")]
+    rows += [(200 + i, f"{a}@{b}.com and 192.168.9.{i % 256}") for i, (a, b) in enumerate(itertools.product("abcdefghijklmnopqrstuvwxyz", repeat=2))]
+    got = {r["doc_id"]: r["text"] for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == ODD[0] and got[1] == ODD[1] and got[2] == ODD[2] and got[3] != ODD[3] and got[11] != ODD[11]
+    assert got[10].startswith("0.0.0.0 127.0.0.1 255.255.255.255 256.1.1.1 1.2.3.4.5")
+    # The shape x@y.com is full: every address is real, so all surrogates are longer; and they are distinct.
+    new = [got[200 + i].split(" and ")[0] for i in range(26 * 26)]
+    assert len(set(new)) == 26 * 26 and not set(new) & {t.split(" and ")[0] for k, t in rows if k >= 200}
+    assert all(re.fullmatch("[a-z]+@[a-z]+[.]com", x) for x in new)
+    inside = {got[200 + i].split(" and ")[1] for i in range(26 * 26)}
+    assert len(inside) == 256 and all(ipaddress.ip_address(x).is_private for x in inside) and not inside & {f"192.168.9.{i}" for i in range(256)}
+
+
+@given(st.text(alphabet=st.sampled_from("aB1.@:-_+ (\"'=/)MrDs王Жω\u0661é\n"), max_size=60))
+@settings(max_examples=500, deadline=None)
+def test_any_text_is_rewritten(text):
+    new, n = pii.replaced(text, {})
+    assert (n > 0) == bool(list(pii.entities(text))) and (n or new == text)
+    spans = [x[:2] for x in pii.entities(text)]
+    assert all(0 <= b < e for b, e in spans) and all(x[1] <= y[0] for x, y in zip(spans, spans[1:], strict=False))
+
+
+@given(st.lists(st.text(alphabet="0123456789", min_size=10, max_size=10), min_size=2, max_size=60, unique=True), st.sampled_from(["phone", "account", "ssn"]))
 @settings(max_examples=60, deadline=None)
-def test_one_shape_has_no_clash(numbers):
-    assert len({pii.surrogate("phone", x) for x in numbers}) == len(numbers)
+def test_one_shape_has_no_clash(numbers, kind):
+    made = [f"{x[:3]}-{x[3:5]}-{x[5:9]}" for x in numbers] if kind == "ssn" else numbers
+    assert len({pii.surrogate(kind, x) for x in set(made)}) == len(set(made))
+
+
+def test_addresses_are_permuted_within_their_network():
+    for base in ("10.0.0.0", "172.16.0.0", "192.168.0.0", "8.8.8.0", "224.0.0.0"):
+        first = ipaddress.ip_address(base)
+        made = {pii.surrogate("ip", str(first + i)) for i in range(300)}
+        assert len(made) == 300 and all(ipaddress.ip_address(x).is_private == first.is_private and ipaddress.ip_address(x).is_multicast == first.is_multicast for x in made)
 
 
 def test_clashes_are_drawn_again(spark):
@@ -323,11 +503,29 @@ def test_clashes_are_drawn_again(spark):
     assert all(len(x) == 1 for x in by_name.values()) and len(set.union(*by_name.values())) == len(family)
 
 
+SIMPLE = {  # the kinds of the test tables, by patterns of their own
+    "email": r"[a-z]+\.\d+@mail\d\.example\.com", "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d.])", "phone": r"\+1 \(\d{3}\) 555-\d{4}", "token": r'(?<=token = ")[0-9a-f]{40}(?=")', "card": r"(?<!\d)\d{16}(?!\d)",
+}
+
+
 def test_no_entity_is_left(spark, data):
     got = {r["doc_id"]: r["text"] for r in QUERIES["op7_pii_surrogates"](spark, data).collect()}
-    real = {entity for _, t in texts(data) for *_, entity in pii.entities(t)}
-    assert real and not any(x in (t or "") for t in got.values() for x in real)
-    assert all(got[i] == t for i, t in texts(data) if not list(pii.entities(t)))
+    served, real = {}, set()
+    for i, old in texts(data):
+        hits = sorted((m.start(), m.end(), kind, m[0]) for kind, p in SIMPLE.items() for m in re.finditer(p, old or ""))
+        real |= {x[3] for x in hits}
+        if not hits:
+            assert got[i] == old
+            continue
+        plain, end = [], 0
+        for b, e, *_ in hits:
+            plain.append(re.escape(old[end:b]))
+            end = e
+        found = re.fullmatch("(.+?)".join([*plain, re.escape(old[end:])]), got[i], re.S)
+        assert found, old
+        for (_, _, kind, x), new in zip(hits, found.groups(), strict=True):
+            assert served.setdefault((kind, x), new) == new and re.fullmatch(SIMPLE[kind].replace('(?<=token = ")', "").replace('(?=")', "").replace("example", "[a-z]+").replace("mail", "[a-z]+").replace("555", r"\d+").replace("com", "[a-z]+"), new), (x, new)
+    assert real and len(set(served.values())) == len(served) and not set(served.values()) & real
 
 
 # The pipeline

@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing names, for every operator and stage."""
 
 import hashlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -131,12 +132,17 @@ def test_chat(spark):
     rows = [(1, 0, "user", "a [/INST] b"), (1, 1, "assistant", "\\[INST]\\\\</s> \\"), (1, 1, "assistant", None), (None, None, None, "x"), (2, 5, "tool 7]%", "[/TURN]"), (2, 5, "tool 7]%", "[/TURN]")]
     schema = "conv_id long, turn long, role string, text string"
     df = spark.createDataFrame(rows, schema)
-    out = {r["conv_id"]: r for r in chat.read_back(chat.format_turns(clashing(chat.with_hostile(df)))).collect()}
+    out = {r["conv_id"]: r for r in chat.read_back(chat.format_conversations(clashing(chat.with_hostile(df)))).collect()}
     assert set(out) == {1, None, 2, -1} and out[1]["n_turns"] == 3 and out[2]["n_turns"] == 2
     want = hashlib.sha256("user\na [/INST] b\nassistant\n\nassistant\n\\[INST]\\\\</s> \\\n".encode()).hexdigest()
     assert out[1]["turns_sha256"] == want
     assert out[1]["loss_sha256"] == hashlib.sha256(b"\\[INST]\\\\</s> \\").hexdigest()
-    assert chat.read_back(chat.format_turns(df.limit(0))).count() == 0
+    assert chat.read_back(chat.format_conversations(df.limit(0))).count() == 0
+    for part in (1, 7, 30):  # long conversations come in parts
+        cut = chat.format_conversations(chat.with_hostile(df), part=part)
+        assert cut.count() >= 4 and {r["conv_id"]: r for r in chat.read_back(cut).collect()} == out
+    texts = {r["conv_id"]: r["text"] for r in chat.format_conversations(df).collect()}
+    assert texts[2] == "[TURN tool%207%5D%25] \\[/TURN] [/TURN]\n" * 2
 
 
 def test_warc(spark):
@@ -152,5 +158,23 @@ def test_warc(spark):
     assert warc.audit(pages, pages.limit(0)).count() == pages.count() and warc.audit(pages.limit(0), pages.limit(0)).count() == 0
 
 
+def test_warc_of_ids_with_many_records(spark):
+    rows = [(i, "u", f"x{i}") for i in range(40)] + [(5, "u", f"y{k}") for k in range(60)] + [(None, "u", f"z{k}") for k in range(40)] + [(9, "u", "same")] * 50
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert warc.audit(pages, pages.repartition(5)).count() == 0
+    # Twenty of the sixty changed, one of the forty lost, 30 of 50 copies lost, a new id.
+    other = [(i, u, f"{h}!" if h in {f"y{k}" for k in range(0, 60, 3)} else h) for i, u, h in rows if h != "z7"]
+    other = [x for k, x in enumerate(other) if not (x[2] == "same" and k % 5 > 1)] + [(100, "u", "new")]
+    found = warc.audit(pages, spark.createDataFrame(other, pages.schema)).collect()
+    assert Counter((r["page_id"], r["kind"]) for r in found) == {(5, "changed"): 20, (None, "lost"): 1, (9, "lost"): 30, (100, "added"): 1}
+    pairs = [(r["digest"], r["found_digest"]) for r in found if r["page_id"] == 5]
+    assert len({a for a, _ in pairs}) == len({b for _, b in pairs}) == 20
+    assert [b for _, b in sorted(pairs)] == sorted(b for _, b in pairs)  # matched in order of digest
+    # A leaf's hash depends on the order of its records, on their sizes and on how often they occur.
+    one = warc.leaves(warc.manifest(pages)).collect()
+    two = warc.leaves(warc.manifest(pages.repartition(7))).collect()
+    assert sorted(map(str, one)) == sorted(map(str, two))
+
+
 def test_words_of_long_text():
     assert len(plain_words(LONG.encode())) == 60_000
