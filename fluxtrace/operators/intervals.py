@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -88,19 +90,20 @@ def out_of_focus(df: DataFrame, *, mean="mean", sd: str | None = None, mean_frac
     return merged(runs(df, flag, key=key, order=order, least=least), gap, recording=key)
 
 
-def cutoff_frame(df: DataFrame, *, window=1000, deviation=0.2, key="recording", order="frame", value="mean") -> DataFrame:
+def cutoff_frame(df: DataFrame, *, window=1000, deviation=0.2, baseline=1000, key="recording", order="frame", value="mean") -> DataFrame:
     """(key, cutoff): the frame after the last whose centred rolling median is within `deviation` of the median of the first
-    `window` frames; the whole length if the last frame is. The window shrinks to a fifth of short recordings."""
-    whole = by(key, None)
-    out = df.withColumn("_n", F.count("*").over(whole)).withColumn("_w", F.least(F.lit(window), F.expr("_n div 5 + 1")))
-    out = out.withColumn("_base", F.percentile(F.when(F.col(order) < window, F.col(value)), 0.5).over(whole))
-    # The width differs between recordings, so the window is a join of a few frames instead of a fixed frame of rows.
-    a = out.select(F.col(key).alias("_k"), F.col(order).alias("_at"), F.col(value).alias("_v"))
-    around_ = out.select(key, order, "_n", "_w", "_base").withColumn("_at", F.explode(F.expr(f"sequence({order} - _w div 2, {order} + (_w - 1) div 2)")))
-    rolled = around_.join(a, (F.col(key) == F.col("_k")) & (around_["_at"] == a["_at"])).groupBy(key, order).agg(
-        F.percentile("_v", 0.5).alias("_med"), F.count("_v").alias("_c"), F.first("_n").alias("_n"), F.first("_w").alias("_w"), F.first("_base").alias("_base"))
-    rolled = rolled.withColumn("_med", F.when(F.col("_c") >= F.greatest(F.lit(1), F.expr("_w div 10")), F.col("_med")))
-    after, before = by(key, order).rowsBetween(0, W.unboundedFollowing), by(key, order).rowsBetween(W.unboundedPreceding, 0)
-    rolled = rolled.withColumn("_med", F.coalesce(F.first("_med", ignorenulls=True).over(after), F.last("_med", ignorenulls=True).over(before)))
-    good = F.abs(F.col("_med") - F.col("_base")) <= deviation * F.abs(F.col("_base"))
-    return rolled.groupBy(key).agg(F.coalesce(F.max(F.when(good, F.col(order) + 1)), F.lit(0)).alias("cutoff"))
+    `baseline` frames; the whole length if the last frame is. The window shrinks to a fifth of short recordings. A trace is a
+    group, and its rolling median is one pass over it."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def measure(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        x, at = pdf[value].astype(float).reset_index(drop=True), pdf[order].to_numpy()
+        w = min(window, len(x) // 5 + 1)
+        rolled = x.rolling(w, center=True, min_periods=max(1, w // 10)).median().bfill().ffill()
+        base = x.iloc[:baseline].median()
+        bad = ((rolled < base * (1 - deviation)) | (rolled > base * (1 + deviation))).to_numpy()
+        good = np.flatnonzero(~bad)
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "cutoff": [int(at[good[-1]]) + 1 if len(good) else 0]})
+
+    return df.select(key, order, value).groupBy(key).applyInPandas(measure, f"{key} {kind}, cutoff int")

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_left
+from .nearest import nearest_by_tiles
 
 REC = "recording"
 
@@ -105,7 +106,7 @@ def neighbours_in_time(table: DataFrame, *, recording=REC) -> DataFrame:
     return table.withColumn("middle", F.col("start") + (F.col("duration") - 1) / 2).withColumns({"previous": F.lag("label").over(w), "next": F.lead("label").over(w)})
 
 
-def components(labels: DataFrame, *, recording=REC, axes=("y", "x"), reach: int = 1, rounds: int = 64, settle=None) -> DataFrame:
+def components(labels: DataFrame, *, recording=REC, axes=("y", "x"), reach: int = 1, settle=None) -> DataFrame:
     """Connected regions of equal labels (all neighbours within `reach`), numbered from 1 in order of their first pixel.
 
     Pixels take the smallest number among themselves and their neighbours, then jump to that number's own number, until
@@ -116,7 +117,7 @@ def components(labels: DataFrame, *, recording=REC, axes=("y", "x"), reach: int
     place = F.struct(*axes)
     nodes = settle(labels.select(recording, *axes, "label").withColumn("root", place))
     links = settle(_links(labels, reach, recording, axes))
-    for _ in range(rounds):
+    while True:
         near = links.join(nodes.select(recording, F.struct(*axes).alias("_to"), F.col("root").alias("_r")), [recording, "_to"]).groupBy(recording, "_from").agg(F.min("_r").alias("_near"))
         now = nodes.join(near, (nodes[recording] == near[recording]) & (F.struct(*[nodes[a] for a in axes]) == near["_from"]), "left")
         now = now.select(nodes[recording], *[nodes[a] for a in axes], nodes["label"], F.least("root", F.coalesce("_near", "root")).alias("_new"), nodes["root"].alias("_old"))
@@ -160,19 +161,20 @@ def annotation_mode(labels: DataFrame, annotation: DataFrame, *, recording=REC,
     return inside.groupBy(recording, "label").agg(F.mode("_a", True).alias(name))
 
 
-def nearest(points: DataFrame, targets: DataFrame, *, recording=REC) -> DataFrame:
-    """recording, label, target and distance of the nearest target of each point; both have (recording, label, cy, cx).
-    All pairs of a recording are compared; a recording holds some tens of each."""
-    t = targets.select(recording, F.col("label").alias("target"), F.col("cy").alias("_y"), F.col("cx").alias("_x"))
-    both = points.join(t, recording).withColumn("distance", F.hypot(F.col("cy") - F.col("_y"), F.col("cx") - F.col("_x")))
-    return both.groupBy(recording, "label").agg(F.min_by("target", F.struct("distance", "target")).alias("target"), F.min("distance").alias("distance"))
+def nearest(points: DataFrame, targets: DataFrame, *, recording=REC, settle=None) -> DataFrame:
+    """recording, label, target and distance of the nearest target of each point; both have (recording, label, cy, cx). Points
+    are compared with the targets of the tiles around them."""
+    settle = settle or (lambda d: d.checkpoint())
+    p = points.select(recording, "label", F.col("cy").alias("y"), F.col("cx").alias("x"))
+    t = targets.select(recording, F.col("label").alias("target"), F.col("cy").alias("ty"), F.col("cx").alias("tx"))
+    return nearest_by_tiles(settle(p), settle(t), group=[recording], settle=settle).select(recording, "label", "target", "distance")
 
 
-def bouton_classes(points: DataFrame, cells: DataFrame, *, cutoff: float = 75, close: float = 10, recording=REC) -> DataFrame:
+def bouton_classes(points: DataFrame, cells: DataFrame, *, cutoff: float = 75, close: float = 10, recording=REC, settle=None) -> DataFrame:
     """recording, label, class: 1 and 2 for boutons left (modiolar) and right of the row of cells, 5 close to its line, 3 and 4
     for fibres, which are farther than `cutoff` from all cells. The line runs from the first cell's centroid to the last's."""
     ends = cells.groupBy(recording).agg(F.min_by(F.struct("cy", "cx"), "label").alias("_a"), F.max_by(F.struct("cy", "cx"), "label").alias("_b"))
-    out = nearest(points, cells, recording=recording).join(points.select(recording, "label", "cy", "cx"), [recording, "label"]).join(ends, recording)
+    out = nearest(points, cells, recording=recording, settle=settle).join(points.select(recording, "label", "cy", "cx"), [recording, "label"]).join(ends, recording)
     ay, ax, by_, bx = (F.col(c) for c in ("_a.cy", "_a.cx", "_b.cy", "_b.cx"))
     left = is_left(ax, ay, bx, by_, F.col("cx"), F.col("cy"))
     off = F.abs((bx - ax) * (F.col("cy") - ay) - (by_ - ay) * (F.col("cx") - ax)) / F.nullif(F.hypot(bx - ax, by_ - ay), F.lit(0.0))
@@ -180,9 +182,10 @@ def bouton_classes(points: DataFrame, cells: DataFrame, *, cutoff: float = 75, c
     return out.select(recording, "label", F.when(F.col("distance") < cutoff, near).when(left, 3).otherwise(4).alias("class"))
 
 
-def overlap_assignment(points: DataFrame, cells: DataFrame, *, reach: int = 3, missing: int = 666, recording=REC) -> DataFrame:
-    """recording, label, cell: the cell with the largest overlap, else the last one with a pixel nearer than `reach`, else `missing`.
-    Nearness is an equi-join of shifted pixels, not a comparison of all."""
+def overlap_assignment(points: DataFrame, cells: DataFrame, *, annotation: DataFrame | None = None, reach: int = 3, missing: int = 666, recording=REC) -> DataFrame:
+    """recording, label, cell: the cell with the largest overlap, else the last one with a pixel nearer than `reach`, else none (0).
+    By the median of an annotation on the label (without one all are of type 1), types 1 and 2 without a cell get `missing`, and
+    type 5 always does. Nearness is an equi-join of shifted pixels, not a comparison of all."""
     c = cells.select(recording, "y", "x", F.col("label").alias("cell"))
     over = points.join(c, [recording, "y", "x"]).groupBy(recording, "label", "cell").count()
     best = over.groupBy(recording, "label").agg(F.max_by("cell", F.struct("count", -F.col("cell"))).alias("_over"))
@@ -190,8 +193,10 @@ def overlap_assignment(points: DataFrame, cells: DataFrame, *, reach: int = 3, m
     disc = points.withColumn("_dy", F.explode(steps)).withColumn("_dx", F.explode(steps)).where(F.col("_dy") * F.col("_dy") + F.col("_dx") * F.col("_dx") < reach * reach)
     close = disc.select(recording, "label", (F.col("y") + F.col("_dy")).alias("y"), (F.col("x") + F.col("_dx")).alias("x")).join(c, [recording, "y", "x"])
     close = close.groupBy(recording, "label").agg(F.max("cell").alias("_close"))
-    out = points.select(recording, "label").distinct().join(best, [recording, "label"], "left").join(close, [recording, "label"], "left")
-    return out.select(recording, "label", F.coalesce("_over", "_close", F.lit(missing)).alias("cell"))
+    kinds = points.select(recording, "label", F.lit(1.0).alias("_kind")).distinct() if annotation is None else annotation_median(points, annotation, recording=recording, name="_kind")
+    out = kinds.join(best, [recording, "label"], "left").join(close, [recording, "label"], "left")
+    cell = F.coalesce("_over", "_close", F.when(F.col("_kind").isin(1.0, 2.0), missing), F.lit(0))
+    return out.select(recording, "label", F.when(F.col("_kind") == 5, F.lit(missing)).otherwise(cell).alias("cell"))
 
 
 def matched_numbers(typed: DataFrame, labels: DataFrame, matching: DataFrame, *, recording=REC) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.scalars import clipped_u16
+from .nearest import nearest_by_tiles
 
 REC = "recording"
 PLACE = ["y", "x"]
@@ -48,25 +49,30 @@ def wave_profile(pixels: DataFrame, waves: DataFrame, lead: int = 10) -> DataFra
     return inside.groupBy(REC, "label", "frame").agg(F.avg("v").alias("f"))
 
 
-def grid_rois(height: int, width: int, size: int, overlap: float = 0.0) -> list[tuple[int, int, int, int]]:
-    """Boxes (y0, x0, y1, x1) of a grid and of its diagonally shifted copies that lie inside the image."""
-    step = 1.0 / max(1, round(1 / (1 - overlap)))
-    offsets = [i * step for i in range(max(1, round(1 / (1 - overlap))))]
-    boxes = []
-    for o in offsets:
-        for i in range(height // size + 1):
-            for j in range(width // size + 1):
-                y, x = int((i + o) * size), int((j + o) * size)
-                if y + size <= height and x + size <= width:
-                    boxes.append((y, x, y + size, x + size))
-    return boxes
+def grid_rois(pixels: DataFrame, grid: int | tuple[int, int] = 4, overlap: float = 0.0) -> DataFrame:
+    """recording, roi, y0, x0, y1, x1: the boxes of a grid of so many boxes an axis over each recording's image, and of its
+    copies shifted along the diagonal by shares of a box, as far as they lie inside the image."""
+    n_y, n_x = (grid, grid) if isinstance(grid, int) else grid
+    layers = int(round(1 / (1 - overlap))) if 0 < overlap < 1 else 1
+    size = pixels.groupBy(REC).agg((F.max("y") + 1).alias("_h"), (F.max("x") + 1).alias("_w"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n)))
+    out = size.withColumn("_k", each(layers - 1)).withColumn("_i", each(n_y)).withColumn("_j", each(n_x))
+    for axis, side, n, at in (("y", "_h", n_y, "_i"), ("x", "_w", n_x, "_j")):
+        step = F.col(side) / F.lit(float(n))
+        edge = lambda more, step=step, at=at: F.floor(F.col("_k") / F.lit(float(layers)) * step + (F.col(at) + more) * step).cast("int")
+        out = out.withColumn(f"{axis}0", edge(0)).withColumn(f"{axis}1", edge(1))
+    out = out.where((F.col("y1") <= F.col("_h")) & (F.col("x1") <= F.col("_w")))
+    roi = F.row_number().over(W.partitionBy(REC).orderBy("_k", "_i", "_j")) - 1
+    return out.select(REC, roi.alias("roi"), "y0", "x0", "y1", "x1")
 
 
 def box_traces(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
-    """recording, roi, frame, mean and sd (population, over pixels) of each box (roi, y0, x0, y1, x1), for all recordings."""
+    """recording, roi, frame, mean and sd (population, over pixels) of each box (roi, y0, x0, y1, x1): of all recordings, or of the
+    box's own if it names one."""
     side = lambda a: F.explode(F.sequence(F.col(f"{a}0"), F.col(f"{a}1") - 1))
-    inside = boxes.withColumn("y", side("y")).withColumn("x", side("x")).select("roi", *PLACE)
-    return pixels.join(inside, PLACE).groupBy(REC, "roi", "frame").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"))
+    keys = [c for c in (REC, *PLACE) if c != REC or REC in boxes.columns]
+    inside = boxes.where("y0 < y1 and x0 < x1").withColumn("y", side("y")).withColumn("x", side("x")).select("roi", *keys)
+    return pixels.join(inside, keys).groupBy(REC, "roi", "frame").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"))
 
 
 def temporal_bin(pixels: DataFrame, k: int) -> DataFrame:
@@ -99,20 +105,56 @@ def minus_constant(pixels: DataFrame, constant: float) -> DataFrame:
     return pixels.withColumn("v", clipped_u16(F.floor(F.col("v") - constant)))
 
 
+def _smoothed(image: np.ndarray, there: np.ndarray, kernel: np.ndarray, axis: int) -> np.ndarray:
+    """The image under a symmetric kernel along an axis; weights on absent samples are left out and the others scaled up to 1."""
+    half = len(kernel) // 2
+    total, weight = np.zeros(image.shape), np.zeros(image.shape)
+    for d, w in zip(range(-half, half + 1), kernel, strict=True):
+        if abs(d) < image.shape[axis]:
+            to = tuple(slice(max(0, d), image.shape[a] + min(0, d)) if a == axis else slice(None) for a in range(image.ndim))
+            of = tuple(slice(max(0, -d), image.shape[a] + min(0, -d)) if a == axis else slice(None) for a in range(image.ndim))
+            total[to] += w * image[of]
+            weight[to] += w * there[of]
+    return np.where(there, total / np.where(weight > 0, weight, 1.0), 0.0)
+
+
+def _smoothing(kernel: np.ndarray, along: list[str], axes: list[str]):
+    """A function of the lists of places (along) and values of an array: the values blurred along some of the axes."""
+
+    @F.pandas_udf("array<double>")
+    def smooth(*columns: pd.Series) -> pd.Series:
+        done = []
+        for *at, v in zip(*columns, strict=True):
+            at = tuple(np.asarray(a) - np.min(a) for a in at)
+            image, there = np.zeros([a.max() + 1 for a in at]), np.zeros([a.max() + 1 for a in at], bool)
+            image[at], there[at] = v, True
+            for a in axes:
+                image = _smoothed(image, there, kernel, along.index(a))
+            done.append(image[at])
+        return pd.Series(done)
+
+    return smooth
+
+
 def blurred(pixels: DataFrame, sigma: float = 2.0, axes: tuple[str, ...] = ("frame", "y", "x"), truncate: float = 4.0) -> DataFrame:
-    """Gaussian blur, an axis at a time: each sample is handed to its neighbours with a weight and the shares are added.
-    At the edges the weights that fall inside are scaled up to 1."""
+    """Gaussian blur, an axis at a time. At the edges the weights that fall inside are scaled up to 1.
+
+    Along y and x a frame is an array, along frames a pixel's samples are: each is gathered once and blurred in NumPy, so
+    the shuffle holds every sample once for frames and once for pixels, however wide the kernel is.
+    """
     reach = int(truncate * sigma + 0.5)
-    w = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
-    kernel = F.array(*[F.struct(F.lit(int(i)).alias("d"), F.lit(float(v)).alias("w")) for i, v in zip(range(-reach, reach + 1), w / w.sum(), strict=True)])
-    keys = [REC, "frame", *PLACE]
-    out = pixels.select(*keys, F.col("v").cast("double").alias("v"))
-    grid = pixels.select(*keys)
-    for a in axes:
-        spread = out.withColumn("_k", F.explode(kernel)).withColumn(a, F.col(a) + F.col("_k.d"))
-        summed = spread.groupBy(*keys).agg((F.sum(F.col("v") * F.col("_k.w")) / F.sum("_k.w")).alias("v"))
-        out = summed.join(grid, keys, "left_semi")
-    return out
+    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    out = pixels.select(REC, "frame", *PLACE, F.col("v").cast("double").alias("v"))
+    flat = [a for a in PLACE if a in axes]
+    for inner, keys in ((["frame"] if "frame" in axes else [], [REC, *PLACE]), (flat, [REC, "frame"])):
+        if not inner:
+            continue
+        along = ["frame"] if inner == ["frame"] else PLACE
+
+        lists = out.groupBy(*keys).agg(*[F.collect_list(c).alias(c) for c in (*along, "v")])
+        lists = lists.select(*keys, *along, _smoothing(kernel, along, inner)(*along, "v").alias("v"))
+        out = lists.select(*keys, F.explode(F.arrays_zip(*along, "v")).alias("_p")).select(*keys, *[f"_p.{c}" for c in (*along, "v")])
+    return out.select(REC, "frame", *PLACE, "v")
 
 
 def ratio(pixels: DataFrame) -> DataFrame:
@@ -121,16 +163,32 @@ def ratio(pixels: DataFrame) -> DataFrame:
     return a.join(b, [REC, "frame", *PLACE]).select(REC, "frame", *PLACE, F.try_divide(F.col("v1").cast("double"), F.col("v0")).alias("ratio"))
 
 
-def leak_scale(green: DataFrame, red: DataFrame, *, least_green: float = 100, most: float = 2.0, share: float = 0.99, quantile: float | None = 0.99) -> DataFrame:
+def less_dark(pixels: DataFrame, first: int, last: int) -> DataFrame:
+    """Each pixel less its mean over frames [first, last), which may be below 0: the background of a channel."""
+    base = mean_image(pixels, first, last).withColumnRenamed("v", "_b")
+    return pixels.join(base, [REC, *PLACE]).withColumn("v", F.col("v") - F.col("_b")).drop("_b")
+
+
+def leak_scale(
+    green: DataFrame, red: DataFrame, *, least_green: float = 100, most: float | None = 2.0, share: float = 0.99, quantile: float | None = 0.99,
+    background: tuple[int, int] | None = None, smoothing: float = 0.0,
+) -> DataFrame:
     """recording, y, x, scale: red over green in the first frame in which green reaches `share` of its quantile (its maximum
-    without one); 0 where green is dim, and within [0, most]."""
+    without one); 0 where green is dim, and within [0, most]. background: frames whose mean is taken off both channels first;
+    smoothing: the sigma of a blur of the map."""
+    if background:
+        green, red = (less_dark(x, *background) for x in (green, red))
     w = W.partitionBy(REC, *PLACE)
     top = F.percentile("v", quantile).over(w) if quantile is not None else F.max("v").over(w)
     high = green.withColumn("_top", top).where(F.col("v") >= (share if quantile is not None else 1.0) * F.col("_top"))
     peak = high.groupBy(REC, *PLACE).agg(F.min(F.struct("frame", "v")).alias("_p")).select(REC, *PLACE, F.col("_p.frame").alias("frame"), F.col("_p.v").alias("_g"))
     both = peak.join(red.select(REC, "frame", *PLACE, F.col("v").alias("_r")), [REC, "frame", *PLACE])
-    scale = F.when(F.col("_g") >= least_green, F.least(F.greatest(F.try_divide(F.col("_r").cast("double"), F.col("_g")), F.lit(0.0)), F.lit(most))).otherwise(F.lit(0.0))
-    return both.select(REC, *PLACE, scale.alias("scale"))
+    scale = F.greatest(F.try_divide(F.col("_r").cast("double"), F.col("_g")), F.lit(0.0))
+    scale = F.when(F.col("_g") >= least_green, scale if most is None else F.least(scale, F.lit(most))).otherwise(F.lit(0.0))
+    out = both.select(REC, *PLACE, scale.alias("scale"))
+    if smoothing:
+        out = blurred(out.select(REC, F.lit(0).alias("frame"), *PLACE, F.col("scale").alias("v")), smoothing, axes=("y", "x")).select(REC, *PLACE, F.col("v").alias("scale"))
+    return out
 
 
 def minus_leak(green: DataFrame, red: DataFrame, scale: DataFrame) -> DataFrame:
@@ -157,22 +215,26 @@ def reference_image(pixels: DataFrame, n: int = 1) -> DataFrame:
 
 
 def shifts(pixels: DataFrame, reference: DataFrame) -> DataFrame:
-    """recording, frame, dy, dx: whole-pixel motion of each frame against the reference, by phase correlation of frame arrays."""
-    pack = F.sort_array(F.collect_list(F.struct("y", "x", F.col("v").cast("double").alias("v"))))
-    ref = reference.groupBy(REC).agg(pack.alias("_ref"))
-    rows = pixels.groupBy(REC, "frame").agg(pack.alias("_now")).join(ref, REC)
+    """recording, frame, dy, dx: whole-pixel motion of each frame against the reference, by phase correlation. A frame comes as
+    three arrays (places and values), of which NumPy makes an image at once."""
+    pack = [F.collect_list(F.col(c).cast(t)).alias(f"_{c}") for c, t in (("y", "int"), ("x", "int"), ("v", "double"))]
+    ref = reference.groupBy(REC).agg(*pack).select(REC, *[F.col(f"_{c}").alias(f"_r{c}") for c in "yxv"])
+    rows = pixels.groupBy(REC, "frame").agg(*pack).join(ref, REC)
 
     @F.pandas_udf("dy int, dx int")
-    def moved(now: pd.Series, ref: pd.Series) -> pd.DataFrame:
-        def image(points) -> np.ndarray:
-            y, x, v = (np.array([p[k] for p in points]) for k in ("y", "x", "v"))
-            out = np.zeros((y.max() + 1, x.max() + 1))
+    def moved(*columns: pd.Series) -> pd.DataFrame:
+        def image(y, x, v, size) -> np.ndarray:
+            out = np.zeros(size)
             out[y, x] = v
             return out
 
-        return pd.DataFrame([kernels.phase_shift(image(r), image(n)) for n, r in zip(now, ref, strict=True)], columns=["dy", "dx"])
+        found = []
+        for y, x, v, ry, rx, rv in zip(*columns, strict=True):
+            size = max(y.max(), ry.max()) + 1, max(x.max(), rx.max()) + 1
+            found.append(kernels.phase_shift(image(ry, rx, rv, size), image(y, x, v, size)))
+        return pd.DataFrame(found, columns=["dy", "dx"])
 
-    return rows.select(REC, "frame", moved("_now", "_ref").alias("_s")).select(REC, "frame", "_s.dy", "_s.dx")
+    return rows.select(REC, "frame", moved(*[f"_{c}" for c in "yxv"], *[f"_r{c}" for c in "yxv"]).alias("_s")).select(REC, "frame", "_s.dy", "_s.dx")
 
 
 def moved_back(pixels: DataFrame, motion: DataFrame) -> DataFrame:
@@ -211,14 +273,21 @@ def interpolated_transforms(transforms: DataFrame, target: Column | int, *, m="m
 
 
 def intensity_offset(original: DataFrame, corrected: DataFrame, *, frames: int = 100, margin: float = 0.2, least: float = 1.0) -> DataFrame:
-    """recording, offset: mean difference in the central part of the first frames; 0 if it is below `least`."""
+    """recording, offset: mean of corrected less original in the central part of the first frames; 0 if it is below `least`.
+    Taking it off the corrected movie (`minus_offset`) brings the original's intensity back."""
     c = with_extents(corrected.where(F.col("frame") < frames))
     inside = [(F.col(a) >= F.floor(F.col(s) * margin)) & (F.col(a) < F.col(s) - F.floor(F.col(s) * margin)) for a, s in (("y", "_h"), ("x", "_w"))]
     c = c.where(inside[0] & inside[1]).select(REC, "frame", *PLACE, F.col("v").alias("_c"))
-    d = original.join(c, [REC, "frame", *PLACE]).groupBy(REC).agg((F.avg("v") - F.avg("_c")).alias("_d"))
+    d = original.join(c, [REC, "frame", *PLACE]).groupBy(REC).agg((F.avg("_c") - F.avg("v")).alias("_d"))
     return d.select(REC, F.when(F.abs("_d") >= least, F.col("_d")).otherwise(F.lit(0.0)).alias("offset"))
 
 
+def minus_offset(pixels: DataFrame, offsets: DataFrame) -> DataFrame:
+    """Each recording less its offset (recording, offset), clipped to 16 bits and cut to whole numbers; those without one stay."""
+    off = F.coalesce("offset", F.lit(0.0))
+    return pixels.join(offsets.select(REC, "offset"), REC, "left").withColumn("v", F.when(off == 0, F.col("v")).otherwise(clipped_u16(F.floor(F.col("v") - off)))).select(*pixels.columns)
+
+
 # Kymographs
 
 
@@ -288,16 +357,16 @@ def opened_difference(pixels: DataFrame, radius: int) -> DataFrame:
     return pixels.join(opened, keys).withColumn("v", F.col("v") - F.col("_o")).drop("_o")
 
 
-def seeded_regions(pixels: DataFrame, *, sigma: float = 2.0, span: int = 3) -> DataFrame:
-    """recording, frame, y, x, label: pixels above the Otsu threshold of the blurred frame, each with its nearest local maximum.
-    Seeds are numbered within the frame; every pixel is compared with the seeds of its own frame."""
-    smooth = blurred(pixels, sigma, axes=("y", "x"))
-    bright = smooth.join(otsu_threshold(smooth), [REC, "frame"]).where(F.col("v") > F.col("threshold")).drop("threshold")
+def seeded_regions(pixels: DataFrame, *, sigma: float = 2.0, span: int = 3, settle=None) -> DataFrame:
+    """recording, frame, y, x, label: pixels above the Otsu threshold of the blurred frame, each with its nearest local maximum
+    (the first of equals). Seeds are numbered within the frame; pixels meet the seeds of the tiles around them."""
+    settle = settle or (lambda d: d.checkpoint())
+    smooth = settle(blurred(pixels, sigma, axes=("y", "x")))
+    bright = settle(smooth.join(otsu_threshold(smooth), [REC, "frame"]).where(F.col("v") > F.col("threshold")).drop("threshold"))
     steps = F.array(*[F.lit(i) for i in range(-span, span + 1)])
     near = smooth.withColumn("_a", F.explode(steps)).withColumn("_b", F.explode(steps)).select(REC, "frame", (F.col("y") + F.col("_a")).alias("y"), (F.col("x") + F.col("_b")).alias("x"), "v")
     top = near.groupBy(REC, "frame", *PLACE).agg(F.max("v").alias("_top"))
     seeds = bright.join(top, [REC, "frame", *PLACE]).where(F.col("v") >= F.col("_top"))
-    seeds = seeds.select(REC, "frame", F.row_number().over(W.partitionBy(REC, "frame").orderBy("y", "x")).alias("_seed"), F.col("y").alias("_y"), F.col("x").alias("_x"))
-    both = bright.join(seeds, [REC, "frame"])
-    far = F.pow(F.col("y") - F.col("_y"), F.lit(2)) + F.pow(F.col("x") - F.col("_x"), F.lit(2))
-    return both.groupBy(REC, "frame", *PLACE).agg(F.min_by("_seed", F.struct(far, "_seed")).alias("label"))
+    seeds = seeds.select(REC, "frame", F.row_number().over(W.partitionBy(REC, "frame").orderBy("y", "x")).alias("target"), F.col("y").alias("ty"), F.col("x").alias("tx"))
+    found = nearest_by_tiles(bright.select(REC, "frame", *PLACE), settle(seeds), group=[REC, "frame"], settle=settle)
+    return found.select(REC, "frame", *PLACE, F.col("target").alias("label"))

@@ -34,6 +34,12 @@ def kept_peaks(peaks: DataFrame, *, key="cell") -> DataFrame:
     return peaks.groupBy(key).agg(F.count_if("good").alias("kept"), (100.0 * F.avg(F.col("good").cast("double"))).alias("percent_kept"))
 
 
+def independent_recordings(df: DataFrame, *, folder: str, strain: str, number: Column | str, order: str) -> DataFrame:
+    """Adds `independent_recording`: strain and number of the first row of each folder, joined by an underscore."""
+    name = F.concat_ws("_", F.col(strain), (F.col(number) if isinstance(number, str) else number).cast("string"))
+    return df.withColumn("independent_recording", F.first(name).over(W.partitionBy(folder).orderBy(order)))
+
+
 def peak_table(cells: DataFrame, lists: list[str], *, keep: list[str]) -> DataFrame:
     """A row for each peak from parallel arrays."""
     return cells.select(*keep, F.posexplode(F.arrays_zip(*lists)).alias("i", "_p")).select(*keep, "i", *[F.col(f"_p.{c}").alias(c) for c in lists])

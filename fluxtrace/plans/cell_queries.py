@@ -211,14 +211,21 @@ def pair_correlation_minperiods(spark, d):
     return co.pairs(co.large_recordings(df), least=30).withColumn("r", r6("r"))
 
 
-@query(f"""WITH {VECTORS}, q AS (SELECT recording, cell, frame, floor(f * 4) AS f FROM v), z AS (SELECT *, f = lag(f) OVER (PARTITION BY cell ORDER BY frame) AS flat FROM q WHERE cell % 4 = 0),
+@query(f"""WITH {VECTORS}, q AS (SELECT recording, cell, frame, floor(f * 10000) AS f FROM v), z AS (SELECT *, f = lag(f) OVER (PARTITION BY cell ORDER BY frame) AS flat FROM q),
  k AS (SELECT * FROM z WHERE (recording, frame) NOT IN (SELECT (recording, frame) FROM z WHERE flat)), x AS (SELECT x.recording, x.cell AS a, y.cell AS b, count(*) AS n, CASE WHEN stddev_pop(x.f) > 0 AND stddev_pop(y.f) > 0 THEN corr(x.f, y.f) END AS r FROM k x JOIN k y ON x.recording = y.recording AND x.frame = y.frame AND x.cell > y.cell GROUP BY ALL)
  SELECT recording, a, b, n, {q6('r')} AS r FROM x""")
 def pair_correlation_moving(spark, d):
-    df = vectors(spark, d).where("cell % 4 = 0").withColumn("f", F.floor(F.col("f") * 4).cast("double"))
+    df = vectors(spark, d).withColumn("f", F.floor(F.col("f") * 10000).cast("double"))
     return co.pairs(co.without_held(df)).withColumn("r", r6(F.when(~F.isnan("r"), F.col("r"))))
 
 
+@query(f"""WITH {VECTORS}, k AS (SELECT recording, cell, frame, f - quantile_cont(f, 0.5) OVER (PARTITION BY cell ORDER BY frame ROWS 9 PRECEDING) AS f FROM v), z AS (SELECT *, f = lag(f) OVER (PARTITION BY cell ORDER BY frame) AS flat FROM k),
+ y AS (SELECT * FROM z WHERE (recording, frame) NOT IN (SELECT (recording, frame) FROM z WHERE flat)), x AS (SELECT x.recording, x.cell AS a, y.cell AS b, count(*) AS n, corr(x.f, y.f) AS r FROM y x JOIN y ON x.recording = y.recording AND x.frame = y.frame AND x.cell > y.cell GROUP BY ALL)
+ SELECT recording, a, b, n, CASE WHEN n >= 5 THEN {q6('r')} END AS r FROM x""")
+def pair_correlation_detrended(spark, d):
+    return co.correlations(vectors(spark, d), least=5, preprocessing="rolling_median", median_window=10).withColumn("r", r6("r"))
+
+
 @query(f"""WITH {VECTORS}, g AS (SELECT *, avg(f) OVER (PARTITION BY recording, frame) AS g FROM v), s AS (SELECT cell, regr_slope(f, g) AS s, regr_intercept(f, g) AS c FROM g GROUP BY cell)
  SELECT g.cell, frame, {q6('f - s * g - c')} AS residual FROM g JOIN s ON g.cell = s.cell""")
 def global_mean_residual(spark, d):
@@ -303,12 +310,35 @@ def melt_frequencies(spark, d):
     return out.unpivot("l_suppkey", names, "measure", "mean").withColumn("mean", r6("mean"))
 
 
-@query(f"WITH {VECTORS} SELECT frame, " + ", ".join(f"{q6(f'max(f) FILTER (WHERE cell = {i})')} AS ROI_{i}" for i in range(1, 5)) + " FROM v GROUP BY frame")
+@query(f"WITH {VECTORS} SELECT cell, " + ", ".join(f"{q6(f'max(f) FILTER (WHERE frame = {i})')} AS ROI_{i}" for i in range(64)) + " FROM v GROUP BY cell")
 def wide_traces(spark, d):
+    """Each vector's elements as columns."""
     from ..sources.tables import wide_traces as wide
 
-    out = wide(vectors(spark, d), [1, 2, 3, 4], key="cell")
-    return out.select("frame", *[r6(f"ROI_{i}").alias(f"ROI_{i}") for i in range(1, 5)])
+    out = wide(vectors(spark, d), list(range(64)), key="frame", order="cell")
+    return out.select("cell", *[r6(f"ROI_{i}").alias(f"ROI_{i}") for i in range(64)])
+
+
+@query("""SELECT o_orderkey, o_orderstatus || cast(o_custkey AS VARCHAR) AS mouse, TRY_CAST(nullif(trim(CASE WHEN o_orderkey % 3 = 0 THEN ' ' WHEN o_orderkey % 3 = 1 THEN 'x' ELSE ' ' || cast(o_orderkey AS VARCHAR) || '.5 ' END), '') AS DOUBLE) AS number,
+ lower(trim(CASE WHEN o_orderkey % 2 = 0 THEN ' Yes' ELSE 'no' END)) IN ('1', 'true', 'yes', 'y', 't') AS truth, CASE WHEN o_orderkey % 4 = 0 THEN [cast(o_orderkey AS BIGINT)] ELSE [cast(o_orderkey AS BIGINT), 1] END[1] AS first_of_list, o_orderkey * 0.72::DOUBLE AS microns,
+ CASE WHEN coalesce(CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 5 END, 11) % 2 = 0 THEN coalesce(CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 5 END, 11) + 1 ELSE coalesce(CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 5 END, 11) END AS window_, round(o_orderkey % 1000 / 27.163::DOUBLE, 6) + 0.0 AS seconds,
+ CASE o_orderkey % 3 WHEN 0 THEN 'm27' WHEN 1 THEN 'm94' END AS model FROM orders""")
+def study_scalars(spark, d):
+    k = F.col("o_orderkey")
+    text = F.when(k % 3 == 0, F.lit(" ")).when(k % 3 == 1, F.lit("x")).otherwise(F.concat(F.lit(" "), k.cast("string"), F.lit(".5 ")))
+    rate = F.when(k % 3 == 0, F.lit(27.163)).when(k % 3 == 1, F.lit(94.42)).otherwise(F.lit(50.0))
+    lists = sc.as_list(F.when(k % 4 != 0, F.array(k.cast("long"), F.lit(1).cast("long"))), k.cast("long"))
+    return table(spark, d, "orders").select(
+        "o_orderkey", sc.mouse_id("o_orderstatus", "o_custkey").alias("mouse"), sc.float_or_null(text).alias("number"), sc.truth(F.when(k % 2 == 0, F.lit(" Yes")).otherwise(F.lit("no"))).alias("truth"),
+        F.get(lists, F.lit(0)).alias("first_of_list"), sc.microns(k, F.lit(0.72)).alias("microns"), sc.odd_window(F.when(k % 5 > 0, k % 5)).alias("window_"),
+        r6(sc.seconds(k % 1000, F.lit(27.163))).alias("seconds"), sc.model_for_rate(rate, {27.163: "m27", 94.422: "m94"}).alias("model"),
+    )
+
+
+@query("SELECT o_orderkey, first_value(o_orderstatus || '_' || cast(o_orderkey % 7 AS VARCHAR)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS independent_recording FROM orders")
+def independent_recordings(spark, d):
+    o = table(spark, d, "orders")
+    return ro.independent_recordings(o, folder="o_custkey", strain="o_orderstatus", number=F.col("o_orderkey") % 7, order="o_orderkey").select("o_orderkey", "independent_recording")
 
 
 @query("SELECT o_orderkey, o_orderpriority[1] || '_' || o_orderstatus || '_' || cast(o_custkey AS VARCHAR) || '_' || cast(o_orderkey % 7 AS VARCHAR) || '_ROI_' || cast(o_custkey AS VARCHAR) AS cell, o_orderstatus || '_' || cast(o_custkey % 9 AS VARCHAR) || '.0' AS unique_cell, cast(o_custkey AS INTEGER) AS roi FROM orders")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import correlation as co
 from ..operators import labels as lb
 from ..operators import movie as mv
-from .registry import MOVIE, REGIONS, WAVES, movie, q6, query, r6, regions, table, traces, waves
+from .registry import MOVIE, REGIONS, TRACES, WAVES, movie, q6, query, r6, regions, table, traces, waves
 from .storage import settle
+from .trace_queries import _SAVGOL
 
 KEYS = ["recording", "frame", "y", "x"]
 
@@ -32,9 +33,12 @@ def wave_profiles(spark, d):
 
 @query(f"""WITH {REGIONS}, p AS (SELECT label, count(*) AS area, min(y) AS y0, min(x) AS x0, max(y) + 1 AS y1, max(x) + 1 AS x1, avg(y) AS cy, avg(x) AS cx, var_pop(y) + 1/12 AS yy, var_pop(x) + 1/12 AS xx, covar_pop(y, x) AS yx FROM l GROUP BY label),
  s AS (SELECT *, (yy + xx) / 2 AS m, sqrt(pow((yy - xx) / 2, 2) + yx * yx) AS s FROM p)
- SELECT label, area, y0, x0, y1, x1, {q6('cy')} AS cy, {q6('cx')} AS cx, {q6('4 * sqrt(m + s)')} AS major, {q6('4 * sqrt(greatest(m - s, 0.0))')} AS minor FROM s""")
+ SELECT label, area, y0, x0, y1, x1, {q6('cy')} AS cy, {q6('cx')} AS cx, {q6('4 * sqrt(m + s)')} AS major, {q6('4 * sqrt(greatest(m - s, 0.0))')} AS minor, CASE WHEN s > 1e-9 THEN {q6('cos(atan2(2 * yx, yy - xx))')} END AS axis_cos, CASE WHEN s > 1e-9 THEN {q6('sin(atan2(2 * yx, yy - xx))')} END AS axis_sin FROM s""")
 def region_properties(spark, d):
-    return lb.properties(regions(spark, d)).select("label", "area", "y0", "x0", "y1", "x1", *[r6(c).alias(c) for c in ("cy", "cx", "major", "minor")])
+    # Twice the orientation on the unit circle: equal for both ends of an axis; round regions have none.
+    twice, long_ = 2 * F.col("orientation"), F.col("major") ** 2 - F.col("minor") ** 2 > 3.2e-8
+    axis = [F.when(long_, r6(f(twice))).alias(n) for f, n in ((F.cos, "axis_cos"), (F.sin, "axis_sin"))]
+    return lb.properties(regions(spark, d)).select("label", "area", "y0", "x0", "y1", "x1", *[r6(c).alias(c) for c in ("cy", "cx", "major", "minor")], *axis)
 
 
 @query(f"WITH {WAVES} SELECT label, min(t) AS start, max(t) + 1 - min(t) AS duration, count(*) AS area FROM w GROUP BY label")
@@ -101,9 +105,9 @@ def labels_in_area(spark, d):
     return lb.touching(waves(spark, d), area).select("t", "y", "x", "label")
 
 
-@query(f"WITH {REGIONS}, a AS (SELECT y, x, v % 5 AS a FROM m WHERE frame = 1 AND v % 5 > 0) SELECT label, median(a.a) AS kind, coalesce(cast(mode(a.a) FILTER (WHERE false) AS INTEGER), 0) AS zero FROM l LEFT JOIN a ON l.y = a.y AND l.x = a.x GROUP BY label")
+@query(f"WITH {REGIONS}, a AS (SELECT y, x, v % 5 AS a FROM m WHERE frame = 1 AND v % 5 > 0) SELECT label, median(a.a) AS kind FROM l LEFT JOIN a ON l.y = a.y AND l.x = a.x GROUP BY label")
 def annotation_median(spark, d):
-    return lb.annotation_median(regions(spark, d), _annotation(spark, d)).select("label", "kind", F.lit(0).alias("zero"))
+    return lb.annotation_median(regions(spark, d), _annotation(spark, d)).select("label", "kind")
 
 
 def _annotation(spark, d):
@@ -143,7 +147,7 @@ _NEAR = f"{_POINTS}, e AS (SELECT b.label, h.label AS target, sqrt(pow(b.cy - h.
 @query(f"WITH {REGIONS}, {_NEAR} SELECT label, target, {q6('distance')} AS distance FROM nr")
 def nearest_assignment(spark, d):
     points, cells = _points(spark, d)
-    return lb.nearest(points, cells).select("label", "target", r6("distance").alias("distance"))
+    return lb.nearest(points, cells, settle=settle).select("label", "target", r6("distance").alias("distance"))
 
 
 @query(f"""WITH {REGIONS}, {_NEAR}, a AS (SELECT cy, cx FROM h ORDER BY label LIMIT 1), z AS (SELECT cy, cx FROM h ORDER BY label DESC LIMIT 1),
@@ -151,7 +155,7 @@ def nearest_assignment(spark, d):
  SELECT label, CASE WHEN distance < 8.3 THEN CASE WHEN abs(side) / len < 4 THEN 5 WHEN side > 0 THEN 1 ELSE 2 END WHEN side > 0 THEN 3 ELSE 4 END AS class FROM g""")
 def bouton_classes(spark, d):
     points, cells = _points(spark, d)
-    return lb.bouton_classes(points, cells, cutoff=8.3, close=4).select("label", "class")
+    return lb.bouton_classes(points, cells, cutoff=8.3, close=4, settle=settle).select("label", "class")
 
 
 @query(f"""WITH {REGIONS}, b AS (SELECT y, x, label FROM l WHERE label % 2 = 0), h AS (SELECT y, x + 6 AS x, label FROM l WHERE label % 3 = 1),
@@ -163,6 +167,16 @@ def overlap_assignment(spark, d):
     return lb.overlap_assignment(r.where("label % 2 = 0"), cells).select("label", "cell")
 
 
+@query(f"""WITH {REGIONS}, b AS (SELECT y, x, label FROM l WHERE label % 2 = 0), h AS (SELECT y, x + 6 AS x, label FROM l WHERE label % 3 = 1),
+ o AS (SELECT b.label, h.label AS cell, count(*) AS n FROM b JOIN h ON b.y = h.y AND b.x = h.x GROUP BY ALL), best AS (SELECT label, arg_max(cell, (n, -cell)) AS cell FROM o GROUP BY label),
+ near AS (SELECT b.label, max(h.label) AS cell FROM b JOIN h ON pow(b.y - h.y, 2) + pow(b.x - h.x, 2) < 9 GROUP BY b.label)
+ SELECT DISTINCT b.label, CASE WHEN b.label // 2 % 6 = 5 THEN 666 ELSE coalesce(best.cell, near.cell, CASE WHEN b.label // 2 % 6 IN (1, 2) THEN 666 ELSE 0 END) END AS cell FROM b LEFT JOIN best ON b.label = best.label LEFT JOIN near ON b.label = near.label""")
+def overlap_assignment_types(spark, d):
+    r = regions(spark, d)
+    cells, kinds = r.where("label % 3 = 1").withColumn("x", F.col("x") + 6), r.withColumn("label", F.expr("label div 2 % 6")).where("label > 0")
+    return lb.overlap_assignment(r.where("label % 2 = 0"), cells, annotation=kinds).select("label", "cell")
+
+
 @query(f"WITH {MOVIE}, b AS (SELECT frame // 2 AS frame, y, x, v FROM m WHERE frame // 2 < 3) SELECT cast(frame AS INTEGER) AS frame, y, x, cast(floor(avg(v)) AS INTEGER) AS v FROM b GROUP BY ALL")
 def temporal_bin(spark, d):
     return mv.temporal_bin(movie(spark, d), 2).select("frame", "y", "x", "v")
@@ -194,6 +208,13 @@ def gaussian_blur(spark, d):
     return mv.blurred(movie(spark, d), 1.0, axes=("y", "x")).select("frame", "y", "x", (F.round("v", 4) + 0.0).alias("v"))
 
 
+@query(f"""WITH {MOVIE}, k AS (SELECT d, exp(-0.5 * d * d / 0.64) AS w FROM (SELECT unnest(generate_series(-3, 3)) AS d)), t AS (SELECT m.frame + d AS frame, y, x, sum(v * w) / sum(w) AS v FROM m, k GROUP BY m.frame + d, y, x), t2 AS (SELECT t.* FROM t JOIN m USING (frame, y, x)),
+ a AS (SELECT frame, t2.y + d AS y, x, sum(v * w) / sum(w) AS v FROM t2, k GROUP BY frame, t2.y + d, x),
+ b AS (SELECT a.* FROM a JOIN m USING (frame, y, x)), c AS (SELECT frame, y, b.x + d AS x, sum(b.v * w) / sum(w) AS v FROM b, k GROUP BY frame, y, b.x + d) SELECT cast(c.frame AS INTEGER) AS frame, cast(c.y AS INTEGER) AS y, cast(c.x AS INTEGER) AS x, round(c.v, 4) + 0.0 AS v FROM c JOIN m USING (frame, y, x)""")
+def gaussian_blur_time(spark, d):
+    return mv.blurred(movie(spark, d), 0.8).select("frame", "y", "x", (F.round("v", 4) + 0.0).alias("v"))
+
+
 @query(f"WITH {MOVIE} SELECT a.frame // 2 AS frame, a.y, a.x, {q6('b.v / nullif(a.v, 0)')} AS ratio FROM m a JOIN m b ON b.frame = a.frame + 1 AND a.y = b.y AND a.x = b.x WHERE a.frame % 2 = 0")
 def channel_ratio(spark, d):
     return mv.ratio(mv.channels(movie(spark, d))).select("frame", "y", "x", r6("ratio").alias("ratio"))
@@ -220,6 +241,17 @@ def channel_leak_subtract(spark, d):
     return mv.minus_leak(*_leak(spark, d)).select("frame", "y", "x", r6("v").alias("v"))
 
 
+@query(f"""WITH {MOVIE}, g AS (SELECT frame // 2 AS frame, y, x, v FROM m WHERE frame % 2 = 0 AND frame < 6), r AS (SELECT frame // 2 AS frame, y, x, v FROM m WHERE frame % 2 = 1 AND frame < 6),
+ gd AS (SELECT g.frame, g.y, g.x, g.v - b.b AS v FROM g JOIN (SELECT y, x, avg(v) AS b FROM g WHERE frame < 2 GROUP BY ALL) b ON g.y = b.y AND g.x = b.x), rd AS (SELECT r.frame, r.y, r.x, r.v - b.b AS v FROM r JOIN (SELECT y, x, avg(v) AS b FROM r WHERE frame < 2 GROUP BY ALL) b ON r.y = b.y AND r.x = b.x),
+ p AS (SELECT y, x, arg_max(frame, (v, -frame)) AS frame, max(v) AS gv FROM gd GROUP BY ALL), s AS (SELECT p.y, p.x, CASE WHEN gv >= 1 THEN greatest(rd.v / gv, 0) ELSE 0.0 END AS scale FROM p JOIN rd ON p.y = rd.y AND p.x = rd.x AND p.frame = rd.frame),
+ k AS (SELECT d, exp(-0.5 * d * d) AS w FROM (SELECT unnest(generate_series(-4, 4)) AS d)), a AS (SELECT s.y + d AS y, x, sum(scale * w) / sum(w) AS v FROM s, k GROUP BY s.y + d, x), b2 AS (SELECT a.* FROM a JOIN s USING (y, x)),
+ c AS (SELECT y, b2.x + d AS x, sum(b2.v * w) / sum(w) AS v FROM b2, k GROUP BY y, b2.x + d) SELECT cast(y AS INTEGER) AS y, cast(x AS INTEGER) AS x, {q6('v')} AS scale FROM c JOIN s USING (y, x)""")
+def channel_leak_background(spark, d):
+    c = mv.channels(movie(spark, d))
+    green, red = (c.where(F.col("channel") == k).drop("channel") for k in (0, 1))
+    return mv.leak_scale(green, red, least_green=1, most=None, quantile=None, background=(0, 2), smoothing=1.0).select("y", "x", r6("scale").alias("scale"))
+
+
 @query(f"""WITH {MOVIE}, b AS (SELECT frame FROM m GROUP BY frame ORDER BY avg(v) DESC, frame LIMIT 1), s AS (SELECT greatest(0, least(b.frame - 1, (SELECT max(frame) + 1 FROM m) - 3)) AS a FROM b)
  SELECT y, x, {q6('avg(v)')} AS v FROM m, s WHERE frame >= a AND frame < a + 3 GROUP BY y, x""")
 def reference_image(spark, d):
@@ -227,28 +259,40 @@ def reference_image(spark, d):
 
 
 @query(f"""WITH {MOVIE}, n AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM m), c AS (SELECT frame, y, x, v FROM m, n WHERE frame < 3 AND y >= floor(h * 0.2) AND y < h - floor(h * 0.2) AND x >= floor(w * 0.2) AND x < w - floor(w * 0.2))
- SELECT CASE WHEN abs(avg(v) - avg(v % 1000)) >= 1 THEN {q6('avg(v) - avg(v % 1000)')} ELSE 0.0 END AS "offset" FROM c""")
+ SELECT CASE WHEN abs(avg((v % 1000) - v)) >= 1 THEN {q6('avg((v % 1000) - v)')} ELSE 0.0 END AS "offset" FROM c""")
 def intensity_offset(spark, d):
     m = movie(spark, d)
     return mv.intensity_offset(m, m.withColumn("v", F.col("v") % 1000), frames=3).select(r6("offset").alias("offset"))
 
 
-@query("""WITH b AS (SELECT cast(vec_id AS INTEGER) AS bin, embedding AS m FROM embeddings WHERE label = 3), k AS (SELECT cast(row_number() OVER (ORDER BY bin) - 1 AS INTEGER) AS bin, m FROM b), n AS (SELECT max(bin) + 1 AS n FROM k),
- f AS (SELECT unnest(generate_series(0, 99)) AS frame), x AS (SELECT frame, frame * (n - 1) / 99 AS x, n FROM f, n), e AS (SELECT frame, cast(floor(x) AS INTEGER) AS i, cast(least(floor(x) + 1, n - 1) AS INTEGER) AS j, x - floor(x) AS t FROM x)
- SELECT cast(frame AS INTEGER) AS frame, round(list_sum(list_transform(list_zip(a.m, b.m), lambda p: p[1]::DOUBLE + (p[2]::DOUBLE - p[1]::DOUBLE) * t)), 6) + 0.0 AS total FROM e JOIN k a ON a.bin = i JOIN k b ON b.bin = j""")
+@query(f"""WITH {MOVIE}, n AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM m), c AS (SELECT frame, y, x, v FROM m, n WHERE frame < 100 AND y >= floor(h * 0.2) AND y < h - floor(h * 0.2) AND x >= floor(w * 0.2) AND x < w - floor(w * 0.2)), o AS (SELECT avg((v + 300 + x) - v) AS o FROM c)
+ SELECT frame, y, x, cast(floor(greatest(least(v + 300 + x - o, 65535), 0)) AS INTEGER) AS v FROM m, o""")
+def intensity_corrected(spark, d):
+    m = movie(spark, d)
+    off = m.withColumn("v", F.col("v") + 300 + F.col("x"))
+    return mv.minus_offset(off, mv.intensity_offset(m, off)).select("frame", "y", "x", "v")
+
+
+@query("""WITH k AS (SELECT label AS recording, cast(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS bin, embedding AS m FROM embeddings), n AS (SELECT recording, max(bin) + 1 AS n FROM k GROUP BY recording),
+ f AS (SELECT recording, n, unnest(generate_series(0, 99)) AS frame FROM n), x AS (SELECT recording, frame, frame * (n - 1) / 99 AS x, n FROM f), e AS (SELECT recording, frame, cast(floor(x) AS INTEGER) AS i, cast(least(floor(x) + 1, n - 1) AS INTEGER) AS j, x - floor(x) AS t FROM x)
+ SELECT e.recording, cast(frame AS INTEGER) AS frame, round(list_sum(list_transform(list_zip(a.m, b.m), lambda p: p[1]::DOUBLE + (p[2]::DOUBLE - p[1]::DOUBLE) * t)), 6) + 0.0 AS total FROM e JOIN k a ON a.recording = e.recording AND a.bin = i JOIN k b ON b.recording = e.recording AND b.bin = j""")
 def transform_lerp(spark, d):
     from pyspark.sql import Window as W
 
-    e = table(spark, d, "embeddings").where("label = 3")
-    k = e.select(F.lit(1).alias("recording"), (F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1).alias("bin"), F.col("embedding").cast("array<double>").alias("m"))
-    return mv.interpolated_transforms(k, 100).select("frame", r6(F.aggregate("m", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+    e = table(spark, d, "embeddings")
+    k = e.select(F.col("label").alias("recording"), (F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1).alias("bin"), F.col("embedding").cast("array<double>").alias("m"))
+    return mv.interpolated_transforms(k, 100).select("recording", "frame", r6(F.aggregate("m", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+
+
+_GRID = """z AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM m), gi AS (SELECT h / {n} AS sy, w / {n} AS sx, h, w, k / 2.0::DOUBLE AS part, k, i, unnest(generate_series(0, {n})) AS j FROM (SELECT h, w, k, unnest(generate_series(0, {n})) AS i FROM (SELECT h, w, unnest([0, 1]) AS k FROM z))),
+ gb AS (SELECT k, i, j, h, w, cast(floor(part * sy + i * sy) AS INTEGER) AS y0, cast(floor(part * sy + (i + 1) * sy) AS INTEGER) AS y1, cast(floor(part * sx + j * sx) AS INTEGER) AS x0, cast(floor(part * sx + (j + 1) * sx) AS INTEGER) AS x1 FROM gi),
+ b AS (SELECT cast(row_number() OVER (ORDER BY k, i, j) - 1 AS INTEGER) AS roi, y0, y1, x0, x1 FROM gb WHERE y1 <= h AND x1 <= w)"""
 
 
-@query(f"""WITH {MOVIE}, b AS (SELECT * FROM (VALUES (0, 0, 0, 20, 20), (1, 0, 20, 20, 40), (2, 20, 0, 40, 20), (3, 20, 20, 40, 40), (4, 10, 10, 30, 30), (5, 30, 10, 50, 30)) b(roi, y0, x0, y1, x1))
- SELECT roi, frame, {q6('avg(v)')} AS mean, {q6('stddev_pop(v)')} AS sd FROM m JOIN b ON y >= y0 AND y < y1 AND x >= x0 AND x < x1 GROUP BY ALL""")
+@query(f"WITH {MOVIE}, {_GRID.format(n=4)} SELECT roi, frame, {q6('avg(v)')} AS mean, {q6('stddev_pop(v)')} AS sd FROM m JOIN b ON y >= y0 AND y < y1 AND x >= x0 AND x < x1 GROUP BY ALL")
 def grid_reference_traces(spark, d):
-    boxes = spark.createDataFrame([(i, *b) for i, b in enumerate(mv.grid_rois(50, 40, 20, 0.5))], "roi int, y0 int, x0 int, y1 int, x1 int")
-    return mv.box_traces(movie(spark, d), boxes).select("roi", "frame", r6("mean").alias("mean"), r6("sd").alias("sd"))
+    m = movie(spark, d)
+    return mv.box_traces(m, mv.grid_rois(m, 4, 0.5)).select("roi", "frame", r6("mean").alias("mean"), r6("sd").alias("sd"))
 
 
 @query(f"WITH {MOVIE}, k AS (SELECT frame, x AS s, v - quantile_cont(v, 0.05) OVER (PARTITION BY x) AS v FROM m WHERE y = 20) SELECT frame, s, {q6('v')} AS v FROM k")
@@ -263,10 +307,20 @@ def kymograph_line(spark, d):
     return mv.kymograph(movie(spark, d), line, 2).select("frame", "s", r6("v").alias("v"))
 
 
-# No SQL: numerical or iterative.
+@query(f"""WITH {MOVIE}, z AS (SELECT max(y) AS h, max(x) AS w FROM m), p AS (SELECT s, 5 + (h - 10) * s / 30.0::DOUBLE AS y, 4 + (w - 8) * s / 30.0::DOUBLE AS x, -(w - 8) / sqrt(pow(h - 10, 2) + pow(w - 8, 2)) AS ny, (h - 10) / sqrt(pow(h - 10, 2) + pow(w - 8, 2)) AS nx FROM z, (SELECT unnest(generate_series(0, 30)) AS s)),
+ k AS (SELECT s, k, y + k * ny AS y, x + k * nx AS x FROM p, (SELECT unnest([-2, -1, 0, 1, 2]) AS k)), c AS (SELECT s, k, floor(y) + j AS cy, floor(x) + i AS cx, (CASE WHEN j = 1 THEN y - floor(y) ELSE 1 - y + floor(y) END) * (CASE WHEN i = 1 THEN x - floor(x) ELSE 1 - x + floor(x) END) AS w FROM k, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j)),
+ e AS (SELECT frame, s, k, sum(v * w) / nullif(sum(w), 0) AS v FROM m JOIN c ON m.y = cy AND m.x = cx GROUP BY ALL) SELECT frame, cast(s AS INTEGER) AS s, round(avg(v), 4) + 0.0 AS v FROM e GROUP BY frame, s""")
+def kymograph_oblique(spark, d):
+    """Along a line from near one corner of the image to near the other."""
+    m = movie(spark, d)
+    top = m.agg(F.max("y").alias("h"), F.max("x").alias("w")).first()
+    line = spark.createDataFrame(mv.along_line([(5, 4), (top["h"] - 5, top["w"] - 4)], 31), "s int, y double, x double, ny double, nx double")
+    return mv.kymograph(m, line, 2).select("frame", "s", (F.round("v", 4) + 0.0).alias("v"))
 
 
-@query()
+@query(f"""WITH {MOVIE}, r AS (SELECT frame, v, min(v) OVER (PARTITION BY frame) AS lo, max(v) OVER (PARTITION BY frame) AS hi FROM m), h AS (SELECT frame, least(floor((v - lo) * 64 / (hi - lo)), 63) AS b, count(*) AS n, any_value(lo) AS lo, any_value(hi) AS hi FROM r GROUP BY ALL),
+ c AS (SELECT frame, b, n, lo + (b + 0.5) * (hi - lo) / 64 AS mid FROM h), u AS (SELECT frame, b, mid, sum(n) OVER k AS w, sum(n * mid) OVER k AS s, sum(n) OVER (PARTITION BY frame) AS total, sum(n * mid) OVER (PARTITION BY frame) AS moment FROM c WINDOW k AS (PARTITION BY frame ORDER BY b)),
+ v AS (SELECT frame, b, mid, w * (total - w) * pow(s / w - (moment - s) / nullif(total - w, 0), 2) AS between_ FROM u) SELECT frame, {q6('arg_max(mid, (round(coalesce(between_, -1), 3), -b))')} AS threshold FROM v GROUP BY frame""")
 def otsu_thresholds(spark, d):
     return mv.otsu_threshold(movie(spark, d), 64).select("frame", r6("threshold").alias("threshold"))
 
@@ -277,9 +331,18 @@ def white_top_hat(spark, d):
     return mv.opened_difference(movie(spark, d), 1).select("frame", "y", "x", "v")
 
 
-@query()
+@query(f"""WITH {MOVIE}, k AS (SELECT d, exp(-0.5 * d * d) AS w FROM (SELECT unnest(generate_series(-4, 4)) AS d)), a AS (SELECT frame, m.y + d AS y, x, sum(v * w) / sum(w) AS v FROM m, k GROUP BY frame, m.y + d, x),
+ b AS (SELECT a.* FROM a JOIN m USING (frame, y, x)), c AS (SELECT frame, y, b.x + d AS x, sum(b.v * w) / sum(w) AS v FROM b, k GROUP BY frame, y, b.x + d), f AS (SELECT frame, cast(c.y AS INTEGER) AS y, cast(c.x AS INTEGER) AS x, c.v FROM c JOIN m USING (frame, y, x)),
+ r AS (SELECT frame, v, min(v) OVER (PARTITION BY frame) AS lo, max(v) OVER (PARTITION BY frame) AS hi FROM f), h AS (SELECT frame, least(floor((v - lo) * 256 / (hi - lo)), 255) AS b, count(*) AS n, any_value(lo) AS lo, any_value(hi) AS hi FROM r GROUP BY ALL),
+ hc AS (SELECT frame, b, n, lo + (b + 0.5) * (hi - lo) / 256 AS mid FROM h), u AS (SELECT frame, b, mid, sum(n) OVER k AS w, sum(n * mid) OVER k AS s, sum(n) OVER (PARTITION BY frame) AS total, sum(n * mid) OVER (PARTITION BY frame) AS moment FROM hc WINDOW k AS (PARTITION BY frame ORDER BY b)),
+ th AS (SELECT frame, arg_max(mid, (coalesce(w * (total - w) * pow(s / w - (moment - s) / nullif(total - w, 0), 2), -1), -b)) AS threshold FROM u GROUP BY frame), br AS (SELECT f.* FROM f JOIN th USING (frame) WHERE v > threshold),
+ sd AS (SELECT br.frame, br.y, br.x FROM br JOIN f o ON o.frame = br.frame AND o.y BETWEEN br.y - 3 AND br.y + 3 AND o.x BETWEEN br.x - 3 AND br.x + 3 GROUP BY br.frame, br.y, br.x, br.v HAVING br.v >= max(o.v)), sn AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY y, x) AS seed FROM sd)
+ SELECT br.frame, br.y, br.x, cast(arg_min(seed, (pow(br.y - sn.y, 2) + pow(br.x - sn.x, 2), seed)) AS INTEGER) AS label FROM br JOIN sn ON br.frame = sn.frame GROUP BY ALL""")
 def seeded_segmentation(spark, d):
-    return mv.seeded_regions(movie(spark, d), sigma=1.0).select("frame", "y", "x", "label")
+    return mv.seeded_regions(movie(spark, d), sigma=1.0, settle=settle).select("frame", "y", "x", "label")
+
+
+# No SQL: phase correlation needs a Fourier transform. Tests compare it with sums over all shifts.
 
 
 @query()
@@ -302,23 +365,30 @@ def warped_frames(spark, d):
     return mv.warped(m, t).select("frame", "y", "x", "v")
 
 
-@query(f"""WITH RECURSIVE {REGIONS}, b AS (SELECT y, x FROM l WHERE label % 3 > 0), k AS (SELECT unnest([-1, 0, 1]) AS dy), kk AS (SELECT dy, unnest([-1, 0, 1]) AS dx FROM k),
+@query(f"""WITH RECURSIVE {REGIONS}, b AS (SELECT y, x FROM l), k AS (SELECT unnest([-1, 0, 1]) AS dy), kk AS (SELECT dy, unnest([-1, 0, 1]) AS dx FROM k),
  e AS MATERIALIZED (SELECT a.y, a.x, a.y * 1000 + a.x AS i, c.y * 1000 + c.x AS j FROM b a, kk JOIN b c ON c.y = a.y + dy AND c.x = a.x + dx),
  r AS (SELECT y * 1000 + x AS i, y * 1000 + x AS j FROM b UNION SELECT r.i, e.j FROM r JOIN e ON r.j = e.i), m2 AS (SELECT i, min(j) AS root FROM r GROUP BY i)
  SELECT cast(i // 1000 AS INTEGER) AS y, cast(i % 1000 AS INTEGER) AS x, cast(dense_rank() OVER (ORDER BY root) AS INTEGER) AS label FROM m2""")
 def connected_components(spark, d):
-    r = regions(spark, d).where("label % 3 > 0")
-    return lb.merged_touching(r, settle=settle).select("y", "x", "label")
+    return lb.merged_touching(regions(spark, d), settle=settle).select("y", "x", "label")
 
 
-@query()
+@query(f"""WITH {TRACES}, x AS (SELECT cell % 10 AS roi, cell AS pixel, frame, f FROM t), n AS (SELECT roi, count(DISTINCT pixel) AS pixels, max(frame) + 1 AS n FROM x GROUP BY roi),
+ w AS (SELECT x.roi, pixel, frame, f, pixels, unnest(generate_series(greatest(frame - 5, 6), least(frame + 6, n - 7))) AS j FROM x JOIN n ON x.roi = n.roi), c AS (SELECT roi, j, pixel, count(*) AS c FROM w GROUP BY ALL),
+ p AS (SELECT a.roi, a.j, any_value(a.pixels) AS pixels, CASE WHEN stddev_pop(a.f) > 0 AND stddev_pop(b.f) > 0 THEN corr(a.f, b.f) END AS r FROM w a JOIN w b ON a.roi = b.roi AND a.j = b.j AND a.frame = b.frame GROUP BY a.roi, a.j, a.pixel, b.pixel),
+ g AS (SELECT roi, j, avg(r) AS r, count(r) AS n, any_value(pixels) AS pixels FROM p GROUP BY ALL), k AS (SELECT roi, j, min(c) AS c, count(*) AS there FROM c GROUP BY ALL)
+ SELECT g.roi, cast(g.j AS INTEGER) AS frame, CASE WHEN k.c = 12 AND k.there = pixels AND g.n = pixels * pixels THEN {q6('g.r')} END AS r FROM g JOIN k ON g.roi = k.roi AND g.j = k.j""")
 def pixel_rolling_corr(spark, d):
     m = traces(spark, d).select((F.col("cell") % 10).alias("roi"), F.col("cell").alias("pixel"), "frame", F.col("f").alias("v"))
     return co.pixel_rolling(m, 6).select("roi", "frame", r6("r").alias("r"))
 
 
-@query()
+@query(f"""WITH {MOVIE}, {_GRID.format(n=4)}, bt AS (SELECT roi AS cell, frame, avg(m.v) AS mean, stddev_pop(m.v) AS sd FROM m JOIN b ON y >= y0 AND y < y1 AND x >= x0 AND x < x1 GROUP BY ALL), {_SAVGOL.format(src='bt', v='mean', w=3, h=1)},
+ wt AS (SELECT cell, frame, y, 1.0 - 0.5 * frame / (count(*) OVER (PARTITION BY cell) - 1) AS w FROM sm), mn AS (SELECT cell, sum(w * y) / sum(w) AS m FROM wt GROUP BY cell), sc AS (SELECT wt.cell, sqrt(sum(w * (y - m) * (y - m)) / sum(w)) AS score FROM wt JOIN mn ON wt.cell = mn.cell GROUP BY wt.cell),
+ best AS (SELECT arg_max(cell, (round(score, 9), -cell)) AS cell FROM sc), tr AS (SELECT sm.frame, sm.y AS mean, bt.sd FROM sm JOIN best ON sm.cell = best.cell JOIN bt ON bt.cell = sm.cell AND bt.frame = sm.frame),
+ ro AS (SELECT frame, median(mean) OVER (ORDER BY frame ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS med, median(mean) OVER () AS base FROM tr), co AS (SELECT coalesce(max(frame + 1) FILTER (WHERE NOT (med < 0.8 * base OR med > 1.2 * base)), 0) AS cutoff FROM ro)
+ SELECT 1 AS recording, frame + 1 AS slice, frame, {q6('mean')} AS mean, {q6('sd')} AS sd FROM tr, co WHERE frame < cutoff""")
 def reference_plan(spark, d):
     from .reference import reference_traces
 
-    return reference_traces(movie(spark, d), 50, 40, size=20, smooth=3)["trace"].select("recording", "slice", "frame", r6("mean").alias("mean"), r6("sd").alias("sd"))
+    return reference_traces(movie(spark, d), grid=4, smooth=3)["trace"].select("recording", "slice", "frame", r6("mean").alias("mean"), r6("sd").alias("sd"))

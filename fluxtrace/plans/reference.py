@@ -11,16 +11,15 @@ from ..operators import traces as tr
 from .storage import settle
 
 
-def reference_traces(pixels: DataFrame, height: int, width: int, *, size: int = 64, overlap: float = 0.5, smooth: int = 11, done: DataFrame | None = None, step: int = 1) -> dict[str, DataFrame]:
+def reference_traces(pixels: DataFrame, *, grid: int | tuple[int, int] = 4, overlap: float = 0.5, smooth: int = 11, done: DataFrame | None = None, step: int = 1) -> dict[str, DataFrame]:
     """best (recording, roi, score), trace (recording, slice, frame, mean, sd), cutoff and intervals, for all recordings at
     once; recordings in `done` are skipped. slice counts from 1 in steps, as other tools write it."""
-    spark = pixels.sparkSession
     if done is not None:
         pixels = pixels.join(done.select("recording"), "recording", "left_anti")
-    boxes = spark.createDataFrame([(i, *b) for i, b in enumerate(mv.grid_rois(height, width, size, overlap))], "roi int, y0 int, x0 int, y1 int, x1 int")
-    grid = settle(tr.savgol1(mv.box_traces(pixels, boxes), smooth, key=["recording", "roi"], value="mean"))
-    best = settle(tr.best_reference(grid, recording="recording", roi="roi", value="smooth"))
-    trace = grid.join(best.select("recording", "roi"), ["recording", "roi"]).select("recording", "frame", F.col("smooth").alias("mean"), "sd")
+    boxes = settle(mv.grid_rois(pixels, grid, overlap))
+    traces = settle(tr.savgol1(mv.box_traces(pixels, boxes), smooth, key=["recording", "roi"], value="mean"))
+    best = settle(tr.best_reference(traces, recording="recording", roi="roi", value="smooth"))
+    trace = traces.join(best.select("recording", "roi"), ["recording", "roi"]).select("recording", "frame", F.col("smooth").alias("mean"), "sd")
     cutoff = settle(iv.cutoff_frame(trace))
     trace = settle(trace.join(cutoff, "recording").where(F.col("frame") < F.col("cutoff")).drop("cutoff").withColumn("slice", (F.col("frame") + 1) * step))
     return {"best": best, "trace": trace, "cutoff": cutoff, "intervals": iv.out_of_focus(trace, sd="sd")}

@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-_own: dict[str, str] = {}
-
-
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """spark.checkpoint.dir. Where that is unset, a local session gets a folder of its own; on a cluster that is an error, for
+    executors would write what nobody reads."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="fluxtrace-")
-        _own[spark.sparkContext.applicationId] = where
-    return where
+    if where:
+        return where
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return _local(spark.sparkContext.applicationId)
+
+
+@lru_cache(maxsize=None)
+def _local(application: str) -> str:
+    return tempfile.mkdtemp(prefix="fluxtrace-")
 
 
 def settle(df: DataFrame) -> DataFrame:

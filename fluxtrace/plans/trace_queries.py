@@ -50,6 +50,11 @@ def interpolate_gaps(spark, d):
     return tr.interpolate(gappy(spark, d)).select("cell", "frame", r6("filled").alias("filled"))
 
 
+@query(f"WITH {HELD} SELECT cell, frame, f FROM (SELECT *, lead(f) OVER (PARTITION BY cell ORDER BY frame) AS n FROM h) WHERE n <> f")
+def drop_held_frames(spark, d):
+    return tr.drop_held(held(spark, d)).select("cell", "frame", "f")
+
+
 @query(f"""WITH {HELD}, c AS (SELECT recording, min(cell) AS cell FROM h GROUP BY recording), o AS (SELECT h.recording, frame, lead(f) OVER w - f AS dz FROM h JOIN c ON h.cell = c.cell WINDOW w AS (PARTITION BY h.recording ORDER BY frame)),
  k AS (SELECT recording, frame AS a, lead(frame) OVER w AS b, lead(frame, 5) OVER w AS far FROM o WHERE dz <> 0 WINDOW w AS (PARTITION BY recording ORDER BY frame)),
  gap AS (SELECT * FROM k WHERE b - a > 1 AND far IS NOT NULL),
@@ -170,10 +175,21 @@ def oof_intervals(spark, d):
     return iv.out_of_focus(traces(spark, d), mean="f", gap=1, key="cell").select("cell", "start", "end")
 
 
-@query(f"""WITH {TRACES}, n AS (SELECT *, count(*) OVER (PARTITION BY cell) AS n FROM t), b AS (SELECT *, least(20, n // 5 + 1) AS w, median(f) FILTER (WHERE frame < 20) OVER (PARTITION BY cell) AS base FROM n),
+@query(f"""WITH {TRACES}, x AS (SELECT cell, frame, f, abs(f - 40) AS s FROM t), m AS (SELECT *, median(f) OVER (PARTITION BY cell) AS med, median(s) OVER (PARTITION BY cell) AS smed FROM x),
+ b AS (SELECT cell, median(f) FILTER (WHERE f >= med) AS base, median(s) FILTER (WHERE s >= smed) AS sbase FROM m GROUP BY cell),
+ l AS (SELECT x.cell, frame, f < 0.7 * base OR s < 0.6 * sbase AS bad FROM x JOIN b ON x.cell = b.cell), c AS (SELECT *, CASE WHEN bad = lag(bad) OVER w THEN 0 ELSE 1 END AS n FROM l WINDOW w AS (PARTITION BY cell ORDER BY frame)),
+ r AS (SELECT *, sum(n) OVER (PARTITION BY cell ORDER BY frame) AS run FROM c), i AS (SELECT cell, min(frame) AS s, max(frame) + 1 AS e FROM r WHERE bad GROUP BY cell, run HAVING count(*) >= 2),
+ o AS (SELECT *, max(e) OVER (PARTITION BY cell ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM i),
+ g AS (SELECT *, sum(CASE WHEN s - upto <= 1 THEN 0 ELSE 1 END) OVER (PARTITION BY cell ORDER BY s, e) AS g FROM o) SELECT cell, min(s) AS start, max(e) AS "end" FROM g GROUP BY cell, g""")
+def oof_intervals_sd(spark, d):
+    df = traces(spark, d).withColumn("s", F.abs(F.col("f") - 40))
+    return iv.out_of_focus(df, mean="f", sd="s", gap=1, key="cell").select("cell", "start", "end")
+
+
+@query(f"""WITH {TRACES}, n AS (SELECT *, count(*) OVER (PARTITION BY cell) AS n FROM t), b AS (SELECT *, least(20, n // 5 + 1) AS w, median(f) FILTER (WHERE frame < 1000) OVER (PARTITION BY cell) AS base FROM n),
  m AS (SELECT b.cell, b.frame, any_value(b.n) AS n, any_value(b.base) AS base, CASE WHEN count(o.f) >= greatest(1, any_value(b.w) // 10) THEN median(o.f) END AS med
  FROM b JOIN t o ON o.cell = b.cell AND o.frame BETWEEN b.frame - b.w // 2 AND b.frame + (b.w - 1) // 2 GROUP BY b.cell, b.frame)
- SELECT cell, cast(coalesce(max(frame + 1) FILTER (WHERE abs(med - base) <= 0.5 * abs(base)), 0) AS INTEGER) AS cutoff FROM m GROUP BY cell""")
+ SELECT cell, cast(coalesce(max(frame + 1) FILTER (WHERE NOT (med < base * 0.5 OR med > base * 1.5)), 0) AS INTEGER) AS cutoff FROM m GROUP BY cell""")
 def cutoff_frame(spark, d):
     return iv.cutoff_frame(traces(spark, d), window=20, deviation=0.5, key="cell", value="f").select("cell", F.col("cutoff").cast("int").alias("cutoff"))
 
@@ -280,14 +296,21 @@ def nearest_trace(spark, d):
  x AS (SELECT *, lag(f) OVER w AS l, lead(f) OVER w AS n FROM q WINDOW w AS (PARTITION BY cell ORDER BY run)), p AS (SELECT cell, cast((a + b) // 2 AS INTEGER) AS peak, f FROM x WHERE f > l AND f > n),
  lim AS (SELECT p.cell, peak, p.f, coalesce(max(frame) FILTER (WHERE frame < peak AND h.f > p.f), -1) AS lo, coalesce(min(frame) FILTER (WHERE frame > peak AND h.f > p.f), 1000000) AS hi FROM p JOIN h ON h.cell = p.cell GROUP BY ALL),
  pr AS (SELECT lim.cell, peak, any_value(lim.f) - greatest(min(h.f) FILTER (WHERE frame <= peak), min(h.f) FILTER (WHERE frame >= peak)) AS prominence FROM lim JOIN h ON h.cell = lim.cell AND frame > lo AND frame < hi GROUP BY lim.cell, peak)
- SELECT cell, peak, {q6('prominence')} AS prominence FROM pr WHERE prominence >= 50""")
+ SELECT cell, peak, {q6('prominence')} AS prominence FROM pr JOIN h USING (cell) WHERE h.frame = peak AND h.f >= 75 AND prominence >= 50""")
 def peaks_prominence(spark, d):
-    return pk.detect(held(spark, d), height=None, distance=None, prominence=50).select("cell", "peak", r6("prominence").alias("prominence"))
+    return pk.detect(held(spark, d), height=75, distance=None, prominence=50).select("cell", "peak", r6("prominence").alias("prominence"))
 
 
-@query()
+_LIMITS = """p AS (SELECT cell, frame AS peak, f FROM (SELECT *, lag(f) OVER w AS a, lead(f) OVER w AS b FROM t WINDOW w AS (PARTITION BY cell ORDER BY frame)) WHERE f > a AND f > b AND f >= 0), n AS (SELECT cell, max(frame) AS n FROM t GROUP BY cell),
+ lim AS (SELECT p.cell, peak, p.f, coalesce(max(frame) FILTER (WHERE frame < peak AND t.f > p.f), -1) AS lo, coalesce(min(frame) FILTER (WHERE frame > peak AND t.f > p.f), 1000000) AS hi FROM p JOIN t ON t.cell = p.cell GROUP BY ALL),
+ pr AS (SELECT lim.cell, peak, any_value(lim.f) AS f, any_value(lim.f) - greatest(min(t.f) FILTER (WHERE frame <= peak), min(t.f) FILTER (WHERE frame >= peak)) AS prominence FROM lim JOIN t ON t.cell = lim.cell AND frame > lo AND frame < hi GROUP BY lim.cell, peak),
+ hh AS (SELECT pr.cell, peak, pr.f - 0.5 * prominence AS h, max(frame) FILTER (WHERE frame < peak AND t.f <= pr.f - 0.5 * prominence) AS i, min(frame) FILTER (WHERE frame > peak AND t.f <= pr.f - 0.5 * prominence) AS j FROM pr JOIN t ON t.cell = pr.cell WHERE prominence >= 20 GROUP BY ALL)"""
+
+
+@query(f"""WITH {TRACES}, {_LIMITS} SELECT hh.cell, peak, {q6('CASE WHEN i IS NULL THEN 0.0 WHEN li.f < h THEN i + (h - li.f) / (ln.f - li.f) ELSE i END')} AS left_limit, {q6('CASE WHEN j IS NULL THEN n WHEN rj.f < h THEN j - (h - rj.f) / (rp.f - rj.f) ELSE j END')} AS right_limit
+ FROM hh JOIN n ON n.cell = hh.cell LEFT JOIN t li ON li.cell = hh.cell AND li.frame = i LEFT JOIN t ln ON ln.cell = hh.cell AND ln.frame = i + 1 LEFT JOIN t rj ON rj.cell = hh.cell AND rj.frame = j LEFT JOIN t rp ON rp.cell = hh.cell AND rp.frame = j - 1""")
 def peak_widths(spark, d):
-    return pk.detect(traces(spark, d), height=0, distance=4, prominence=20).select("cell", "peak", r6("left").alias("left_limit"), r6("right").alias("right_limit"))
+    return pk.detect(traces(spark, d), height=0, distance=None, prominence=20).select("cell", "peak", r6("left").alias("left_limit"), r6("right").alias("right_limit"))
 
 
 @query()
@@ -295,11 +318,20 @@ def highpass_detrend(spark, d):
     return pk.highpass(traces(spark, d), fps=1.0, cutoff_hz=1 / 20).select("cell", "frame", r6("filtered").alias("filtered"))
 
 
-@query()
+@query(f"""WITH {TRACES}, c AS (SELECT cell, frame, f - avg(f) OVER (PARTITION BY cell) AS x, count(*) OVER (PARTITION BY cell) AS n FROM t),
+ w AS (SELECT *, 0.21557895 - 0.41663158 * cos(2 * pi() * frame / n) + 0.277263158 * cos(4 * pi() * frame / n) - 0.083578947 * cos(6 * pi() * frame / n) + 0.006947368 * cos(8 * pi() * frame / n) AS w FROM c),
+ k AS (SELECT *, unnest(generate_series(0, n // 2)) AS k FROM w), s AS (SELECT cell, k, any_value(n) AS n, sum(x * w * cos(2 * pi() * k * frame / n)) AS re, sum(x * w * sin(2 * pi() * k * frame / n)) AS im, sum(w) AS w FROM k GROUP BY ALL),
+ q AS (SELECT cell, k, n, (re * re + im * im) / (w * w) * CASE WHEN k = 0 OR (n % 2 = 0 AND k = n // 2) THEN 1 ELSE 2 END AS p FROM s) SELECT cell, {q6('sqrt(2 * avg(p))')} AS noise FROM q WHERE k >= (n // 2 + 1) // 2 GROUP BY cell""")
 def noise_amplitude(spark, d):
     return pk.noise(traces(spark, d)).select("cell", r6("noise").alias("noise"))
 
 
-@query()
+_FAR = "abs(p.start - {s}.start) >= 5"
+
+
+@query(f"""WITH {TRACES}, q AS (SELECT unnest([0, 1, 2, 3, 4]) AS i, unnest([0.0, 40.0, 120.0, 60.0, 10.0]::DOUBLE[]) AS q), s AS (SELECT a.cell, a.frame AS start, avg(b.f) AS m, stddev_pop(b.f) AS sd, sum(b.f * q) AS dot, count(*) AS n, avg(q) AS qm, stddev_pop(q) AS qs FROM t a JOIN t b ON b.cell = a.cell AND b.frame BETWEEN a.frame AND a.frame + 4 JOIN q ON q.i = b.frame - a.frame GROUP BY ALL),
+ p AS (SELECT cell, start, sqrt(greatest(10 * (1 - (dot - 5 * m * qm) / (5 * sd * qs)), 0)) AS distance FROM s WHERE n = 5 AND sd > 1e-9), a AS (SELECT cell, arg_min(start, (distance, start)) AS start FROM p GROUP BY cell),
+ b AS (SELECT p.cell, arg_min(p.start, (distance, p.start)) AS start FROM p JOIN a ON p.cell = a.cell WHERE {_FAR.format(s='a')} GROUP BY p.cell), c AS (SELECT p.cell, arg_min(p.start, (distance, p.start)) AS start FROM p JOIN a ON p.cell = a.cell JOIN b ON p.cell = b.cell WHERE {_FAR.format(s='a')} AND {_FAR.format(s='b')} GROUP BY p.cell)
+ SELECT p.cell, p.start, {q6('distance')} AS distance FROM p JOIN (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) k ON p.cell = k.cell AND p.start = k.start""")
 def template_topk(spark, d):
     return pk.match_template(traces(spark, d), [0.0, 40.0, 120.0, 60.0, 10.0], 2).select("cell", "start", r6("distance").alias("distance"))

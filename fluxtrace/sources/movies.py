@@ -3,8 +3,10 @@
     spark.dataSource.register(RawMovie)
     spark.read.format("raw_movie").options(path=..., width=512, height=512, start=0, end=900).load()
 
-Rows are frames: (frame int, h int, w int, data array<int>). A partition is a range of frames, so a read of frames [start,
-end) opens only those; `pixels` turns frames into pixel rows. Files must be in a folder that executors can open.
+Rows are frames: (frame int, h int, w int, data array<int>), handed to Spark as Arrow batches of one frame. A partition is a
+range of frames, so a read of frames [start, end) opens only those; with the option pushdown=true, which needs Spark's setting spark.sql.python.filterPushdown.enabled, a
+condition on `frame` does the same. `dtype` is the type of a raw sample (uint16 by default; uint8, int16, ...). `pixels`
+turns frames into pixel rows. Files must be in a folder that executors can open.
 """
 
 from __future__ import annotations
@@ -14,9 +16,10 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 SCHEMA = "frame int, h int, w int, data array<int>"
 #: Frames of one partition.
@@ -28,6 +31,13 @@ class Frames(InputPartition):
         self.first, self.last = first, last
 
 
+#: The frames [low, high) that a condition leaves.
+_BOUNDS = {
+    EqualTo: lambda v: (v, v + 1), GreaterThan: lambda v: (v + 1, None), GreaterThanOrEqual: lambda v: (v, None),
+    LessThan: lambda v: (None, v), LessThanOrEqual: lambda v: (None, v + 1),
+}
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
@@ -41,16 +51,20 @@ class _Reader(DataSourceReader):
         step = FRAMES
         return [Frames(i, min(i + step, self.end)) for i in range(self.start, max(self.end, self.start), step)] or [Frames(0, 0)]
 
-    def read(self, partition: Frames) -> Iterator[tuple]:
+    def read(self, partition: Frames) -> Iterator[pa.RecordBatch]:
         with open(self.path, "rb") as file:
             for i in range(partition.first, partition.last):
                 if i % self.n_channels == self.channel or self.n_channels == 1:
-                    yield i // self.n_channels, self.height, self.width, self.frame(file, i).astype(int).ravel().tolist()
+                    values = pa.array(self.frame(file, i).astype(np.int32).ravel())
+                    data = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+                    one = [pa.array([x], pa.int32()) for x in (i // self.n_channels, self.height, self.width)]
+                    yield pa.RecordBatch.from_arrays([*one, data], names=["frame", "h", "w", "data"])
 
 
 class _RawReader(_Reader):
     def open(self, options: dict) -> None:
         size = Path(self.path).stat().st_size
+        self.dtype = np.dtype(options.get("dtype", "uint16")).newbyteorder("<")
         if "width" in options:
             self.width, self.height = int(options["width"]), int(options["height"])
         else:
@@ -60,12 +74,13 @@ class _RawReader(_Reader):
                 with preview.open("rb") as f:
                     _, self.width, self.height, *_ = tiff_pages(f)[0]
             else:
-                self.width = self.height = next((s for s in (512, 256, 1024, 128) if size % (2 * s * s) == 0), 512)
-        self.n = size // (2 * self.width * self.height)
+                self.width = self.height = next((s for s in (512, 256, 1024, 128) if size % (self.dtype.itemsize * s * s) == 0), 512)
+        self.n = size // (self.dtype.itemsize * self.width * self.height)
 
     def frame(self, file, i: int) -> np.ndarray:
-        file.seek(2 * i * self.width * self.height)
-        return np.frombuffer(file.read(2 * self.width * self.height), "<u2").reshape(self.height, self.width)
+        size = self.dtype.itemsize * self.width * self.height
+        file.seek(i * size)
+        return np.frombuffer(file.read(size), self.dtype).reshape(self.height, self.width)
 
 
 _TYPES = {1: "B", 3: "H", 4: "I", 16: "Q"}
@@ -119,6 +134,30 @@ class _TiffReader(_Reader):
         return np.frombuffer(data, f"{order}u{bits // 8}").reshape(height, width)
 
 
+class _Pushed:
+    """Readers that take conditions on the frame's number."""
+
+    def pushFilters(self, filters):
+        """Takes bounds on the frame's number into the range that is read; anything else is left to Spark."""
+        n = self.n_channels
+        for f in filters:
+            bound = getattr(f, "value", None)
+            if getattr(f, "attribute", None) != ("frame",) or not isinstance(bound, int) or type(f) not in _BOUNDS:
+                yield f
+                continue
+            low, high = _BOUNDS[type(f)](bound)
+            self.start = self.start if low is None else max(self.start, low * n)
+            self.end = self.end if high is None else min(self.end, high * n)
+
+
+class _PushedRaw(_Pushed, _RawReader):
+    pass
+
+
+class _PushedTiff(_Pushed, _TiffReader):
+    pass
+
+
 class RawMovie(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -128,7 +167,7 @@ class RawMovie(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _RawReader(dict(self.options))
+        return (_PushedRaw if self.options.get("pushdown") == "true" else _RawReader)(dict(self.options))
 
 
 class TiffMovie(RawMovie):
@@ -137,7 +176,7 @@ class TiffMovie(RawMovie):
         return "tiff_movie"
 
     def reader(self, schema) -> DataSourceReader:
-        return _TiffReader(dict(self.options))
+        return (_PushedTiff if self.options.get("pushdown") == "true" else _TiffReader)(dict(self.options))
 
 
 def pixels(frames: DataFrame, recording: str) -> DataFrame:

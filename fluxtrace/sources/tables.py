@@ -36,12 +36,13 @@ def csv(spark: SparkSession, path: str | list[str], table: str) -> DataFrame:
     return df.select(*[nan_to_null(c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def excel(spark: SparkSession, path: str, table: str) -> DataFrame:
+def excel(spark: SparkSession, path: str, table: str | None = None) -> DataFrame:
     """A recording sheet from a workbook, where pandas has an engine for it; sheets are small and read by the driver."""
     import pandas as pd
 
     frame = pd.read_excel(path)
-    return spark.createDataFrame(frame.astype(object).where(frame.notna(), None).values.tolist(), SCHEMAS[table])
+    rows = frame.astype(object).where(frame.notna(), None).values.tolist()
+    return spark.createDataFrame(rows, SCHEMAS[table] if table else list(map(str, frame.columns)))
 
 
 def local_root(folders: DataFrame, candidates: list[str], column: str = "folder", checks: int = 3, seed: int = 0) -> str | None:
@@ -59,15 +60,17 @@ def local_root(folders: DataFrame, candidates: list[str], column: str = "folder"
 
 
 def load(spark: SparkSession, path: str, table: str | None = None) -> DataFrame:
-    """By the name's ending; without a known one Parquet is tried before CSV, and the last error is raised."""
-    readers = {"parquet": spark.read.parquet, "csv": lambda p: csv(spark, p, table) if table else spark.read.option("header", True).csv(p), "orc": spark.read.orc, "json": spark.read.json}
+    """By the name's ending; without a known one Parquet, CSV and Excel are tried, and the last error is raised."""
+    readers = {"xlsx": lambda p: excel(spark, p, table), "xls": lambda p: excel(spark, p, table), "parquet": spark.read.parquet, "csv": lambda p: csv(spark, p, table) if table else spark.read.option("header", True).csv(p), "orc": spark.read.orc, "json": spark.read.json}
     ending = path.rsplit(".", 1)[-1].lower()
     if ending in readers:
         return readers[ending](path)
-    try:
-        return readers["parquet"](path)
-    except Exception:
-        return readers["csv"](path)
+    for kind in ("parquet", "csv", "xlsx"):
+        try:
+            return readers[kind](path)
+        except Exception as e:  # noqa: BLE001
+            last = e
+    raise last
 
 
 def optional(spark: SparkSession, path: str, table: str) -> DataFrame:
@@ -105,7 +108,8 @@ def one_after_another(parts: list[DataFrame], order: str = "frame") -> DataFrame
     offset, out = 0, []
     for p in parts:
         out.append(p.withColumn(order, F.col(order) + offset))
-        offset += (p.agg(F.max(order).alias("n")).first()["n"] or -1) + 1
+        last = p.agg(F.max(order).alias("n")).first()["n"]
+        offset += 0 if last is None else last + 1
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), out)
 
 

@@ -1,10 +1,12 @@
 """Further small inputs: edits, paths, shapes, matching, metadata."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from fluxtrace.functions import scalars as sc
+from fluxtrace.operators import intervals as iv
 from fluxtrace.operators import labels as lb
 from fluxtrace.operators import movie as mv
 from fluxtrace.operators import peaks as pk
@@ -81,14 +83,105 @@ def test_sampling_is_the_same_again(spark):
     assert a == b and len(a) == 5
 
 
-def test_grid():
-    boxes = mv.grid_rois(50, 40, 20, 0.5)
-    assert (10, 10, 30, 30) in boxes and all(0 <= y0 and y1 <= 50 and 0 <= x0 and x1 <= 40 for y0, x0, y1, x1 in boxes)
+def corners(spark, height, width):
+    return spark.createDataFrame([(1, 0, 0, 0, 1), (1, 0, height - 1, width - 1, 1)], "recording int, frame int, y int, x int, v int")
+
+
+def test_grid(spark):
+    boxes = lambda *how: [tuple(r)[2:] for r in mv.grid_rois(*how).orderBy("roi").collect()]
+    plain = boxes(corners(spark, 100, 80), 4)
+    assert len(plain) == 16 and plain[:2] == [(0, 0, 25, 20), (0, 20, 25, 40)] and {(c - a, d - b) for a, b, c, d in plain} == {(25, 20)}
+    both = boxes(corners(spark, 100, 80), 4, 0.5)
+    assert both[:16] == plain and len(both) == 25 and both[16] == (12, 10, 37, 30)
+    assert boxes(corners(spark, 10, 7), (3, 2)) == [(0, 0, 3, 3), (0, 3, 3, 7), (3, 0, 6, 3), (3, 3, 6, 7), (6, 0, 10, 3), (6, 3, 10, 7)]
+
+
+def test_intensity_offset_is_taken_off(spark):
+    rows = [(1, t, y, x, 100 + 10 * y + x) for t in range(3) for y in range(10) for x in range(10)]
+    original = spark.createDataFrame(rows, "recording int, frame int, y int, x int, v int")
+    # Seven brighter in the middle, dark where the correction left a border.
+    corrected = original.withColumn("v", F.when(F.col("y") < 2, 0).otherwise(F.col("v") + 7))
+    off = mv.intensity_offset(original, corrected)
+    assert off.collect()[0]["offset"] == 7.0
+    back = mv.minus_offset(corrected, off)
+    assert back.where("y >= 2").exceptAll(original.where("y >= 2")).count() == 0 and back.agg(F.min("v")).first()[0] == 0
+    assert mv.intensity_offset(original, original.withColumn("v", F.col("v") + 0.5)).collect()[0]["offset"] == 0.0
+
+
+def test_cutoff_baseline_is_the_first_thousand_frames(spark):
+    values = [200.0] * 30 + [100.0] * 1470 + [50.0] * 500
+    df = spark.createDataFrame([("r", i, v) for i, v in enumerate(values)], "recording string, frame int, mean double")
+    found = iv.cutoff_frame(df, window=20).collect()
+    assert len(found) == 1 and 1490 <= found[0]["cutoff"] <= 1500
+
+
+def test_nearest_of_scattered_points(spark):
+    rng = np.random.default_rng(2)
+    points = [(g, i, *map(float, rng.uniform(-50, 50, 2) if i % 5 else rng.uniform(-900, 900, 2))) for g in (1, 2, 3) for i in range(60)]
+    targets = [(g, i, *map(float, rng.uniform(-60, 60, 2))) for g in (1, 2) for i in range(25)] + [(1, 25, 500.0, 500.0), (1, 26, 500.0, 500.0)]
+    p, t = (spark.createDataFrame(x, "recording int, label int, cy double, cx double") for x in (points, targets))
+    got = {(r["recording"], r["label"]): (r["target"], r["distance"]) for r in lb.nearest(p, t, settle=settle).collect()}
+    want = {(g, i): min((np.hypot(y - ty, x - tx), k) for h, k, ty, tx in targets if h == g) for g, i, y, x in points if g < 3}
+    assert {k: v[0] for k, v in got.items()} == {k: v[1] for k, v in want.items()}
+    assert all(abs(got[k][1] - want[k][0]) < 1e-9 for k in want)
+    assert lb.nearest(p, t.limit(0), settle=settle).count() == 0 and lb.nearest(p.limit(0), t, settle=settle).count() == 0
+
+
+def test_shifts_by_the_definition_of_the_transform(spark, data):
+    from fluxtrace.plans import registry
+
+    m = registry.movie(spark, data)
+    rows, ref = m.collect(), {(r["y"], r["x"]): r["v"] for r in mv.reference_image(m, 1).collect()}
+    h, w = (max(max(r[a] for r in rows), max(k[i] for k in ref)) + 1 for i, a in enumerate("yx"))
+
+    def transform(image, sign=-1):
+        a, b = (np.exp(sign * 2j * np.pi * np.outer(np.arange(n), np.arange(n)) / n) for n in (h, w))
+        return a @ image @ b
+
+    def image(points):
+        out = np.zeros((h, w))
+        for (y, x), v in points.items():
+            out[y, x] = v
+        return out
+
+    got = {r["frame"]: (r["dy"], r["dx"]) for r in mv.shifts(m, mv.reference_image(m, 1)).collect()}
+    for frame in {r["frame"] for r in rows}:
+        cross = transform(image({(r["y"], r["x"]): r["v"] for r in rows if r["frame"] == frame})) * np.conj(transform(image(ref)))
+        peak = np.abs(transform(cross / np.maximum(np.abs(cross), 1e-12), 1))
+        dy, dx = got[frame]
+        assert peak[dy % h, dx % w] >= peak.max() * (1 - 1e-9)
+
+
+@pytest.mark.parametrize("how", ["none", "rolling_median", "highpass", "rolling_percentile", "global"])
+def test_correlation_after_each_way_to_take_trends_off(spark, how):
+    from fluxtrace.functions import kernels
+    from fluxtrace.operators import correlation as co
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3, 200)).cumsum(axis=1)
+    x[1, 50] = x[1, 49]  # held: the frame goes for all
+    df = spark.createDataFrame([(1, c, t, float(v)) for c in range(3) for t, v in enumerate(x[c])], "recording int, cell int, frame int, f double")
+    name = "highpass" if how == "global" else how
+    got = {(r["a"], r["b"]): r["r"] for r in co.correlations(df, preprocessing=name, fps=2.0, median_window=15, percentile_window=40, regress_global=how == "global").collect()}
+    frame = pd.DataFrame(x.T)
+    if how == "rolling_median":
+        frame = frame - frame.rolling(15, min_periods=1).median()
+    elif how == "rolling_percentile":
+        frame = frame - frame.rolling(40, min_periods=10, center=True).quantile(0.1).interpolate(limit_direction="both")
+    elif name == "highpass":
+        frame = pd.DataFrame({c: kernels.highpass(x[c], 2.0) for c in range(3)})
+        if how == "global":
+            g = frame.mean(axis=1)
+            frame = frame - np.outer(g, [np.polyfit(g, frame[c], 1)[0] for c in range(3)]) - [np.polyfit(g, frame[c], 1)[1] for c in range(3)]
+    want = frame[~(frame.diff() == 0).any(axis=1)].corr()
+    assert set(got) == {(1, 0), (2, 0), (2, 1)} and all(abs(r - want.loc[a, b]) < 1e-6 for (a, b), r in got.items())
+    with pytest.raises(ValueError):
+        co.correlations(df, preprocessing="other")
 
 
 def test_constant_frames_keep_one_region(spark):
     df = spark.createDataFrame([(1, 0, y, x, 200 if (y - 5) ** 2 + (x - 5) ** 2 <= 4 else 10) for y in range(12) for x in range(12)], "recording int, frame int, y int, x int, v int")
-    out = mv.seeded_regions(df, sigma=1.0).collect()
+    out = mv.seeded_regions(df, sigma=1.0, settle=settle).collect()
     assert {r["label"] for r in out} == {1} and (5, 5) in {(r["y"], r["x"]) for r in out}
 
 

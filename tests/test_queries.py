@@ -1,5 +1,7 @@
 """Each query that SQL can express against DuckDB on the same tables, and the driver's contract."""
 
+import sys
+
 import __spark_entry__ as entry
 import pytest
 
@@ -22,7 +24,12 @@ def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_entry_without_the_text_operators(monkeypatch):
-    real = entry.importlib.util.find_spec
-    monkeypatch.setattr(entry.importlib.util, "find_spec", lambda name: None if name == "fluxtrace.llm" else real(name))
-    assert set(entry.queries()) == set(QUERIES)
+@pytest.mark.parametrize("missing", ["fluxtrace.llm.oracles", "fluxtrace.llm.queries", "fluxtrace.llm"])
+def test_entry_without_the_text_operators(monkeypatch, missing):
+    monkeypatch.setitem(sys.modules, missing, None)  # importing it fails
+    assert set(entry.queries()) == set(QUERIES) and set(entry.oracle_sql()) == set(SQL)
+
+
+def test_entry_without_the_pipeline(monkeypatch):
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    assert "pipeline" not in entry.queries() and set(QUERIES) <= set(entry.queries())

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from fluxtrace.operators import rollups as ro
+from fluxtrace.plans import batch
 from fluxtrace.sources import movies, tables
 
 
@@ -77,3 +78,53 @@ def test_sinks(spark, tmp_path):
 def test_one_after_another(spark):
     a = spark.createDataFrame([(0, 1), (1, 2)], "frame int, v int")
     assert sorted(r["frame"] for r in tables.one_after_another([a, a]).collect()) == [0, 1, 2, 3]
+    one = spark.createDataFrame([(0, 5)], "frame int, v int")
+    assert sorted(r["frame"] for r in tables.one_after_another([one, one, one.limit(0), one]).collect()) == [0, 1, 2]
+
+
+def test_movies_of_other_types_and_ranges(spark, tmp_path):
+    spark.dataSource.register(movies.RawMovie)
+    stack = np.random.default_rng(1).integers(-128, 128, (9, 3, 4)).astype("i1")
+    stack.tofile(tmp_path / "m.raw")
+    df = spark.read.format("raw_movie").options(path=str(tmp_path / "m.raw"), width=4, height=3, dtype="int8")
+    assert {r["frame"]: r["data"] for r in df.load().collect()} == {i: f.ravel().tolist() for i, f in enumerate(stack)}
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        part = df.option("pushdown", "true").load().where("frame >= 2 and frame < 5 and frame <= 3 and w = 4")
+        assert sorted(r["frame"] for r in part.collect()) == [2, 3]
+        odd = spark.read.format("raw_movie").options(path=str(tmp_path / "m.raw"), width=4, height=3, dtype="int8", channel=1, n_channels=2, pushdown="true").load()
+        assert [r["data"] for r in odd.where("frame = 1").collect()] == [stack[3].ravel().tolist()]
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_batch_skips_what_is_done_and_keeps_errors(spark, tmp_path):
+    rows = [(f"{tmp_path}/in{i}", f"{tmp_path}/out{i}") for i in range(3)]
+    recordings, ran = spark.createDataFrame(rows, "input_path string, output_path string"), []
+
+    def step(session, source, target):
+        ran.append(source[-1])
+        if source.endswith("1") and len(ran) < 4:
+            raise OSError("unreadable")
+        session.range(5).write.mode("overwrite").parquet(target)
+        return 5
+
+    first = {r["input_path"][-1]: r for r in batch.run_all(recordings, step, f"{tmp_path}/log").collect()}
+    assert [first[k]["success"] for k in "012"] == [True, False, True] and first["1"]["error_message"] == "OSError: unreadable" and first["0"]["n_frames"] == 5
+    assert [r["input_path"][-1] for r in batch.run_all(recordings, step, f"{tmp_path}/log").collect()] == ["1"] and ran == list("0121")
+    assert batch.run_all(recordings, step, f"{tmp_path}/log").count() == 0 and batch.log(spark, f"{tmp_path}/log").count() == 4
+    assert batch.run_all(recordings, step, f"{tmp_path}/log", override=True).count() == 3
+
+
+def test_chunks_replace_themselves(spark, tmp_path):
+    frames = spark.createDataFrame([("a", i, 1) for i in range(10)], "recording string, frame int, v int")
+    batch.write_frames(frames, f"{tmp_path}/m", chunk=4)
+    batch.write_frames(frames.where("frame >= 8").withColumn("v", F.lit(2)), f"{tmp_path}/m", chunk=4)
+    batch.write_frames(frames.withColumn("recording", F.lit("b")), f"{tmp_path}/m", chunk=4)
+    got = spark.read.parquet(f"{tmp_path}/m")
+    assert [r["v"] for r in got.where("recording = 'a'").orderBy("frame").collect()] == [1] * 8 + [2, 2] and got.count() == 20
+    t = spark.createDataFrame([("a", 0, [1.0])], "recording string, bin int, m array<double>")
+    batch.write_provenance(t, {"bin": 3, "kind": "rigid"}, f"{tmp_path}/p")
+    batch.write_provenance(t.withColumn("recording", F.lit("b")), {"bin": 4}, f"{tmp_path}/p")
+    assert {(r["recording"], r["name"]): r["value"] for r in spark.read.parquet(f"{tmp_path}/p/parameters").collect()} == {("a", "bin"): "3", ("a", "kind"): "rigid", ("b", "bin"): "4"}
+    assert spark.read.parquet(f"{tmp_path}/p/transforms").count() == 2
