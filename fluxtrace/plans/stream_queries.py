@@ -16,6 +16,7 @@ def _stream(spark, d):
 @query(f"""WITH w AS (SELECT event_type, time_bucket(INTERVAL 6 HOUR, ts) AS start, value, ts FROM events), g AS (SELECT event_type, start, {q6('avg(value)')} AS mean, count(*) AS n FROM w GROUP BY ALL)
  SELECT event_type, cast(epoch(start) AS BIGINT) AS start_s, mean, n FROM g WHERE start + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
 def stream_temporal_bin(spark, d):
+    """Windows that the watermark has passed; the last ones stay open, in the SQL as well."""
     stream = _stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
     out = st.run(st.binned(stream, "6 hours", key="event_type"), folder(spark))
     return out.select("event_type", F.unix_timestamp("start").alias("start_s"), r6("mean").alias("mean"), "n")

@@ -40,6 +40,12 @@ def build_cells(recordings: DataFrame, traces: DataFrame, labels: DataFrame, ann
     return {"cells": cells if old is None else old.unionByName(cells, allowMissingColumns=True), "traces": dff0, "odd": odd}
 
 
+def concatenated(traces: DataFrame, *, preprocessing: str | None = None, group: str, sequence: str, key: str, fps: float | None = None, gap: int = 1000, **how) -> DataFrame:
+    """Recordings of a group on one time axis, each trace after one of the ways to take trends off (see `correlation.prepared`)."""
+    flat = co.prepared(traces, preprocessing, recording=sequence, key=key, **({"fps": fps} if fps else {}), **how)
+    return tr.concatenate(flat, group=group, sequence=sequence, key=key, gap=gap, fps=fps)
+
+
 def study_tables(cells: DataFrame, traces: DataFrame, *, fps: float, cell_type: int = 1, window=1000, order="cell") -> dict[str, DataFrame]:
     """peaks, events, cells, matched cells, animals and pairs of a study from its cells (with peaks) and traces."""
     from pyspark.sql import Window as W

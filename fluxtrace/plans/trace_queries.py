@@ -208,6 +208,17 @@ def concat_recordings(spark, d):
     return tr.concatenate(df, group="animal", sequence="recording", key="cell", fps=20.0).select("recording", "cell", F.col("position").cast("long").alias("position"), "time_s")
 
 
+@query(f"""WITH {VECTORS}, d AS (SELECT recording, cell, frame, f - quantile_cont(f, 0.5) OVER (PARTITION BY cell ORDER BY frame ROWS 9 PRECEDING) AS f FROM v), s AS (SELECT recording, recording % 3 AS animal, max(frame) + 1 AS size FROM v GROUP BY ALL),
+ o AS (SELECT *, coalesce(sum(size + 1000) OVER (PARTITION BY animal ORDER BY recording ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM s)
+ SELECT d.recording, cell, cast(start + frame AS BIGINT) AS position, {q6('f')} AS f FROM d JOIN o USING (recording)""")
+def concat_detrended(spark, d):
+    from .study import concatenated
+
+    df = vectors(spark, d).withColumn("animal", F.col("recording") % 3)
+    out = concatenated(df, preprocessing="rolling_median", median_window=10, group="animal", sequence="recording", key="cell", fps=20.0)
+    return out.select("recording", "cell", F.col("position").cast("long").alias("position"), r6("f").alias("f"))
+
+
 _PEAKS = """p AS (SELECT cell, frame AS peak, f FROM (SELECT *, max(f) OVER (PARTITION BY cell ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS a,
  max(f) OVER (PARTITION BY cell ORDER BY frame ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING) AS b FROM t) WHERE f > a AND f > b)"""
 
