@@ -210,9 +210,9 @@ def bucket_edges(reps: DataFrame) -> DataFrame:
     return members.mapInArrow(connect, "u long, v long")
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the connected components of (u, v) edges, root the smallest node: large-star and small-star steps
-    until nothing changes, each settled in the shared folder."""
+    until nothing changes, each settled in the shared folder. Their number grows with the logarithm of the edges."""
 
     def star(rows: DataFrame) -> DataFrame:
         # The minima are settled first, so both sides of the join are shuffled for it alone and Spark can split a hot node.
@@ -224,7 +224,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
     now = settle(ordered(edges), "edges")
     state = None
-    for _ in range(rounds):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = settle(ordered(star(both).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))), "edges")
         small = star(large).select(F.explode(F.array(F.struct("v", "low"), F.struct(F.col("u").alias("v"), "low"))).alias("e"))
@@ -232,8 +232,6 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         was, state = state, now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if was == state:
             break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.groupBy("u").agg(F.min("v").alias("root"))
     return roots.select(F.col("u").alias("node"), "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
