@@ -29,23 +29,29 @@ def binned(stream: DataFrame, width: str, *, key="key", ts="ts", value="value",
     return out.select(key, F.col("_w.start").alias("start"), "mean", "n")
 
 
-def leaders(stream: DataFrame, threshold: int, *, recording="recording", peak="peak") -> DataFrame:
-    """(recording, leader): as the batch operator, across triggers. The state is the last leader; peaks must not come later
-    than those of a former trigger (earlier ones are not led again)."""
+def leaders(stream: DataFrame, threshold: int, *, late: int = 0, recording="recording", peak="peak") -> DataFrame:
+    """(recording, leader): as the batch operator, across triggers, for peaks that come at most `late` frames after a later one.
+
+    The state is the last leader, the latest peak and the peaks less than `late` before it: they wait, and those that nothing
+    follows wait for ever, as windows do that no watermark passes. A peak that comes later than that is not led again.
+    """
     kind = stream.schema[recording].dataType.simpleString()
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
+        last, top, waiting = state.get if state.exists else (None, None, [])
+        waiting = sorted({*waiting, *(int(x) for part in parts for x in part[peak])})
+        top = max([*waiting[-1:], *([] if top is None else [top])], default=None)
         found = []
-        for p in sorted({int(x) for part in parts for x in part[peak]}):
+        while waiting and waiting[0] <= top - late:
+            p = waiting.pop(0)
             if last is None or p - last > threshold:
                 last = p
                 found.append(p)
-        if last is not None:
-            state.update((last,))
+        if top is not None:
+            state.update((last, top, waiting))
         yield pd.DataFrame({recording: [key[0]] * len(found), "leader": found})
 
-    return stream.groupBy(recording).applyInPandasWithState(step, f"{recording} {kind}, leader long", "last long", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy(recording).applyInPandasWithState(step, f"{recording} {kind}, leader long", "last long, top long, waiting array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
 def upserting(path: str, key: str):

@@ -36,6 +36,10 @@ def test_streams(spark, tmp_path):
     stream = st.samples(spark, str(tmp_path / "in"), like, files_per_trigger=1)
     found = sorted(r["leader"] for r in st.run(st.leaders(stream, 40), folder(spark)).collect())
     assert found[0] == 10 and all(b - a > 40 for a, b in zip(found, found[1:], strict=False))
+    for peaks in ([50, 10], [91, 12, 140], [60, 300]):  # out of order
+        spark.createDataFrame([("r", p) for p in peaks], "recording string, peak long").coalesce(1).write.mode("append").parquet(str(tmp_path / "late"))
+    stream = st.samples(spark, str(tmp_path / "late"), like, files_per_trigger=1)
+    assert sorted(r["leader"] for r in st.run(st.leaders(stream, 40, late=150), folder(spark)).collect()) == [10, 60, 140]
     write = st.upserting(str(tmp_path / "table"), "k")
     write(spark.createDataFrame([(1, "old")], "k int, v string"), 0)
     write(spark.createDataFrame([(1, "new"), (2, "new"), (2, "new")], "k int, v string"), 1)
