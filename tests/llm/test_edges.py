@@ -3,12 +3,13 @@
 import hashlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fluxtrace.llm import chat, decontaminate, licenses, mixing, ngram_join, pii, quality, substring_dedup, token_counts, warc
-from fluxtrace.llm.common import plain_words
+from fluxtrace.llm.common import pieces
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(60_000))
@@ -176,5 +177,10 @@ def test_warc_of_ids_with_many_records(spark):
     assert sorted(map(str, one)) == sorted(map(str, two))
 
 
-def test_words_of_long_text():
-    assert len(plain_words(LONG.encode())) == 60_000
+def test_batches_are_cut_by_rows_and_bytes():
+    texts = ["x" * n for n in (5, 1, 900, 3, 3, 3, 3, 2000, 0)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10)), pa.array(texts)], names=["k", "text"])
+    cut = list(pieces([batch, batch.slice(0, 0)], rows=3, limit=1000))
+    assert [c.num_rows for c in cut] == [3, 3, 1, 1, 2, 0]
+    assert [x for c in cut for x in c.column(1).to_pylist()] == texts
+    assert all(c.num_rows == 1 or sum(len(x or "") for x in c.column(1).to_pylist()) <= 1000 for c in cut)
