@@ -136,7 +136,10 @@ def _entity(kind: str, found: str) -> str | None:
         return re.sub("[:-]", "", found.lower())
     if kind == "ipv6":
         try:
-            return str(ipaddress.IPv6Address(found)) if len(found) > 6 else None
+            address = ipaddress.IPv6Address(found) if len(found) > 6 else None
+            if address is not None and address.ipv4_mapped:  # written in digits of its own otherwise
+                return f"::ffff:{int(address) >> 16 & 0xFFFF:x}:{int(address) & 0xFFFF:x}"
+            return address and str(address)
         except ValueError:
             return None
     if kind == "phone":

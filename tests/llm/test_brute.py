@@ -488,6 +488,12 @@ def test_addresses_are_permuted_within_their_network():
         assert len(made) == 300 and all(ipaddress.ip_address(x).is_private == first.is_private and ipaddress.ip_address(x).is_multicast == first.is_multicast for x in made)
 
 
+def test_forms_of_one_address():
+    for forms in (("2a00:1450:0:0:0:0:0:7", "2a00:1450::7", "2A00:1450::0007"), ("::ffff:102:304", "0:0:0:0:0:ffff:102:304"), ("fe80::1:2", "fe80:0:0:0:0:0:1:2")):
+        new = {pii.replaced(f"at {x} now", {})[0].split()[1].lower() for x in forms}
+        assert len(new) == 1 and ipaddress.ip_address(new.pop()) != ipaddress.ip_address(forms[0])
+
+
 def test_clashes_are_drawn_again(spark):
     first = [f"{i}.{j}@a.de" for i in range(10) for j in range(10)]  # a full shape: every surrogate is a real address
     family = [f"Frau {a}{b}" for a in "ABCDEFGH" for b in ("ann", "orn", "ell", "ist")]
