@@ -24,7 +24,7 @@ def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("missing", ["fluxtrace.llm.oracles", "fluxtrace.llm.queries", "fluxtrace.llm"])
+@pytest.mark.parametrize("missing", ["fluxtrace.llm.oracles", "fluxtrace.llm.queries"])
 def test_entry_without_the_text_operators(monkeypatch, missing):
     monkeypatch.setitem(sys.modules, missing, None)  # importing it fails
     assert set(entry.queries()) == set(QUERIES) and set(entry.oracle_sql()) == set(SQL)
