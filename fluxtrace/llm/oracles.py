@@ -155,4 +155,45 @@ SELECT doc_id, size, source_size, target, cast(size * least(whole + CASE WHEN u
 FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN y ON d.source IS NOT DISTINCT FROM y.source
 """
 
-ORACLES: dict[str, str] = {"op1_license_scan": OP1, "op3_chat_round_trip": OP3, "op4_warc_merkle_audit": OP4, "op5_ngram_jaccard_join": OP5, "op6_host_quality_rules": OP6, "op8_water_filling_mix": OP8, "op9_substring_dedup": OP9, "op10_benchmark_decontamination": OP10}
+_VECTORS = """SELECT row_number() OVER () AS k, vec_id, label, list_transform(embedding, lambda x: cast(floor(256 * cast(x AS DOUBLE)) AS BIGINT)) AS q
+       FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+
+OP11 = f"""
+WITH v AS ({_VECTORS}),
+     r AS (SELECT k, vec_id, q, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label FROM v WHERE label IS NOT NULL),
+     s AS (SELECT a.k AS a, a.vec_id AS anchor_id, b.k AS b, b.vec_id, a.label = b.label AS same, cast(list_dot_product(cast(a.q AS DOUBLE[]), cast(b.q AS DOUBLE[])) AS BIGINT) AS score
+           FROM r a JOIN r b ON a.k <> b.k WHERE a.vec_id % 100 = 0),
+     p AS (SELECT a, anchor_id, b, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+           QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id NULLS LAST) <= 5)
+SELECT p.anchor_id, positive_id, cast(row_number() OVER (PARTITION BY p.a, p.b ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.a = s.a AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.a, p.b ORDER BY score DESC, vec_id NULLS LAST) <= 10
+"""
+
+
+def _rounds(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Assignments and codebooks of each round as common table expressions."""
+    out = f"""
+WITH v AS ({_VECTORS}),
+     x AS (SELECT k, p, q[p * len(q) // {parts} + 1 : (p + 1) * len(q) // {parts}] AS x FROM (SELECT k, q, unnest(generate_series(0, {parts - 1})) AS p FROM v)),
+     b0 AS (SELECT p, e, x AS c FROM x JOIN (SELECT k, row_number() OVER (ORDER BY vec_id NULLS LAST, q) - 1 AS e FROM v) USING (k) WHERE e < {entries})"""
+    for r in range(rounds + 1):
+        out += f""",
+     a{r} AS MATERIALIZED (SELECT k, p, x, e, d FROM (SELECT k, p, x, e, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM x JOIN b{r} USING (p))
+           QUALIFY row_number() OVER (PARTITION BY k, p ORDER BY d, e) = 1)"""
+        if r < rounds:
+            out += f""",
+     m{r} AS (SELECT p, e, list(cast(floor(total / n) AS BIGINT) ORDER BY i) AS c FROM (
+                SELECT p, e, i, sum(x[i]) AS total, count(*) AS n FROM (SELECT p, e, x, unnest(generate_series(1, len(x))) AS i FROM a{r}) GROUP BY ALL) GROUP BY p, e),
+     b{r + 1} AS MATERIALIZED (SELECT p, e, coalesce(m{r}.c, b{r}.c) AS c FROM b{r} LEFT JOIN m{r} USING (p, e))"""
+    return out
+
+
+OP13 = f"""{_rounds()},
+     o AS (SELECT k, string_agg(format('{{:02x}}', e), '' ORDER BY p) AS code, cast(sum(d) AS BIGINT) AS error FROM a2 GROUP BY k),
+     h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, cast(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN o USING (k), h
+"""
+
+ORACLES: dict[str, str] = {"op1_license_scan": OP1, "op3_chat_round_trip": OP3, "op4_warc_merkle_audit": OP4, "op5_ngram_jaccard_join": OP5, "op6_host_quality_rules": OP6, "op8_water_filling_mix": OP8, "op9_substring_dedup": OP9, "op10_benchmark_decontamination": OP10, "op11_hard_negatives": OP11, "op13_vector_codes": OP13}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, licenses, mixing, ngram_join, pii, quality, substring_dedup, token_counts, warc
+from . import chat, decontaminate, hard_negatives, licenses, mixing, ngram_join, pii, quality, quality_model, substring_dedup, token_counts, vector_codes, warc
 from .common import read
 
 
@@ -56,4 +56,17 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return out.drop("text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_chat_round_trip, op4_warc_merkle_audit, op5_ngram_jaccard_join, op6_host_quality_rules, op7_pii_surrogates, op8_water_filling_mix, op9_substring_dedup, op10_benchmark_decontamination)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings"))
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality_model.score(docs.select("doc_id", "text", "n_chars"), quality_model.fit(docs, read(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_chat_round_trip, op4_warc_merkle_audit, op5_ngram_jaccard_join, op6_host_quality_rules, op7_pii_surrogates, op8_water_filling_mix, op9_substring_dedup, op10_benchmark_decontamination, op11_hard_negatives, op12_quality_classifier, op13_vector_codes)}
