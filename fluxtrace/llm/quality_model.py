@@ -166,17 +166,17 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, most: int = FEATURES, seed: int = SEED) -> Model:
     """The model of at most `sample` labelled documents with at most `most` features together."""
-    votes = plain(labels, "doc_id", "quality").where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg((F.avg("quality") >= 0.5).cast("long").alias("y"))
-    own = plain(docs, "doc_id", "text", "n_chars").where(~held_out(F.col("doc_id")))
-    u = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), "text")
-    joined = own.join(votes, F.col("doc_id") == F.col("_id")).select("y", u.alias("u"), "text", F.col("n_chars").cast("long").alias("n_chars"))
-    # The sample is chosen by hashes alone; texts are only read for those below the last hash that is taken.
-    last = joined.select("u").orderBy("u").limit(sample).agg(F.max("u")).first()[0]
-    if last is None:
-        return blank()
-    packed = settle(_packed(joined.where(F.col("u") <= last)), "features")
-    upto = F.sum("n").over(W.orderBy("u", "y", "n"))  # one task, over `sample` rows of two numbers
-    fits = packed.select("u", "y", "n").withColumn("upto", upto).where(F.col("upto") <= most).agg(F.max("u")).first()[0]
+    u = F.xxhash64(F.lit(seed), F.col("_id").cast("string"))
+    votes = plain(labels, "doc_id", "quality").where("quality IN (0, 1) AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
+    votes = votes.groupBy(F.col("doc_id").alias("_id")).agg((F.avg("quality") >= 0.5).cast("long").alias("y")).withColumn("u", u)
+    own = plain(docs, "doc_id", "text", "n_chars")
+    # The sample is chosen by ids alone and broadcast (`sample` rows of three numbers): texts stay where they are.
+    chosen = settle(votes.join(own.select("doc_id"), F.col("_id") == F.col("doc_id"), "left_semi").orderBy("u", "_id").limit(sample), "sample")
+    joined = own.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    packed = settle(_packed(joined.select("y", F.col("u"), "text", F.col("n_chars").cast("long").alias("n_chars"))), "features")
+    first = packed.select("u", "y", "n").orderBy("u", "y", "n").limit(sample)
+    upto = F.sum("n").over(W.orderBy("u", "y", "n"))  # one task, over `sample` rows of three numbers
+    fits = first.withColumn("upto", upto).where(F.col("upto") <= most).agg(F.max("u")).first()[0]
     if fits is None:
         return blank()
     rows = packed.where(F.col("u") <= fits).orderBy("u", "y", "ids").limit(sample).collect()
