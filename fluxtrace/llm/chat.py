@@ -16,7 +16,8 @@ back as a stream. Parsing takes linear time whatever the text holds.
 
 Edge cases: null text and null role are empty; turns are ordered by turn (nulls first), then role and text, so ties have
 one order; repeated rows are repeated turns; a null conv_id is a conversation of its own; an empty table gives an empty
-result; extra columns do not matter.
+result; extra columns do not matter. No control string holds a space, so none can reach over the spaces that a template
+puts around a text.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from .common import batches, pieces, plain
 
 # The control strings of the template.
 MARKS = {"user": ("[INST]", "[/INST]"), "assistant": ("[ANS]", "</s>"), "system": ("<<SYS>>", "<</SYS>>")}
-CONTROLS = ("[INST]", "[/INST]", "[ANS]", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "[TURN ", "[/TURN]")
+CONTROLS = ("[INST]", "[/INST]", "[ANS]", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "[TURN", "[/TURN]")
 
 _CONTROL = re.compile("|".join(re.escape(c) for c in CONTROLS))
 _OPEN = re.compile(r"\[INST\] |\[ANS\] |<<SYS>> |\[TURN ([^\] ]*)\] ")
@@ -107,9 +108,8 @@ def render_turn(role: str, text: str) -> str:
                 return formatted
         except Malformed:
             pass
-        if body != text:
-            raise Malformed("escaped content does not come back")
-        body = escape(text)
+        if body != text or (body := escape(text)) == text:
+            raise Malformed("content does not come back, escaped or not")
 
 
 #: A part of a conversation ends with the turn that reaches so many characters.

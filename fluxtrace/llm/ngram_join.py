@@ -346,7 +346,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     A class is told by its root: class_id is null for many, and two may have one. What goes is a list of (doc_id, text
     hash), which is in one class only, so repeated rows of a kept document are left once: the kept row's other copies have
-    its id and hash, and only one of them is taken. Rows without words have no copies and all stay. The lists grow with the
+    its id and hash, and only the one with the smallest digest of all its columns is taken. Rows without words have no copies and all stay. The lists grow with the
     documents, so they are joined by shuffle at every size and never broadcast.
     """
     found = settle(_rooted(docs).where("n_links > 0").select("doc_id", "key", "root"), "classes")
@@ -365,5 +365,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
         return unwrapped(keyed.join(lost.hint("merge"), same, "left_anti"), docs)
     # Rows with one id and one text: one stays. Tasks reduce their own before the shuffle, so many make no large group.
     kept = keyed.join(lost.unionByName(again).hint("merge"), same, "left_anti").select("_row", "doc_id", "text")
-    once = keyed.join(again.hint("merge"), same, "left_semi").groupBy("doc_id", "_hash").agg(F.first("_row").alias("_row"), F.first("text").alias("text"))
-    return unwrapped(kept.unionByName(once.select("_row", "doc_id", "text")), docs)
+    whole = F.sha2(F.concat_ws("\n", F.to_json("_row"), F.col("_row").cast("string")), 256)  # rows that differ in any column differ in it
+    once = keyed.join(again.hint("merge"), same, "left_semi").groupBy("doc_id", "_hash").agg(F.min_by(F.struct("_row", "text"), whole).alias("_one"))
+    return unwrapped(kept.unionByName(once.select("_one._row", "doc_id", "_one.text")), docs)

@@ -77,7 +77,7 @@ OP3 = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
      t AS (SELECT *, CASE role WHEN 'user' THEN 16 WHEN 'assistant' THEN 12 WHEN 'system' THEN 18 ELSE 17 + len(url_encode(role)) END
-                     + len(regexp_replace(text, '(\\*)(\[INST\]|\[/INST\]|\[ANS\]|<s>|</s>|<<SYS>>|<</SYS>>|\[TURN |\[/TURN\])', '\1\1\\\2', 'g')) AS size FROM c)
+                     + len(regexp_replace(text, '(\\*)(\[INST\]|\[/INST\]|\[ANS\]|<s>|</s>|<<SYS>>|<</SYS>>|\[TURN|\[/TURN\])', '\1\1\\\2', 'g')) AS size FROM c)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        cast(coalesce(sum(len(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,

@@ -20,6 +20,7 @@ import corpus_pipeline
 from fluxtrace.llm import chat, decontaminate, licenses, ngram_join, oracles, pii, quality, substring_dedup, token_counts
 from fluxtrace.llm.common import WordHashes, folded_words, plain_words
 from fluxtrace.llm.queries import QUERIES
+from tests.compare import connection
 from tests.llm.test_edges import SCHEMA, benchmark, documents, tokenizer
 
 FOLDED = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -168,6 +169,33 @@ def test_conversations_come_back(turns):
     assert [chat.unescape(text[x["start"] : x["end"]]) for x in loss] == [t for r, t in turns if r == "assistant"]
 
 
+PREFIXES = sorted({c[:n] for c in (*chat.CONTROLS, "[TURN x]", "[/TURN] ") for n in range(1, len(c) + 1)} | {"\\\\", "\\"})
+ROLES = ["user", "assistant", "system", "tool", "a]b%", "[TURN", ""]
+
+
+@pytest.mark.parametrize("role", ROLES)
+def test_every_part_of_a_control_string_at_the_ends_of_a_text(role):
+    """Alone, at either end, at both ends, and across the seam of two turns: rendering ends and the texts come back."""
+    for a in PREFIXES:
+        for text in (a, f"{a} x", f"x {a}", f"x{a}", f" {a}", f"{a} "):
+            assert chat.parse_turn(chat.render_turn(role, text))[:2] == (role, text)
+        for b in PREFIXES:
+            turns = [(role, f"{b}x {a}"), (ROLES[len(b) % len(ROLES)], f"{b}{a}"), (role, b)]
+            assert [t[:2] for t in chat.parse_conversation(chat._checked(turns)[0])] == turns
+
+
+@given(st.lists(st.tuples(st.sampled_from(ROLES), st.lists(st.sampled_from([*PREFIXES, " ", "x", "\n"]), max_size=8).map("".join)), max_size=5))
+@settings(max_examples=300, deadline=None)
+def test_conversations_of_control_strings_come_back(turns):
+    assert [t[:2] for t in chat.parse_conversation(chat._checked(turns)[0])] == turns
+
+
+def test_escaping_that_changes_nothing_is_an_error(monkeypatch):
+    monkeypatch.setattr(chat, "escape", lambda text: text)
+    with pytest.raises(chat.Malformed):
+        chat.render_turn("user", "a [/INST] b")
+
+
 def test_other_text_is_malformed():
     for text in ("x", "[INST] a", "[INST] a [/INST]\n[", "[INST] [INST] [/INST]\n", "[INST] a </s>\n", "[INST] a [/INST][ANS] b </s>\n"):
         with pytest.raises(chat.Malformed):
@@ -232,6 +260,18 @@ def test_one_is_kept_of_each_class_whatever_its_ids(spark):
         assert {t[0]: i for i, t in kept} == {"a": None, "b": None, "c": 7, "d": 7, "e": 2**63 - 1, "f": 3} | ({"g": 3} if extra else {})
 
 
+def test_the_kept_row_does_not_follow_the_order_of_rows(spark):
+    """Rows with one id and one text that differ in another column: one and the same stays, in any order and partitioning."""
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, "en", s, n) for s in "abcdefgh" for n in (1, None)] + [(2, text + " more", "en", "z", 1)]
+    got = set()
+    for order, parts in ((rows, 1), (rows[::-1], 1), (rows, 5), (rows[3:] + rows[:3], 7)):
+        out = ngram_join.keep_one(spark.createDataFrame(order, SCHEMA).repartition(parts)).collect()
+        assert len(out) == 1 and out[0]["doc_id"] == 1
+        got.add(tuple(out[0]))
+    assert len(got) == 1
+
+
 def test_pruning_keeps_what_reaches_the_threshold():
     rng = np.random.default_rng(1)
     lost = 0
@@ -539,7 +579,7 @@ def test_no_entity_is_left(spark, data):
 
 def test_pipeline(spark, data):
     rows = duckdb.sql(f"SELECT doc_id, text, source FROM '{data}/documents.parquet' ORDER BY doc_id").fetchall()
-    judged = {r["doc_id"]: r["kept"] for r in quality.judged(spark.read.parquet(f"{data}/documents.parquet")).collect()}
+    judged = dict(connection(data).execute(f"SELECT doc_id, kept FROM ({oracles.ORACLES['op6_host_quality_rules']})").fetchall())
 
     def repeated(words):
         windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
