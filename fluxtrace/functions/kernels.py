@@ -150,15 +150,16 @@ def distance_profile(x: np.ndarray, query: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(2 * m * (1 - (dot - m * mean * qm) / (m * sd * qs)), 0))
 
 
-def best_matches(profile: np.ndarray, m: int, k: int) -> list[int]:
-    """Starts of the k + 1 nearest stretches that don't overlap."""
+def best_matches(profile: np.ndarray, m: int, k: int, *, apart: bool = False) -> list[int]:
+    """Starts of the k + 1 nearest stretches. A stretch takes the m starts from its own on out of the choice; with `apart` also the
+    m - 1 before it, so that no two overlap."""
     p, out = np.where(np.isfinite(profile), profile, np.inf), []
     for _ in range(k + 1):
         i = int(np.argmin(p)) if len(p) else 0
         if not len(p) or not np.isfinite(p[i]):
             break
         out.append(i)
-        p[max(0, i - m + 1) : i + m] = np.inf
+        p[max(0, i - m + 1) if apart else i : i + m] = np.inf
     return out
 
 

@@ -36,18 +36,25 @@ def responses(peaks: DataFrame, leads: DataFrame, threshold: int, fps: float = 1
     return first.withColumn("offset_s", (F.col("peak") - F.col("leader")) / F.lit(float(fps)))
 
 
-def events(found: DataFrame, cells: DataFrame, *, recording="recording") -> DataFrame:
-    """A row for each event: n_responding, total_cells, percent_responding, first_seq (of the earliest responder) and parallel
-    arrays, in order of seq, of cells, offsets, distances from the earliest and sequential distances."""
+def events(found: DataFrame, cells: DataFrame, *, amplitudes: DataFrame | None = None, recording="recording") -> DataFrame:
+    """A row for each event: n_responding, total_cells, share_responding and percent_responding, first_seq (of the earliest responder)
+    and parallel arrays, in order of seq, of cells, offsets, distances from the earliest and sequential distances. With
+    `amplitudes` (cell, peak, mean; see `peaks.mean_around`) also the responders' amplitudes, their largest and their mean."""
     total = cells.groupBy(recording).agg(F.count_distinct("cell").alias("total_cells"))
     w = W.partitionBy(recording, "leader")
     out = found.withColumn("_first", F.min_by("seq", F.struct("offset_s", "seq")).over(w))
     out = out.withColumn("_gap", F.col("seq") - F.lag("seq").over(w.orderBy("seq")))
-    item = F.struct("seq", "cell", "offset_s", F.abs(F.col("seq") - F.col("_first")).alias("distance"), F.col("_gap").alias("step"))
-    grouped = out.groupBy(recording, "leader").agg(F.count("*").alias("n_responding"), F.first("_first").alias("first_seq"), F.sort_array(F.collect_list(item)).alias("_r"))
     columns = {"cells": "cell", "offsets_s": "offset_s", "distances": "distance", "steps": "step"}
+    more, sums = [], []
+    if amplitudes is not None:
+        out = out.join(amplitudes.select("cell", "peak", F.col("mean").alias("amplitude")), ["cell", "peak"], "left")
+        more, columns = ["amplitude"], columns | {"amplitudes": "amplitude"}
+        sums = [F.max("amplitude").alias("max_amplitude"), F.avg("amplitude").alias("mean_amplitude")]
+    item = F.struct("seq", "cell", "offset_s", F.abs(F.col("seq") - F.col("_first")).alias("distance"), F.col("_gap").alias("step"), *more)
+    grouped = out.groupBy(recording, "leader").agg(F.count("*").alias("n_responding"), F.first("_first").alias("first_seq"), F.sort_array(F.collect_list(item)).alias("_r"), *sums)
     grouped = grouped.select("*", *[F.col(f"_r.{c}").alias(n) for n, c in columns.items()]).drop("_r")
-    return grouped.join(total, recording).withColumn("percent_responding", 100.0 * F.col("n_responding") / F.col("total_cells"))
+    share = F.col("n_responding") / F.col("total_cells")
+    return grouped.join(total, recording).withColumns({"share_responding": share, "percent_responding": 100.0 * F.col("n_responding") / F.col("total_cells")})
 
 
 def split(found: DataFrame, max_skip: int = 4, *, recording="recording") -> DataFrame:

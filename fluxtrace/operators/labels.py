@@ -149,10 +149,11 @@ def merged_touching(labels: DataFrame, *, recording=REC, axes=("y", "x"), settle
 # Annotations and assignment
 
 
-def annotation_median(labels: DataFrame, annotation: DataFrame, *, recording=REC, name="kind") -> DataFrame:
-    """recording, label, median of the annotation's values on the label's pixels; NULL where there are none."""
+def annotation_median(labels: DataFrame, annotation: DataFrame, *, zeros: bool = False, recording=REC, name="kind") -> DataFrame:
+    """recording, label, median of the annotation's values on the label's pixels; NULL where there are none. With `zeros`, pixels
+    without an annotation count as 0."""
     inside = labels.join(annotation.select(recording, "y", "x", F.col("label").alias("_a")), [recording, "y", "x"], "left")
-    return inside.groupBy(recording, "label").agg(F.percentile("_a", 0.5).alias(name))
+    return inside.groupBy(recording, "label").agg(F.percentile(F.coalesce("_a", F.lit(0)) if zeros else F.col("_a"), 0.5).alias(name))
 
 
 def annotation_mode(labels: DataFrame, annotation: DataFrame, *, recording=REC, name="kind") -> DataFrame:
@@ -184,7 +185,7 @@ def bouton_classes(points: DataFrame, cells: DataFrame, *, cutoff: float = 75, c
 
 def overlap_assignment(points: DataFrame, cells: DataFrame, *, annotation: DataFrame | None = None, reach: int = 3, missing: int = 666, recording=REC) -> DataFrame:
     """recording, label, cell: the cell with the largest overlap, else the last one with a pixel nearer than `reach`, else none (0).
-    By the median of an annotation on the label (without one all are of type 1), types 1 and 2 without a cell get `missing`, and
+    By the median of an annotation on all pixels of the label, 0 where there is none (without one all are of type 1), types 1 and 2 without a cell get `missing`, and
     type 5 always does. Nearness is an equi-join of shifted pixels, not a comparison of all."""
     c = cells.select(recording, "y", "x", F.col("label").alias("cell"))
     over = points.join(c, [recording, "y", "x"]).groupBy(recording, "label", "cell").count()
@@ -193,7 +194,7 @@ def overlap_assignment(points: DataFrame, cells: DataFrame, *, annotation: DataF
     disc = points.withColumn("_dy", F.explode(steps)).withColumn("_dx", F.explode(steps)).where(F.col("_dy") * F.col("_dy") + F.col("_dx") * F.col("_dx") < reach * reach)
     close = disc.select(recording, "label", (F.col("y") + F.col("_dy")).alias("y"), (F.col("x") + F.col("_dx")).alias("x")).join(c, [recording, "y", "x"])
     close = close.groupBy(recording, "label").agg(F.max("cell").alias("_close"))
-    kinds = points.select(recording, "label", F.lit(1.0).alias("_kind")).distinct() if annotation is None else annotation_median(points, annotation, recording=recording, name="_kind")
+    kinds = points.select(recording, "label", F.lit(1.0).alias("_kind")).distinct() if annotation is None else annotation_median(points, annotation, zeros=True, recording=recording, name="_kind")
     out = kinds.join(best, [recording, "label"], "left").join(close, [recording, "label"], "left")
     cell = F.coalesce("_over", "_close", F.when(F.col("_kind").isin(1.0, 2.0), missing), F.lit(0))
     return out.select(recording, "label", F.when(F.col("_kind") == 5, F.lit(missing)).otherwise(cell).alias("cell"))

@@ -66,6 +66,16 @@ def grid_rois(pixels: DataFrame, grid: int | tuple[int, int] = 4, overlap: float
     return out.select(REC, roi.alias("roi"), "y0", "x0", "y1", "x1")
 
 
+def many_grids(pixels: DataFrame, grids: list[int | tuple[int, int]], overlap: float = 0.0) -> DataFrame:
+    """The boxes of several grids, numbered through: all of the first, then all of the second, and so on."""
+    out = None
+    for k, grid in enumerate(grids):
+        one = grid_rois(pixels, grid, overlap).withColumn("_g", F.lit(k))
+        out = one if out is None else out.unionByName(one)
+    number = F.row_number().over(W.partitionBy(REC).orderBy("_g", "roi")) - 1
+    return out.withColumn("roi", number).drop("_g")
+
+
 def box_traces(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
     """recording, roi, frame, mean and sd (population, over pixels) of each box (roi, y0, x0, y1, x1): of all recordings, or of the
     box's own if it names one."""

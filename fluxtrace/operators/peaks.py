@@ -125,15 +125,16 @@ def max_around(peaks: DataFrame, other: DataFrame, fps: float, *, within_s: floa
     return peaks.select(key, "peak").join(near.groupBy(key, "peak").agg((F.max(value) * fps).alias("rate")), [key, "peak"], "left")
 
 
-def match_template(df: DataFrame, query: list[float], k: int, *, key=KEY, order=ORDER, value=VALUE) -> DataFrame:
-    """key, start, distance: the k + 1 stretches of each trace nearest to the query that don't overlap."""
+def match_template(df: DataFrame, query: list[float], k: int, *, apart: bool = False, key=KEY, order=ORDER, value=VALUE) -> DataFrame:
+    """key, start, distance: the k + 1 stretches of each trace nearest to the query, none of which starts inside one before it;
+    with `apart` no two overlap."""
     kind, q = df.schema[key].dataType.simpleString(), np.asarray(query, float)
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         x = pdf[value].to_numpy(float)
         profile = kernels.distance_profile(x, q) if len(x) >= len(q) else np.empty(0)
-        starts = kernels.best_matches(profile, len(q), k)
+        starts = kernels.best_matches(profile, len(q), k, apart=apart)
         return pd.DataFrame({key: pdf[key].iloc[0], "start": pdf[order].to_numpy()[starts] if starts else [], "distance": profile[starts] if starts else []})
 
     return df.select(key, order, value).groupBy(key).applyInPandas(match, f"{key} {kind}, start int, distance double")

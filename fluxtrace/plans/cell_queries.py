@@ -59,6 +59,19 @@ def event_responses(spark, d):
     return found.join(each, ["recording", "leader", "cell"]).select("recording", "leader", "cell", "seq", "peak", "offset_s", "n_responding", "first_seq", "distance", "total_cells", "percent")
 
 
+@query(f"""WITH {_LEAD}, o AS (SELECT *, (peak - leader) / 2.0::DOUBLE AS offset_s FROM rs),
+ a AS (SELECT o.recording, o.leader, o.cell, o.seq, o.peak, CASE WHEN any_value(o.peak) >= 3 THEN avg(t.f) END AS amplitude FROM o JOIN t ON t.cell = o.cell AND t.frame >= o.peak - 3 AND t.frame < o.peak + 3 GROUP BY o.recording, o.leader, o.cell, o.seq, o.peak),
+ n AS (SELECT recording, count(DISTINCT cell) AS total_cells FROM (SELECT DISTINCT cell, cell % 10 AS recording FROM t) GROUP BY recording)
+ SELECT a.recording, leader, {q6('max(amplitude)')} AS max_amplitude, {q6('avg(amplitude)')} AS mean_amplitude, {q6('count(*) / any_value(total_cells)')} AS share,
+ array_to_string(list(cast(cast(coalesce(round(amplitude * 100), -1) AS BIGINT) AS VARCHAR) ORDER BY seq), ',') AS amplitudes FROM a JOIN n ON a.recording = n.recording GROUP BY a.recording, leader""")
+def event_amplitudes(spark, d):
+    df, found = traces(spark, d), _responses(spark, d)
+    cells = df.select("cell", (F.col("cell") % 10).alias("recording")).distinct()
+    rows = ev.events(found, cells, amplitudes=pk.mean_around(found, df, 3))
+    text = F.array_join(F.transform("amplitudes", lambda a: F.coalesce(F.round(a * 100), F.lit(-1)).cast("long").cast("string")), ",")
+    return rows.select("recording", "leader", r6("max_amplitude").alias("max_amplitude"), r6("mean_amplitude").alias("mean_amplitude"), r6("share_responding").alias("share"), text.alias("amplitudes"))
+
+
 @query(f"WITH {_SPLIT} SELECT recording, leader, cell, seq, cast(part AS BIGINT) AS part FROM sp")
 def event_split(spark, d):
     return ev.split(_responses(spark, d)).select("recording", "leader", "cell", "seq", "part")
@@ -211,7 +224,7 @@ def pair_correlation_minperiods(spark, d):
     return co.pairs(co.large_recordings(df), least=30).withColumn("r", r6("r"))
 
 
-@query(f"""WITH {VECTORS}, q AS (SELECT recording, cell, frame, floor(f * 10000) AS f FROM v), z AS (SELECT *, f = lag(f) OVER (PARTITION BY cell ORDER BY frame) AS flat FROM q),
+@query(f"""WITH {VECTORS}, q AS (SELECT recording, cell, frame, floor(f * 10000) AS f FROM v), z AS (SELECT *, f = lead(f) OVER (PARTITION BY cell ORDER BY frame) AS flat FROM q),
  k AS (SELECT * FROM z WHERE (recording, frame) NOT IN (SELECT (recording, frame) FROM z WHERE flat)), x AS (SELECT x.recording, x.cell AS a, y.cell AS b, count(*) AS n, CASE WHEN stddev_pop(x.f) > 0 AND stddev_pop(y.f) > 0 THEN corr(x.f, y.f) END AS r FROM k x JOIN k y ON x.recording = y.recording AND x.frame = y.frame AND x.cell > y.cell GROUP BY ALL)
  SELECT recording, a, b, n, {q6('r')} AS r FROM x""")
 def pair_correlation_moving(spark, d):
@@ -219,7 +232,7 @@ def pair_correlation_moving(spark, d):
     return co.pairs(co.without_held(df)).withColumn("r", r6(F.when(~F.isnan("r"), F.col("r"))))
 
 
-@query(f"""WITH {VECTORS}, k AS (SELECT recording, cell, frame, f - quantile_cont(f, 0.5) OVER (PARTITION BY cell ORDER BY frame ROWS 9 PRECEDING) AS f FROM v), z AS (SELECT *, f = lag(f) OVER (PARTITION BY cell ORDER BY frame) AS flat FROM k),
+@query(f"""WITH {VECTORS}, k AS (SELECT recording, cell, frame, f - quantile_cont(f, 0.5) OVER (PARTITION BY cell ORDER BY frame ROWS 9 PRECEDING) AS f FROM v), z AS (SELECT *, f = lead(f) OVER (PARTITION BY cell ORDER BY frame) AS flat FROM k),
  y AS (SELECT * FROM z WHERE (recording, frame) NOT IN (SELECT (recording, frame) FROM z WHERE flat)), x AS (SELECT x.recording, x.cell AS a, y.cell AS b, count(*) AS n, corr(x.f, y.f) AS r FROM y x JOIN y ON x.recording = y.recording AND x.frame = y.frame AND x.cell > y.cell GROUP BY ALL)
  SELECT recording, a, b, n, CASE WHEN n >= 5 THEN {q6('r')} END AS r FROM x""")
 def pair_correlation_detrended(spark, d):

@@ -169,11 +169,13 @@ def overlap_assignment(spark, d):
 
 @query(f"""WITH {REGIONS}, b AS (SELECT y, x, label FROM l WHERE label % 2 = 0), h AS (SELECT y, x + 6 AS x, label FROM l WHERE label % 3 = 1),
  o AS (SELECT b.label, h.label AS cell, count(*) AS n FROM b JOIN h ON b.y = h.y AND b.x = h.x GROUP BY ALL), best AS (SELECT label, arg_max(cell, (n, -cell)) AS cell FROM o GROUP BY label),
- near AS (SELECT b.label, max(h.label) AS cell FROM b JOIN h ON pow(b.y - h.y, 2) + pow(b.x - h.x, 2) < 9 GROUP BY b.label)
- SELECT DISTINCT b.label, CASE WHEN b.label // 2 % 6 = 5 THEN 666 ELSE coalesce(best.cell, near.cell, CASE WHEN b.label // 2 % 6 IN (1, 2) THEN 666 ELSE 0 END) END AS cell FROM b LEFT JOIN best ON b.label = best.label LEFT JOIN near ON b.label = near.label""")
+ near AS (SELECT b.label, max(h.label) AS cell FROM b JOIN h ON pow(b.y - h.y, 2) + pow(b.x - h.x, 2) < 9 GROUP BY b.label),
+ k AS (SELECT label, quantile_cont(CASE WHEN (y + x + label) % 4 < label % 5 THEN label // 2 % 6 ELSE 0 END, 0.5) AS kind FROM b GROUP BY label)
+ SELECT DISTINCT b.label, CASE WHEN kind = 5 THEN 666 ELSE coalesce(best.cell, near.cell, CASE WHEN kind IN (1, 2) THEN 666 ELSE 0 END) END AS cell FROM b JOIN k ON b.label = k.label LEFT JOIN best ON b.label = best.label LEFT JOIN near ON b.label = near.label""")
 def overlap_assignment_types(spark, d):
     r = regions(spark, d)
-    cells, kinds = r.where("label % 3 = 1").withColumn("x", F.col("x") + 6), r.withColumn("label", F.expr("label div 2 % 6")).where("label > 0")
+    marked = r.where("(y + x + label) % 4 < label % 5")  # from no pixel to all pixels of a label
+    cells, kinds = r.where("label % 3 = 1").withColumn("x", F.col("x") + 6), marked.withColumn("label", F.expr("label div 2 % 6")).where("label > 0")
     return lb.overlap_assignment(r.where("label % 2 = 0"), cells, annotation=kinds).select("label", "cell")
 
 
@@ -385,9 +387,8 @@ def pixel_rolling_corr(spark, d):
 
 @query(f"""WITH {MOVIE}, {_GRID.format(n=4)}, bt AS (SELECT roi AS cell, frame, avg(m.v) AS mean, stddev_pop(m.v) AS sd FROM m JOIN b ON y >= y0 AND y < y1 AND x >= x0 AND x < x1 GROUP BY ALL), {_SAVGOL.format(src='bt', v='mean', w=3, h=1)},
  wt AS (SELECT cell, frame, y, 1.0 - 0.5 * frame / (count(*) OVER (PARTITION BY cell) - 1) AS w FROM sm), mn AS (SELECT cell, sum(w * y) / sum(w) AS m FROM wt GROUP BY cell), sc AS (SELECT wt.cell, sqrt(sum(w * (y - m) * (y - m)) / sum(w)) AS score FROM wt JOIN mn ON wt.cell = mn.cell GROUP BY wt.cell),
- best AS (SELECT arg_max(cell, (round(score, 9), -cell)) AS cell FROM sc), tr AS (SELECT sm.frame, sm.y AS mean, bt.sd FROM sm JOIN best ON sm.cell = best.cell JOIN bt ON bt.cell = sm.cell AND bt.frame = sm.frame),
- ro AS (SELECT frame, median(mean) OVER (ORDER BY frame ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS med, median(mean) OVER () AS base FROM tr), co AS (SELECT coalesce(max(frame + 1) FILTER (WHERE NOT (med < 0.8 * base OR med > 1.2 * base)), 0) AS cutoff FROM ro)
- SELECT 1 AS recording, frame + 1 AS slice, frame, {q6('mean')} AS mean, {q6('sd')} AS sd FROM tr, co WHERE frame < cutoff""")
+ best AS (SELECT arg_max(cell, (round(score, 9), -cell)) AS cell FROM sc), bs AS (SELECT cell, frame, sd FROM bt), {_SAVGOL.format(src='bs', v='sd', w=3, h=1).replace('s AS (', 's2 AS (', 1).replace('FROM s ', 'FROM s2 s ').replace('ea AS', 'ea2 AS').replace('eb AS', 'eb2 AS').replace('JOIN ea ON', 'JOIN ea2 ea ON').replace('JOIN eb ON', 'JOIN eb2 eb ON').replace('sm AS', 'sn AS')}
+ SELECT 1 AS recording, sm.frame + 1 AS slice, sm.frame, {q6('sm.y')} AS mean, {q6('sn.y')} AS sd FROM sm JOIN best ON sm.cell = best.cell JOIN sn ON sn.cell = sm.cell AND sn.frame = sm.frame""")
 def reference_plan(spark, d):
     from .reference import reference_traces
 

@@ -33,8 +33,8 @@ def build_cells(recordings: DataFrame, traces: DataFrame, labels: DataFrame, ann
     dff0 = settle(tr.dff0_first_half(filled).select("recording", "roi", "cell", "frame", F.col("dff0").alias("f")))
     fresh = dff0 if old is None else dff0.join(old.select("cell"), "cell", "left_anti")
     z = tr.detrend_zscore(fresh, window=median_window, smooth=smooth, engine=engine)
-    found = pk.realign(pk.detect(z, prominence=prominence, distance=distance, value="z"), fresh)
-    lists = found.groupBy("cell").agg(F.sort_array(F.collect_set("aligned")).alias("peaks"))
+    found = pk.detect(z, prominence=prominence, distance=distance, value="z")
+    lists = found.groupBy("cell").agg(F.sort_array(F.collect_set("peak")).alias("peaks"))
     cells = fresh.groupBy("recording", "roi", "cell").agg(F.count("*").alias("n_frames")).join(typed, ["recording", "roi"], "left").join(middle, ["recording", "roi"], "left")
     cells = cells.join(lists, "cell", "left").withColumn("peaks", F.coalesce("peaks", F.array().cast("array<int>"))).join(good.drop("discard"), "recording")
     return {"cells": cells if old is None else old.unionByName(cells, allowMissingColumns=True), "traces": dff0, "odd": odd}
@@ -42,12 +42,16 @@ def build_cells(recordings: DataFrame, traces: DataFrame, labels: DataFrame, ann
 
 def concatenated(traces: DataFrame, *, preprocessing: str | None = None, group: str, sequence: str, key: str, fps: float | None = None, gap: int = 1000, **how) -> DataFrame:
     """Recordings of a group on one time axis, each trace after one of the ways to take trends off (see `correlation.prepared`)."""
-    flat = co.prepared(traces, preprocessing, recording=sequence, key=key, **({"fps": fps} if fps else {}), **how)
+    flat = co.prepared(traces, preprocessing, recording=[group, sequence], key=key, **({"fps": fps} if fps else {}), **how)
     return tr.concatenate(flat, group=group, sequence=sequence, key=key, gap=gap, fps=fps)
 
 
-def study_tables(cells: DataFrame, traces: DataFrame, *, fps: float, cell_type: int = 1, window=1000, order="cell") -> dict[str, DataFrame]:
-    """peaks, events, cells, matched cells, animals and pairs of a study from its cells (with peaks) and traces."""
+def study_tables(cells: DataFrame, traces: DataFrame, *, fps: float, cell_type: int = 1, window=1000, median_window=2000, smooth=21) -> dict[str, DataFrame]:
+    """peaks, parts, events, cells and pairs of a study from its cells (with peaks) and traces.
+
+    Widths are measured on the detrended z-scored trace that peaks were found on, at the peak moved to that trace's largest value
+    nearby; amplitudes are the trace itself: `amplitude` at the peak, and for the responders of an event the mean around it.
+    """
     from pyspark.sql import Window as W
 
     cells = cells.where(F.col("cell_type") == cell_type).withColumn("seq", F.row_number().over(W.partitionBy("recording").orderBy("roi")) - 1)
@@ -55,14 +59,20 @@ def study_tables(cells: DataFrame, traces: DataFrame, *, fps: float, cell_type:
     traces = traces.join(cells.select("cell"), "cell", "left_semi")
     flat = settle(tr.rolling_median_detrend(traces, window, engine="arrow").select("recording", "cell", "frame", F.col("detrended").alias("f")))
     peaks = cells.select("recording", "cell", "seq", F.explode("peaks").alias("peak"))
-    shape = pk.half_widths(flat, peaks).withColumn("half_width_s", (F.col("right") - F.col("left")) / fps)
-    peaks = pk.amplitudes(pk.intervals_between(peaks.join(shape, ["cell", "peak"]), fps), flat)
-    spans = peaks.select("cell", F.round("left").cast("int").alias("start"), F.round("right").cast("int").alias("end"))
+    z = settle(tr.detrend_zscore(traces, window=median_window, smooth=smooth, engine="arrow").select("cell", "frame", "z"))
+    moved = settle(pk.realign(peaks, z, value="z"))
+    shape = pk.half_widths(z, moved.select("cell", F.col("aligned").alias("peak")).distinct(), value="z").withColumn("half_width_s", (F.col("right") - F.col("left")) / fps)
+    peaks = peaks.join(moved, ["cell", "peak"]).join(shape.withColumnRenamed("peak", "aligned"), ["cell", "aligned"])
+    peaks = pk.amplitudes(pk.intervals_between(peaks, fps), traces)
+    spans = peaks.select("cell", F.bround("left").cast("int").alias("start"), F.bround("right").cast("int").alias("end"))
     noise, active = tr.noise_sd(flat, spans), tr.active_fraction(flat, spans).withColumnRenamed("percent", "percent_active")
     peaks = settle(ro.quality(peaks, noise))
+    highest = peaks.groupBy("cell").agg(F.max("amplitude").alias("max_amplitude"))
     threshold = int(2 * fps)
-    parts = ev.split(ev.responses(peaks, ev.leaders(peaks, threshold), threshold, fps))
+    found = settle(ev.responses(peaks, ev.leaders(peaks, threshold), threshold, fps))
+    whole = ev.events(found, cells, amplitudes=pk.mean_around(found, traces, 10))
+    parts = ev.split(found)
     counted = ev.participation(peaks, parts).drop("n_peaks")
-    table = ro.cell_peaks(cells, peaks.select("cell", "peak"), fps=fps).join(noise, "cell", "left").join(active, "cell", "left").join(counted, ["recording", "cell"], "left").join(ro.kept_peaks(peaks), "cell", "left")
+    table = ro.cell_peaks(cells, peaks.select("cell", "peak"), fps=fps).join(noise, "cell", "left").join(active, "cell", "left").join(counted, ["recording", "cell"], "left").join(ro.kept_peaks(peaks), "cell", "left").join(highest, "cell", "left")
     pairs = co.pairs(co.large_recordings(flat), least=int(5 * 60 * fps))
-    return {"peaks": peaks, "events": ev.classified(parts), "parts": parts, "cells": table, "pairs": pairs}
+    return {"peaks": peaks, "events": ev.classified(parts), "whole_events": whole, "parts": parts, "cells": table, "pairs": pairs}

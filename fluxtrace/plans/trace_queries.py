@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import intervals as iv
@@ -208,15 +209,22 @@ def concat_recordings(spark, d):
     return tr.concatenate(df, group="animal", sequence="recording", key="cell", fps=20.0).select("recording", "cell", F.col("position").cast("long").alias("position"), "time_s")
 
 
-@query(f"""WITH {VECTORS}, d AS (SELECT recording, cell, frame, f - quantile_cont(f, 0.5) OVER (PARTITION BY cell ORDER BY frame ROWS 9 PRECEDING) AS f FROM v), s AS (SELECT recording, recording % 3 AS animal, max(frame) + 1 AS size FROM v GROUP BY ALL),
+def _animals(df):
+    """Traces of three animals: recordings and cells (regions) are numbered within each, so animals share both numbers."""
+    cell = F.dense_rank().over(W.partitionBy("animal", "recording").orderBy("cell")).cast("int")
+    return df.withColumns({"animal": F.col("recording") % 3, "recording": F.floor(F.col("recording") / 3).cast("int")}).withColumn("cell", cell)
+
+
+@query(f"""WITH {VECTORS}, k AS (SELECT recording % 3 AS animal, recording // 3 AS recording, cast(dense_rank() OVER (PARTITION BY recording ORDER BY cell) AS INTEGER) AS cell, frame, f FROM v),
+ d AS (SELECT animal, recording, cell, frame, f - quantile_cont(f, 0.5) OVER (PARTITION BY animal, recording, cell ORDER BY frame ROWS 9 PRECEDING) AS f FROM k), s AS (SELECT animal, recording, max(frame) + 1 AS size FROM k GROUP BY ALL),
  o AS (SELECT *, coalesce(sum(size + 1000) OVER (PARTITION BY animal ORDER BY recording ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM s)
- SELECT d.recording, cell, cast(start + frame AS BIGINT) AS position, {q6('f')} AS f FROM d JOIN o USING (recording)""")
+ SELECT d.animal, d.recording, cell, cast(start + frame AS BIGINT) AS position, {q6('f')} AS f FROM d JOIN o USING (animal, recording)""")
 def concat_detrended(spark, d):
     from .study import concatenated
 
-    df = vectors(spark, d).withColumn("animal", F.col("recording") % 3)
+    df = _animals(vectors(spark, d))
     out = concatenated(df, preprocessing="rolling_median", median_window=10, group="animal", sequence="recording", key="cell", fps=20.0)
-    return out.select("recording", "cell", F.col("position").cast("long").alias("position"), r6("f").alias("f"))
+    return out.select("animal", "recording", "cell", F.col("position").cast("long").alias("position"), r6("f").alias("f"))
 
 
 _PEAKS = """p AS (SELECT cell, frame AS peak, f FROM (SELECT *, max(f) OVER (PARTITION BY cell ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS a,
@@ -337,7 +345,7 @@ def noise_amplitude(spark, d):
     return pk.noise(traces(spark, d)).select("cell", r6("noise").alias("noise"))
 
 
-_FAR = "abs(p.start - {s}.start) >= 5"
+_FAR = "(p.start < {s}.start OR p.start >= {s}.start + 5)"
 
 
 @query(f"""WITH {TRACES}, q AS (SELECT unnest([0, 1, 2, 3, 4]) AS i, unnest([0.0, 40.0, 120.0, 60.0, 10.0]::DOUBLE[]) AS q), s AS (SELECT a.cell, a.frame AS start, avg(b.f) AS m, stddev_pop(b.f) AS sd, sum(b.f * q) AS dot, count(*) AS n, avg(q) AS qm, stddev_pop(q) AS qs FROM t a JOIN t b ON b.cell = a.cell AND b.frame BETWEEN a.frame AND a.frame + 4 JOIN q ON q.i = b.frame - a.frame GROUP BY ALL),
