@@ -173,6 +173,116 @@ def phase_shift(reference: np.ndarray, frame: np.ndarray) -> tuple[int, int]:
     return tuple(int(p - n if p > n // 2 else p) for p, n in zip(peak, reference.shape, strict=True))
 
 
+def _fine_peak(cross: np.ndarray, at: tuple[float, float], upsample: int, reach: float) -> tuple[float, float]:
+    """The peak of the inverse transform of a cross spectrum within `reach` of a place, on a grid of 1 / upsample: two small
+    products with waves at those places instead of a transform of the whole enlarged image."""
+    h, w = cross.shape
+    steps = np.arange(-int(reach * upsample), int(reach * upsample) + 1) / upsample
+    ky, kx = np.fft.fftfreq(h), np.fft.fftfreq(w)
+    value = np.exp(2j * np.pi * np.outer(at[0] + steps, ky)) @ cross @ np.exp(2j * np.pi * np.outer(kx, at[1] + steps))
+    y, x = np.unravel_index(np.argmax(value.real), value.shape)
+    return float(at[0] + steps[y]), float(at[1] + steps[x])
+
+
+def fine_shift(reference: np.ndarray, frame: np.ndarray, upsample: int = 50) -> tuple[float, float]:
+    """(dy, dx) by which the frame is moved, to 1 / upsample pixels: the whole-pixel peak of the correlation, then finer and finer around it.
+    Frequencies above half the highest are left out; they hold what a fraction of a pixel distorts."""
+    h, w = frame.shape
+    y, x = np.mgrid[:h, :w].astype(float)
+    window = np.outer(np.hanning(h + 2)[1:-1], np.hanning(w + 2)[1:-1])
+    low = (np.abs(np.fft.fftfreq(h))[:, None] < 0.25) & (np.abs(np.fft.fftfreq(w))[None] < 0.25)
+    seen = np.fft.fft2((frame - frame.mean()) * window)
+    total = (0.0, 0.0)
+    for k in range(8):  # the window pulls towards zero, so the reference is moved by what was found until nothing is left
+        moved = sampled(reference, y - total[0], x - total[1])
+        cross = seen * np.conj(np.fft.fft2((moved - moved.mean()) * window))
+        cross = np.where(low, cross / np.maximum(np.abs(cross) ** 0.5, 1e-12), 0)
+        at = (0.0, 0.0)
+        if k == 0:
+            peak = np.unravel_index(np.argmax(np.fft.ifft2(cross).real), cross.shape)
+            at = tuple(float(p - n if p > n // 2 else p) for p, n in zip(peak, cross.shape, strict=True))
+        step = _fine_peak(cross, _fine_peak(cross, at, 8, 1.0), upsample, 0.25)
+        total = (total[0] + step[0], total[1] + step[1])
+        if max(map(abs, step)) < 1.5 / upsample:
+            break
+    return total
+
+
+def sampled(image: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Bilinear values at places; outside, the nearest place of the border."""
+    h, w = image.shape
+    y, x = np.clip(y, 0, h - 1), np.clip(x, 0, w - 1)
+    i, j = np.minimum(y.astype(int), max(h - 2, 0)), np.minimum(x.astype(int), max(w - 2, 0))
+    a, b = y - i, x - j
+    k, m = np.minimum(i + 1, h - 1), np.minimum(j + 1, w - 1)
+    return (1 - a) * ((1 - b) * image[i, j] + b * image[i, m]) + a * ((1 - b) * image[k, j] + b * image[k, m])
+
+
+def turned(image: np.ndarray, angle: float) -> np.ndarray:
+    """The image turned by an angle in degrees about its middle."""
+    h, w = image.shape
+    y, x = np.mgrid[:h, :w].astype(float)
+    c, s = np.cos(np.radians(angle)), np.sin(np.radians(angle))
+    y, x = y - (h - 1) / 2, x - (w - 1) / 2
+    return sampled(image, c * y - s * x + (h - 1) / 2, s * y + c * x + (w - 1) / 2)
+
+
+def _polar_spectrum(image: np.ndarray, angles: int, radii: int) -> np.ndarray:
+    """Magnitudes of the windowed image's spectrum over half a turn of angles and logarithmic radii, which a shift leaves as they are."""
+    n = max(image.shape)
+    window = np.outer(np.hanning(image.shape[0]), np.hanning(image.shape[1]))
+    size = 2 * n
+    spectrum = np.log1p(np.abs(np.fft.fftshift(np.fft.fft2((image - image.mean()) * window, (size, size)))))
+    t, r = np.meshgrid(np.arange(angles) * np.pi / angles, np.geomspace(4, n * 0.8, radii), indexing="ij")
+    return sampled(spectrum, size // 2 + r * np.sin(t), size // 2 + r * np.cos(t))
+
+
+def rotation(reference: np.ndarray, frame: np.ndarray, *, angles: int = 720, radii: int = 64) -> float:
+    """The angle in degrees, within a quarter turn, by which the frame is turned: the shift of its log-polar spectrum along angles."""
+    a, b = (_polar_spectrum(x, angles, radii) for x in (reference, frame))
+    a, b = (x - x.mean(0) for x in (a, b))
+    cross = (np.fft.fft(b, axis=0) * np.conj(np.fft.fft(a, axis=0))).sum(1)
+    wide = np.fft.ifft(cross).real
+    k = int(np.argmax(wide))
+    left, mid, right = (wide[(k + d) % angles] for d in (-1, 0, 1))
+    bend = left - 2 * mid + right
+    at = k + (0.5 * (left - right) / bend if bend else 0.0)
+    return float((at if at <= angles / 2 else at - angles) * 180 / angles)
+
+
+def rigid(reference: np.ndarray, frame: np.ndarray, rotate: bool = True, upsample: int = 50) -> tuple[float, float, float]:
+    """(angle, dy, dx): the frame is the reference turned by the angle about the middle and then moved."""
+    if not rotate:
+        return (0.0, *fine_shift(reference, frame, upsample))
+    angle = rotation(reference, frame)
+    return _refined(reference, frame, np.array([angle, *fine_shift(turned(reference, angle), frame, upsample)]))
+
+
+def _refined(reference: np.ndarray, frame: np.ndarray, motion: np.ndarray) -> tuple[float, float, float]:
+    """Least squares from a first guess: the frame less the moved reference, weighted towards the middle, by steps along the slopes of the
+    angle and both shifts, as long as they make it smaller."""
+    h, w = frame.shape
+    y, x = np.mgrid[:h, :w].astype(float)
+    weight = np.sqrt(np.outer(np.hanning(h + 2)[1:-1], np.hanning(w + 2)[1:-1])).ravel()
+
+    def seen(m: np.ndarray) -> np.ndarray:
+        c, s = np.cos(np.radians(m[0])), np.sin(np.radians(m[0]))
+        u, v = y - m[1] - (h - 1) / 2, x - m[2] - (w - 1) / 2
+        return sampled(reference, c * u - s * v + (h - 1) / 2, s * u + c * v + (w - 1) / 2).ravel()
+
+    left = (frame.ravel() - seen(motion)) * weight
+    for _ in range(20):
+        slopes = np.stack([(seen(motion + d) - seen(motion - d)) * weight / (2 * d.sum()) for d in np.diag([0.2, 0.3, 0.3])], axis=1)
+        step, *_ = np.linalg.lstsq(slopes, left, rcond=None)
+        after = (frame.ravel() - seen(motion + step)) * weight
+        if not after @ after < left @ left:
+            break
+        motion, left = motion + step, after
+        if np.abs(step).max() < 1e-4:
+            break
+    return tuple(float(m) for m in motion)
+
+
 def otsu(values: np.ndarray, bins: int = 256) -> float:
     """The threshold with the largest variance between the two classes of a histogram."""
     counts, edges = np.histogram(values, bins)

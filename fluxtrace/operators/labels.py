@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import is_left
 from .nearest import nearest_by_tiles
+from .volumes import SIDE
+from .volumes import components as tiled_components
 
 REC = "recording"
 
@@ -106,39 +108,10 @@ def neighbours_in_time(table: DataFrame, *, recording=REC) -> DataFrame:
     return table.withColumn("middle", F.col("start") + (F.col("duration") - 1) / 2).withColumns({"previous": F.lag("label").over(w), "next": F.lead("label").over(w)})
 
 
-def components(labels: DataFrame, *, recording=REC, axes=("y", "x"), reach: int = 1, settle=None) -> DataFrame:
-    """Connected regions of equal labels (all neighbours within `reach`), numbered from 1 in order of their first pixel.
-
-    Pixels take the smallest number among themselves and their neighbours, then jump to that number's own number, until
-    nothing changes; `settle` (DataFrame -> DataFrame) cuts the lineage after each round, checkpoint() by default.
-    """
-    axes = list(axes)
-    settle = settle or (lambda d: d.checkpoint())
-    place = F.struct(*axes)
-    nodes = settle(labels.select(recording, *axes, "label").withColumn("root", place))
-    links = settle(_links(labels, reach, recording, axes))
-    while True:
-        near = links.join(nodes.select(recording, F.struct(*axes).alias("_to"), F.col("root").alias("_r")), [recording, "_to"]).groupBy(recording, "_from").agg(F.min("_r").alias("_near"))
-        now = nodes.join(near, (nodes[recording] == near[recording]) & (F.struct(*[nodes[a] for a in axes]) == near["_from"]), "left")
-        now = now.select(nodes[recording], *[nodes[a] for a in axes], nodes["label"], F.least("root", F.coalesce("_near", "root")).alias("_new"), nodes["root"].alias("_old"))
-        jump = now.select(F.col(recording).alias("_rec"), F.struct(*axes).alias("_place"), F.col("_new").alias("_next"))
-        now = now.join(jump, (F.col(recording) == F.col("_rec")) & (F.col("_new") == F.col("_place"))).drop("_rec", "_place")
-        now = settle(now.select(recording, *axes, "label", F.col("_next").alias("root"), (F.col("_next") != F.col("_old")).alias("_moved")))
-        still = now.where("_moved").isEmpty()
-        nodes = now.drop("_moved")
-        if still:
-            break
-    order = nodes.select(recording, "root").distinct().withColumn("component", F.row_number().over(W.partitionBy(recording).orderBy("root")))
-    return nodes.join(order, [recording, "root"]).select(recording, *axes, "label", "component")
-
-
-def _links(labels: DataFrame, reach: int, recording: str, axes: list[str]) -> DataFrame:
-    steps = F.array(*[F.lit(i) for i in range(-reach, reach + 1)])
-    out = labels.select(recording, "label", F.struct(*axes).alias("_from"), *axes)
-    for a in axes:
-        out = out.withColumn(f"_d{a}", F.explode(steps))
-    out = out.select(recording, "label", "_from", F.struct(*[(F.col(a) + F.col(f"_d{a}")).alias(a) for a in axes]).alias("_to")).where("_from <> _to")
-    return out.join(labels.select(recording, "label", F.struct(*axes).alias("_to")), [recording, "label", "_to"], "left_semi").select(recording, "_from", "_to")
+def components(labels: DataFrame, *, recording=REC, axes=("y", "x"), reach: int = 1, side: int = SIDE, settle=None) -> DataFrame:
+    """Connected regions of equal labels (all neighbours within `reach`), numbered from 1 in order of their first pixel; see
+    `volumes.components`. `settle` (DataFrame -> DataFrame) cuts the lineage, checkpoint() by default."""
+    return tiled_components(labels, settle=settle or (lambda d: d.checkpoint()), axes=axes, reach=reach, side=side, recording=recording)
 
 
 def merged_touching(labels: DataFrame, *, recording=REC, axes=("y", "x"), settle=None) -> DataFrame:

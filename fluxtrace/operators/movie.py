@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import kernels
+from ..functions import grids, kernels
 from ..functions.scalars import clipped_u16
 from .nearest import nearest_by_tiles
 
@@ -128,8 +128,8 @@ def _smoothed(image: np.ndarray, there: np.ndarray, kernel: np.ndarray, axis: in
     return np.where(there, total / np.where(weight > 0, weight, 1.0), 0.0)
 
 
-def _smoothing(kernel: np.ndarray, along: list[str], axes: list[str]):
-    """A function of the lists of places (along) and values of an array: the values blurred along some of the axes."""
+def _arrays(change, along: list[str], axes: list[str]):
+    """A function of the lists of places (along) and values of an array: the values after change(values, there, axis) along some axes."""
 
     @F.pandas_udf("array<double>")
     def smooth(*columns: pd.Series) -> pd.Series:
@@ -139,21 +139,19 @@ def _smoothing(kernel: np.ndarray, along: list[str], axes: list[str]):
             image, there = np.zeros([a.max() + 1 for a in at]), np.zeros([a.max() + 1 for a in at], bool)
             image[at], there[at] = v, True
             for a in axes:
-                image = _smoothed(image, there, kernel, along.index(a))
+                image = change(image, there, along.index(a))
             done.append(image[at])
         return pd.Series(done)
 
     return smooth
 
 
-def blurred(pixels: DataFrame, sigma: float = 2.0, axes: tuple[str, ...] = ("frame", "y", "x"), truncate: float = 4.0) -> DataFrame:
-    """Gaussian blur, an axis at a time. At the edges the weights that fall inside are scaled up to 1.
+def along_axes(pixels: DataFrame, axes: tuple[str, ...], change) -> DataFrame:
+    """recording, frame, y, x, v after change(values, there, axis) along each of the axes.
 
-    Along y and x a frame is an array, along frames a pixel's samples are: each is gathered once and blurred in NumPy, so
-    the shuffle holds every sample once for frames and once for pixels, however wide the kernel is.
+    Along y and x a frame is an array, along frames a pixel's samples are: each is gathered once and changed in NumPy, so the
+    shuffle holds every sample once for frames and once for pixels, whatever the change looks at.
     """
-    reach = int(truncate * sigma + 0.5)
-    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
     out = pixels.select(REC, "frame", *PLACE, F.col("v").cast("double").alias("v"))
     flat = [a for a in PLACE if a in axes]
     for inner, keys in ((["frame"] if "frame" in axes else [], [REC, *PLACE]), (flat, [REC, "frame"])):
@@ -162,11 +160,18 @@ def blurred(pixels: DataFrame, sigma: float = 2.0, axes: tuple[str, ...] = ("fra
         along = ["frame"] if inner == ["frame"] else PLACE
 
         lists = out.groupBy(*keys).agg(*[F.collect_list(c).alias(c) for c in (*along, "v")])
-        lists = lists.select(*keys, *along, _smoothing(kernel, along, inner)(*along, "v").alias("v"))
+        lists = lists.select(*keys, *along, _arrays(change, along, inner)(*along, "v").alias("v"))
         out = lists.select(*keys, F.explode(F.arrays_zip(*along, "v")).alias("_p")).select(*keys, *[f"_p.{c}" for c in (*along, "v")])
     return out.select(REC, "frame", *PLACE, "v")
 
 
+def blurred(pixels: DataFrame, sigma: float = 2.0, axes: tuple[str, ...] = ("frame", "y", "x"), truncate: float = 4.0) -> DataFrame:
+    """Gaussian blur, an axis at a time. At the edges the weights that fall inside are scaled up to 1."""
+    reach = int(truncate * sigma + 0.5)
+    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    return along_axes(pixels, axes, lambda image, there, axis: _smoothed(image, there, kernel, axis))
+
+
 def ratio(pixels: DataFrame) -> DataFrame:
     """recording, frame, y, x and ratio of channel 1 to channel 0."""
     a, b = (pixels.where(F.col("channel") == c).select(REC, "frame", *PLACE, F.col("v").alias(f"v{c}")) for c in (0, 1))
@@ -247,6 +252,36 @@ def shifts(pixels: DataFrame, reference: DataFrame) -> DataFrame:
     return rows.select(REC, "frame", moved(*[f"_{c}" for c in "yxv"], *[f"_r{c}" for c in "yxv"]).alias("_s")).select(REC, "frame", "_s.dy", "_s.dx")
 
 
+def rigid_motion(pixels: DataFrame, reference: DataFrame, *, rotate: bool = True, upsample: int = 50) -> DataFrame:
+    """recording, frame, angle (degrees), dy, dx: the motion of each frame against the reference image: turned by the angle about the image's
+    middle, then moved. The angle comes from the log-polar spectra, the shift (to 1 / upsample pixels) from an upsampled transform
+    around the peak of the phase correlation."""
+    pack = [F.collect_list(F.col(c).cast(t)).alias(f"_{c}") for c, t in (("y", "int"), ("x", "int"), ("v", "double"))]
+    ref = reference.groupBy(REC).agg(*pack).select(REC, *[F.col(f"_{c}").alias(f"_r{c}") for c in "yxv"])
+    rows = pixels.groupBy(REC, "frame").agg(*pack).join(ref, REC)
+
+    @F.pandas_udf("angle double, dy double, dx double")
+    def found(*columns: pd.Series) -> pd.DataFrame:
+        out = []
+        for y, x, v, ry, rx, rv in zip(*columns, strict=True):
+            size = max(y.max(), ry.max()) + 1, max(x.max(), rx.max()) + 1
+            one, two = np.zeros(size), np.zeros(size)
+            one[ry, rx], two[y, x] = rv, v
+            out.append(kernels.rigid(one, two, rotate, upsample))
+        return pd.DataFrame(out, columns=["angle", "dy", "dx"])
+
+    return rows.select(REC, "frame", found(*[f"_{c}" for c in "yxv"], *[f"_r{c}" for c in "yxv"]).alias("_s")).select(REC, "frame", "_s.angle", "_s.dy", "_s.dx")
+
+
+def rigid_transforms(motion: DataFrame, pixels: DataFrame) -> DataFrame:
+    """recording, frame, m: the matrices with which `warped` takes the motion back (x and y of a place in the result to those in the frame)."""
+    size = pixels.groupBy(REC).agg((F.max("y") / 2).alias("_cy"), (F.max("x") / 2).alias("_cx"))
+    a, cy, cx = F.radians("angle"), F.col("_cy"), F.col("_cx")
+    c, s = F.cos(a), F.sin(a)
+    m = F.array(c, -s, cx - c * cx + s * cy + F.col("dx"), s, c, cy - s * cx - c * cy + F.col("dy"), *[F.lit(v) for v in (0.0, 0.0, 1.0)])
+    return motion.join(size, REC).select(REC, "frame", m.alias("m"))
+
+
 def moved_back(pixels: DataFrame, motion: DataFrame) -> DataFrame:
     """Frames with their shifts undone; what falls outside goes, what was outside has no rows."""
     out = with_extents(pixels).join(motion, [REC, "frame"])
@@ -324,6 +359,36 @@ def kymograph(pixels: DataFrame, line: DataFrame, half: int = 2) -> DataFrame:
     return each.groupBy(REC, "frame", "s").agg(F.avg("_v").alias("v"))
 
 
+def spline_coefficients(pixels: DataFrame) -> DataFrame:
+    """Coefficients of the cubic B-spline through each frame (absent places count as 0), with the two mirrored rows and columns that a
+    place at the border needs."""
+    size = pixels.groupBy(REC).agg((F.max("y") + 1).alias("_h"), (F.max("x") + 1).alias("_w"))
+    every = pixels.select(REC, "frame").distinct().join(size, REC).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_h") * F.col("_w") - 1)))
+    every = every.select(REC, "frame", F.expr("cast(_i div _w AS int)").alias("y"), (F.col("_i") % F.col("_w")).cast("int").alias("x"))
+    dense = every.join(pixels.select(REC, "frame", *PLACE, "v"), [REC, "frame", *PLACE], "left").withColumn("v", F.coalesce(F.col("v").cast("double"), F.lit(0.0)))
+    out = along_axes(dense, tuple(PLACE), lambda image, there, axis: grids.spline_coefficients(image, axis)).join(size, REC)
+    for c, n in (("y", "_h"), ("x", "_w")):
+        p, last = F.col(c), F.col(n) - 1
+        copies = F.array(p, F.when(p.isin(1, 2), -p), F.when((p >= last - 2) & (p < last), 2 * last - p))
+        out = out.withColumn(c, F.explode(F.array_compact(copies)))
+    return out.select(REC, "frame", *PLACE, "v")
+
+
+def cubic_kymograph(pixels: DataFrame, line: DataFrame, half: int = 2) -> DataFrame:
+    """As `kymograph`, by the cubic spline through each frame. Places outside the image have no value and are left out of the mean."""
+    at = line.withColumn("_k", F.explode(F.sequence(F.lit(-half), F.lit(half))))
+    at = at.select("s", "_k", (F.col("y") + F.col("_k") * F.col("ny")).alias("_y"), (F.col("x") + F.col("_k") * F.col("nx")).alias("_x"))
+    fy, fx = F.col("_y") - F.floor("_y"), F.col("_x") - F.floor("_x")
+    weights = lambda t: [(1 - t) ** 3 / 6, 2 / 3 - t * t * (2 - t) / 2, 2 / 3 - (1 - t) ** 2 * (1 + t) / 2, t**3 / 6]
+    tap = lambda j, wy, i, wx: F.struct((F.floor("_y") + j).cast("int").alias("y"), (F.floor("_x") + i).cast("int").alias("x"), (wy * wx).alias("w"))
+    taps = F.array(*[tap(j - 1, wy, i - 1, wx) for j, wy in enumerate(weights(fy)) for i, wx in enumerate(weights(fx))])
+    each = at.withColumn("_c", F.explode(taps)).select("s", "_k", "_y", "_x", "_c.y", "_c.x", F.col("_c.w").alias("_weight"))
+    size = pixels.groupBy(REC).agg((F.max("y")).alias("_h"), (F.max("x")).alias("_w"))
+    inside = spline_coefficients(pixels).join(each, PLACE).join(size, REC).where("_y >= 0 AND _x >= 0 AND _y <= _h AND _x <= _w")
+    lines = inside.groupBy(REC, "frame", "s", "_k").agg(F.sum(F.col("v") * F.col("_weight")).alias("_v"))
+    return lines.groupBy(REC, "frame", "s").agg(F.avg("_v").alias("v"))
+
+
 def kymo_background(kymo: DataFrame, quantile: float = 0.05) -> DataFrame:
     """Each place less a low quantile over time."""
     return kymo.withColumn("v", F.col("v") - F.percentile("v", quantile).over(W.partitionBy(REC, "s")))
@@ -354,17 +419,22 @@ def otsu_threshold(pixels: DataFrame, bins: int = 256) -> DataFrame:
 
 
 def opened_difference(pixels: DataFrame, radius: int) -> DataFrame:
-    """White top-hat with a disk: the image less its opening, as minima and then maxima over shifted pixels."""
-    disc = [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if dy * dy + dx * dx <= radius * radius]
-    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in disc])
-    keys = [REC, "frame", *PLACE]
+    """White top-hat with a disk: the image less its opening. Frames are arrays; minima and maxima over the disk are running ones along
+    its chords, so a chord's length costs nothing."""
+
+    def opened(image: np.ndarray, there: np.ndarray, axis: int) -> np.ndarray:
+        least = grids.disk_extreme(np.where(there, image, np.inf), radius, True)
+        return grids.disk_extreme(np.where(there, least, -np.inf), radius, False)
+
+    out = _per_frame(pixels, opened).withColumnRenamed("v", "_o")
+    return pixels.join(out, [REC, "frame", *PLACE]).withColumn("v", F.col("v") - F.col("_o").cast(pixels.schema["v"].dataType)).drop("_o")
 
-    def step(df: DataFrame, best) -> DataFrame:
-        spread = df.withColumn("_d", F.explode(steps)).select(REC, "frame", (F.col("y") + F.col("_d.a")).alias("y"), (F.col("x") + F.col("_d.b")).alias("x"), "v")
-        return spread.groupBy(*keys).agg(best("v").alias("v"))
 
-    opened = step(step(pixels.select(*keys, "v"), F.min).join(pixels.select(*keys), keys, "left_semi"), F.max).withColumnRenamed("v", "_o")
-    return pixels.join(opened, keys).withColumn("v", F.col("v") - F.col("_o")).drop("_o")
+def _per_frame(pixels: DataFrame, change) -> DataFrame:
+    """recording, frame, y, x, v after change(image, there, 0) of each frame's array."""
+    lists = pixels.groupBy(REC, "frame").agg(*[F.collect_list(F.col(c).cast("double") if c == "v" else F.col(c)).alias(c) for c in (*PLACE, "v")])
+    lists = lists.select(REC, "frame", *PLACE, _arrays(change, PLACE, ["y"])(*PLACE, "v").alias("v"))
+    return lists.select(REC, "frame", F.explode(F.arrays_zip(*PLACE, "v")).alias("_p")).select(REC, "frame", *[f"_p.{c}" for c in (*PLACE, "v")])
 
 
 def seeded_regions(pixels: DataFrame, *, sigma: float = 2.0, span: int = 3, settle=None) -> DataFrame:
@@ -373,9 +443,8 @@ def seeded_regions(pixels: DataFrame, *, sigma: float = 2.0, span: int = 3, sett
     settle = settle or (lambda d: d.checkpoint())
     smooth = settle(blurred(pixels, sigma, axes=("y", "x")))
     bright = settle(smooth.join(otsu_threshold(smooth), [REC, "frame"]).where(F.col("v") > F.col("threshold")).drop("threshold"))
-    steps = F.array(*[F.lit(i) for i in range(-span, span + 1)])
-    near = smooth.withColumn("_a", F.explode(steps)).withColumn("_b", F.explode(steps)).select(REC, "frame", (F.col("y") + F.col("_a")).alias("y"), (F.col("x") + F.col("_b")).alias("x"), "v")
-    top = near.groupBy(REC, "frame", *PLACE).agg(F.max("v").alias("_top"))
+    highest = lambda image, there, axis: grids.running(grids.running(np.where(there, image, -np.inf), span, 0, False), span, 1, False)
+    top = _per_frame(smooth, highest).withColumnRenamed("v", "_top")
     seeds = bright.join(top, [REC, "frame", *PLACE]).where(F.col("v") >= F.col("_top"))
     seeds = seeds.select(REC, "frame", F.row_number().over(W.partitionBy(REC, "frame").orderBy("y", "x")).alias("target"), F.col("y").alias("ty"), F.col("x").alias("tx"))
     found = nearest_by_tiles(bright.select(REC, "frame", *PLACE), settle(seeds), group=[REC, "frame"], settle=settle)

@@ -63,12 +63,12 @@ def event_responses(spark, d):
  a AS (SELECT o.recording, o.leader, o.cell, o.seq, o.peak, CASE WHEN any_value(o.peak) >= 3 THEN avg(t.f) END AS amplitude FROM o JOIN t ON t.cell = o.cell AND t.frame >= o.peak - 3 AND t.frame < o.peak + 3 GROUP BY o.recording, o.leader, o.cell, o.seq, o.peak),
  n AS (SELECT recording, count(DISTINCT cell) AS total_cells FROM (SELECT DISTINCT cell, cell % 10 AS recording FROM t) GROUP BY recording)
  SELECT a.recording, leader, {q6('max(amplitude)')} AS max_amplitude, {q6('avg(amplitude)')} AS mean_amplitude, {q6('count(*) / any_value(total_cells)')} AS share,
- array_to_string(list(cast(cast(coalesce(round(amplitude * 100), -1) AS BIGINT) AS VARCHAR) ORDER BY seq), ',') AS amplitudes FROM a JOIN n ON a.recording = n.recording GROUP BY a.recording, leader""")
+ array_to_string(list(cast(cast(coalesce(round(amplitude * 97.3), -1) AS BIGINT) AS VARCHAR) ORDER BY seq), ',') AS amplitudes FROM a JOIN n ON a.recording = n.recording GROUP BY a.recording, leader""")
 def event_amplitudes(spark, d):
     df, found = traces(spark, d), _responses(spark, d)
     cells = df.select("cell", (F.col("cell") % 10).alias("recording")).distinct()
     rows = ev.events(found, cells, amplitudes=pk.mean_around(found, df, 3))
-    text = F.array_join(F.transform("amplitudes", lambda a: F.coalesce(F.round(a * 100), F.lit(-1)).cast("long").cast("string")), ",")
+    text = F.array_join(F.transform("amplitudes", lambda a: F.coalesce(F.round(a * 97.3), F.lit(-1)).cast("long").cast("string")), ",")
     return rows.select("recording", "leader", r6("max_amplitude").alias("max_amplitude"), r6("mean_amplitude").alias("mean_amplitude"), r6("share_responding").alias("share"), text.alias("amplitudes"))
 
 

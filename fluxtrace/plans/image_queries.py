@@ -359,6 +359,39 @@ def registered_frames(spark, d):
     return mv.moved_back(m, mv.shifts(m, mv.reference_image(m, 1))).select("frame", "y", "x", "v")
 
 
+_SPLINE = """sz AS (SELECT max(y) AS h, max(x) AS w, max(frame) AS t FROM m), dense AS (SELECT f.frame, gy.y, gx.x, coalesce(m.v, 0) AS v FROM sz, (SELECT DISTINCT frame FROM m) f, (SELECT unnest(generate_series(0, (SELECT h FROM sz))) AS y) gy, (SELECT unnest(generate_series(0, (SELECT w FROM sz))) AS x) gx
+ LEFT JOIN m ON m.frame = f.frame AND m.y = gy.y AND m.x = gx.x), d AS (SELECT unnest(generate_series(-25, 25)) AS d),
+ cx AS (SELECT a.frame, a.y, a.x, sqrt(3) * sum(b.v * pow(sqrt(3) - 2, abs(d))) AS v FROM dense a, d, sz JOIN dense b ON b.frame = a.frame AND b.y = a.y AND b.x = w - abs(w - ((a.x + d) % (2 * w) + 2 * w) % (2 * w)) GROUP BY ALL),
+ cy AS (SELECT a.frame, a.y, a.x, sqrt(3) * sum(b.v * pow(sqrt(3) - 2, abs(d))) AS v FROM cx a, d, sz JOIN cx b ON b.frame = a.frame AND b.x = a.x AND b.y = h - abs(h - ((a.y + d) % (2 * h) + 2 * h) % (2 * h)) GROUP BY ALL)"""
+_WEIGHT = "CASE {j} WHEN -1 THEN pow(1 - {t}, 3) / 6 WHEN 0 THEN 2 / 3.0::DOUBLE - {t} * {t} * (2 - {t}) / 2 WHEN 1 THEN 2 / 3.0::DOUBLE - pow(1 - {t}, 2) * (1 + {t}) / 2 ELSE pow({t}, 3) / 6 END"
+
+
+@query(f"""WITH m AS (SELECT * FROM (WITH {MOVIE} SELECT * FROM m WHERE y < 12)), {_SPLINE}, p AS (SELECT s, -1.37 + (h + 2.58) * s / 30.0::DOUBLE AS y, 3.1 + (w - 6.2) * s / 30.0::DOUBLE AS x, -(w - 6.2) / sqrt(pow(h + 2.58, 2) + pow(w - 6.2, 2)) AS ny, (h + 2.58) / sqrt(pow(h + 2.58, 2) + pow(w - 6.2, 2)) AS nx FROM (SELECT cast(h AS DOUBLE) AS h, cast(w AS DOUBLE) AS w FROM sz), (SELECT unnest(generate_series(0, 30)) AS s)),
+ k AS (SELECT s, k, y + k * ny AS y, x + k * nx AS x FROM p, (SELECT unnest([-1, 0, 1]) AS k)), f AS (SELECT s, k, y, x, y - floor(y) AS fy, x - floor(x) AS fx FROM k, sz WHERE y >= 0 AND x >= 0 AND y <= h AND x <= w),
+ taps AS (SELECT s, k, floor(y) + j AS ty, floor(x) + i AS tx, ({_WEIGHT.format(j="j", t="fy")}) * ({_WEIGHT.format(j="i", t="fx")}) AS wt FROM f, (SELECT unnest([-1, 0, 1, 2]) AS i), (SELECT unnest([-1, 0, 1, 2]) AS j)),
+ inside AS (SELECT s, k, wt, h - abs(h - (ty + 2 * h) % (2 * h)) AS y, w - abs(w - (tx + 2 * w) % (2 * w)) AS x FROM taps, sz),
+ e AS (SELECT frame, s, k, sum(v * wt) AS v FROM cy JOIN inside USING (y, x) GROUP BY ALL) SELECT frame, cast(s AS INTEGER) AS s, {q6('avg(v)')} AS v FROM e GROUP BY frame, s""")
+def kymograph_cubic(spark, d):
+    """Along a line that leaves the image at both ends, by cubic splines."""
+    m = movie(spark, d).where("y < 12")
+    top = m.agg(F.max("y").alias("h"), F.max("x").alias("w")).first()
+    line = spark.createDataFrame(mv.along_line([(-1.37, 3.1), (top["h"] + 1.21, top["w"] - 3.1)], 31), "s int, y double, x double, ny double, nx double")
+    return mv.cubic_kymograph(m, line, 1).select("frame", "s", r6("v").alias("v"))
+
+
+@query(f"""WITH {MOVIE} SELECT DISTINCT frame, cast(frame * 3 % 7 - 3 AS DOUBLE) AS dy, cast(frame * 5 % 9 - 4 AS DOUBLE) AS dx FROM m""")
+def planted_motion(spark, d):
+    """The first frame's image, moved round by known shifts, against itself: the shifts come back."""
+    m = movie(spark, d)
+    top = m.agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w")).first()
+    first = m.where("frame = 0")
+    y, x = F.col("y") + F.col("frame") * 3 % 7 - 3, F.col("x") + F.col("frame") * 5 % 9 - 4
+    copies = first.drop("frame").join(m.select("recording", "frame").distinct(), "recording")
+    copies = copies.withColumns({"y": F.pmod(y, F.lit(top["h"])), "x": F.pmod(x, F.lit(top["w"]))})
+    out = mv.rigid_motion(copies, first, rotate=False)
+    return out.select("frame", (F.round("dy", 1) + 0.0).alias("dy"), (F.round("dx", 1) + 0.0).alias("dx"))
+
+
 @query(f"""WITH {MOVIE}, s AS (SELECT frame, y, x, (SELECT 1) FROM m) SELECT m.frame, m.y, m.x, cast(floor(round(0.5 * coalesce(a.v, 0) + 0.5 * coalesce(b.v, 0), 6)) AS INTEGER) AS v
  FROM m LEFT JOIN m a ON a.frame = m.frame AND a.y = m.y + 1 AND a.x = m.x LEFT JOIN m b ON b.frame = m.frame AND b.y = m.y + 1 AND b.x = m.x + 1""")
 def warped_frames(spark, d):

@@ -11,7 +11,9 @@ turns frames into pixel rows. Files must be in a folder that executors can open.
 
 from __future__ import annotations
 
+import os
 import struct
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -19,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 SCHEMA = "frame int, h int, w int, data array<int>"
 #: Frames of one partition.
@@ -158,11 +160,96 @@ class _PushedTiff(_Pushed, _TiffReader):
     pass
 
 
+class Part(WriterCommitMessage):
+    """What a task has written: how many frames, the first, the last and the sum of their numbers."""
+
+    def __init__(self, n: int, first: int, last: int, total: int):
+        self.n, self.first, self.last, self.total = n, first, last, total
+
+
+class _Writer(DataSourceWriter):
+    """Frames written by tasks at their places in one file that has another name until all are there.
+
+    The place of a frame follows from its number and the size of a frame (options width and height), so tasks don't wait for each
+    other, a task that runs again writes the same bytes, and the driver sees only counts. The file must lie in a folder that all
+    executors share. Frames are numbered from 0 without gaps; else, or if a task fails, nothing is left.
+    """
+
+    head = 0
+
+    def __init__(self, options: dict, overwrite: bool):
+        self.path, self.width, self.height = options["path"], int(options["width"]), int(options["height"])
+        if not overwrite and Path(self.path).exists():
+            raise FileExistsError(self.path)
+        self.part = f"{self.path}.{uuid.uuid4().hex}.part"
+        self.size = 2 * self.width * self.height
+
+    def block(self, frame: int, data: bytes) -> bytes:
+        return data
+
+    def write(self, rows) -> Part:
+        n, first, last, total = 0, 1 << 62, -1, 0
+        Path(self.part).parent.mkdir(parents=True, exist_ok=True)
+        file = os.open(self.part, os.O_RDWR | os.O_CREAT, 0o644)
+        try:
+            for r in rows:
+                if (r["h"], r["w"]) != (self.height, self.width) or len(r["data"]) != self.width * self.height:
+                    raise ValueError(f"frame {r['frame']} is {r['h']} x {r['w']}, not {self.height} x {self.width}")
+                block = self.block(r["frame"], np.asarray(r["data"], np.int64).astype("<u2").tobytes())
+                os.pwrite(file, block, self.head + r["frame"] * len(block))
+                n, first, last, total = n + 1, min(first, r["frame"]), max(last, r["frame"]), total + r["frame"]
+        finally:
+            os.close(file)
+        return Part(n, first, last, total)
+
+    def finish(self, file: int, n: int) -> None:
+        """What is only known when all frames are there."""
+
+    def commit(self, messages) -> None:
+        done = [m for m in messages if m is not None]
+        n = sum(m.n for m in done)
+        if n and (min(m.first for m in done if m.n) != 0 or max(m.last for m in done) != n - 1 or sum(m.total for m in done) != n * (n - 1) // 2):
+            self.abort(messages)
+            raise ValueError(f"the frames are not numbered from 0 to {n - 1}")
+        file = os.open(self.part, os.O_RDWR | os.O_CREAT, 0o644)
+        try:
+            self.finish(file, n)
+        finally:
+            os.close(file)
+        os.replace(self.part, self.path)
+
+    def abort(self, messages) -> None:
+        Path(self.part).unlink(missing_ok=True)
+
+
+class _TiffWriter(_Writer):
+    """BigTIFF: before each frame its table of tags, so that blocks have one size; the last table ends the list when all are there."""
+
+    head = 16
+    TAGS = 9
+
+    def block(self, frame: int, data: bytes) -> bytes:
+        table = 8 + self.TAGS * 20 + 8
+        at = self.head + frame * (table + len(data))
+        tags = [(256, self.width), (257, self.height), (258, 16), (259, 1), (262, 1), (273, at + table), (277, 1), (278, self.height), (279, len(data))]
+        out = struct.pack("<Q", len(tags)) + b"".join(struct.pack("<HHQQ", t, 16, 1, v) for t, v in tags)
+        return out + struct.pack("<Q", at + table + len(data)) + data
+
+    def finish(self, file: int, n: int) -> None:
+        table = 8 + self.TAGS * 20 + 8
+        os.pwrite(file, struct.pack("<2sHHHQ", b"II", 43, 8, 0, 16 if n else 0), 0)
+        if n:
+            os.pwrite(file, struct.pack("<Q", 0), self.head + (n - 1) * (table + self.size) + table - 8)
+
+
 class RawMovie(DataSource):
     @classmethod
     def name(cls) -> str:
         return "raw_movie"
 
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _Writer(dict(self.options), overwrite)
+
     def schema(self) -> str:
         return SCHEMA
 
@@ -175,6 +262,9 @@ class TiffMovie(RawMovie):
     def name(cls) -> str:
         return "tiff_movie"
 
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _TiffWriter(dict(self.options), overwrite)
+
     def reader(self, schema) -> DataSourceReader:
         return (_PushedTiff if self.options.get("pushdown") == "true" else _TiffReader)(dict(self.options))
 
@@ -185,6 +275,21 @@ def pixels(frames: DataFrame, recording: str) -> DataFrame:
     return out.select("recording", "frame", F.expr("_i div w").alias("y"), (F.col("_i") % F.col("w")).alias("x"), "v")
 
 
+def frames_of(pixels: DataFrame) -> DataFrame:
+    """Rows (frame, h, w, data) of one recording's pixels (frame, y, x, v), 0 where a pixel is absent: what the sinks take."""
+    size = pixels.agg((F.max("y") + 1).cast("int").alias("h"), (F.max("x") + 1).cast("int").alias("w")).first()
+    h, w = size["h"] or 1, size["w"] or 1
+    lists = pixels.groupBy("frame").agg(F.map_from_entries(F.collect_list(F.struct((F.col("y") * w + F.col("x")).cast("int"), F.col("v").cast("int")))).alias("_v"))
+    data = F.transform(F.sequence(F.lit(0), F.lit(h * w - 1)), lambda i: F.coalesce(F.try_element_at("_v", i), F.lit(0)))
+    return lists.select(F.col("frame").cast("int").alias("frame"), F.lit(h).alias("h"), F.lit(w).alias("w"), data.alias("data"))
+
+
+def write_movie(frames: DataFrame, path: str, kind: str, *, width: int, height: int, overwrite: bool = True) -> None:
+    """Writes rows (frame, h, w, data) as one raw or BigTIFF file (kind raw_movie or tiff_movie) from the tasks that hold them."""
+    frames.sparkSession.dataSource.register(TiffMovie if kind == "tiff_movie" else RawMovie)
+    frames.select("frame", "h", "w", "data").write.format(kind).options(path=path, width=width, height=height).mode("overwrite" if overwrite else "append").save()
+
+
 def write_raw(frames: np.ndarray, path: str) -> None:
     frames.astype("<u2").tofile(path)
 
