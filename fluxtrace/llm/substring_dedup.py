@@ -18,7 +18,8 @@ minimiser, so a batch is shuffled to where they lie and history never moves:
 Stretches are equal if minimiser and fingerprint are, windows if two fingerprints are: 128 bits each time, over 64-bit
 hashes of the words. That is the verification; texts of different documents are not brought together to compare words.
 
-Each batch leaves a new sorted run of what it first saw; two runs are compacted into one. An index that the caller passes
+Each batch leaves a new sorted run of what it first saw. Runs have levels: so many of one level are compacted into one of
+the next, so a row is written again once a level, and levels grow with the logarithm of the batches. An index that the caller passes
 also keeps the compressed texts of every batch, which is less than their windows' fingerprints: undecided stretches of
 earlier calls are compared window by window from them. It lives in a folder and can be opened again. The last batch of a
 call with an index of its own, which no batch follows, leaves no run.
@@ -55,7 +56,7 @@ from .common import ODD, WordHashes, as_bytes, batches, mixed, pieces, plain, pl
 WIDTH, GRAM = 13, 5
 #: Shares of the documents in the batches of one call: small ones first, which also exercises the compaction.
 BATCHES = (0.1, 0.1, 0.8)
-#: So many runs are compacted into one.
+#: So many runs of one level are compacted into one of the next.
 FAN_IN = 2
 #: Text in fewer documents of the sample is never hot.
 LEAST_HOT = 8
@@ -171,9 +172,10 @@ def frequent(docs: DataFrame, *, one_in: int, rows_share: float, most: int) -> H
 class FingerprintIndex:
     """Sorted immutable runs of (k, s, doc), doc the smallest document with that stretch, and the compressed texts behind
     them, in a folder. Each change writes a new generation of the list of parts; `FingerprintIndex(spark, folder)` opens
-    the last one."""
+    the last one. `close` takes its tables out of the session's catalog, `vacuum` deletes files of parts that compaction has replaced."""
 
-    def __init__(self, spark: SparkSession, folder: str | None = None):
+    def __init__(self, spark: SparkSession, folder: str | None = None, *, fan_in: int = FAN_IN):
+        self.fan_in, self.tables = fan_in, []
         self.spark, self.folder = spark, folder or f"{scratch(spark)}/index-{uuid.uuid4().hex}"
         self.runs: list[DataFrame] = []
         self.texts: list[DataFrame] = []
@@ -203,13 +205,16 @@ class FingerprintIndex:
     def _table(self, path: str) -> DataFrame:
         """A run as a bucketed table, which Spark reads without a shuffle."""
         name = "fluxtrace_run_" + path.rsplit("-", 1)[1]
+        self.tables.append(name)
         if not self.spark.catalog.tableExists(name):
             self.spark.sql(f"CREATE TABLE {name} (k BIGINT, s BIGINT, doc BIGINT) USING parquet CLUSTERED BY (k) SORTED BY (k, s) INTO {self.buckets} BUCKETS LOCATION '{path}/run=1'")
         return self.spark.table(name)
 
-    def _write(self, rows: DataFrame) -> str:
-        """Rows that are dealt by k into the index's buckets, as sorted bucketed files: those of the run in a folder of their own."""
-        path = f"{self.folder}/run-{uuid.uuid4().hex}"
+    def _write(self, rows: DataFrame, level: int = 0) -> str:
+        """Rows that are dealt by k into the index's buckets, as sorted bucketed files: those of the run in a folder of their own, whose
+        name begins with its level."""
+        path = f"{self.folder}/run-{level}-{uuid.uuid4().hex}"
+        self.tables.append("fluxtrace_batch_" + path.rsplit("-", 1)[1])
         writer = rows.write.format("parquet").option("compression", "zstd").option("path", path)
         writer.partitionBy("run").bucketBy(self.buckets, "k").sortBy("k", "s").saveAsTable("fluxtrace_batch_" + path.rsplit("-", 1)[1])
         return path
@@ -238,8 +243,7 @@ class FingerprintIndex:
         kept = self.spark.read.schema("k long, s long, doc long, whole boolean, open boolean").parquet(path)
         self.parts["run"].append(path)
         self.runs.append(self._table(path))
-        if len(self.runs) >= FAN_IN:
-            self.compact()
+        self.compact()
         self.save()
         return kept.where("whole or open").select("doc", "s", "whole")
 
@@ -251,13 +255,40 @@ class FingerprintIndex:
         self.texts.append(self.spark.read.schema(packed.schema).parquet(path))
         self.save()
 
+    def levels(self) -> list[int]:
+        """The level of each run."""
+        return [int(p.rsplit("/", 1)[1].split("-")[1]) if p.rsplit("/", 1)[1].count("-") > 1 else 0 for p in self.parts["run"]]
+
     def compact(self) -> None:
-        """Merges all runs into one sorted run; their buckets fit, so nothing is shuffled."""
-        merged = reduce(DataFrame.unionByName, self.runs).groupBy("k", "s").agg(F.min("doc").alias("doc"))
-        self._replace_runs(merged)
+        """Merges runs of one level into a sorted run of the next, wherever there are `fan_in` of them; their buckets fit, so nothing is
+        shuffled, and runs of other levels are not read."""
+        while full := [n for n in sorted(set(self.levels())) if self.levels().count(n) >= self.fan_in]:
+            at = {i for i, n in enumerate(self.levels()) if n == full[0]}
+            merged = reduce(DataFrame.unionByName, [self.runs[i] for i in at]).groupBy("k", "s").agg(F.min("doc").alias("doc"))
+            path = self._write(merged.withColumn("run", F.lit(1)), full[0] + 1)
+            rest = [i for i in range(len(self.runs)) if i not in at]
+            self.parts["run"], self.runs = [*(self.parts["run"][i] for i in rest), path], [*(self.runs[i] for i in rest), self._table(path)]
+
+    def close(self) -> None:
+        """Takes the index's tables out of the session's catalog; files stay, and the index can be opened again."""
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.tables, self.runs = [], []
+
+    def vacuum(self) -> list[str]:
+        """Deletes the files of runs that compaction has replaced, and returns their folders. Only when no result of an earlier call is
+        still to be read: results of a call read what its batches left."""
+        jvm = self.spark._jvm
+        top = jvm.org.apache.hadoop.fs.Path(self.folder)
+        system = top.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        kept = {p.rsplit("/", 1)[1] for p in self.parts["run"]}
+        gone = [f.getPath() for f in system.listStatus(top) if f.getPath().getName().startswith("run-") and f.getPath().getName() not in kept]
+        for path in gone:
+            system.delete(path, True)
+        return [path.getName() for path in gone]
 
     def _replace_runs(self, rows: DataFrame) -> None:
-        path = self._write(rows.withColumn("run", F.lit(1)))
+        path = self._write(rows.withColumn("run", F.lit(1)), max(self.levels(), default=0))
         self.parts["run"], self.runs = [path], [self._table(path)]
 
     def heat(self, docs: DataFrame, **limits) -> None:
@@ -415,4 +446,6 @@ def remove_repeats(
     hot = _hot_firsts(reduce(DataFrame.unionByName, [m.select("s", "doc") for m in found] + earlier), index.hot)
     single = _judge_windows(reduce(DataFrame.unionByName, history, packed), marks.where("not whole"))
     out = _rewrite(packed, marks.where("whole"), single, hot, texts)
+    if not passed:
+        index.close()  # what is left to read is read by path
     return out if texts else out.drop("kept")

@@ -339,6 +339,32 @@ def mosaic(n, seed, low=13, high=21):
     return [(k, " ".join(fresh() + rng.choice(passages) + fresh() + rng.choice(passages)[rng.randrange(3) :] + fresh())) for k in range(n)]
 
 
+def test_runs_have_levels_and_nothing_is_left_behind(spark):
+    """Ten batches of one index: runs of a level are merged four at a time, history of higher levels is not written again, results see all
+    batches, replaced runs can be deleted, and the catalog holds no table of the index afterwards."""
+    ours = lambda: {t.name for t in spark.catalog.listTables() if t.name.startswith("fluxtrace_")}
+    before, rows = ours(), mosaic(50, 21)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index, levels, got = substring_dedup.FingerprintIndex(spark, fan_in=4), [], {}
+    for k in range(10):
+        part = docs.where((F.col("doc_id") >= 5 * k) & (F.col("doc_id") < 5 * k + 5))
+        out = substring_dedup.remove_repeats(part, index=index, batch_shares=(1.0,), one_in=10**9)
+        got |= {r["doc_id"]: r for r in out.collect()}
+        levels.append(sorted(index.levels()))
+    check_repeats(rows, got)
+    assert levels[:5] == [[0], [0, 0], [0, 0, 0], [1], [0, 1]] and levels[-1] == [0, 0, 1, 1]
+    assert len(index.vacuum()) == 8 and index.vacuum() == []
+    index.close()
+    assert ours() == before
+    again = substring_dedup.FingerprintIndex(spark, index.folder)
+    more = spark.createDataFrame([(1000 + k, t) for k, t in rows], "doc_id long, text string")
+    out = {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeats(more, index=again, batch_shares=(1.0,)).collect()}
+    assert all(out[1000 + k] == len(t.split()) for k, t in rows)
+    again.close()
+    substring_dedup.remove_repeats(docs).count()
+    assert ours() == before
+
+
 @pytest.mark.parametrize("one_in", [10**9, 1])
 @pytest.mark.parametrize("shares", [(1.0,), (0.1, 0.1, 0.8)])
 def test_calls_with_one_index_see_all_before(spark, shares, one_in):
