@@ -1,12 +1,14 @@
-"""Many recordings one after another: what is done is skipped, what fails is written down and does not stop the rest.
+"""Many recordings, some at a time: what is done is skipped, what fails is written down and does not stop the rest.
 
-Each recording is a Spark job of its own; the driver only starts it and keeps a row about it (see SCHEMAS["result"]).
+Each recording is a Spark job of its own; threads of the driver only start them, `jobs` side by side, so that the tail of one does
+not leave executors idle. The log has a row about each (see SCHEMAS["result"]), written by one thread as they end.
 """
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor, as_completed
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,20 +28,26 @@ def pending(recordings: DataFrame, done: DataFrame) -> DataFrame:
     return recordings.join(done.where("success").select("output_path").distinct(), "output_path", "left_anti").select("input_path", "output_path")
 
 
-def run_all(recordings: DataFrame, step: Callable[[SparkSession, str, str], int], log_path: str, *, override: bool = False) -> DataFrame:
+def run_all(recordings: DataFrame, step: Callable[[SparkSession, str, str], int], log_path: str, *, override: bool = False, jobs: int = 1) -> DataFrame:
     """Runs step(spark, input_path, output_path), which returns the number of frames, for every recording not done yet (all
-    with override). Returns the rows of this run."""
+    with override), `jobs` of them at a time. Returns the rows of this run."""
     spark = recordings.sparkSession
     todo = recordings.select("input_path", "output_path") if override else pending(recordings, log(spark, log_path))
     rows = []
-    for r in todo.orderBy("input_path").collect():  # one row a file
+
+    def run(source: str, target: str) -> tuple:
         began, frames, error = time.perf_counter(), None, None
         try:
-            frames = step(spark, r["input_path"], r["output_path"])
+            frames = step(spark, source, target)
         except Exception as e:  # noqa: BLE001
             error = f"{type(e).__name__}: {e}"
-        rows.append((r["input_path"], r["output_path"], error is None, error, frames, time.perf_counter() - began))
-        spark.createDataFrame(rows[-1:], SCHEMAS["result"]).coalesce(1).write.mode("append").parquet(log_path)
+        return source, target, error is None, error, frames, time.perf_counter() - began
+
+    with ThreadPoolExecutor(jobs) as pool:
+        started = [pool.submit(run, r["input_path"], r["output_path"]) for r in todo.orderBy("input_path").collect()]  # one row a file
+        for one in as_completed(started):
+            rows.append(one.result())
+            spark.createDataFrame(rows[-1:], SCHEMAS["result"]).coalesce(1).write.mode("append").parquet(log_path)
     return spark.createDataFrame(rows, SCHEMAS["result"])
 
 

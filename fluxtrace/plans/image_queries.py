@@ -381,14 +381,15 @@ def kymograph_cubic(spark, d):
 
 @query(f"""WITH {MOVIE} SELECT DISTINCT frame, cast(frame * 3 % 7 - 3 AS DOUBLE) AS dy, cast(frame * 5 % 9 - 4 AS DOUBLE) AS dx FROM m""")
 def planted_motion(spark, d):
-    """The first frame's image, moved round by known shifts, against itself: the shifts come back."""
+    """The first frame's image on a dark canvas, moved by known shifts, against itself unmoved: the shifts come back."""
     m = movie(spark, d)
-    top = m.agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w")).first()
-    first = m.where("frame = 0")
+    top = m.agg((F.max("y") + 32).alias("h"), (F.max("x") + 32).alias("w")).first()
+    corner = spark.createDataFrame([(1, top["h"], top["w"], 0)], "recording int, y int, x int, v int")
+    first = m.where("frame = 0").select("recording", (F.col("y") + 16).alias("y"), (F.col("x") + 16).alias("x"), "v")
     y, x = F.col("y") + F.col("frame") * 3 % 7 - 3, F.col("x") + F.col("frame") * 5 % 9 - 4
-    copies = first.drop("frame").join(m.select("recording", "frame").distinct(), "recording")
-    copies = copies.withColumns({"y": F.pmod(y, F.lit(top["h"])), "x": F.pmod(x, F.lit(top["w"]))})
-    out = mv.rigid_motion(copies, first, rotate=False)
+    frames = m.select("recording", "frame").distinct()
+    copies = first.join(frames, "recording").withColumns({"y": y, "x": x}).unionByName(corner.join(frames, "recording"))
+    out = mv.rigid_motion(copies, first.unionByName(corner), rotate=False)
     return out.select("frame", (F.round("dy", 1) + 0.0).alias("dy"), (F.round("dx", 1) + 0.0).alias("dx"))
 
 

@@ -128,3 +128,21 @@ def test_chunks_replace_themselves(spark, tmp_path):
     batch.write_provenance(t.withColumn("recording", F.lit("b")), {"bin": 4}, f"{tmp_path}/p")
     assert {(r["recording"], r["name"]): r["value"] for r in spark.read.parquet(f"{tmp_path}/p/parameters").collect()} == {("a", "bin"): "3", ("a", "kind"): "rigid", ("b", "bin"): "4"}
     assert spark.read.parquet(f"{tmp_path}/p/transforms").count() == 2
+
+
+def test_recordings_side_by_side(spark, tmp_path):
+    """Three at a time: each waits until all three have begun, which only works side by side; failures stop nothing."""
+    import threading
+
+    recordings = spark.createDataFrame([(f"in{i}", f"out{i}") for i in range(6)], "input_path string, output_path string")
+    together = threading.Barrier(3, timeout=60)
+
+    def step(session, source, target):
+        together.wait()
+        if source == "in4":
+            raise ValueError("broken")
+        return session.range(int(source[-1]) + 1).count()
+
+    got = {r["input_path"]: r for r in batch.run_all(recordings, step, f"{tmp_path}/log", jobs=3).collect()}
+    assert {k: r["n_frames"] for k, r in got.items()} == {f"in{i}": None if i == 4 else i + 1 for i in range(6)}
+    assert batch.log(spark, f"{tmp_path}/log").count() == 6 and not got["in4"]["success"]
