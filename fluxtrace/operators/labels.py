@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_left
+from . import outlines
 from .nearest import nearest_by_tiles
 from .volumes import SIDE
 from .volumes import components as tiled_components
@@ -144,28 +145,39 @@ def nearest(points: DataFrame, targets: DataFrame, *, recording=REC, settle=None
     return nearest_by_tiles(settle(p), settle(t), group=[recording], settle=settle).select(recording, "label", "target", "distance")
 
 
-def bouton_classes(points: DataFrame, cells: DataFrame, *, cutoff: float = 75, close: float = 10, recording=REC, settle=None) -> DataFrame:
+def bouton_classes(points: DataFrame, cells: DataFrame, *, cutoff: float = 75, close: float = 10, labels: DataFrame | None = None, recording=REC, settle=None) -> DataFrame:
     """recording, label, class: 1 and 2 for boutons left (modiolar) and right of the row of cells, 5 close to its line, 3 and 4
-    for fibres, which are farther than `cutoff` from all cells. The line runs from the first cell's centroid to the last's."""
+    for fibres, which are farther than `cutoff` from all cells. The line runs from the first cell's centroid to the last's. With
+    `labels`, the boutons' pixels, closeness is their outlines' to the piece of line between the two; else their centroids' to the whole line."""
     ends = cells.groupBy(recording).agg(F.min_by(F.struct("cy", "cx"), "label").alias("_a"), F.max_by(F.struct("cy", "cx"), "label").alias("_b"))
     out = nearest(points, cells, recording=recording, settle=settle).join(points.select(recording, "label", "cy", "cx"), [recording, "label"]).join(ends, recording)
     ay, ax, by_, bx = (F.col(c) for c in ("_a.cy", "_a.cx", "_b.cy", "_b.cx"))
     left = is_left(ax, ay, bx, by_, F.col("cx"), F.col("cy"))
     off = F.abs((bx - ax) * (F.col("cy") - ay) - (by_ - ay) * (F.col("cx") - ax)) / F.nullif(F.hypot(bx - ax, by_ - ay), F.lit(0.0))
+    if labels is not None:
+        lines = ends.select(recording, *[F.col(f"_{e}.{c}").alias(f"{e}{c[1]}") for e in "ab" for c in ("cy", "cx")])
+        out = out.join(outlines.line_distances(labels, lines, recording=recording).withColumnRenamed("distance", "_off"), [recording, "label"])
+        off = F.col("_off")
     near = F.when(off < close, 5).when(left, 1).otherwise(2)
     return out.select(recording, "label", F.when(F.col("distance") < cutoff, near).when(left, 3).otherwise(4).alias("class"))
 
 
-def overlap_assignment(points: DataFrame, cells: DataFrame, *, annotation: DataFrame | None = None, reach: int = 3, missing: int = 666, recording=REC) -> DataFrame:
+def overlap_assignment(points: DataFrame, cells: DataFrame, *, annotation: DataFrame | None = None, reach: int = 3, missing: int = 666, shapes: str = "pixels", recording=REC) -> DataFrame:
     """recording, label, cell: the cell with the largest overlap, else the last one with a pixel nearer than `reach`, else none (0).
     By the median of an annotation on all pixels of the label, 0 where there is none (without one all are of type 1), types 1 and 2 without a cell get `missing`, and
-    type 5 always does. Nearness is an equi-join of shifted pixels, not a comparison of all."""
+    type 5 always does. Overlap and nearness are the labels' pixels' or, with shapes="outline", those of their outlines; nearness is
+    an equi-join of shifted pixels or of tiles, not a comparison of all."""
     c = cells.select(recording, "y", "x", F.col("label").alias("cell"))
-    over = points.join(c, [recording, "y", "x"]).groupBy(recording, "label", "cell").count()
+    if shapes == "outline":
+        over = outlines.overlaps(points, cells, recording=recording).select(recording, "label", F.col("other").alias("cell"), F.col("area").alias("count"))
+    else:
+        over = points.join(c, [recording, "y", "x"]).groupBy(recording, "label", "cell").count()
     best = over.groupBy(recording, "label").agg(F.max_by("cell", F.struct("count", -F.col("cell"))).alias("_over"))
     steps = F.array(*[F.lit(i) for i in range(-reach, reach + 1)])
     disc = points.withColumn("_dy", F.explode(steps)).withColumn("_dx", F.explode(steps)).where(F.col("_dy") * F.col("_dy") + F.col("_dx") * F.col("_dx") < reach * reach)
     close = disc.select(recording, "label", (F.col("y") + F.col("_dy")).alias("y"), (F.col("x") + F.col("_dx")).alias("x")).join(c, [recording, "y", "x"])
+    if shapes == "outline":
+        close = outlines.distances(points, cells, reach, recording=recording).withColumnRenamed("other", "cell")
     close = close.groupBy(recording, "label").agg(F.max("cell").alias("_close"))
     kinds = points.select(recording, "label", F.lit(1.0).alias("_kind")).distinct() if annotation is None else annotation_median(points, annotation, zeros=True, recording=recording, name="_kind")
     out = kinds.join(best, [recording, "label"], "left").join(close, [recording, "label"], "left")
@@ -197,7 +209,7 @@ def stacked_images(labels: DataFrame, sizes: DataFrame, *, group: str, sequence:
 
 
 def polygon_pairs(shapes: DataFrame, *, recording=REC) -> DataFrame:
-    """Shapes 2j and 2j + 1 as one event, if their boxes meet and their types differ. shapes: (recording, index, kind, y, x) vertices."""
+    """Shapes 2j and 2j + 1 as one event, if their boxes meet and their types differ (`outlines.shape_pairs` compares the polygons). shapes: (recording, index, kind, y, x) vertices."""
     box = shapes.groupBy(recording, "index").agg(F.first("kind").alias("kind"), *[f(c).alias(f"{c}{n}") for c in ("y", "x") for f, n in ((F.min, 0), (F.max, 1))])
     out = box.withColumn("_k", F.row_number().over(W.partitionBy(recording).orderBy("index")) - 1)
     a, b = out.where("_k % 2 = 0").withColumn("event", F.expr("_k div 2")), out.where("_k % 2 = 1").withColumn("event", F.expr("_k div 2"))

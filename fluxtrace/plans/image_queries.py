@@ -136,7 +136,7 @@ def shifted_labels(spark, d):
 _POINTS = """c AS (SELECT label, avg(y) AS cy, avg(x) AS cx FROM l GROUP BY label), b AS (SELECT label, cy, cx FROM c WHERE label % 2 = 0), h AS (SELECT label, cy, cx FROM c WHERE label % 2 = 1)"""
 
 
-def _points(spark, d):
+def points_and_cells(spark, d):
     c = lb.properties(regions(spark, d)).select("recording", "label", "cy", "cx")
     return c.where("label % 2 = 0"), c.where("label % 2 = 1")
 
@@ -146,7 +146,7 @@ _NEAR = f"{_POINTS}, e AS (SELECT b.label, h.label AS target, sqrt(pow(b.cy - h.
 
 @query(f"WITH {REGIONS}, {_NEAR} SELECT label, target, {q6('distance')} AS distance FROM nr")
 def nearest_assignment(spark, d):
-    points, cells = _points(spark, d)
+    points, cells = points_and_cells(spark, d)
     return lb.nearest(points, cells, settle=settle).select("label", "target", r6("distance").alias("distance"))
 
 
@@ -154,7 +154,7 @@ def nearest_assignment(spark, d):
  g AS (SELECT b.label, distance, (z.cx - a.cx) * (b.cy - a.cy) - (z.cy - a.cy) * (b.cx - a.cx) AS side, sqrt(pow(z.cx - a.cx, 2) + pow(z.cy - a.cy, 2)) AS len FROM b JOIN nr ON b.label = nr.label, a, z)
  SELECT label, CASE WHEN distance < 8.3 THEN CASE WHEN abs(side) / len < 4 THEN 5 WHEN side > 0 THEN 1 ELSE 2 END WHEN side > 0 THEN 3 ELSE 4 END AS class FROM g""")
 def bouton_classes(spark, d):
-    points, cells = _points(spark, d)
+    points, cells = points_and_cells(spark, d)
     return lb.bouton_classes(points, cells, cutoff=8.3, close=4, settle=settle).select("label", "class")
 
 
