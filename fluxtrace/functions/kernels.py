@@ -92,12 +92,16 @@ def _settled(b: np.ndarray, a: np.ndarray) -> np.ndarray:
 
 
 def _run(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
-    y = np.empty(len(x))
-    z = state.copy()
-    for i, v in enumerate(x):
-        y[i] = b[0] * v + z[0]
-        z = np.r_[z[1:], 0.0] + b[1:] * v - a[1:] * y[i]
-    return y
+    """The recursion in plain floats. Blocks of it by matrix powers lose all digits at low cutoffs, whose poles lie next to one another."""
+    (b0, *bs), (_, *rest) = b.tolist(), a.tolist()
+    z, y = [*state.tolist(), 0.0], []
+    terms = list(zip(range(1, len(z)), bs, rest, strict=True))
+    for v in x.tolist():
+        w = b0 * v + z[0]
+        z = [z[i] + c * v - d * w for i, c, d in terms]
+        z.append(0.0)
+        y.append(w)
+    return np.array(y)
 
 
 def zero_phase(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:

@@ -9,7 +9,7 @@ from ..operators import labels as lb
 from ..operators import movie as mv
 from .registry import MOVIE, REGIONS, TRACES, WAVES, movie, q6, query, r6, regions, table, traces, waves
 from .storage import settle
-from .trace_queries import _SAVGOL
+from .trace_queries import SAVGOL
 
 KEYS = ["recording", "frame", "y", "x"]
 
@@ -419,9 +419,9 @@ def pixel_rolling_corr(spark, d):
     return co.pixel_rolling(m, 6).select("roi", "frame", r6("r").alias("r"))
 
 
-@query(f"""WITH {MOVIE}, {_GRID.format(n=4)}, bt AS (SELECT roi AS cell, frame, avg(m.v) AS mean, stddev_pop(m.v) AS sd FROM m JOIN b ON y >= y0 AND y < y1 AND x >= x0 AND x < x1 GROUP BY ALL), {_SAVGOL.format(src='bt', v='mean', w=3, h=1)},
+@query(f"""WITH {MOVIE}, {_GRID.format(n=4)}, bt AS (SELECT roi AS cell, frame, avg(m.v) AS mean, stddev_pop(m.v) AS sd FROM m JOIN b ON y >= y0 AND y < y1 AND x >= x0 AND x < x1 GROUP BY ALL), {SAVGOL.format(src='bt', v='mean', w=3, h=1)},
  wt AS (SELECT cell, frame, y, 1.0 - 0.5 * frame / (count(*) OVER (PARTITION BY cell) - 1) AS w FROM sm), mn AS (SELECT cell, sum(w * y) / sum(w) AS m FROM wt GROUP BY cell), sc AS (SELECT wt.cell, sqrt(sum(w * (y - m) * (y - m)) / sum(w)) AS score FROM wt JOIN mn ON wt.cell = mn.cell GROUP BY wt.cell),
- best AS (SELECT arg_max(cell, (round(score, 9), -cell)) AS cell FROM sc), bs AS (SELECT cell, frame, sd FROM bt), {_SAVGOL.format(src='bs', v='sd', w=3, h=1).replace('s AS (', 's2 AS (', 1).replace('FROM s ', 'FROM s2 s ').replace('ea AS', 'ea2 AS').replace('eb AS', 'eb2 AS').replace('JOIN ea ON', 'JOIN ea2 ea ON').replace('JOIN eb ON', 'JOIN eb2 eb ON').replace('sm AS', 'sn AS')}
+ best AS (SELECT arg_max(cell, (round(score, 9), -cell)) AS cell FROM sc), bs AS (SELECT cell, frame, sd FROM bt), {SAVGOL.format(src='bs', v='sd', w=3, h=1).replace('s AS (', 's2 AS (', 1).replace('FROM s ', 'FROM s2 s ').replace('ea AS', 'ea2 AS').replace('eb AS', 'eb2 AS').replace('JOIN ea ON', 'JOIN ea2 ea ON').replace('JOIN eb ON', 'JOIN eb2 eb ON').replace('sm AS', 'sn AS')}
  SELECT 1 AS recording, sm.frame + 1 AS slice, sm.frame, {q6('sm.y')} AS mean, {q6('sn.y')} AS sd FROM sm JOIN best ON sm.cell = best.cell JOIN sn ON sn.cell = sm.cell AND sn.frame = sm.frame""")
 def reference_plan(spark, d):
     from .reference import reference_traces

@@ -65,7 +65,7 @@ def fill_held_frames(spark, d):
     return tr.fill_held(held(spark, d), recording="recording").select("cell", "frame", r6("filled").alias("filled"))
 
 
-_MAD = f"""h2 AS (SELECT *, abs(f - lag(f) OVER (PARTITION BY cell ORDER BY frame)) <= 1e-12 AS s FROM h),
+MAD = f"""h2 AS (SELECT *, abs(f - lag(f) OVER (PARTITION BY cell ORDER BY frame)) <= 1e-12 AS s FROM h),
  u AS (SELECT *, coalesce(s, false) OR coalesce(lead(s) OVER (PARTITION BY cell ORDER BY frame), false) AS bad FROM h2),
  n AS (SELECT *, count(*) FILTER (WHERE NOT bad) OVER (PARTITION BY cell) AS good FROM u),
  x AS (SELECT *, CASE WHEN good >= 3 THEN NOT bad ELSE true END AS safe FROM n),
@@ -73,26 +73,26 @@ _MAD = f"""h2 AS (SELECT *, abs(f - lag(f) OVER (PARTITION BY cell ORDER BY fram
  a AS (SELECT x.cell, any_value(med) AS med, any_value(sd) AS sd, 1.4826 * median(abs(f - med)) AS mad FROM x JOIN m ON x.cell = m.cell WHERE safe GROUP BY x.cell)"""
 
 
-@query(f"WITH {HELD}, {_MAD} SELECT x.cell, frame, {q6('CASE WHEN safe THEN (f - med) / (CASE WHEN mad < 1e-10 THEN sd + 1e-10 ELSE mad END) ELSE 0.0 END')} AS z, safe FROM x JOIN a ON x.cell = a.cell")
+@query(f"WITH {HELD}, {MAD} SELECT x.cell, frame, {q6('CASE WHEN safe THEN (f - med) / (CASE WHEN mad < 1e-10 THEN sd + 1e-10 ELSE mad END) ELSE 0.0 END')} AS z, safe FROM x JOIN a ON x.cell = a.cell")
 def mad_zscore(spark, d):
     return tr.mad_zscore(held(spark, d)).select("cell", "frame", r6("z").alias("z"), "safe")
 
 
-_SAVGOL = """s AS (SELECT *, count(*) OVER (PARTITION BY cell) AS n FROM {src}),
+SAVGOL = """s AS (SELECT *, count(*) OVER (PARTITION BY cell) AS n FROM {src}),
  ea AS (SELECT cell, regr_slope({v}, frame) AS s, regr_intercept({v}, frame) AS c FROM s WHERE frame < {w} GROUP BY cell),
  eb AS (SELECT cell, regr_slope({v}, frame) AS s, regr_intercept({v}, frame) AS c FROM s WHERE frame >= n - {w} GROUP BY cell),
  sm AS (SELECT s.cell, s.frame, CASE WHEN frame < {h} THEN ea.s * frame + ea.c WHEN frame >= n - {h} THEN eb.s * frame + eb.c
  ELSE avg({v}) OVER (PARTITION BY s.cell ORDER BY frame ROWS BETWEEN {h} PRECEDING AND {h} FOLLOWING) END AS y FROM s JOIN ea ON s.cell = ea.cell JOIN eb ON s.cell = eb.cell)"""
 
 
-@query(f"WITH {TRACES}, {_SAVGOL.format(src='t', v='f', w=11, h=5)} SELECT cell, frame, {q6('y')} AS smooth FROM sm")
+@query(f"WITH {TRACES}, {SAVGOL.format(src='t', v='f', w=11, h=5)} SELECT cell, frame, {q6('y')} AS smooth FROM sm")
 def savgol_order1(spark, d):
     return tr.savgol1(traces(spark, d), 11).select("cell", "frame", r6("smooth").alias("smooth"))
 
 
-@query(f"""WITH {TRACES}, h AS (SELECT cell, frame, f - quantile_cont(f, 0.5) OVER (PARTITION BY cell ORDER BY frame ROWS 19 PRECEDING) AS f FROM t), {_MAD},
+@query(f"""WITH {TRACES}, h AS (SELECT cell, frame, f - quantile_cont(f, 0.5) OVER (PARTITION BY cell ORDER BY frame ROWS 19 PRECEDING) AS f FROM t), {MAD},
  z AS (SELECT x.cell, frame, CASE WHEN safe THEN (f - med) / (CASE WHEN mad < 1e-10 THEN sd + 1e-10 ELSE mad END) ELSE 0.0 END AS z FROM x JOIN a ON x.cell = a.cell),
- {_SAVGOL.format(src='z', v='z', w=11, h=5)} SELECT cell, frame, {q6('y')} AS z FROM sm""")
+ {SAVGOL.format(src='z', v='z', w=11, h=5)} SELECT cell, frame, {q6('y')} AS z FROM sm""")
 def detrend_zscore(spark, d):
     return tr.detrend_zscore(traces(spark, d), window=20, smooth=11).select("cell", "frame", r6("z").alias("z"))
 
@@ -119,7 +119,7 @@ def plateau_peaks(spark, d):
     return pk.candidates(held(spark, d)).select("cell", "frame", "f")
 
 
-_JUMPS = f"""WITH {VECTORS}, {_SAVGOL.format(src='v', v='f', w=5, h=2)}, mean AS (SELECT recording, sm.frame, avg(y) AS y FROM sm JOIN (SELECT DISTINCT recording, cell FROM v) USING (cell) GROUP BY ALL),
+_JUMPS = f"""WITH {VECTORS}, {SAVGOL.format(src='v', v='f', w=5, h=2)}, mean AS (SELECT recording, sm.frame, avg(y) AS y FROM sm JOIN (SELECT DISTINCT recording, cell FROM v) USING (cell) GROUP BY ALL),
  e AS (SELECT *, min(y) OVER a AS la, min(y) OVER b AS lb, max(y) OVER a AS ha, max(y) OVER b AS hb FROM mean
  WINDOW a AS (PARTITION BY recording ORDER BY frame ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), b AS (PARTITION BY recording ORDER BY frame ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)),
  j AS (SELECT recording, 'min' AS kind, frame FROM e WHERE y < la AND y < lb UNION ALL SELECT recording, 'max', frame FROM e WHERE y > ha AND y > hb)"""
@@ -294,7 +294,7 @@ def best_reference_roi(spark, d):
     return out.select("recording", "roi", r6("score").alias("score"))
 
 
-@query(f"""WITH {VECTORS}, {_SAVGOL.format(src='v', v='f', w=5, h=2)} SELECT recording, cast(sm.frame // 2 AS INTEGER) AS frame, {q6('avg(y)')} AS mean
+@query(f"""WITH {VECTORS}, {SAVGOL.format(src='v', v='f', w=5, h=2)} SELECT recording, cast(sm.frame // 2 AS INTEGER) AS frame, {q6('avg(y)')} AS mean
  FROM sm JOIN (SELECT DISTINCT recording, cell FROM v) USING (cell) WHERE sm.frame % 2 = 0 GROUP BY ALL""")
 def mean_reference(spark, d):
     return tr.mean_reference(vectors(spark, d), recording="recording", smooth=5, channels=2).select("recording", "frame", r6("mean").alias("mean"))

@@ -45,7 +45,8 @@ def leaders(stream: DataFrame, threshold: float, *, late: str = "1 minute", reco
                 found.append(t)
         state.update((last, [t for t, _ in rest]))
         _wake(state, rest)
-        yield pd.DataFrame({recording: [key[0]] * len(found), "us": found})
+        if found:
+            yield pd.DataFrame({recording: [key[0]] * len(found), "us": found})
 
     rows = stream.where(F.col(ts).isNotNull()).withWatermark(ts, late).select(recording, ts, F.unix_micros(ts).alias("_us"))
     out = rows.groupBy(recording).applyInPandasWithState(step, f"{recording} {kind}, us long", "last long, waiting array<long>", "append", GroupStateTimeout.EventTimeTimeout)
@@ -80,7 +81,8 @@ def rolling_quantile(stream: DataFrame, window: int, *, quantile: float = 0.5, l
             base.append(None if not ordered else ordered[low] + (at - low) * (ordered[min(low + 1, len(ordered) - 1)] - ordered[low]))
         state.update(([r[0] for r in rest], [r[1] for r in rest], [r[2] for r in rest], list(last)))
         _wake(state, rest)
-        yield pd.DataFrame({key: [k[0]] * len(due), "us": [r[0] for r in due], tie: [r[1] for r in due], "value": pd.array([r[2] for r in due], "Float64"), "baseline": pd.array(base, "Float64")})
+        if due:
+            yield pd.DataFrame({key: [k[0]] * len(due), "us": [r[0] for r in due], tie: [r[1] for r in due], "value": pd.array([r[2] for r in due], "Float64"), "baseline": pd.array(base, "Float64")})
 
     rows = stream.where(F.col(ts).isNotNull()).withWatermark(ts, late).select(key, ts, F.unix_micros(ts).alias("_us"), F.col(tie).cast("long").alias(tie), F.col(value).cast("double").alias(value))
     out = rows.groupBy(key).applyInPandasWithState(
