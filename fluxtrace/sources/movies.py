@@ -1,4 +1,4 @@
-"""Movies as a Spark data source: raw 16-bit frames and uncompressed TIFF stacks.
+"""Movies as a Spark data source: raw 16-bit frames and TIFF stacks, plain or packed (PackBits, LZW, Deflate), which tasks unpack.
 
     spark.dataSource.register(RawMovie)
     spark.read.format("raw_movie").options(path=..., width=512, height=512, start=0, end=900).load()
@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
+from ..functions.packing import UNPACK, undifferenced
+
 SCHEMA = "frame int, h int, w int, data array<int>"
 #: Frames of one partition.
 FRAMES = 500
@@ -88,8 +90,8 @@ class _RawReader(_Reader):
 _TYPES = {1: "B", 3: "H", 4: "I", 16: "Q"}
 
 
-def tiff_pages(file) -> list[tuple[str, int, int, int, list[int], list[int]]]:
-    """(byte order, width, height, bits, strip offsets, strip sizes) of each page of an uncompressed grey TIFF or BigTIFF."""
+def tiff_pages(file) -> list[tuple[str, int, int, int, list[int], list[int], int, int]]:
+    """(byte order, width, height, bits, strip offsets, strip sizes, compression, predictor) of each page of a grey TIFF or BigTIFF."""
     file.seek(0)
     head = file.read(16)
     order = {b"II": "<", b"MM": ">"}[head[:2]]
@@ -114,9 +116,10 @@ def tiff_pages(file) -> list[tuple[str, int, int, int, list[int], list[int]]]:
                     file.seek(struct.unpack(order + ("Q" if big else "I"), raw)[0])
                     raw = file.read(size)
                 tags[tag] = list(struct.unpack(order + _TYPES[kind] * count, raw[:size]))
-        if tags.get(259, [1]) != [1]:
-            raise NotImplementedError("compressed TIFF")
-        pages.append((order, tags[256][0], tags[257][0], tags.get(258, [8])[0], tags[273], tags[279]))
+        packing, predictor = tags.get(259, [1])[0], tags.get(317, [1])[0]
+        if packing not in UNPACK or predictor > 2:
+            raise NotImplementedError(f"TIFF with compression {packing} and predictor {predictor}")
+        pages.append((order, tags[256][0], tags[257][0], tags.get(258, [8])[0], tags[273], tags[279], packing, predictor))
     return pages
 
 
@@ -128,12 +131,13 @@ class _TiffReader(_Reader):
         self.n = len(self.pages)
 
     def frame(self, file, i: int) -> np.ndarray:
-        order, width, height, bits, offsets, sizes = self.pages[i]
+        order, width, height, bits, offsets, sizes, packing, predictor = self.pages[i]
         data = b""
         for o, s in zip(offsets, sizes, strict=True):
             file.seek(o)
-            data += file.read(s)
-        return np.frombuffer(data, f"{order}u{bits // 8}").reshape(height, width)
+            data += UNPACK[packing](file.read(s))
+        frame = np.frombuffer(data, f"{order}u{bits // 8}", height * width).reshape(height, width)
+        return undifferenced(frame) if predictor == 2 else frame
 
 
 class _Pushed:
