@@ -8,8 +8,9 @@ A surrogate is a keyed permutation of the strings of the same shape: a Feistel n
 so distinct entities of one shape get distinct surrogates without a table and every mention of an entity gets the same one
 in every document and run. Types are kept: private addresses stay in their network and public ones public, an IPv6 address
 and a MAC keep their scope, Luhn and mod-97 check digits that were valid are valid again, phone numbers keep the country
-code (with and without it they are one number). Names of an alphabet are made of its syllables, with endings by gender;
-names of other scripts get letters of their own script. A given name has one stem whatever the gender of its title; within a
+code (with and without it, or with a leading 0 instead, they are one number). Names of an alphabet are made of its syllables,
+with endings by gender, hyphens and apostrophes where they were; names of other scripts get letters and vowel signs of
+their own script. Composed and decomposed letters, and both apostrophes, are one. A given name has one stem whatever the gender of its title; within a
 text a title of known gender decides.
 
 What a permutation cannot rule out is checked: the distinct entities of the whole corpus are gathered, those whose
@@ -18,8 +19,10 @@ third draw on surrogates are longer than what they stand for, so full shapes, or
 vary, are served too and the drawing ends. The table is broadcast up to a stated size; beyond it the documents that mention
 an exception meet theirs in a join.
 
-Limits: names are found only in texts that mention them after a form of address (or "my name is"); initials and the
-addresses 0.0.0.0, 127.0.0.1 and 255.255.255.255 stay.
+Limits: names are found only in texts that mention them after a form of address (or "my name is"), and every capitalised
+word of that text that is one of them goes with them ("Ms May arrives in May" changes the month too: within a text such
+a word is one entity); national phone numbers other than North American ones are found in texts that mention the number
+with its country code as well; initials and the addresses 0.0.0.0, 127.0.0.1 and 255.255.255.255 stay.
 
 Edge cases: null texts stay null; texts without entities come back unchanged; repeated rows are treated alike; an empty
 table gives an empty result; the other columns are kept (`n_entities` is replaced if it is there).
@@ -42,8 +45,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 from .common import batches, pieces, settle, unwrapped, wrapped
 
 KEY = b"fluxtrace surrogate key 1"
-#: Exceptions are broadcast up to this number.
-BROADCAST_EXCEPTIONS = 50_000
+#: Exceptions are broadcast up to this number and so many bytes.
+BROADCAST_EXCEPTIONS, BROADCAST_BYTES = 50_000, 8_000_000
 #: Surrogates of this attempt and later ones are longer than what they stand for.
 LONGER = 3
 ROUNDS = 8
@@ -63,11 +66,25 @@ LETTERS = {
 # Networks that are not public, by first address and prefix length.
 NETWORKS = [(int(ipaddress.ip_address(a)), n) for a, n in (("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.168.0.0", 16), ("224.0.0.0", 4), ("240.0.0.0", 4))]
 NOBODY = ("0.0.0.0", "127.0.0.1", "255.255.255.255")
+# Country codes of one and two digits; all others have three.
+CODES = {"1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98"}
 
 _TITLE = "|".join(re.escape(t) for t in sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
 _GENDER = {t: g for g, ts in TITLES.items() for t in ts}
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
-_NAME = r"[^\W\d_]\w*(?:['’]\w{2,})?(?:-[^\W\d_]\w*)*"
+
+
+def _ranges(codes: list[int]) -> str:
+    """A character class of these code points."""
+    begins = [c for c in codes if c - 1 not in set_of] if (set_of := set(codes)) else []
+    ends = [c for c in codes if c + 1 not in set_of]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(begins, ends, strict=True))
+
+
+# Combining marks (categories M*): accents of decomposed letters, vowel signs of Indic scripts and Thai.
+_MARK = _ranges([c for c in range(0x300, 0x20000) if unicodedata.category(chr(c))[0] == "M"])
+_IN, _OUT = rf"[\w{_MARK}]", rf"(?![\w{_MARK}])"
+_NAME = rf"[^\W\d_]{_IN}*(?:['’]{_IN}{{2,}})?(?:-[^\W\d_]{_IN}*)*"
 PATTERN = re.compile(
     r"(?P<email>(?<![\w.%+\-])[\w.%+\-]+@(?:[^\W_](?:[\w\-]{0,61}[^\W_])?\.)+[^\W\d_]{2,18})"
     rf"|(?P<ip>(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.[0-9]))"
@@ -75,7 +92,7 @@ PATTERN = re.compile(
     r"|(?P<ipv6>(?<![\w:])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]))"
     r"|(?P<ssn>(?<![\w\-.])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w\-]))"
     r"|(?P<iban>(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
-    r"|(?P<phone>(?<!\w)\+[0-9]{1,3}[ .\-]?\(?[0-9]{2,4}\)?(?:[ .\-]?[0-9]{2,5}){1,4}(?!\w)|(?<![\w(])(?:1[ .\-])?\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}(?!\w)"
+    r"|(?P<phone>(?<!\w)\+[0-9]{1,3}[ .\-]?(?:\(0\) ?)?\(?[0-9]{1,4}\)?(?:[ .\-]?[0-9]{2,5}){1,4}(?!\w)|(?<![\w(])(?:1[ .\-])?\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}(?!\w)"
     r"|(?<![\w.\-])(?:1(?P<p>[ .\-]))?[0-9]{3}(?P<q>[ .\-])[0-9]{3}(?P=q)[0-9]{4}(?![\w\-]))"
     r"|(?P<account>(?<![\w.+\-])[0-9](?:[ \-]?[0-9]){12,18}(?![\w\-]))"
     r"|(?P<secret>(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|eyJ[A-Za-z0-9_\-]{8,2000}\.[A-Za-z0-9_\-]{8,8000}\.[A-Za-z0-9_\-]{8,2000}"
@@ -122,7 +139,18 @@ def _names(m: re.Match):
     words = words[: sound.index(False)] if False in sound else words
     base = m.start("name")
     for w in words:
-        yield base + w.start(), base + w.end(), "family" if w is words[-1] else "given", w[0].lower()
+        yield base + w.start(), base + w.end(), "family" if w is words[-1] else "given", plain_name(w[0])
+
+
+def plain_name(name: str) -> str:
+    """What spellings of a name have in common: small, composed letters and one apostrophe."""
+    return unicodedata.normalize("NFC", name.lower()).replace("’", "'")
+
+
+def national(digits: str) -> tuple[str, str]:
+    """Country code and national number of the digits after a plus sign."""
+    n = next((n for n in (1, 2) if digits[:n] in CODES), 3)
+    return digits[:n], digits[n:]
 
 
 def _entity(kind: str, found: str) -> str | None:
@@ -144,7 +172,11 @@ def _entity(kind: str, found: str) -> str | None:
             return None
     if kind == "phone":
         digits = re.sub(r"[^0-9]", "", found)
-        return None if len(digits) < 7 else f"+{digits}" if found[0] == "+" and len(digits) <= 10 else digits[-10:]
+        if found[0] != "+" or digits[0] == "1" and len(digits) == 11:
+            return digits[-10:]
+        code, number = national(digits)
+        number = number[1:] if "(0)" in found and number[:1] == "0" else number
+        return f"+{code}-{number}" if len(digits) >= 7 and len(number) >= 4 else None
     if kind == "account":
         return re.sub(r"[^0-9]", "", found)
     return found.replace(" ", "") if kind == "iban" else found
@@ -154,7 +186,7 @@ def entities(text: str):
     """(begin, end, kind, entity) of every mention, in order. Kinds of given names end in the gender: f, m or n."""
     if not text or not suspicious(text):
         return
-    out, names, at = [], {}, 0
+    out, names, numbers, at = [], {}, {}, 0
     while m := PATTERN.search(text, at):
         kind, at = m.lastgroup, m.end()
         if kind == "name":
@@ -173,14 +205,20 @@ def entities(text: str):
         entity = _entity(kind, text[begin:stop])
         if entity is not None and not (kind == "email" and entity.startswith("@")):
             out.append((begin, stop, kind, entity))
+            if kind == "phone" and entity[0] == "+":
+                numbers[entity.partition("-")[2]] = entity
     if names:
         spelled = {x for n in names for x in (n.title(), n[0].upper() + n[1:], n.upper())} | {text[b:e] for b, e, kind, _ in out if kind == "name"}
-        known = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(spelled, key=len, reverse=True)))})(?!\w)")
-        at = 0
-        for begin, stop, *_ in [*out, (len(text), len(text))]:
-            out += [(*m.span(), "name", m[0].lower()) for m in known.finditer(text, at, begin) if m[0].lower() in names and not (text[m.end() : m.end() + 1] == "@" or text[m.start() - 1 : m.start()] == "@")]
-            at = stop
-        out.sort()
+        spelled |= {unicodedata.normalize("NFD", x) for x in spelled}
+        spelled |= {x.replace("'", "’") for x in spelled}
+        known = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(spelled, key=len, reverse=True)))}){_OUT}")
+        sound = lambda m: plain_name(m[0]) in names and "@" not in (text[m.end() : m.end() + 1], text[m.start() - 1 : m.start()])
+        out = sorted(out + [(*m.span(), "name", plain_name(m[0])) for m in _between(known, text, out) if sound(m)])
+    if numbers:
+        # National forms of numbers that stand with their country code somewhere in the text, a 0 before them or not.
+        forms = "|".join(r"[ .\-/()]{0,2}".join(x) for x in sorted(numbers, key=len, reverse=True))
+        known = re.compile(rf"(?<![\w+.\-])\(?(?:0[ .\-/]?)?(?P<number>{forms})(?![\w\-])")
+        out = sorted(out + [(*m.span(), "phone", numbers[re.sub("[^0-9]", "", m["number"])]) for m in _between(known, text, out)])
     for begin, stop, kind, entity in out:
         if kind == "name":
             part, sex = names[entity]
@@ -188,6 +226,14 @@ def entities(text: str):
         yield begin, stop, kind, entity
 
 
+def _between(pattern: re.Pattern, text: str, mentions: list[tuple]):
+    """Matches between the mentions, which are in order."""
+    at = 0
+    for begin, stop, *_ in [*mentions, (len(text), len(text))]:
+        yield from pattern.finditer(text, at, begin)
+        at = stop
+
+
 def _stream(tweak: bytes, text: str, n: int) -> bytes:
     return hashlib.shake_256(tweak + text.encode()).digest(n)
 
@@ -262,11 +308,11 @@ def _ipv6(entity: str, attempt: int, tweak: bytes) -> str:
 
 @lru_cache(maxsize=256)
 def _block(c: str) -> str:
-    """Letters of the same script and category around c."""
+    """Letters, or combining marks, of the same script and kind around c."""
     at = ord(c)
     low, high = (0x4E00, 0xA000) if 0x4E00 <= at < 0xA000 else (0xAC00, 0xD7A4) if 0xAC00 <= at < 0xD7A4 else (at & ~0xFF, (at & ~0xFF) + 0x100)
-    said = unicodedata.name(c, "none").split(" ")[0]
-    return "".join(x for x in map(chr, range(low, high)) if unicodedata.category(x) == unicodedata.category(c) and unicodedata.name(x, "").split(" ")[0] == said)
+    kind = lambda x: (unicodedata.category(x), unicodedata.combining(x), unicodedata.name(x, "").split(" ")[0], "VOWEL" in unicodedata.name(x, ""))
+    return "".join(x for x in map(chr, range(low, high)) if kind(x) == kind(c))
 
 
 def _syllables(number: int, n: int, letters: tuple) -> str:
@@ -284,11 +330,19 @@ def _syllables(number: int, n: int, letters: tuple) -> str:
 def _name(kind: str, entity: str, attempt: int, tweak: bytes) -> str:
     wanted = script(entity)
     if wanted not in LETTERS:
-        classes = tuple(dict.fromkeys(_block(c) for c in entity if c.isalpha()))
+        classes = tuple(dict.fromkeys(_block(c) for c in entity if unicodedata.category(c)[0] in "LM"))
         extra = next((c for c in classes if c), _LOWER)
         return _shaped(entity, tweak, classes) + _longer(attempt, tweak, entity, extra)
     out = []
-    for i, part in enumerate(entity.split("-")):
+    parts = re.split("([-'])", entity)
+    for i, part in enumerate(parts):
+        if part in ("-", "'", ""):
+            out.append(part)
+            continue
+        if len(part) < 3 and parts[i + 1 : i + 2] == ["'"]:  # the O of O'Neil
+            out.append(_syllables(int.from_bytes(_stream(tweak, f"{i}|{entity}", 8), "big"), 1, LETTERS[wanted])[: len(part)])
+            continue
+        i //= 2
         size = attempt + (2 if kind.startswith("given") else 3)
         made = _syllables(int.from_bytes(_stream(tweak, f"{i}|{entity}", 2 * size + 8), "big"), size, LETTERS[wanted])
         if kind.startswith("given"):
@@ -298,7 +352,7 @@ def _name(kind: str, entity: str, attempt: int, tweak: bytes) -> str:
         elif wanted == "greek":
             made += "ου" if part[-1:] in ("υ", "α", "η", "ά", "ή", "ύ") else "ης"
         out.append(made)
-    return "-".join(out)
+    return "".join(out)
 
 
 def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY) -> str:
@@ -316,10 +370,10 @@ def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY) -> str
     if kind == "ipv6":
         return _ipv6(entity, attempt, tweak)
     if kind == "phone":
-        if entity[0] == "+":  # a country code of unknown length
-            return _shaped(entity, tweak, fixed=range(3)) + more(_DIGITS)
-        rest = _shaped(entity[1:], tweak)
-        return _shaped(entity[0], tweak + rest.encode(), (_DIGITS[1:],)) + rest + more(_DIGITS)
+        code, sign, number = entity.rpartition("-")
+        rest = _shaped(number[1:], tweak + code.encode())
+        first = number[0] if sign and number[0] == "0" else _shaped(number[0], tweak + rest.encode(), (_DIGITS[1:],))
+        return code + sign + first + rest + more(_DIGITS)
     if kind == "account":
         if luhn(entity[:-1]) == int(entity[-1]):
             body = _shaped(entity[:-1], tweak) + more(_DIGITS)
@@ -349,8 +403,17 @@ def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY) -> str
 def written(found: str, kind: str, replacement: str) -> str:
     """The surrogate in the format of the mention: its separators, and its letters' case."""
     if kind in ("phone", "account"):
-        keep = sum(c in _DIGITS for c in found) - 10 if kind == "phone" else 0
-        out, left = [], list(replacement.lstrip("+"))
+        code, _, number = replacement.rpartition("-")
+        digits = re.sub("[^0-9]", "", found)
+        if kind == "account":
+            keep = 0
+        elif not code:
+            keep = len(digits) - 10
+        elif found[0] == "+":  # after the code, a 0 in brackets is none of the number's digits
+            keep = len(code) - 1 + ("(0)" in found and digits[len(code) - 1 : len(code)] == "0")
+        else:
+            keep = int(digits[0] == "0" and number[0] != "0")
+        out, left = [], list(number)
         for c in found:
             if c in _DIGITS and keep > 0:
                 keep -= 1
@@ -373,9 +436,15 @@ def written(found: str, kind: str, replacement: str) -> str:
         return replacement.upper() if found.upper() == found else replacement
     if kind == "family" or kind.startswith("given"):
         if len(found) > 1 and found.isupper():
-            return replacement.upper()
+            return replacement.upper().replace("'", "’" if "’" in found else "'")
         ends = re.sub("σ$|σ(?=-)", "ς", replacement)
-        return "-".join(x[:1].upper() + x[1:] for x in ends.split("-"))
+        signs = iter(re.findall("['’]", found))
+        was = re.split("[-'’]", found)
+        now = re.split("([-'])", ends)
+        for i in range(0, len(now), 2):
+            if i == 0 or len(was) <= i // 2 or not was[i // 2][:1].islower():
+                now[i] = now[i][:1].upper() + now[i][1:]
+        return "".join(next(signs, x) if x == "'" else x for x in now)
     return replacement
 
 
@@ -461,7 +530,8 @@ def _surrogated(docs: DataFrame, key: bytes, broadcast_exceptions: int) -> DataF
     spark = docs.sparkSession
     again = settle(exceptions(settle(distinct_entities(docs), "entities"), key), "exceptions")
     rows = wrapped(docs, "text")
-    if again.count() <= broadcast_exceptions:
+    size = again.agg(F.count("*").alias("n"), F.sum(F.octet_length("kind") + F.octet_length("entity") + 16).alias("bytes")).first()
+    if size["n"] <= broadcast_exceptions and (size["bytes"] or 0) <= BROADCAST_BYTES:
         table = spark.sparkContext.broadcast({(r["kind"], r["entity"]): r["attempt"] for r in again.collect()})
         return _replace(rows, lambda batch: [table.value] * batch.num_rows, key)
     own = _with_own_exceptions(rows, again)
