@@ -40,6 +40,8 @@ VALUES, BANDS, STEP = 128, 32, 16
 TOLERANCE = 1e-6
 #: Most representatives of a bucket, and of a cluster, in one block.
 BUCKET_BLOCK, CLUSTER_BLOCK = 512, 512
+#: About so many shingles of a cluster's representatives in one block: what a task unpacks follows no length of texts.
+BLOCK_SHINGLES = 2_000_000
 #: Columns of a tile of the shingle incidence matrix.
 TILE = 4096
 
@@ -271,8 +273,8 @@ def links_in_block(sets: list[np.ndarray], sig: np.ndarray, own: np.ndarray, acr
 
 def cluster_links(docs: DataFrame, reps: DataFrame, clusters: DataFrame) -> DataFrame:
     """(u, v, links): forest edges of the verified links (links null), and the rows linked to representative u (v null)."""
-    chosen = reps.select("a", "doc_id", "key", "copies", "bytes").join(clusters, reps["a"] == clusters["node"]).drop("node")
-    sizes = clusters.groupBy("root").agg(_blocks(F.count("*"), CLUSTER_BLOCK).alias("blocks"))
+    chosen = reps.select("a", "doc_id", "key", "n", "copies", "bytes").join(clusters, reps["a"] == clusters["node"]).drop("node")
+    sizes = chosen.groupBy("root").agg(F.greatest(_blocks(F.count("*"), CLUSTER_BLOCK), _blocks(F.sum("n"), BLOCK_SHINGLES)).alias("blocks"))
     chosen = settle(chosen.join(sizes, "root"), "clusters")
 
     def pack(parts):
@@ -318,7 +320,7 @@ def _rooted(docs: DataFrame) -> DataFrame:
     docs = plain(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     signed = settle(signatures(docs), "signatures")
     first = signed.where("n > 0").groupBy("a", "b").agg(
-        F.min_by(F.struct("doc_id", "key", "bytes", "bands"), F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "key")).alias("r"), F.count("*").alias("copies"))
+        F.min_by(F.struct("doc_id", "key", "n", "bytes", "bands"), F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "key")).alias("r"), F.count("*").alias("copies"))
     reps = settle(first.select("a", "b", "copies", "r.*"), "representatives")
     clusters = components(bucket_edges(reps))
     found = settle(cluster_links(docs, reps, settle(clusters, "clusters")), "links")
