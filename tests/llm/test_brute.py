@@ -223,10 +223,11 @@ def brute_links(rows):
     return {(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
 
 
-@pytest.mark.parametrize("blocks", [(2048, 512), (7, 5)])
+@pytest.mark.parametrize("blocks", [(2048, 512, 1 << 21), (7, 5, 1 << 21), (512, 512, 900)])
 def test_links_and_classes(spark, monkeypatch, blocks):
     monkeypatch.setattr(ngram_join, "BUCKET_BLOCK", blocks[0])
     monkeypatch.setattr(ngram_join, "CLUSTER_BLOCK", blocks[1])
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", blocks[2])
     rows = near_copies()
     links = brute_links(rows)
     parent = {k: k for k, _ in rows}
@@ -413,6 +414,25 @@ def test_slices_of_a_large_benchmark(spark, data):
     assert sorted(map(str, one.collect())) == sorted(map(str, many.collect()))
 
 
+def test_windows_by_brute_force():
+    rng = random.Random(4)
+    make = lambda n: [rng.choice("abcd") for _ in range(n)]
+    items = [(k, " ".join(make(rng.choice([0, 1, 2, 5, 13, 14, 30])))) for k in range(40)] + [(None, "a a"), (7, "b b b"), (8, "b b b")]
+    for width in (3, 13):
+        index = decontaminate.Index([(k, t.encode()) for k, t in items], width)
+        for _ in range(20):
+            words = make(rng.randrange(0, 80)) + ["zz", "a", "a"]
+            want = defaultdict(set)
+            for k, t in items:
+                w = t.split()
+                size = min(width, len(w))
+                for i in range(len(w) - size + 1) if size else ():
+                    for p in range(len(words) - size + 1):
+                        if words[p : p + size] == w[i : i + size]:
+                            want[p, size].add("" if k is None else str(k))
+            assert {(p, n): ids for p, n, ids in index.hits([w.encode() for w in words])} == want
+
+
 # Personal data
 
 def luhn_valid(digits):
@@ -580,6 +600,63 @@ SIMPLE = {  # the kinds of the test tables, by patterns of their own
 }
 
 
+def test_names_by_script_mark_and_apostrophe():
+    texts = {
+        "Mr विकास was here and विकास left": 2, "Mr. Jose\u0301 met Jos\u00e9.": 2, "Mr. O\u2019Neil, O'Neil, O'NEIL but Neil": 3, "Frau D'angelo-Smith": 1, "Mr สมชาย ใจดี": 2,
+    }
+    for text, n in texts.items():
+        new, found = pii.replaced(text, {})
+        assert found == n
+        old = re.findall(pii._NAME, text)
+        made = re.findall(pii._NAME, new)
+        assert len(old) == len(made)
+        for a, b in zip(old, made, strict=True):
+            assert writing(a) == writing(b) and re.findall("['’-]", a) == re.findall("['’-]", b) and [x[:1].isupper() for x in re.split("['’-]", a)] == [x[:1].isupper() for x in re.split("['’-]", b)]
+    new = pii.replaced("Mr. Jose\u0301 met Jos\u00e9.", {})[0]
+    assert len(set(re.findall(r"M?r?[.]? ?(\w+)", new.replace("Mr. ", "").replace(" met ", " ").rstrip(".")))) == 1 and not re.search("\u0301", new)
+    vowels = [x for x in pii.replaced("Mr विकास", {})[0][3:] if unicodedata.category(x) == "Mc"]
+    assert len(vowels) == 2 and "ि" not in vowels
+
+
+def test_numbers_with_and_without_their_country():
+    for code, forms in {
+        "+44": ["+44 20 7946 0958", "020 7946 0958", "(020) 79460958", "+44 (0)20 7946 0958", "20 7946 0958"], "+33": ["+33 6 12 34 56 78", "06 12 34 56 78", "0612345678"],
+        "+49": ["+49 30 123456", "030 123456", "030/123456"], "+39": ["+39 06 1234 5678", "06 12345678"], "+1": ["+1 555 123 4567", "555 123 4567", "(555) 123-4567"],
+    }.items():
+        new, n = pii.replaced(" or ".join(forms), {})
+        made = new.split(" or ")
+        assert n == len(forms) and made[0].startswith(code) and made[0] != forms[0]
+        core = lambda x: re.sub("[^0-9]", "", x.replace("(0)", "")).removeprefix(code[1:]).lstrip("0")
+        assert len(set(map(core, made))) == 1, made
+        assert [re.sub("[0-9]", "0", x) for x in made] == [re.sub("[0-9]", "0", x) for x in forms]
+        assert [x[0] == "0" for x in made] == [x[0] == "0" for x in forms]
+    assert pii.replaced("020 7946 0958 alone", {})[1] == 0
+
+
+def planted_names(n=400, seed=11):
+    """(text, names): invented names of three scripts, called by a form of address once and bare once more."""
+    rng = random.Random(seed)
+    letters = {"latin": ("bcdfgklmnprstv", "aeiou"), "cyrillic": ("бвгдклмнпрст", "аеиоу"), "greek": ("βγδκλμνπρστ", "αεηιο")}
+    titles = {"latin": ["Mr.", "Mrs", "Dr.", "Frau", "my name is", "Señora"], "cyrillic": ["Г-н", "Г-жа"], "greek": ["Κύριος", "Κυρία"]}
+    for _ in range(n):
+        script = rng.choice(sorted(letters))
+        c, v = letters[script]
+        word = lambda: "".join(rng.choice(c) + rng.choice(v) for _ in range(rng.randrange(2, 5)))
+        family = word().capitalize() + rng.choice(["", "-" + word().capitalize()])
+        given_ = word().capitalize()
+        yield f"{word()} {rng.choice(titles[script])} {given_} {family} {word()}, {word()} {family} {word()} and {given_} {word()}.", (given_, family)
+
+
+def test_recall_of_planted_names():
+    found = total = 0
+    for text, names in planted_names():
+        new = pii.replaced(text, {})[0]
+        for name in names:
+            total += 2
+            found += 2 - len(re.findall(rf"(?<!\w){re.escape(name)}(?!\w)", new))
+    assert found / total > 0.99
+
+
 def test_no_entity_is_left(spark, data):
     got = {r["doc_id"]: r["text"] for r in QUERIES["op7_pii_surrogates"](spark, data).collect()}
     served, real = {}, set()
