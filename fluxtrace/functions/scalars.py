@@ -176,7 +176,8 @@ def fill_metadata(recordings: DataFrame, found: DataFrame, key: str = "folder")
         if have:
             out = out.withColumn(n, F.coalesce(*have))
     out = out.withColumn("um_per_pixel", F.coalesce("um_per_pixel", F.try_divide("um_width", "width")))
-    return out.withColumn("seconds", F.try_divide("frames", "fps")).select(*recordings.columns, *[n for n in names if n not in recordings.columns])
+    out = out.withColumn("seconds", F.try_divide("frames", "fps"))
+    return out.select(*recordings.columns, *[n for n in names if n in out.columns and n not in recordings.columns])
 
 
 def register(spark: SparkSession) -> None:

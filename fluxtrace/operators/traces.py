@@ -59,22 +59,27 @@ def _rolling_arrow(df: DataFrame, window: int, quantile: float, center: bool, le
     return df.groupBy(key).applyInPandas(roll, with_double(df, "baseline"))
 
 
-def rolling_quantile(df: DataFrame, window: int, *, quantile=0.5, center=False, min_periods=0, engine="sql", key=KEY, order=ORDER, value=VALUE) -> DataFrame:
-    """Adds `baseline`, the quantile of the window: trailing, or centred with the longer half before."""
-    if engine == "arrow":
+#: Windows longer than this go to the Arrow form unless an engine is named: the cost of a row of the SQL form grows with the window.
+LONG_WINDOW = 100
+
+
+def rolling_quantile(df: DataFrame, window: int, *, quantile=0.5, center=False, min_periods=0, engine: str | None = None, key=KEY, order=ORDER, value=VALUE) -> DataFrame:
+    """Adds `baseline`, the quantile of the window: trailing, or centred with the longer half before. engine: sql or arrow (the same
+    result); by the window's length if none is named."""
+    if (engine or ("arrow" if window > LONG_WINDOW else "sql")) == "arrow":
         return _rolling_arrow(df, window, quantile, center, min_periods, key, order, value)
     w = by(key, order).rowsBetween(-(window // 2), (window - 1) // 2) if center else by(key, order).rowsBetween(-(window - 1), 0)
     base = F.percentile(F.col(value), quantile).over(w)
     return df.withColumn("baseline", F.when(F.count(F.col(value)).over(w) >= min_periods, base) if min_periods > 1 else base)
 
 
-def rolling_median_detrend(df: DataFrame, window: int = 1000, *, engine="sql", key=KEY, order=ORDER, value=VALUE) -> DataFrame:
+def rolling_median_detrend(df: DataFrame, window: int = 1000, *, engine: str | None = None, key=KEY, order=ORDER, value=VALUE) -> DataFrame:
     """Adds `detrended`: the value less its trailing rolling median."""
     out = rolling_quantile(df, window, engine=engine, key=key, order=order, value=value)
     return out.withColumn("detrended", F.col(value) - F.col("baseline")).drop("baseline")
 
 
-def rolling_percentile_detrend(df: DataFrame, window: int = 1200, *, quantile=0.1, center=True, min_periods: int | None = None, engine="sql", key=KEY, order=ORDER, value=VALUE) -> DataFrame:
+def rolling_percentile_detrend(df: DataFrame, window: int = 1200, *, quantile=0.1, center=True, min_periods: int | None = None, engine: str | None = None, key=KEY, order=ORDER, value=VALUE) -> DataFrame:
     """Adds `detrended`: the value less a rolling quantile whose gaps are interpolated."""
     least = max(10, window // 5) if min_periods is None else min_periods
     out = rolling_quantile(df, window, quantile=quantile, center=center, min_periods=least, engine=engine, key=key, order=order, value=value)
@@ -195,7 +200,7 @@ def savgol1(df: DataFrame, window: int = 11, *, key=KEY, order=ORDER, value=VALU
     return out.withColumn(name, smooth).select(*df.columns, name)
 
 
-def detrend_zscore(df: DataFrame, *, window: int = 2000, smooth: int = 21, engine="sql", key=KEY, order=ORDER, value=VALUE) -> DataFrame:
+def detrend_zscore(df: DataFrame, *, window: int = 2000, smooth: int = 21, engine: str | None = None, key=KEY, order=ORDER, value=VALUE) -> DataFrame:
     """Adds `z`: rolling median removed, robust score, smoothed."""
     out = rolling_median_detrend(df, window, engine=engine, key=key, order=order, value=value)
     out = mad_zscore(out, key=key, order=order, value="detrended").drop("detrended", "safe").withColumnRenamed("z", "_z")

@@ -332,6 +332,20 @@ def peak_widths(spark, d):
     return pk.detect(traces(spark, d), height=0, distance=None, prominence=20).select("cell", "peak", r6("left").alias("left_limit"), r6("right").alias("right_limit"))
 
 
+# Of peaks nearer than 10 frames the higher one stays, the later one of equals: candidates in order of height, one after another.
+_SPACED = """p0 AS (SELECT cell, frame AS peak, f FROM (SELECT *, lag(f) OVER w AS a, lead(f) OVER w AS b FROM t WINDOW w AS (PARTITION BY cell ORDER BY frame)) WHERE f > a AND f > b AND f >= 0),
+ g(cell, left_, kept) AS (SELECT cell, list(peak ORDER BY f DESC, peak DESC), cast([] AS INTEGER[]) FROM p0 GROUP BY cell UNION ALL SELECT cell, list_filter(left_, lambda x: abs(x - left_[1]) >= 10), list_append(kept, left_[1]) FROM g WHERE len(left_) > 0),
+ p AS (SELECT p0.* FROM p0 JOIN g ON g.cell = p0.cell AND len(left_) = 0 AND list_contains(kept, peak))"""
+_SPACED_LIMITS = _SPACED + _LIMITS[_LIMITS.index(", n AS (SELECT") :]
+_LEFT, _RIGHT = "(CASE WHEN i IS NULL THEN 0.0 WHEN li.f < h THEN i + (h - li.f) / (ln.f - li.f) ELSE i END)", "(CASE WHEN j IS NULL THEN n WHEN rj.f < h THEN j - (h - rj.f) / (rp.f - rj.f) ELSE j END)"
+
+
+@query(f"""WITH RECURSIVE {TRACES}, {_SPACED_LIMITS} SELECT hh.cell, peak, {q6(_LEFT)} AS left_limit, {q6(_RIGHT)} AS right_limit
+ FROM hh JOIN n ON n.cell = hh.cell LEFT JOIN t li ON li.cell = hh.cell AND li.frame = i LEFT JOIN t ln ON ln.cell = hh.cell AND ln.frame = i + 1 LEFT JOIN t rj ON rj.cell = hh.cell AND rj.frame = j LEFT JOIN t rp ON rp.cell = hh.cell AND rp.frame = j - 1 WHERE {_RIGHT} - {_LEFT} >= 1.5""")
+def peaks_spaced_wide(spark, d):
+    return pk.detect(traces(spark, d), height=0, distance=10, prominence=20, width=1.5).select("cell", "peak", r6("left").alias("left_limit"), r6("right").alias("right_limit"))
+
+
 @query()
 def highpass_detrend(spark, d):
     return pk.highpass(traces(spark, d), fps=1.0, cutoff_hz=1 / 20).select("cell", "frame", r6("filtered").alias("filtered"))
