@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scalars import compensated_mean
+
 
 def leaders(peaks: DataFrame, threshold: int, *, recording="recording") -> DataFrame:
     """(recording, leader): a distinct peak leads an event if it is more than `threshold` after the last leader.
@@ -49,10 +51,12 @@ def events(found: DataFrame, cells: DataFrame, *, amplitudes: DataFrame | None =
     if amplitudes is not None:
         out = out.join(amplitudes.select("cell", "peak", F.col("mean").alias("amplitude")), ["cell", "peak"], "left")
         more, columns = ["amplitude"], columns | {"amplitudes": "amplitude"}
-        sums = [F.max("amplitude").alias("max_amplitude"), F.avg("amplitude").alias("mean_amplitude")]
+        sums = [F.max("amplitude").alias("max_amplitude")]
     item = F.struct("seq", "cell", "offset_s", F.abs(F.col("seq") - F.col("_first")).alias("distance"), F.col("_gap").alias("step"), *more)
     grouped = out.groupBy(recording, "leader").agg(F.count("*").alias("n_responding"), F.first("_first").alias("first_seq"), F.sort_array(F.collect_list(item)).alias("_r"), *sums)
     grouped = grouped.select("*", *[F.col(f"_r.{c}").alias(n) for n, c in columns.items()]).drop("_r")
+    if amplitudes is not None:
+        grouped = grouped.withColumn("mean_amplitude", compensated_mean(F.col("amplitudes")))
     share = F.col("n_responding") / F.col("total_cells")
     return grouped.join(total, recording).withColumns({"share_responding": share, "percent_responding": 100.0 * F.col("n_responding") / F.col("total_cells")})
 
