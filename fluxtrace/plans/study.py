@@ -15,7 +15,7 @@ from ..operators import traces as tr
 from .storage import settle
 
 
-def build_cells(recordings: DataFrame, traces: DataFrame, labels: DataFrame, annotations: DataFrame, *, median_window=2000, smooth=21, prominence=4.01, distance=150, old: DataFrame | None = None, engine="arrow") -> dict[str, DataFrame]:
+def build_cells(recordings: DataFrame, traces: DataFrame, labels: DataFrame, annotations: DataFrame, *, median_window=2000, smooth=21, prominence=4.01, distance=150, old: DataFrame | None = None, engine: str | None = None) -> dict[str, DataFrame]:
     """cells (one row each: type, centroid, peaks) and dff0 traces. traces: (recording, roi, frame, f); with `old`, cells
     that are there keep their curated peaks and only new ones are detected.
 
@@ -57,9 +57,9 @@ def study_tables(cells: DataFrame, traces: DataFrame, *, fps: float, cell_type:
     cells = cells.where(F.col("cell_type") == cell_type).withColumn("seq", F.row_number().over(W.partitionBy("recording").orderBy("roi")) - 1)
     cells = cells.withColumn("age_group", sc.age_group("age"))
     traces = traces.join(cells.select("cell"), "cell", "left_semi")
-    flat = settle(tr.rolling_median_detrend(traces, window, engine="arrow").select("recording", "cell", "frame", F.col("detrended").alias("f")))
+    flat = settle(tr.rolling_median_detrend(traces, window).select("recording", "cell", "frame", F.col("detrended").alias("f")))
     peaks = cells.select("recording", "cell", "seq", F.explode("peaks").alias("peak"))
-    z = settle(tr.detrend_zscore(traces, window=median_window, smooth=smooth, engine="arrow").select("cell", "frame", "z"))
+    z = settle(tr.detrend_zscore(traces, window=median_window, smooth=smooth).select("cell", "frame", "z"))
     moved = settle(pk.realign(peaks, z, value="z"))
     shape = pk.half_widths(z, moved.select("cell", F.col("aligned").alias("peak")).distinct(), value="z").withColumn("half_width_s", (F.col("right") - F.col("left")) / fps)
     peaks = peaks.join(moved, ["cell", "peak"]).join(shape.withColumnRenamed("peak", "aligned"), ["cell", "aligned"])
