@@ -15,6 +15,15 @@ from ..operators import traces as tr
 from .storage import settle
 
 
+#: Decimals of scores. Windows with equal sums in another order differ in their last bits, which would make a slope of a flat top.
+DIGITS = 12
+
+
+def scores(traces: DataFrame, *, window: int, smooth: int, engine: str | None = None) -> DataFrame:
+    """Adds `z`: the detrended score, smoothed; scores that agree to DIGITS decimals are equal."""
+    return tr.detrend_zscore(traces, window=window, smooth=smooth, engine=engine).withColumn("z", F.round("z", DIGITS))
+
+
 def build_cells(recordings: DataFrame, traces: DataFrame, labels: DataFrame, annotations: DataFrame, *, median_window=2000, smooth=21, prominence=4.01, distance=150, old: DataFrame | None = None, engine: str | None = None) -> dict[str, DataFrame]:
     """cells (one row each: type, centroid, peaks) and dff0 traces. traces: (recording, roi, frame, f); with `old`, cells
     that are there keep their curated peaks and only new ones are detected.
@@ -32,7 +41,7 @@ def build_cells(recordings: DataFrame, traces: DataFrame, labels: DataFrame, ann
     filled = tr.fill_held(traces, recording="recording").withColumn("f", F.col("filled")).drop("filled")
     dff0 = settle(tr.dff0_first_half(filled).select("recording", "roi", "cell", "frame", F.col("dff0").alias("f")))
     fresh = dff0 if old is None else dff0.join(old.select("cell"), "cell", "left_anti")
-    z = tr.detrend_zscore(fresh, window=median_window, smooth=smooth, engine=engine)
+    z = scores(fresh, window=median_window, smooth=smooth, engine=engine)
     found = pk.detect(z, prominence=prominence, distance=distance, value="z")
     lists = found.groupBy("cell").agg(F.sort_array(F.collect_set("peak")).alias("peaks"))
     cells = fresh.groupBy("recording", "roi", "cell").agg(F.count("*").alias("n_frames")).join(typed, ["recording", "roi"], "left").join(middle, ["recording", "roi"], "left")
@@ -59,7 +68,7 @@ def study_tables(cells: DataFrame, traces: DataFrame, *, fps: float, cell_type:
     traces = traces.join(cells.select("cell"), "cell", "left_semi")
     flat = settle(tr.rolling_median_detrend(traces, window).select("recording", "cell", "frame", F.col("detrended").alias("f")))
     peaks = cells.select("recording", "cell", "seq", F.explode("peaks").alias("peak"))
-    z = settle(tr.detrend_zscore(traces, window=median_window, smooth=smooth).select("cell", "frame", "z"))
+    z = settle(scores(traces, window=median_window, smooth=smooth).select("cell", "frame", "z"))
     moved = settle(pk.realign(peaks, z, value="z"))
     shape = pk.half_widths(z, moved.select("cell", F.col("aligned").alias("peak")).distinct(), value="z").withColumn("half_width_s", (F.col("right") - F.col("left")) / fps)
     peaks = peaks.join(moved, ["cell", "peak"]).join(shape.withColumnRenamed("peak", "aligned"), ["cell", "aligned"])

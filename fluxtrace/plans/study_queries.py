@@ -46,7 +46,7 @@ def _cells(spark, d) -> dict[str, DataFrame]:
     df = traces(spark, d).select((F.col("cell") % 10).alias("recording"), (F.expr("cell div 10") + 1).alias("roi"), "frame", held.alias("f"), F.col("cell").alias("user"))
     regions = df.select("recording", "roi", "user").distinct()
     recordings = df.select("recording").distinct().select("recording", F.when(F.col("recording") == _LEFT_OUT, 1).alias("discard"), F.lit(8.0).alias("age"))
-    pixels = regions.withColumn("x", F.explode(F.array(*[F.lit(i) for i in range(3)]))).withColumn("y", (3 * F.col("roi")).cast("int"))
+    pixels = regions.withColumn("x", F.explode(F.array(*[F.lit(i) for i in range(3)]))).withColumn("y", 3 * F.col("roi"))
     # One region of recording 7 has no pixels.
     missing = regions.where(F.col("recording") == _ODD).groupBy("recording").agg(F.min("roi").alias("roi"))
     labels = pixels.join(missing, ["recording", "roi"], "left_anti").select("recording", "y", "x", F.col("roi").alias("label"))
