@@ -403,10 +403,27 @@ def kymo_events(shapes: DataFrame, *, fps: float, um_per_pixel: float) -> DataFr
 # Segmentation of single frames
 
 
-def otsu_threshold(pixels: DataFrame, bins: int = 256) -> DataFrame:
-    """recording, frame, threshold: the split of the frame's histogram with the largest variance between classes."""
-    w = W.partitionBy(REC, "frame")
-    out = pixels.withColumns({"_lo": F.min("v").over(w).cast("double"), "_hi": F.max("v").over(w).cast("double")})
+#: Rows of a table with one row for each frame or recording that a join may broadcast; a larger one is joined by shuffle.
+FEW = 100_000
+
+
+def beside(pixels: DataFrame, one: DataFrame, on: list[str]) -> DataFrame:
+    """pixels with the columns of `one`, which has a row for each value of `on` (NULL is a value). If those are few, pixels stay where they
+    are; a shuffle on `on` would bring a frame or recording to one task."""
+    few = one.limit(FEW + 1).count() <= FEW
+    one = one.select(*[F.col(c).alias(f"_on_{c}") for c in on], *[c for c in one.columns if c not in on])
+    same = F.lit(True)
+    for c in on:
+        same &= F.col(c).eqNullSafe(F.col(f"_on_{c}"))
+    return pixels.join(F.broadcast(one) if few else one, same).drop(*[f"_on_{c}" for c in on])
+
+
+def otsu_threshold(pixels: DataFrame, bins: int = 256, *, settle=None) -> DataFrame:
+    """recording, frame, threshold: the split of the frame's histogram with the largest variance between classes. Ends and histograms are
+    aggregates, so no task sees a whole frame."""
+    w, settle = W.partitionBy(REC, "frame"), settle or (lambda d: d)
+    ends = settle(pixels.groupBy(REC, "frame").agg(F.min("v").cast("double").alias("_lo"), F.max("v").cast("double").alias("_hi")))
+    out = beside(pixels, ends, [REC, "frame"])
     b = F.least(F.floor((F.col("v") - F.col("_lo")) * bins / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))), F.lit(bins - 1))
     h = out.withColumn("_b", F.coalesce(b, F.lit(0))).groupBy(REC, "frame", "_b").agg(F.count("*").alias("_n"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"))
     h = h.withColumn("_mid", F.col("_lo") + (F.col("_b") + 0.5) * (F.col("_hi") - F.col("_lo")) / bins)
@@ -442,7 +459,7 @@ def seeded_regions(pixels: DataFrame, *, sigma: float = 2.0, span: int = 3, sett
     (the first of equals). Seeds are numbered within the frame; pixels meet the seeds of the tiles around them."""
     settle = settle or (lambda d: d.checkpoint())
     smooth = settle(blurred(pixels, sigma, axes=("y", "x")))
-    bright = settle(smooth.join(otsu_threshold(smooth), [REC, "frame"]).where(F.col("v") > F.col("threshold")).drop("threshold"))
+    bright = settle(beside(smooth, settle(otsu_threshold(smooth, settle=settle)), [REC, "frame"]).where(F.col("v") > F.col("threshold")).drop("threshold"))
     highest = lambda image, there, axis: grids.running(grids.running(np.where(there, image, -np.inf), span, 0, False), span, 1, False)
     top = _per_frame(smooth, highest).withColumnRenamed("v", "_top")
     seeds = bright.join(top, [REC, "frame", *PLACE]).where(F.col("v") >= F.col("_top"))

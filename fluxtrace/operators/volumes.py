@@ -154,11 +154,31 @@ def merged(labels: DataFrame, radius: float = 0.5, *, settle, bounds: DataFrame
     return one.select(recording, *axes, F.col("component").alias("label"))
 
 
-def otsu_of_volume(pixels: DataFrame, bins: int = 256) -> DataFrame:
+def otsu_of_volume(pixels: DataFrame, bins: int = 256, *, settle=None) -> DataFrame:
     """recording, threshold: Otsu's split of the histogram of a whole recording."""
     from .movie import otsu_threshold
 
-    return otsu_threshold(pixels.withColumn("frame", F.lit(0)), bins).drop("frame")
+    return otsu_threshold(pixels.withColumn("frame", F.lit(0)), bins, settle=settle).drop("frame")
+
+
+def numbered(places: DataFrame, *, axes=("frame", "y", "x"), recording=REC, name="label") -> DataFrame:
+    """recording, axes and their number from 1 through the recording in order of the axes. A window holds the places of one line along
+    the last axis, or the counts of what lies on one value of the axes before; none holds all places of a recording."""
+    *before, last = axes
+    starts, inner = None, [recording, *before]
+    while len(inner) > 1:
+        *outer, axis = inner
+        w = W.partitionBy(*outer).orderBy(axis).rowsBetween(W.unboundedPreceding, -1)
+        counts = places.groupBy(*inner).agg(F.count("*").alias("_n"))
+        counts = counts.select(*inner, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias(f"_{axis}"))
+        starts = counts if starts is None else starts.join(counts, inner)
+        inner = outer
+    line = F.row_number().over(W.partitionBy(recording, *before).orderBy(last)).cast("long")
+    out = places.select(recording, *axes, line.alias(name))
+    if starts is None:
+        return out
+    start = sum((F.col(f"_{a}") for a in before), F.lit(0))
+    return out.join(starts.select(recording, *before, start.alias("_start")), [recording, *before]).select(recording, *axes, (F.col(name) + F.col("_start")).alias(name))
 
 
 def tops(pixels: DataFrame, span: int, *, axes=("frame", "y", "x"), side: int = SIDE) -> DataFrame:
@@ -183,14 +203,15 @@ def tops(pixels: DataFrame, span: int, *, axes=("frame", "y", "x"), side: int =
 def seeded(pixels: DataFrame, *, spot_sigma: float = 2.0, outline_sigma: float = 2.0, span: int = 3, bins: int = 256, side: int = SIDE, settle) -> DataFrame:
     """recording, frame, y, x, label: places above the volume's Otsu threshold after one blur, grown from the local maxima after another.
     Seeds are numbered through the recording in order of frame, y, x. Sigma 0: no blur."""
-    from .movie import blurred
+    from .movie import beside, blurred
 
     def smooth(sigma: float) -> DataFrame:
         return settle(blurred(pixels, sigma) if sigma else pixels.select(REC, "frame", "y", "x", F.col("v").cast("double").alias("v")))
 
     spots = smooth(spot_sigma)
     outline = spots if spot_sigma == outline_sigma else smooth(outline_sigma)
-    mask = settle(outline.join(otsu_of_volume(outline, bins), REC).where(F.col("v") > F.col("threshold")).select(REC, "frame", "y", "x"))
+    threshold = settle(otsu_of_volume(outline, bins, settle=settle))
+    mask = settle(beside(outline, threshold, [REC]).where(F.col("v") > F.col("threshold")).select(REC, "frame", "y", "x"))
     seeds = tops(spots, span, side=side).join(mask, [REC, "frame", "y", "x"], "left_semi")
-    seeds = settle(seeds.select(REC, "frame", "y", "x", F.row_number().over(W.partitionBy(REC).orderBy("frame", "y", "x")).alias("label")))
+    seeds = settle(numbered(settle(seeds.select(REC, "frame", "y", "x"))))
     return growing(mask, seeds, settle=settle, side=side).select(REC, "frame", "y", "x", F.col("label").cast(IntegerType()).alias("label"))
