@@ -15,7 +15,8 @@ from ..operators import traces as tr
 from .storage import settle
 
 
-#: Decimals of scores. Windows with equal sums in another order differ in their last bits, which would make a slope of a flat top.
+#: Decimals of scores and of means around peaks. Equal sums in another order differ in their last bits, which would make a slope of a
+#: flat top and put a mean half-way between two roundings below it.
 DIGITS = 12
 
 
@@ -79,7 +80,8 @@ def study_tables(cells: DataFrame, traces: DataFrame, *, fps: float, cell_type:
     highest = peaks.groupBy("cell").agg(F.max("amplitude").alias("max_amplitude"))
     threshold = int(2 * fps)
     found = settle(ev.responses(peaks, ev.leaders(peaks, threshold), threshold, fps))
-    whole = ev.events(found, cells, amplitudes=pk.mean_around(found, traces, 10))
+    means = pk.mean_around(found, traces, 10).withColumn("mean", F.round("mean", DIGITS))
+    whole = ev.events(found, cells, amplitudes=means)
     parts = ev.split(found)
     counted = ev.participation(peaks, parts).drop("n_peaks")
     table = ro.cell_peaks(cells, peaks.select("cell", "peak"), fps=fps).join(noise, "cell", "left").join(active, "cell", "left").join(counted, ["recording", "cell"], "left").join(ro.kept_peaks(peaks), "cell", "left").join(highest, "cell", "left")
